@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import duplicates, mixing, packing
+from pyspark.sql import functions as F
+
+from claimloom.llm import duplicates, mixing, packing, quality_rules, rules, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return quality_rules.quality_rules(documents, quality_rules.trusted_texts(documents, table(spark, sf_dir, "labels")))
+
+
 def op3_minhash_near_dedup(spark, sf_dir):
     return duplicates.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
@@ -19,10 +26,21 @@ def op4_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_rule_ensemble(spark, sf_dir):
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = rules.fit_from_labels(documents, labels.where(~rules.held_out(F.col("doc_id"), 3, 1)))
+    scored = rules.score_quality(documents, model)
+    return scored.select("doc_id", rules.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
+
+
 def op8_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark, sf_dir):
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
