@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from claimloom.llm import duplicates, mixing, packing, quality_rules, rules, secrets
+from claimloom.llm import duplicates, mixing, packing, quality_rules, rules, secrets, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,14 @@ def op4_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark, sf_dir):
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = rules.held_out(F.col("doc_id"), 5, 0)
+    net = toxicity.train_from_labels(documents, labels.where(~held))
+    scored = toxicity.score_toxicity(documents.select("doc_id", "text"), net)
+    return scored.select("doc_id", held.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_rule_ensemble(spark, sf_dir):
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = rules.fit_from_labels(documents, labels.where(~rules.held_out(F.col("doc_id"), 3, 1)))
@@ -41,9 +49,13 @@ def op9_secret_scan(spark, sf_dir):
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op10_exact_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.OP4_SQL}
+    return {"op4_mixing": mixing.OP4_SQL, "op10_exact_top_k": topk.OP10_SQL}
