@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 import re
 import zlib
@@ -24,9 +26,11 @@ NEARLY_FULL = 8
 #: Underfull bins that a node hands on; the fullest beyond it are emitted.
 CARRY = 4096
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: White space that the tokenizer drops and never joins over: a text's ids are its words' ids in a row.
 _WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+#: Punctuation that may be cut from a word's end; none of it starts a contraction or closes a special token.
+_TAIL = ".,!?;:*#$%&|"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -36,7 +40,11 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class WordEncoder:
-    """Ids by ``tokenizers``, word by word, remembering words up to a fixed number."""
+    """Ids by ``tokenizers``, word by word, remembering words up to a fixed number.
+
+    The tokenizer lower-cases and always cuts between an ASCII letter or digit and the
+    punctuation after it, so a word's ids are those of its lower-cased stem and of its tail.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,19 +53,41 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
+    def _parts(self, word: str) -> tuple[str, str]:
+        if not word.isascii() or "<" in word:
+            return word, ""
+        stem = word.rstrip(_TAIL)
+        if not stem or not stem[-1].isalnum():
+            return word.lower(), ""
+        return stem.lower(), word[len(stem) :]
+
+    def _learn(self, fresh: list[str]) -> None:
+        known, parts = self.known, [self._parts(w) for w in fresh]
+        new = list({p for pair in parts for p in pair if p and p not in known})
+        for word, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[word] = np.asarray(encoding.ids, "<u4").tobytes()
+        known[""] = b""
+        for word, (stem, tail) in zip(fresh, parts, strict=True):
+            known[word] = known[stem] + known[tail]
+
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text."""
         found = _WORD.findall(text)
         fresh = list(set(found).difference(self.known))
         if fresh:
-            if len(self.known) + len(fresh) > REMEMBERED:
-                self.known = {}
-                fresh = list(set(found))
-            ids = self.tokenizer.encode_batch(fresh, add_special_tokens=False)
-            self.known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(fresh, ids, strict=True))
+            if len(self.known) + 2 * len(fresh) > REMEMBERED:  # the words met first are the common ones
+                self.known = dict(itertools.islice(self.known.items(), REMEMBERED // 2))
+                fresh = list(set(found).difference(self.known))
+            self._learn(fresh)
         return b"".join(map(self.known.__getitem__, found))
 
 
+@functools.lru_cache(1)
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder, which later tasks of the same worker find warm."""
+    return WordEncoder(path)
+
+
 def token_pieces(documents: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = 0) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` and ``uid`` for each piece of at most ``capacity`` tokens.
 
@@ -69,7 +99,7 @@ def token_pieces(documents: DataFrame, capacity: int = CAPACITY, path: str | Non
     shape = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def encode(batches):
-        words = WordEncoder(path)
+        words = encoder(path)
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
             for doc_id, text in zip(ids, batch.column(1), strict=True):
