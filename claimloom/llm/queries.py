@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from claimloom.llm import duplicates, mixing, packing, quality_rules, rules, secrets, topk, toxicity
+from claimloom.llm import duplicates, licenses, mixing, packing, privacy, quality_rules, rules, secrets, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(documents, quality_rules.trusted_texts(documents, table(spark, sf_dir, "labels")))
 
 
+def op2_license_scan(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_near_dedup(spark, sf_dir):
     return duplicates.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
@@ -26,6 +30,10 @@ def op4_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_personal_data(spark, sf_dir):
+    return privacy.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark, sf_dir):
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = rules.held_out(F.col("doc_id"), 5, 0)
@@ -58,4 +66,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.OP4_SQL, "op10_exact_top_k": topk.OP10_SQL}
+    return {"op2_license_scan": licenses.op2_sql(), "op4_mixing": mixing.OP4_SQL, "op10_exact_top_k": topk.OP10_SQL}
