@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.text import U64, column_bytes, grams, mix, word_hashes, words
+from claimloom.llm.text import U64, column_bytes, grams, mix, slices, word_hashes, words
 
 #: Buckets of both multinomials; the tables that reach the driver and the tasks have this many rows.
 BUCKETS = 1 << 16
@@ -42,7 +42,7 @@ def bucket_counts(texts: DataFrame, gram: int = GRAM, buckets: int = BUCKETS) ->
 
     def run(batches):
         total = np.zeros(buckets, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             total += np.bincount(gram_buckets(*column_bytes(batch.column(0)), gram, buckets)[0], minlength=buckets)
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(total[full], pa.int64())], names=["bucket", "n"])
@@ -110,7 +110,7 @@ def quality_rules(documents: DataFrame, target: DataFrame, threshold: float = TH
     shape = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("ratio", pa.float64())])
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             data, offsets = column_bytes(batch.column(1))
             counts = base_counts(data, offsets)
             bucket, firsts = gram_buckets(data, offsets, gram, buckets)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
@@ -100,3 +101,15 @@ def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
     if not len(hashes):
         return np.zeros(0, U64)
     return np.unique(grams(hashes, min(size, len(hashes))))
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int = 2 * PIECE):
+    """The batch in runs of rows whose texts have at most ``limit`` bytes together, or of one row."""
+    texts = batch.column(column)
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
+    at = 0
+    while at < batch.num_rows:
+        before = sizes[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(sizes, before + limit, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
