@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+MODULES = ("operators.facets",)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,5 +23,5 @@ def load() -> None:
     """Import every module that registers queries."""
     from importlib import import_module
 
-    for module in ():
+    for module in MODULES:
         import_module(f"claimloom.{module}")
