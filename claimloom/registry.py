@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ("operators.facets",)
+MODULES = ("operators.facets", "operators.joins")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
