@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ("operators.facets", "operators.joins")
+MODULES = ("operators.facets", "operators.joins", "operators.aggregates")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
