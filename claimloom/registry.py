@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ("operators.facets", "operators.joins", "operators.aggregates")
+MODULES = ("operators.facets", "operators.joins", "operators.aggregates", "operators.graph")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
