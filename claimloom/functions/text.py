@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
 def search_key(c: Column) -> Column:
@@ -91,18 +92,18 @@ def safe_name(c: Column, most: int = 60) -> Column:
     return F.left(F.regexp_replace(F.trim(c), r"[^\w.-]+", "_"), F.lit(most))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_marks(values: pd.Series) -> pd.Series:
     """NFKD without combining marks."""
     return values.map(lambda v: None if v is None else "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repaired_mojibake(values: pd.Series) -> pd.Series:
     """Text whose UTF-8 was read as cp1252, read again; anything else unchanged."""
 
@@ -142,7 +143,7 @@ def _token_set(a: str, b: str) -> float:
 
 
 def _pairwise(function):
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else function(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 

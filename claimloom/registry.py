@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ("operators.facets", "operators.joins", "operators.aggregates", "operators.graph")
+MODULES = ("operators.facets", "operators.joins", "operators.aggregates", "operators.graph", "operators.labels")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
