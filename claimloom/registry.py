@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ("operators.facets", "operators.joins", "operators.aggregates", "operators.graph", "operators.labels")
+MODULES = ("operators.facets", "operators.joins", "operators.aggregates", "operators.graph", "operators.labels", "operators.pages")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
