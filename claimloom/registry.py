@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ("operators.facets", "operators.joins", "operators.aggregates", "operators.graph", "operators.labels", "operators.pages")
+MODULES = ("operators.facets", "operators.joins", "operators.aggregates", "operators.graph", "operators.labels", "operators.pages", "operators.learning", "streaming.windows")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
