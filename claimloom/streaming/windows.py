@@ -40,7 +40,7 @@ def limiter_view(requests: DataFrame, limit: int, seconds: int, time: str = "ts"
 def limit_requests(requests: DataFrame, limit: int = 120, seconds: int = 60, time: str = "ts", key: str = "user_id", order: str = "event_id") -> DataFrame:
     """A stream's requests with ``allowed``, ``remaining`` and ``reset`` by each key's last accepted times.
 
-    State is at most ``limit`` times a key, and goes when the key has been still for a window.
+    State is at most ``limit`` times a key, and goes when the watermark has passed the key's last request by a window.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -59,10 +59,10 @@ def limit_requests(requests: DataFrame, limit: int = 120, seconds: int = 60, tim
             taken += [at] * ok
             found.append((name[0], number, ok, limit - len(taken), max(0.0, taken[0] + seconds - at)))
         state.update((taken,))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max(int((max(taken) + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(found, columns=[key, order, "allowed", "remaining", "reset"])
 
-    return requests.groupBy(key).applyInPandasWithState(serve, out, "taken array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.withWatermark(time, f"{seconds} seconds").groupBy(key).applyInPandasWithState(serve, out, "taken array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def job_states(events: DataFrame, job: str, state: str, time: str) -> DataFrame:
@@ -87,8 +87,9 @@ def idempotent_sink(path: str):
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of event files as a stream with the batch table's schema."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """A folder of event files as a stream with the batch table's columns; zoneless times are read as UTC-session times, which watermarks need."""
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return stream.select(*[F.col(n).cast("timestamp").alias(n) if t == "timestamp_ntz" else F.col(n) for n, t in stream.dtypes])
 
 
 def response_class(responses: DataFrame, text: str = "body", finish: str = "finish", used: str = "tokens", cap: int = 8192) -> DataFrame:
