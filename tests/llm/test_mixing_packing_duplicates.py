@@ -77,10 +77,10 @@ def test_closing_links_find_what_stars_miss(spark):
     words = [f"v{i}" for i in range(300)]
     rows = [(k, " ".join(words[10 * k : 10 * k + 120])) for k in range(18)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = duplicates.full_sets(frame, 4).cache()
+    sketches = duplicates.sketch(frame, 4)
     bands = spark.range(18).selectExpr("1L as band", "id as doc_id")
     none = spark.createDataFrame([], "doc_id long, label long")
-    found = {tuple(sorted(r)) for r in duplicates.closing_links(bands, none, sets, 80).collect()}
+    found = {tuple(sorted(r)) for r in duplicates.closing_links(bands, none, sketches, frame, 4, 80).collect()}
     want = {(a, b) for (a, x), (b, y) in combinations(rows, 2) if 100 * len(shingles(x, 4) & shingles(y, 4)) >= 80 * len(shingles(x, 4) | shingles(y, 4))}
     assert want and found <= want and {n for e in found for n in e} == {n for e in want for n in e}
 
@@ -128,7 +128,7 @@ def test_encoder_keeps_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
     whole, encoder = Tokenizer.from_file(packing.vocabulary_path()), packing.WordEncoder(packing.vocabulary_path())
-    for text in ("It's <|endoftext|> 12\x1c3 é́ a b c", " ́x 'LL don't\x0bthe ΣΑΣ İx", "日本 語　x\u0085y"):
+    for text in ("It's <|endoftext|> 12\x1c3 é́ a b c", " ́x 'LL don't\x0bthe ΣΑΣ İx", "日本 語　x\u0085y", "ABC!! x|| <|ENDOFTEXT|>. a<|endoftext|>! 9%.. ..!! 's! it'S. A.B.,"):
         assert np.frombuffer(encoder(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
