@@ -13,7 +13,7 @@ def corpus(spark, tmp_path_factory):
     home, filler = tmp_path_factory.mktemp("corpus"), [f"word{k}" for k in range(60)]
     text = lambda i: " ".join(filler[(i * 7 + k * k) % 60] for k in range(40 + i % 30))
     rows = [(i, text(i) + (" crook vilest crook" if i % 5 == 0 else ""), "en", f"s{i % 3}", 0, i) for i in range(120)]
-    rows += [(500, rows[1][1], "en", "s1", 0, 1), (501, rows[1][1] + " tail", "en", None, 0, 2), (502, 'token = "0123456789abcdef0123456789abcdef" ' + " ".join(f"other{k}" for k in range(60)), "en", "s0", 0, 3), (503, None, None, None, None, 4), (None, "no id here", "en", "s1", 0, 5)]
+    rows += [(500, rows[1][1], "en", "s1", 0, 1), (501, rows[1][1] + " tail", "en", None, 0, 2), (502, 'token = "0123456789abcdef0123456789abcdef" ' + " ".join(filler[(11 * k + 5) % 60] for k in range(55)), "en", "s0", 0, 3), (503, None, None, None, None, 4), (None, "no id here", "en", "s1", 0, 5)]
     spark.createDataFrame(rows, SHAPE).write.parquet(f"{home}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{home}/labels.parquet")
     return str(home), {r[0]: r for r in rows}
