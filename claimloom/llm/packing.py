@@ -26,7 +26,7 @@ NEARLY_FULL = 8
 #: Underfull bins that a node hands on; the fullest beyond it are emitted.
 CARRY = 4096
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 #: White space that the tokenizer drops and never joins over: a text's ids are its words' ids in a row.
 _WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 #: Punctuation that may be cut from a word's end; none of it starts a contraction or closes a special token.

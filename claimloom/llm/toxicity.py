@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import pickle
 import zlib
 
@@ -24,7 +25,7 @@ PRIOR = 8.0
 #: A fit takes ``EPOCHS`` rounds, and more on few documents until it has made ``LEAST_STEPS``.
 EPOCHS, LEAST_STEPS, BATCH, RATE = 8, 160, 64, 0.01
 #: Distinct words whose projections a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 EDGES = ".,;:!?\"'()[]{}|*#$%&<>"
 
 
@@ -275,22 +276,31 @@ def train_from_labels(documents: DataFrame, labels: DataFrame, sample: int = SAM
     return train(rows["text"].tolist(), rows["y"].to_numpy())
 
 
-def score_toxicity(documents: DataFrame, net: Toxicity) -> DataFrame:
-    """The documents' own columns with ``toxicity`` (0 to 1), all windows of each whole text scored where the rows are.
+def score_toxicity(documents: DataFrame, net: Toxicity, column: str = "toxicity") -> DataFrame:
+    """The documents' own columns with ``column`` (0 to 1), all windows of each whole text scored where the rows are.
+
+    A column of that name that the documents have already is replaced; choose another name to keep it.
 
     Null and empty texts are scored as one empty window, which gives the bias alone.
     Repeated rows score alike; an empty table gives no rows.
     """
+    documents = documents.drop(column)
     shipped = documents.sparkSession.sparkContext.broadcast(pickle.dumps(net))  # a fixed size, whatever the input
     names = documents.columns
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     def run(batches):
         score = scorer(shipped.value)
-        for batch in batches:
-            for at in range(0, max(1, batch.num_rows), 500):
-                part = batch.slice(at, 500)
-                values = score([t or "" for t in part.column(names.index("text")).to_pylist()]) if part.num_rows else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.round(values, 9), pa.float64())], names=[*part.schema.names, "toxicity"])
-
-    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField("toxicity", DoubleType())]))
+        try:
+            for batch in batches:
+                for at in range(0, max(1, batch.num_rows), 500):
+                    part = batch.slice(at, 500)
+                    values = score([t or "" for t in part.column(names.index("text")).to_pylist()]) if part.num_rows else np.zeros(0)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.round(values, 9), pa.float64())], names=[*part.schema.names, column])
+        finally:  # later stages use the same worker
+            scorer.cache_clear()
+            del score
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+
+    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField(column, DoubleType())]))

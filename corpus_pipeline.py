@@ -25,8 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under ``TOXIC``; the network learns from all labels of the folder's ``labels``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     original = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scored = toxicity.score_toxicity(docs, toxicity.train_from_labels(original, labels))
-    return scored.where(F.col("toxicity") < TOXIC).select(*docs.columns)
+    name = "_toxicity" + "_" * max(map(len, docs.columns))  # no column of the documents is called so
+    scored = toxicity.score_toxicity(docs, toxicity.train_from_labels(original, labels), name)
+    return scored.where(F.col(name) < TOXIC).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

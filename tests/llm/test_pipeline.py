@@ -5,7 +5,7 @@ import pytest
 import corpus_pipeline
 from claimloom.llm import packing
 
-SHAPE = "doc_id long, text string, lang string, source string, n_chars long, extra int"
+SHAPE = "doc_id long, text string, lang string, source string, n_chars long, toxicity int"
 
 
 @pytest.fixture(scope="module")
