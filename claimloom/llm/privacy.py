@@ -27,7 +27,7 @@ CLASSES, PAD = 98, 97
 #: Windows that run side by side.
 BATCH = 2048
 #: Bytes of text whose windows are sorted together.
-TOGETHER = 16 << 20
+TOGETHER = 32 << 20
 #: Made sentences that the network learns from.
 SENTENCES = 3600
 EDGE = " \t\n\r.,;:!?()[]|\"'*#$%&"
