@@ -96,3 +96,19 @@ def test_refinement_goes_on_until_a_round_accepts_nothing(spark):
 
     star = spark.createDataFrame([("a", x, float(k)) for k, x in enumerate("bcdefgh")], "a string, b string, score double")
     assert {r.cluster for r in refine_until_empty(star, lambda f: f.withColumn("accept", F.lit(True))).collect()} == {"a"}
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_document_queries_read_all_ids_and_whole_texts(spark, tmp_path):
+    head, tail = "abcdefghijkl", "mnopqrstuvwx"
+    far = "z" * 29 + head + "-" + tail + " " * 446 + head + "#" + tail
+    words = " ".join(f"w{k}" for k in range(30))
+    rows = [(300, "the same title here", "en", "s", 0), (301, "the same title here", "en", "s", 0), (500, far, "en", "s", 0), (502, words, "en", "s", 0)]
+    spark.createDataFrame(rows, DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    spans = {r.doc_id: (r.start, r.ratio) for r in run(spark, "x14_best_span", str(tmp_path))}
+    assert set(spans) == {300, 301, 500, 502} and spans[500] == (500, 1.0)
+    assert {(r.title_id, r.heading_id) for r in run(spark, "j13_best_title", str(tmp_path))} == {(300, 301)}
+    glosses = {r.pos: r.gloss for r in run(spark, "v12_token_alignment", str(tmp_path)) if r.doc_id == 502}
+    assert glosses == {k: None if k % 4 == 1 else f"W{k}" for k in range(30)}
