@@ -260,12 +260,12 @@ def j19(spark, d):
 
 @query("j20_string_neighbours")
 def j20(spark, d):
-    return string_neighbours(table(spark, d, "part").where("p_partkey <= 400"), "p_partkey", "p_name", 10)
+    return string_neighbours(table(spark, d, "part"), "p_partkey", "p_name", 10)
 
 
 @query("j25_subsequence_merge")
 def j25(spark, d):
-    c = view(spark, d, "claims").where("claim_id < 4000").select("sid", "ordinal", F.col("relation").alias("text"))
+    c = view(spark, d, "claims").select("sid", "ordinal", F.col("relation").alias("text"))
     return subsequence_merge(c.where("ordinal % 2 = 0"), c, "sid")
 
 
@@ -315,11 +315,11 @@ def x08(spark, d):
 @query("x15_joint_choice")
 def x15(spark, d):
     span = lambda k: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(((F.col("claim_id") * k + i * 37) % 300).alias("start"), ((F.col("claim_id") * k + i * 37) % 300 + 5).alias("end")))
-    return joint_choice(view(spark, d, "claims").where("claim_id < 2000").select("claim_id", span(3).alias("s"), span(7).alias("p"), span(11).alias("o")), "claim_id")
+    return joint_choice(view(spark, d, "claims").select("claim_id", span(3).alias("s"), span(7).alias("p"), span(11).alias("o")), "claim_id")
 
 
 def _label_pairs(spark, d):
-    p = table(spark, d, "part").where("p_partkey <= 1000")
+    p = table(spark, d, "part")
     return p.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("x")).join(p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("y")), F.col("b").between(F.col("a") + 1, F.col("a") + 3)).withColumn("score", F.pmod(F.col("a") * F.col("b"), F.lit(101)) / 101)
 
 

@@ -112,3 +112,15 @@ def test_document_queries_read_all_ids_and_whole_texts(spark, tmp_path):
     assert {(r.title_id, r.heading_id) for r in run(spark, "j13_best_title", str(tmp_path))} == {(300, 301)}
     glosses = {r.pos: r.gloss for r in run(spark, "v12_token_alignment", str(tmp_path)) if r.doc_id == 502}
     assert glosses == {k: None if k % 4 == 1 else f"W{k}" for k in range(30)}
+
+
+def test_queries_by_id_read_beyond_their_former_bounds(spark, tmp_path):
+    day = datetime.datetime(2024, 1, 1)
+    orders = [(k, k, "F", 1.0, day, LEVELS[k % 3]) for k in range(5000, 5004)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, f"part number {k}") for k in range(1500, 1505)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    assert sorted((r.sid, r.ordinal, r.old_ordinal) for r in run(spark, "j25_subsequence_merge", str(tmp_path))) == [(1250, 0, 0), (1250, 2, 2)]
+    assert {r.claim_id for r in run(spark, "x15_joint_choice", str(tmp_path))} == {5000, 5001, 5002, 5003}
+    near = {(a, b) for a in range(1500, 1505) for b in range(a + 1, min(a + 4, 1505))}
+    assert {(r.a, r.b) for r in run(spark, "x17_lexical_score", str(tmp_path))} == near == {(r.a, r.b) for r in run(spark, "x21_pair_features", str(tmp_path))}
+    assert {(r.a, r.b) for r in run(spark, "j20_string_neighbours", str(tmp_path))} == {(a, b) for a in range(1500, 1505) for b in range(1500, 1505) if a != b}
