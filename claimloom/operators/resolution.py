@@ -241,8 +241,8 @@ def aligned_tokens(rows: DataFrame, key: str) -> DataFrame:
 @query("j11_nearest_assignment")
 def j11(spark, d):
     e = table(spark, d, "events")
-    lines = e.where("event_id % 20 = 1").selectExpr("user_id % 30 as page", "event_id as line", "(event_id * 37) % 900 as y")
-    return nearest_assignment(lines, e.where("event_id % 20 = 2").selectExpr("user_id % 30 as page", "event_id as entry", "(event_id * 53) % 900 as y"), "page")
+    lines = e.where("event_id % 2 = 0").selectExpr("user_id % 30 as page", "event_id as line", "(event_id * 37) % 900 as y")
+    return nearest_assignment(lines, e.where("event_id % 2 <> 0").selectExpr("user_id % 30 as page", "event_id as entry", "(event_id * 53) % 900 as y"), "page")
 
 
 @query("j13_best_title")

@@ -124,3 +124,17 @@ def test_queries_by_id_read_beyond_their_former_bounds(spark, tmp_path):
     near = {(a, b) for a in range(1500, 1505) for b in range(a + 1, min(a + 4, 1505))}
     assert {(r.a, r.b) for r in run(spark, "x17_lexical_score", str(tmp_path))} == near == {(r.a, r.b) for r in run(spark, "x21_pair_features", str(tmp_path))}
     assert {(r.a, r.b) for r in run(spark, "j20_string_neighbours", str(tmp_path))} == {(a, b) for a in range(1500, 1505) for b in range(1500, 1505) if a != b}
+
+
+def test_assignment_gives_every_event_a_side(spark, tmp_path):
+    events = [(k, k // 2 % 4) for k in range(60)]
+    spark.createDataFrame(events, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    want = set()
+    for page in range(4):
+        free = {k: k * 53 % 900 for k, u in events if u == page and k % 2}
+        for line in sorted((k for k, u in events if u == page and not k % 2), key=lambda k: (k * 37 % 900, k)):
+            best = min(((abs(y - (line * 37 % 900)), e) for e, y in free.items()), default=(141, 0))
+            if best[0] <= 140:
+                del free[best[1]]
+                want.add((page, line, best[1], best[0]))
+    assert want and {(r.page, r.line, r.entry, r.dy) for r in run(spark, "j11_nearest_assignment", str(tmp_path))} == want
