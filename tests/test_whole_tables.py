@@ -138,3 +138,12 @@ def test_assignment_gives_every_event_a_side(spark, tmp_path):
                 del free[best[1]]
                 want.add((page, line, best[1], best[0]))
     assert want and {(r.page, r.line, r.entry, r.dy) for r in run(spark, "j11_nearest_assignment", str(tmp_path))} == want
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 50}])
+def test_large_clusters_keep_all_their_pairs(spark, options):
+    from claimloom.operators.learning import training_pairs
+
+    rows = [(k, 0) for k in range(450)] + [(k, 1) for k in range(450, 460)]
+    got = training_pairs(spark.createDataFrame(rows, "item long, cluster long"), "cluster", "item", 20, **options).where("label = 1").collect()
+    assert len(got) == 450 * 449 // 2 + 45 and {(r.a, r.b) for r in got} == {(a, b) for a, c in rows for b, e in rows if a < b and c == e}
