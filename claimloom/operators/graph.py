@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,17 +111,20 @@ def bfs_depths(edges: DataFrame, roots: DataFrame, most: int = 50) -> DataFrame:
     return seen
 
 
-def greedy_disjoint(pairs: DataFrame, most: int | None = None, rounds: int = 200) -> DataFrame:
+def greedy_disjoint(pairs: DataFrame, most: int | None = None, rounds: int | None = None) -> DataFrame:
     """Pairs ``(a, b, score)`` as a walk in score order takes them, skipping any that touches a taken item.
 
     Under a total order that walk equals taking, round after round, every pair that is best
-    at both its ends; each round is two combining aggregates and no driver-side walk.
+    at both its ends; each round is two combining aggregates and no driver-side walk. It goes
+    on until no pair is left and raises when ``rounds``, if given, run out before.
     """
     key = F.struct(-F.col("score"), F.col("a"), F.col("b"))
     left, taken = cut(pairs.select("a", "b", "score").where("a <> b")), None
-    for _ in range(rounds):
+    for done in count():
         if left.isEmpty():
             break
+        if done == rounds:
+            raise RuntimeError(f"pairs are left after {rounds} rounds")
         ends = left.select(F.col("a").alias("x"), key.alias("k")).union(left.select("b", key))
         best = ends.groupBy("x").agg(F.min("k").alias("k"))
         now = cut(left.withColumn("k", key).join(best.toDF("a", "ka"), "a").join(best.toDF("b", "kb"), "b").where("k = ka and k = kb").select("a", "b", "score"))
@@ -130,17 +135,20 @@ def greedy_disjoint(pairs: DataFrame, most: int | None = None, rounds: int = 200
     return taken.orderBy(F.desc("score"), "a", "b").limit(most) if most else taken
 
 
-def disjoint_wave(footprints: DataFrame, rounds: int = 200) -> DataFrame:
+def disjoint_wave(footprints: DataFrame, rounds: int | None = None) -> DataFrame:
     """Parents ``(parent, place, members)`` that a walk by ``place`` admits while members stay disjoint.
 
     A parent is decided once no undecided parent with a smaller place shares a member: it is
-    admitted if no admitted one does. Each round decides all such parents at once.
+    admitted if no admitted one does. Each round decides all such parents at once, until none
+    is left; raises when ``rounds``, if given, run out before.
     """
     incidence = cut(footprints.select("parent", "place", F.explode(F.array_distinct(F.array_append("members", F.col("parent")))).alias("m")))
     left, admitted = cut(footprints.select("parent", "place")), None
-    for _ in range(rounds):
+    for done in count():
         if left.isEmpty():
             break
+        if done == rounds:
+            raise RuntimeError(f"parents are left after {rounds} rounds")
         open_ = incidence.join(left.select("parent"), "parent", "left_semi")
         first = open_.groupBy("m").agg(F.min("place").alias("least"))
         ready = cut(open_.join(first, "m").groupBy("parent", "place").agg(F.max(F.col("place") > F.col("least")).alias("waits")).where("not waits").select("parent", "place"))

@@ -147,3 +147,16 @@ def test_large_clusters_keep_all_their_pairs(spark, options):
     rows = [(k, 0) for k in range(450)] + [(k, 1) for k in range(450, 460)]
     got = training_pairs(spark.createDataFrame(rows, "item long, cluster long"), "cluster", "item", 20, **options).where("label = 1").collect()
     assert len(got) == 450 * 449 // 2 + 45 and {(r.a, r.b) for r in got} == {(a, b) for a, c in rows for b, e in rows if a < b and c == e}
+
+
+def test_loops_raise_when_rounds_run_out(spark):
+    from claimloom.operators.graph import disjoint_wave, greedy_disjoint
+
+    chain = spark.createDataFrame([(k, k + 1, float(-k)) for k in range(8)], "a long, b long, score double")
+    with pytest.raises(RuntimeError):
+        greedy_disjoint(chain, rounds=2)
+    assert sorted(r.a for r in greedy_disjoint(chain, rounds=4).collect()) == [0, 2, 4, 6]
+    steps = spark.createDataFrame([(k, k, [k + 1]) for k in range(8)], "parent long, place long, members array<long>")
+    with pytest.raises(RuntimeError):
+        disjoint_wave(steps, rounds=2)
+    assert sorted(r.parent for r in disjoint_wave(steps).collect()) == [0, 2, 4, 6]
