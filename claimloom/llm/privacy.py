@@ -19,6 +19,8 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+#: Spellings of @ in addresses that the rules do not know.
+AT = re.compile(r"\(at\)|\[at\]")
 TAGS = 1 + len(KINDS)
 HIDDEN = 6
 #: Characters of a window at most, and that neighbours share at least.
@@ -332,7 +334,7 @@ def tag_texts(texts: list[str], tagger: Tagger) -> list[np.ndarray]:
 
 
 def model_spans(text: str, tags: np.ndarray, base: list) -> list[tuple[str, int, int]]:
-    """Runs of one tag, trimmed; runs that touch a rule's span or hold no digit and no @ are left out."""
+    """Runs of one tag, trimmed; runs that touch a rule's span or hold no digit and no @, in any spelling, are left out."""
     if not tags.any():
         return []
     cuts = np.flatnonzero(np.diff(tags, prepend=0, append=0))
@@ -342,7 +344,7 @@ def model_spans(text: str, tags: np.ndarray, base: list) -> list[tuple[str, int,
             continue
         run = text[a:b]
         a, b = int(a) + len(run) - len(run.lstrip(EDGE.replace("(", ""))), int(b) - len(run) + len(run.rstrip(EDGE))
-        if b - a >= 7 and any(c.isdigit() or c == "@" for c in text[a:b]) and not any(a < e and s < b for _, s, e in base):
+        if b - a >= 7 and (any(c.isdigit() or c == "@" for c in text[a:b]) or AT.search(text, a, b)) and not any(a < e and s < b for _, s, e in base):
             out.append((KINDS[int(tags[a]) - 1], a, b))
     return out
 
