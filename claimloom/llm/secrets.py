@@ -115,7 +115,7 @@ class CharNet:
             a, b = a - 0.5 * step[0], b - 0.5 * step[1]
         self.slope, self.shift = float(a), float(b)
         kept = np.sort(self.score(codes, marks)[labels == 1])
-        self.threshold = float(max(0.5, kept[int((1 - recall) * len(kept))]))
+        self.threshold = float(kept[int((1 - recall) * len(kept))])
 
     def score(self, codes, marks):
         parts = [self.forward(codes[i : i + 256], marks[i : i + 256])[0] for i in range(0, len(codes), 256)]

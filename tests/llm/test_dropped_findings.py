@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from claimloom.llm import privacy
+from claimloom.llm import privacy, secrets
 
 
 @pytest.mark.parametrize("at", [" (at) ", "[at]"])
@@ -16,3 +16,19 @@ def test_digitless_addresses_with_at_spelled_out_are_spans(at):
     tags[:] = 0
     tags[0:8] = 1
     assert privacy.model_spans(text, tags, []) == []
+
+
+def test_threshold_keeps_the_recall_even_under_a_half():
+    rng, net = np.random.default_rng(1), secrets.CharNet()
+    codes, marks = rng.integers(0, secrets.CLASSES, (400, secrets.WIDTH)), np.ones((400, secrets.WIDTH), np.float32)
+    labels = (np.arange(400) % 2).astype(np.float32)
+    net.calibrate(codes, marks, labels)
+    assert net.threshold < 0.5 and (net.score(codes, marks)[labels == 1] >= net.threshold).mean() >= secrets.RECALL
+
+
+def test_secret_recall_through_candidates():
+    rows = [r for r in secrets.labelled_findings(800, 99) if r[3]]
+    found = secrets.found_spans([t for t, *_ in rows], secrets.trained())
+    hits = sum(any(s < b and a < e for _, s, e in every) for (_, a, b, _), (_, every) in zip(rows, found, strict=True))
+    print("found end to end", hits, len(rows))
+    assert hits / len(rows) >= 0.98
