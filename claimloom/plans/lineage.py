@@ -3,26 +3,51 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a fresh one only where none is configured (tests)."""
+    """The session's checkpoint folder.
+
+    Where none is configured, a local session (tests) gets a fresh one; any other master is
+    refused, since a folder of this machine is not one that executors can read.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
+        context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         return current
     configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    # read at each checkpoint: copies that nothing refers to any more are deleted
+    context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="claimloom-checkpoint-"))
     return context.getCheckpointDir()
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of whatever file system its path names."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh_name(columns: Iterable[str], base: str) -> str:
+    """``base``, with as many underscores behind it as it takes to clash with no column (Spark ignores case)."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Compute ``frame`` once into the shared checkpoint folder and continue from there.
 
     The copy survives the loss of executors (it is never an executor-local block) and
-    Spark removes it when nothing refers to it any more.
+    Spark removes it when nothing refers to it any more (``checkpoint_dir`` switches that on).
     """
     checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
