@@ -1,11 +1,12 @@
 """Operator 10: exact top-k inner products by no-random-access aggregation.
 
-Each dimension's values form a list that is read from its top for positive query
-components and from its bottom for negative ones. After reading the same share of all lists,
-what is unread of a vector lies between the list's far end and the frontier, which bounds
-its score from both sides; both bounds of a whole block of queries are one matrix product.
-A vector whose upper bound is under the k-th best lower bound cannot qualify; a query is
-done when k vectors are left, and the scores of those left are resolved by reading on.
+Each dimension is a list of the rows sorted by their value, which a query reads from the top
+where its own component is positive and from the bottom where it is negative. Lists are read
+in blocks, the one that leaves most of the score open first. What a query has read of a row
+adds up; what it has not read lies between the list's frontier and its far end, so every row
+has an upper and a lower bound. Rows whose upper bound is under the k-th best lower bound
+cannot qualify. Reading stops when no more than ``POOL * k`` rows are left, and only their
+scores are resolved.
 """
 
 from __future__ import annotations
@@ -16,11 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 64
-#: Shares of the lists after which bounds are compared.
-DEPTHS = (0.25, 0.6)
+#: Blocks that each list is read in.
+READS = 16
+#: Rows for each wanted one that may be left when reading stops.
+POOL = 2
 #: Rows of a query block and of a candidate block; a task holds one of each.
 QUERY_ROWS, CANDIDATE_ROWS = 2048, 8192
-CHUNK = 256
+#: Components of a candidate block at most, so that wide vectors make shorter blocks.
+CELLS = 1 << 22
 
 
 def whole_numbers(vectors: DataFrame) -> DataFrame:
@@ -37,49 +41,69 @@ def _matrix(column, width: int) -> np.ndarray:
     return out
 
 
-def nra(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, depths=DEPTHS):
-    """For each query the indices and scores of its ``k`` best rows, ties to the smaller id; a row never answers its own id."""
-    order = np.argsort(row_ids, kind="stable")
-    rows, row_ids = rows[order], row_ids[order]
-    top = int(np.abs(queries).max(initial=0)) * int(np.abs(rows).max(initial=0)) * max(1, queries.shape[1])
-    kind = np.float32 if top < 1 << 23 else np.float64 if top < 1 << 52 else np.int64
-    lists = np.sort(rows, 0)
-    n = len(rows)
-    views = []
-    for depth in depths:
-        at = min(n - 1, int(depth * n))
-        high, low = lists[n - 1 - at], lists[at]
-        from_top, from_bottom = rows >= high, rows <= low
-        upper = np.concatenate([np.where(from_top, rows, high), np.where(from_bottom, rows, low)], 1)
-        lower = np.concatenate([np.where(from_top, rows, lists[0]), np.where(from_bottom, rows, lists[-1])], 1)
-        views.append((upper.T.astype(kind), lower.T.astype(kind)))
-    final = rows.astype(kind)
-    out = []
-    for begin in range(0, len(queries), CHUNK):
-        q, ids = queries[begin : begin + CHUNK], query_ids[begin : begin + CHUNK]
-        split = np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], 1).astype(kind)
-        own = np.searchsorted(row_ids, ids)
-        mine = np.flatnonzero((own < n) & (row_ids[np.minimum(own, n - 1)] == ids))
-        alive = np.ones((len(q), n), bool)
-        alive[mine, own[mine]] = False
-        open_ = np.flatnonzero(alive.sum(1) > k)
-        for upper, lower in views:
-            if not len(open_):
+class Lists:
+    """The rows of a candidate block as one sorted list for each dimension."""
+
+    def __init__(self, rows: np.ndarray, row_ids: np.ndarray):
+        by_id = np.argsort(row_ids, kind="stable")
+        self.rows, self.ids = rows[by_id], row_ids[by_id]
+        self.n, self.width = rows.shape
+        order = np.argsort(self.rows, 0, kind="stable")
+        self.order, self.values = np.ascontiguousarray(order.T), np.ascontiguousarray(np.take_along_axis(self.rows, order, 0).T)
+
+    def read(self, i: int, from_top: bool, at: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and values of the places ``at`` to ``stop`` of list ``i``."""
+        if from_top:
+            at, stop = self.n - stop, self.n - at
+        return self.order[i, at:stop], self.values[i, at:stop]
+
+    def top(self, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids and scores of the ``k`` best rows but the query's own, and how many entries were read."""
+        own = int(np.searchsorted(self.ids, query_id))
+        alive = np.ones(self.n, bool)
+        if own < self.n and self.ids[own] == query_id:
+            alive[own] = False
+        step = max(1, -(-self.n // READS))
+        down = query > 0
+        best, worst = np.where(down, self.values[:, -1], self.values[:, 0]) * query, np.where(down, self.values[:, 0], self.values[:, -1]) * query
+        depth, front = np.zeros(self.width, np.int64), best.copy()
+        depth[best == worst], front[best == worst] = self.n, 0  # such a list says nothing: all its entries are alike
+        known = np.full(self.n, best[best == worst].sum(), query.dtype)
+        seen = np.zeros((self.width, self.n), query.dtype)
+        seen[best == worst] = 1
+        worst = np.where(best == worst, 0, worst)
+        read = 0
+        while alive.sum() > POOL * k:
+            open_ = np.where(depth < self.n, front - worst, -1)
+            if open_.max() < 0:
                 break
-            bound = np.where(alive[open_], split[open_] @ lower, -np.inf if kind != np.int64 else np.iinfo(np.int64).min)
-            floor = np.partition(bound, n - k, 1)[:, n - k]
-            alive[open_] &= split[open_] @ upper >= floor[:, None]
-            open_ = open_[alive[open_].sum(1) > k]
-        left = np.flatnonzero(alive.any(0))
-        scores = q.astype(kind) @ final[left].T
-        for i in range(len(q)):
-            at = np.flatnonzero(alive[i, left])
-            best = at[np.argsort(-scores[i, at], kind="stable")[:k]]
-            out.append((left[best], scores[i, best].astype(np.int64)))
-    return [(row_ids[a], s) for a, s in out]
-
-
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, query_rows: int = QUERY_ROWS, candidate_rows: int = CANDIDATE_ROWS) -> DataFrame:
+            for i in np.flatnonzero(open_ * 2 >= open_.max()).tolist():
+                stop = min(self.n, depth[i] + step)
+                at, values = self.read(i, bool(down[i]), depth[i], stop)
+                known[at] += values * query[i]
+                seen[i, at] = 1
+                read += stop - depth[i]
+                # the last entry of the block is the frontier: nothing unread contributes more
+                depth[i], front[i] = stop, values[0 if down[i] else -1] * query[i] if stop < self.n else worst[i]
+            lower = known + worst.sum() - worst @ seen
+            upper = known + front.sum() - front @ seen
+            floor = np.partition(lower[alive], alive.sum() - k)[alive.sum() - k]
+            alive &= upper >= floor
+        left = np.flatnonzero(alive)
+        scores = self.rows[left] @ query
+        first = np.argsort(-scores, kind="stable")[:k]
+        return self.ids[left[first]], scores[first].astype(np.int64), int(read)
+
+
+def nra(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int):
+    """For each query the ids and scores of its ``k`` best rows, ties to the smaller id, and the list entries read."""
+    top = int(np.abs(queries).max(initial=0)) * int(np.abs(rows).max(initial=0)) * max(1, queries.shape[1])
+    kind = np.float64 if top < 1 << 51 else np.int64
+    lists = Lists(rows.astype(kind), row_ids)
+    return [lists.top(q, int(i), k) for q, i in zip(queries.astype(kind), query_ids, strict=True)]
+
+
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, query_rows: int = QUERY_ROWS, candidate_rows: int = CANDIDATE_ROWS, report: bool = False) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` best other rows by integer inner product.
 
     Queries are the rows whose ``vec_id`` is divisible by ``every``. Queries and candidates
@@ -87,29 +111,38 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, query_rows: int = QU
     size, which returns its own ``k`` best; those few are ranked again for each query.
     Shorter vectors count as padded with zeros. Ids name rows: repeats of an id are one row.
     Fewer candidates than ``k`` give all of them; no queries or an empty table give no rows.
+    ``report`` adds ``read``, the share of all list entries that the query has read.
     """
     from claimloom.plans.lineage import cut
 
     rows = cut(whole_numbers(vectors))
     is_query = F.col("vec_id") % every == 0
     n, n_queries, width = rows.agg(F.count("*"), F.count_if(is_query), F.max(F.size("v"))).first()
-    blocks, query_blocks, width = max(1, -(-n // candidate_rows)), max(1, -(-n_queries // query_rows)), width or 1
+    width = max(1, width or 1)
+    candidate_rows = max(1, min(candidate_rows, CELLS // width))
+    blocks, query_blocks = max(1, -(-n // candidate_rows)), max(1, -(-n_queries // query_rows))
     deal = lambda count, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(count)).cast("int")
     spread = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     candidates = rows.select("vec_id", "v", deal(blocks, 1).alias("cb"), spread(query_blocks).alias("qb"))
     queries = rows.where(is_query).select("vec_id", "v", spread(blocks).alias("cb"), deal(query_blocks, 2).alias("qb"))
+    names = ["query_id", "vec_id", "score", "entries"]
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
             ids = left["vec_id"].to_numpy()
-            for query_id, (got, scores) in zip(ids, nra(_matrix(left["v"], width), ids, _matrix(right["v"], width), right["vec_id"].to_numpy(), k), strict=True):
-                found.append(pd.DataFrame({"query_id": query_id, "vec_id": got, "score": scores}))
-        return pd.concat(found) if found else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "vec_id", "score")})
-
-    met = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInPandas(meet, "query_id long, vec_id long, score long")
+            for query_id, (got, scores, read) in zip(ids, nra(_matrix(left["v"], width), ids, _matrix(right["v"], width), right["vec_id"].to_numpy(), k), strict=True):
+                found.append(np.stack([np.full(len(got), query_id), got, scores, np.full(len(got), read)], 1))
+        return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 4)), columns=names).astype("int64")
+
+    met = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInPandas(meet, "query_id long, vec_id long, score long, entries long")
+    if report:
+        by_block = cut(met.withColumn("cb", deal(blocks, 1)))
+        reads = by_block.groupBy("query_id", "cb").agg(F.max("entries").alias("e")).groupBy("query_id").agg((F.sum("e") / F.lit(float(n * width))).alias("read"))
+        met = by_block.join(reads, "query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score", *(["read"] if report else []))
 
 
 OP10_SQL = """
