@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.plans.lineage import cut
+from claimloom.plans.lineage import cut, fresh_name
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -63,8 +63,9 @@ def _rates(slim: DataFrame, weights, share: float, most: float) -> DataFrame:
     return F.broadcast(rates) if rates.count() <= BROADCAST_SOURCES else rates
 
 
-def _copies(seed: str) -> F.Column:
-    return (F.floor("rate") + (chance(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
+def _copies(seed: str, doc_id=None, rate=None) -> F.Column:
+    doc_id, rate = F.col("doc_id") if doc_id is None else doc_id, F.col("rate") if rate is None else rate
+    return (F.floor(rate) + (chance(doc_id, seed) < rate - F.floor(rate)).cast("long")).cast("long")
 
 
 def mix_sources(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
@@ -90,14 +91,17 @@ def mix_sources(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, mos
 def emit_copies(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
     """The mix itself: the documents' own columns, each row as often as ``mix_sources`` counts.
 
-    Rows taken 0 times go; extra columns stay as they are.
+    Rows taken 0 times go; null texts count 0 words, null ids share one draw, repeated rows
+    are each taken as often. Extra columns stay as they are, whatever their names. An empty
+    table gives no rows.
     """
     slim = cut(documents.select("source", word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("size")))
-    rates = _rates(slim, weights, share, most).select(F.col("key").alias("_mix_key"), F.col("rate").alias("_mix_rate"))
+    key, rate, copy = (fresh_name(documents.columns, n) for n in ("_mix_key", "_mix_rate", "_mix_copy"))
+    rates = _rates(slim, weights, share, most).select(F.col("key").alias(key), F.col("rate").alias(rate))
     rates = F.broadcast(rates) if rates.count() <= BROADCAST_SOURCES else rates
-    copies = F.floor("_mix_rate") + (chance(documents["doc_id"], seed) < F.col("_mix_rate") - F.floor("_mix_rate")).cast("long")
-    joined = documents.join(rates, documents["source"].eqNullSafe(F.col("_mix_key")))
-    return joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*[documents[c] for c in documents.columns])
+    joined = documents.join(rates, F.col("source").eqNullSafe(F.col(key)))
+    copies = _copies(seed, F.col("doc_id"), F.col(rate)).cast("int")
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies))).select(*(F.col(f"`{c}`") for c in documents.columns))
 
 
 OP4_SQL = r"""
