@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.text import slices
 from claimloom.plans.lineage import cut
 
 CAPACITY = 2048
@@ -23,8 +24,8 @@ LEAF_ITEMS = 20_000
 FAN_IN = 8
 #: A bin with at most this much room left is emitted where it is.
 NEARLY_FULL = 8
-#: Underfull bins that a node hands on; the fullest beyond it are emitted.
-CARRY = 4096
+#: A round that joins fewer than one in so many of its bins is the last.
+STALLED = 200
 #: Distinct words whose ids a worker remembers.
 REMEMBERED = 700_000
 #: White space that the tokenizer drops and never joins over: a text's ids are its words' ids in a row.
@@ -100,7 +101,7 @@ def token_pieces(documents: DataFrame, capacity: int = CAPACITY, path: str | Non
 
     def encode(batches):
         words = encoder(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             ids, out = batch.column(0).to_pylist(), []
             for doc_id, text in zip(ids, batch.column(1), strict=True):
                 data = words(text.as_py() or "") + end
@@ -142,7 +143,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 _BIN = "done boolean, node long, bin long, length long, uids array<long>, offsets array<int>"
 
 
-def _pack_node(level: int, last: bool, capacity: int, nearly_full: int, carry: int):
+def _pack_node(level: int, capacity: int, nearly_full: int):
     def pack(items: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values(["length", "bin"], ascending=[False, True], kind="stable")
         node = int(items["node"].iloc[0])
@@ -151,41 +152,46 @@ def _pack_node(level: int, last: bool, capacity: int, nearly_full: int, carry: i
         for k, members in enumerate(best_fit(lengths, capacity)):
             base = np.concatenate([[0], np.cumsum(lengths[members])])
             at = [np.asarray(offsets[m]) + base[i] for i, m in enumerate(members)]
-            full = last or base[-1] >= capacity - nearly_full
+            full = base[-1] >= capacity - nearly_full
             name = (level << 56) | (node << 28) | k
             rows.append((full, node, name, int(base[-1]), np.concatenate([uids[m] for m in members]), np.concatenate(at).astype("int32")))
-        waiting = sorted((k for k, r in enumerate(rows) if not r[0]), key=lambda k: -rows[k][3])
-        for k in waiting[: max(0, len(waiting) - carry)]:
-            rows[k] = (True, *rows[k][1:])
         return pd.DataFrame(rows, columns=["done", "node", "bin", "length", "uids", "offsets"])
 
     return pack
 
 
-def pack_pieces(
-    pieces: DataFrame, capacity: int = CAPACITY, leaf_items: int = LEAF_ITEMS, fan_in: int = FAN_IN, nearly_full: int = NEARLY_FULL, carry: int = CARRY
-) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, leaf_items: int = LEAF_ITEMS, fan_in: int = FAN_IN, nearly_full: int = NEARLY_FULL) -> DataFrame:
     """``uid, sequence_id, offset`` for every piece of ``pieces(uid, length)``.
 
-    Leaves get some ``leaf_items`` pieces each by hash and pack them by best fit; nearly
-    full bins are emitted, underfull ones go on as items to a node that ``fan_in`` nodes
-    share, round after round until one node is left. A node hands on at most ``carry``
-    bins, so no task holds more than ``fan_in * carry`` items or ``leaf_items`` pieces
-    (give or take the hash's spread).
+    Leaves get some ``leaf_items`` pieces each by hash and pack them by best fit. Nearly
+    full bins are emitted, and so is a bin that even the smallest waiting bin does not fit
+    into; the others go on as items to a node that ``fan_in`` nodes share, round after round
+    until one node is left. A node that would get more than ``leaf_items`` bins is split, so
+    no task holds more (give or take the hash's spread); where nodes can then shrink no
+    further, rounds go on over newly dealt nodes while they still join bins.
     """
     nodes = max(1, -(-pieces.count() // leaf_items))
     items = pieces.select(
         F.pmod(F.xxhash64("uid"), F.lit(nodes)).alias("node"), F.col("uid").alias("bin"), "length", F.array("uid").alias("uids"), F.array(F.lit(0)).alias("offsets")
     )
-    emitted, level = None, 0
+    emitted, level, before = None, 0, None
     while True:
-        bins = cut(items.groupBy("node").applyInPandas(_pack_node(level, nodes == 1, capacity, nearly_full, carry), _BIN))
-        done = bins.where("done")
+        bins = cut(items.groupBy("node").applyInPandas(_pack_node(level, capacity, nearly_full), _BIN))
+        waiting, least = bins.where("not done").agg(F.count("*"), F.min("length")).first()
+        if waiting:
+            closed = F.col("done") | (F.col("length") + F.lit(least) > capacity)
+            waiting = bins.where(~closed).count()
+        last = nodes == 1 or not waiting or (before is not None and before - waiting < before // STALLED)
+        done = bins if last else bins.where(closed)
         emitted = done if emitted is None else emitted.union(done)
-        if nodes == 1:
+        if last:
             break
-        nodes, level = -(-nodes // fan_in), level + 1
-        items = bins.where("not done").select((F.col("node") % nodes).alias("node"), "bin", "length", "uids", "offsets")
+        fewer, level = -(-nodes // fan_in), level + 1
+        split = -(-waiting // leaf_items)
+        before = waiting if split >= nodes else None
+        nodes = min(nodes, max(fewer, split))
+        node = F.col("node") % nodes if nodes == fewer else F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(nodes))
+        items = bins.where(~closed).select(node.alias("node"), "bin", "length", "uids", "offsets")
     placed = emitted.select(F.col("bin").alias("sequence_id"), F.explode(F.arrays_zip("uids", "offsets")).alias("at"))
     return placed.select(F.col("at.uids").alias("uid"), "sequence_id", F.col("at.offsets").cast("long").alias("offset"))
 
