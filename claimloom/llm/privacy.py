@@ -1,7 +1,14 @@
-"""Operator 5: personal data by a character-level bidirectional LSTM with CRF transitions."""
+"""Operator 5: personal data by a character-level bidirectional LSTM with CRF transitions.
+
+Overlapping windows give emissions for their characters. A document's emissions are joined
+over all its windows, fading from one to the next where they overlap, and its best tag path
+is found over the whole of them. Most stretches cannot gain by leaving tag 0, whatever the
+transitions; two running sums find the others exactly, and only those are searched.
+"""
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -14,20 +21,23 @@ from pyspark.sql import functions as F
 from claimloom.llm.text import slices
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: What stands before and after the @ of an e-mail; runs are taken whole, so long ones are read once.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+HOST = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 #: Spellings of @ in addresses that the rules do not know.
 AT = re.compile(r"\(at\)|\[at\]")
 TAGS = 1 + len(KINDS)
-HIDDEN = 6
+HIDDEN = 8
 #: Characters of a window at most, and that neighbours share at least.
 WINDOW, OVERLAP = 768, 32
 CLASSES, PAD = 98, 97
-#: Windows that run side by side.
+#: Windows that run side by side, and characters of texts that are decoded together (one text at least).
 BATCH = 2048
+DECODED = BATCH * WINDOW
 #: Bytes of text whose windows are sorted together.
 TOGETHER = 32 << 20
 #: Made sentences that the network learns from.
@@ -46,9 +56,24 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost matches of LOCAL's characters, @ and a dotted host, each character read once."""
+    out, done, at = [], 0, text.find("@")
+    while at >= 0:
+        host = HOST.match(text, at + 1)
+        if host:
+            start = done + len(text[done:at].rstrip(LOCAL))
+            if start < at:
+                out.append((start, host.end()))
+        # what comes next begins behind this match or, failing one, behind this @
+        done = out[-1][1] if out and out[-1][1] > at else at + 1
+        at = text.find("@", done)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The rules' findings, by kind as listed, then start."""
-    out = [("email", *m.span()) for m in EMAIL.finditer(text)] if "@" in text else []
+    out = [("email", *span) for span in emails(text)] if "@" in text else []
     if DIGIT.search(text):
         out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))]
         for m in CARD.finditer(text):
@@ -76,22 +101,22 @@ def windows(n: int) -> list[tuple[int, int]]:
 
 
 class Tagger:
-    """Two LSTMs with coupled input and forget gates over characters, emissions of five tags and transitions between them."""
+    """Two LSTMs over characters, emissions of five tags and transitions between them."""
 
     def __init__(self, seed: int = 4):
         rng = np.random.default_rng(seed)
         f = lambda *s: (rng.normal(size=s) / np.sqrt(s[-2])).astype(np.float32)
-        self.p = {"x": (0.5 * rng.normal(size=(2, CLASSES, 3 * HIDDEN))).astype(np.float32), "u": f(2, HIDDEN, 3 * HIDDEN), "e": f(2 * HIDDEN, TAGS), "b": np.zeros(TAGS, np.float32), "t": np.zeros((TAGS, TAGS), np.float32)}
+        self.p = {"x": (0.5 * rng.normal(size=(2, CLASSES, 4 * HIDDEN))).astype(np.float32), "u": f(2, HIDDEN, 4 * HIDDEN), "e": f(2 * HIDDEN, TAGS), "b": np.zeros(TAGS, np.float32), "t": np.zeros((TAGS, TAGS), np.float32)}
         self.p["x"][:, :, :HIDDEN] += 1.0
         self.p["b"][0] = 2.0
         self.p["t"] += 2.0 * np.eye(TAGS, dtype=np.float32)
         self.seal()
 
     def seal(self) -> None:
-        """Order is forget gate, output gate, cell; what is forgotten is what is let in. Padding leaves empty states."""
-        self.p["x"][:, PAD, : 2 * HIDDEN], self.p["x"][:, PAD, 2 * HIDDEN :] = -30.0, 0.0
-        half = np.ones(3 * HIDDEN, np.float32)
-        half[: 2 * HIDDEN] = 0.5
+        """Order is forget gate, input gate, output gate, cell. Padding leaves empty states."""
+        self.p["x"][:, PAD, : 3 * HIDDEN], self.p["x"][:, PAD, 3 * HIDDEN :] = -30.0, 0.0
+        half = np.ones(4 * HIDDEN, np.float32)
+        half[: 3 * HIDDEN] = 0.5
         self.table, self.step = self.p["x"] * half, self.p["u"] * half
         # for scoring, characters side by side; states are kept doubled, which the weights make up for
         self.rows = np.ascontiguousarray(self.table.transpose(0, 2, 1))
@@ -103,19 +128,19 @@ class Tagger:
         steps, n = ids.shape
         h, c = np.zeros((2, n, HIDDEN), np.float32), np.zeros((2, n, HIDDEN), np.float32)
         out, saved = np.empty((steps, 2, n, HIDDEN), np.float32), []
-        a = np.empty((2, n, 3 * HIDDEN), np.float32)
+        a = np.empty((2, n, 4 * HIDDEN), np.float32)
         for t in range(steps):
             np.matmul(h, self.step, out=a)
             a[0] += self.table[0].take(ids[t], 0)
             a[1] += self.table[1].take(ids[steps - 1 - t], 0)
             np.tanh(a, out=a)
-            gates = a[:, :, : 2 * HIDDEN]
+            gates = a[:, :, : 3 * HIDDEN]
             gates += 1.0
             gates *= 0.5
-            before, z = c, a[:, :, 2 * HIDDEN :]
-            c = z + gates[:, :, :HIDDEN] * (c - z)
+            before = c
+            c = gates[:, :, :HIDDEN] * c + gates[:, :, HIDDEN : 2 * HIDDEN] * a[:, :, 3 * HIDDEN :]
             tc = np.tanh(c)
-            new = gates[:, :, HIDDEN:] * tc
+            new = gates[:, :, 2 * HIDDEN :] * tc
             if keep:
                 saved.append((h, before, a.copy(), tc))
             h = new
@@ -128,9 +153,9 @@ class Tagger:
     def scores(self, ids: np.ndarray) -> np.ndarray:
         """Emissions ``[t, tag, n]`` of ``ids[t, n]``: what ``emissions(states(ids))`` gives, laid out for speed."""
         steps, n = ids.shape
-        ids, cut = ids.astype(np.intp), 2 * HIDDEN
+        ids, cut = ids.astype(np.intp), 3 * HIDDEN
         h, c, tc = (np.zeros((2, HIDDEN, n), np.float32) for _ in range(3))
-        a, g = np.empty((2, 3 * HIDDEN, n), np.float32), np.empty((3 * HIDDEN, n), np.float32)
+        a, g = np.empty((2, 4 * HIDDEN, n), np.float32), np.empty((4 * HIDDEN, n), np.float32)
         e, own = np.zeros((steps, TAGS, n), np.float32), np.empty((2, TAGS, n), np.float32)
         e += self.p["b"][:, None]
         for t in range(steps):
@@ -140,32 +165,64 @@ class Tagger:
                 a[d] += g
             np.tanh(a, out=a)
             a[:, :cut] += 1.0
-            c -= a[:, cut:]
             c *= a[:, :HIDDEN]
-            c *= 0.5
+            a[:, cut:] *= a[:, HIDDEN : 2 * HIDDEN]
             c += a[:, cut:]
+            c *= 0.5
             np.tanh(c, out=tc)
-            np.multiply(a[:, HIDDEN:cut], tc, out=h)
+            np.multiply(a[:, 2 * HIDDEN : cut], tc, out=h)
             np.matmul(self.out, h, out=own)
             e[t] += own[0]
             e[steps - 1 - t] += own[1]
         return e
 
-    def decode(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Best tags ``[t, n]``.
+    def doubtful(self, lead: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Which places of texts laid end to end may lie off tag 0 on a best path.
 
-        Where no step can gain by leaving tag 0, whatever the transitions, the best path is
-        all 0 and the search is left out; that changes no result.
+        ``lead`` is, at each place, no less than what the best other tag's emission is ahead of
+        tag 0's. A stretch off tag 0 gains at most the sum of its leads and of the best inner
+        transition's, less what entering and leaving cost; at a text's ends it saves one of
+        these. The best stretch through each place is two running sums.
         """
-        e = self.scores(ids)
-        steps, n = ids.shape
-        t = self.p["t"]
-        live = np.arange(steps)[:, None] < lengths[None]
-        gain = e[:, 1:].max(1) - e[:, 0] + (t.max() - t[0, 0])
-        need = np.flatnonzero(((gain > -t.max() + t[0, 0]) & live).any(0))
-        tags = np.zeros((steps, n), np.int8)
-        if len(need):
-            tags[:, need] = self.viterbi(np.ascontiguousarray(e[:, :, need].transpose(0, 2, 1)), lengths[need])
+        t = self.p["t"].astype(np.float64)
+        inner, enter, leave, stay = t[1:, 1:].max(), t[0, 1:].max(), t[1:, 0].max(), t[0, 0]
+        gain = lead + (inner - stay)
+        first, last = starts, np.append(starts[1:], len(lead)) - 1
+        gain[first] += stay - enter
+        gain[last] += stay - leave
+
+        def running(g, begins):
+            total = np.concatenate([[0.0], np.cumsum(np.abs(g))])
+            wall = np.zeros(len(g))
+            wall[begins[1:]] = -np.diff(total[begins]) - 1.0  # no stretch gains by reaching over a text's beginning
+            sums = np.concatenate([[0.0], np.cumsum(g + wall)])
+            return sums[1:] - np.minimum.accumulate(sums[:-1] + wall)
+
+        through = running(gain, first) + running(gain[::-1], len(lead) - 1 - last[::-1])[::-1] - gain
+        return through > inner + stay - enter - leave - 1e-3
+
+    def paths(self, lead: np.ndarray, starts: np.ndarray, emissions) -> np.ndarray:
+        """Best tags of texts laid end to end; ``emissions(a, b)`` gives those of a stretch of places."""
+        tags = np.zeros(len(lead), np.int8)
+        if not len(lead):
+            return tags
+        off = self.doubtful(lead, starts)
+        edge = np.zeros(len(lead) + 1, bool)
+        edge[starts] = edge[-1] = True
+        begin = np.flatnonzero(off & (edge[:-1] | ~np.concatenate([[False], off[:-1]]))).tolist()
+        stop = (np.flatnonzero(off & (edge[1:] | ~np.concatenate([off[1:], [False]]))) + 1).tolist()
+        order = sorted(range(len(begin)), key=lambda k: begin[k] - stop[k])
+        for at in range(0, len(order), 256):
+            rows = order[at : at + 256]
+            lengths = np.array([stop[k] - begin[k] for k in rows])
+            e = np.zeros((lengths[0], len(rows), TAGS), np.float32)
+            for j, k in enumerate(rows):  # beyond a stretch lies tag 0 or nothing
+                e[: lengths[j], j] = emissions(begin[k], stop[k])
+                e[0, j] += 0 if edge[begin[k]] else self.p["t"][0]
+                e[lengths[j] - 1, j] += 0 if edge[stop[k]] else self.p["t"][:, 0]
+            best = self.viterbi(e, lengths)
+            for j, k in enumerate(rows):
+                tags[begin[k] : stop[k]] = best[: lengths[j], j]
         return tags
 
     def viterbi(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -213,10 +270,10 @@ class Tagger:
         dh, dc = np.zeros((2, n, HIDDEN), np.float32), np.zeros((2, n, HIDDEN), np.float32)
         for k in range(steps - 1, -1, -1):
             h, before, a, tc = saved[k]
-            f, o, z = (a[:, :, j * HIDDEN : (j + 1) * HIDDEN] for j in range(3))
+            f, i, o, z = (a[:, :, j * HIDDEN : (j + 1) * HIDDEN] for j in range(4))
             dh = dh + np.stack([d_states[k, 0], d_states[steps - 1 - k, 1]])
             dc = dc + dh * o * (1 - tc * tc)
-            flat = np.concatenate([dc * (before - z) * f * (1 - f), dh * tc * o * (1 - o), dc * (1 - f) * (1 - z * z)], 2)
+            flat = np.concatenate([dc * before * f * (1 - f), dc * z * i * (1 - i), dh * tc * o * (1 - o), dc * i * (1 - z * z)], 2)
             for d, at in ((0, ids[k]), (1, ids[steps - 1 - k])):
                 g["u"][d] += h[d].T @ flat[d]
                 np.add.at(g["x"][d], at, flat[d])
@@ -314,22 +371,68 @@ def trained() -> Tagger:
     return tagger
 
 
+@functools.lru_cache(64)
+def _ramp(n: int) -> np.ndarray:
+    """Weights over ``n`` shared characters for the later window; reversed for the earlier one."""
+    return ((np.arange(n) + 1) / (n + 1)).astype(np.float32)
+
+
+class Emissions:
+    """Emissions of all windows of some texts laid end to end.
+
+    Where two windows overlap, the weight passes evenly from the one to the next. ``lead`` is
+    the weighted lead of the best tag over tag 0, never less than the weighted emissions' own.
+    """
+
+    def __init__(self, texts: list[str], tagger: Tagger):
+        self.begins = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        self.lead = np.zeros(self.begins[-1])
+        own, cuts = [codes(t) for t in texts], [windows(len(t)) for t in texts]
+        self.places = [(int(self.begins[k]) + a, int(self.begins[k]) + b, (w[i - 1][1] if i else a) - a, b - (w[i + 1][0] if i + 1 < len(w) else b)) for k, w in enumerate(cuts) for i, (a, b) in enumerate(w)]
+        self.starts = [p[0] for p in self.places]
+        self.views: list = [None] * len(self.places)
+        parts = [own[k][a:b] for k, w in enumerate(cuts) for a, b in w]
+        order = sorted(range(len(parts)), key=lambda w: -len(parts[w]))
+        for at in range(0, len(order), BATCH):
+            now = order[at : at + BATCH]
+            e = tagger.scores(side_by_side([parts[w] for w in now])[0])
+            lead = e[:, 1].copy()
+            for k in range(2, TAGS):
+                np.maximum(lead, e[:, k], out=lead)
+            lead = np.ascontiguousarray((lead - e[:, 0]).T)
+            for j, w in enumerate(now):
+                self.views[w] = e[:, :, j]
+                a, b, before, after = self.places[w]
+                row = lead[j, : b - a]
+                row[:before] *= _ramp(before)
+                row[b - a - after :] *= _ramp(after)[::-1]
+                self.lead[a:b] += row
+
+    def __call__(self, start: int, stop: int) -> np.ndarray:
+        out = np.zeros((stop - start, TAGS), np.float32)
+        for w in range(max(0, bisect.bisect_right(self.starts, start) - 2), bisect.bisect_left(self.starts, stop)):
+            a, b, before, after = self.places[w]
+            lo, hi = max(a, start), min(b, stop)
+            if lo < hi:
+                place = np.arange(lo, hi)
+                weight = np.minimum(np.minimum((place - a + 1) / (before + 1), (b - place) / (after + 1)), 1.0)
+                out[lo - start : hi - start] += self.views[w][lo - a : hi - a] * weight[:, None].astype(np.float32)
+        return out
+
+
 def tag_texts(texts: list[str], tagger: Tagger) -> list[np.ndarray]:
-    """Tags of every character of every text, windows joined in the middle of what they share."""
-    out = [np.zeros(len(t), np.int8) for t in texts]
-    jobs = sorted(((b - a, k, a, b) for k, t in enumerate(texts) for a, b in windows(len(t))), reverse=True)
-    own = [codes(t) for t in texts]
-    edges = [dict(zip(w, [*(((x[1] + y[0]) // 2) for x, y in zip(w, w[1:], strict=False)), len(t)], strict=False)) for t in texts for w in [windows(len(t))]]
-    for at in range(0, len(jobs), BATCH):
-        part = jobs[at : at + BATCH]
-        ids, lengths = side_by_side([own[k][a:b] for _, k, a, b in part])
-        tags = tagger.decode(ids, lengths)
-        for j in np.flatnonzero(tags.any(0)).tolist():
-            _, k, a, b = part[j]
-            order = list(edges[k].items())
-            place = next(i for i, (w, _) in enumerate(order) if w == (a, b))
-            begin, stop = order[place - 1][1] if place else 0, order[place][1]
-            out[k][begin:stop] = tags[begin - a : stop - a, j]
+    """Tags of every character of every text, each text decoded as a whole."""
+    out = [np.zeros(0, np.int8)] * len(texts)
+    width = [w[0][1] - w[0][0] if w else 0 for w in (windows(len(t)) for t in texts)]
+    order = sorted((k for k, t in enumerate(texts) if t), key=lambda k: -width[k])
+    while order:
+        size = np.cumsum([len(texts[k]) for k in order])
+        now = order[: max(1, int(np.searchsorted(size, DECODED, side="right")))]
+        order = order[len(now) :]
+        found = Emissions([texts[k] for k in now], tagger)
+        tags = tagger.paths(found.lead, found.begins[:-1], found)
+        for k, a, b in zip(now, found.begins, found.begins[1:], strict=False):
+            out[k] = tags[a:b]
     return out
 
 
