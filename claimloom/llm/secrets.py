@@ -11,18 +11,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.text import slices
+
 KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: A candidate is a run that holds a digit; every base finding is one too.
+#: A candidate is any such run; every base finding is one too.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-DIGIT = re.compile(r"[0-9]")
 #: Characters of context on each side, of the candidate in one window, and between windows of a longer one.
 CONTEXT, BODY, STRIDE = 20, 40, 20
 WIDTH = BODY + 2 * CONTEXT
-#: Held-out findings that the threshold must keep.
-RECALL = 0.99
+#: Share of held-out secrets that the threshold must keep, and of other findings that may lie over it.
+RECALL, OTHERS = 0.99, 0.002
+#: Made findings that the network learns from.
+FINDINGS = 9000
+#: Common syllables of four languages, from which the made prose and compound words come.
+SYLLABLES = "the an tion er re lich keit ment aux des ción os en is at ou ing and that ver sch ach eau que ent ble ist ung che ein pre con dis ness ful wh th str pf tz ß ü ä é ñ le la de un por ado ida nte mos ais oux heit ge be zu mit nd st ll ed ly or on in of a e i o u s t n r m der die das ich och eit ure age oir ette ian ado eño illa ista"
 CLASSES = 100
 FILTERS, SPAN, EMBED = 24, 5, 8
 
@@ -103,60 +108,89 @@ class CharNet:
                     second[k] += 0.01 * (g * g - second[k])
                     self.p[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
 
-    def calibrate(self, codes, marks, labels, recall: float = RECALL):
-        """Platt scaling on held-out findings, then the highest threshold that keeps ``recall`` of them."""
-        z = self.forward(codes, marks)[0].astype(np.float64)
+    def calibrate(self, codes, marks, labels, owner=None, recall: float = RECALL):
+        """Platt scaling on held-out findings, then a threshold that keeps ``recall`` of the secrets.
+
+        A finding's logit is its highest window's. Platt's smoothed targets keep the scale
+        finite where the two kinds are apart. Of the thresholds that keep the recall the highest
+        is the quantile of the secrets; where all but ``OTHERS`` of the other findings lie
+        under it, the threshold goes half way to them (in logits), so that keys unlike the made
+        ones have room.
+        """
+        z = np.concatenate([self.forward(codes[i : i + 256], marks[i : i + 256])[0] for i in range(0, len(codes), 256)]).astype(np.float64)
+        if owner is not None:
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            z, labels = np.maximum.reduceat(z, first), labels[first]
+        yes = int((labels == 1).sum())
+        target = np.where(labels == 1, (yes + 1) / (yes + 2), 1 / (len(labels) - yes + 2))
         a, b = 1.0, 0.0
-        for _ in range(200):
+        for _ in range(300):
             p = 1 / (1 + np.exp(-(a * z + b)))
             w = p * (1 - p) + 1e-6
             hess = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
-            step = np.linalg.solve(hess, np.array([((p - labels) * z).sum() + 1e-3 * (a - 1), (p - labels).sum()]))
+            step = np.linalg.solve(hess, np.array([((p - target) * z).sum() + 1e-3 * (a - 1), (p - target).sum()]))
             a, b = a - 0.5 * step[0], b - 0.5 * step[1]
         self.slope, self.shift = float(a), float(b)
-        kept = np.sort(self.score(codes, marks)[labels == 1])
-        self.threshold = float(kept[int((1 - recall) * len(kept))])
+        kept, others = np.sort(a * z[labels == 1] + b), np.sort(a * z[labels != 1] + b)
+        least = kept[int((1 - recall) * len(kept))]
+        below = others[min(len(others) - 1, int((1 - OTHERS) * len(others)))] if len(others) else least
+        self.threshold = float(1 / (1 + np.exp(-(least + min(below, least)) / 2)))
 
     def score(self, codes, marks):
         parts = [self.forward(codes[i : i + 256], marks[i : i + 256])[0] for i in range(0, len(codes), 256)]
         return 1 / (1 + np.exp(-(self.slope * np.concatenate(parts).astype(np.float64) + self.shift)))
 
 
-def labelled_findings(n: int = 4000, seed: int = 17) -> list[tuple[str, int, int, int]]:
+def labelled_findings(n: int = FINDINGS, seed: int = 17) -> list[tuple[str, int, int, int]]:
     """``(text, start, end, label)``: made findings in made prose, half of them secrets.
 
-    Secrets are random keys of the usual alphabets, with or without an assignment before
-    them; the others are numbers, words with digits, paths, dates, repeated characters and
-    identifiers, some of them assigned too.
+    Secrets are random keys of the usual alphabets, letters alone too, with or without an
+    assignment before them. The others are hard ones: compound and camel-case words,
+    identifiers, paths, dates, numbers, number groups, rules of repeated characters, some of
+    them assigned too.
     """
     rng = np.random.default_rng(seed)
     pick = lambda s, k: "".join(np.array(list(s))[rng.integers(0, len(s), k)])
+    one = lambda xs: xs[int(rng.integers(0, len(xs)))]
     lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    syllables = ["the", "an", "tion", "er", "re", "lich", "keit", "ment", "aux", "des", "ción", "os", "en", "is", "at", "ou"]
-    word = lambda: "".join(syllables[k] for k in rng.integers(0, len(syllables), rng.integers(1, 4)))
+    syllables = SYLLABLES.split()
+    word = lambda least=1, most=4: "".join(one(syllables) for _ in range(rng.integers(least, most)))
+    plain = lambda *size: word(*size).encode("ascii", "ignore").decode()
     prose = lambda: " ".join(word() for _ in range(rng.integers(0, 8)))
     names = ["password", "secret", "token", "api_key", "apikey", "auth", "key", "credential", "bearer", "private_key", "TOKEN", "Secret"]
+
+    def secret() -> str:
+        size = int(rng.integers(20, 64))
+        kinds = [
+            lambda: pick(lower + upper + digit, size), lambda: pick("0123456789abcdef", size), lambda: pick("0123456789ABCDEF", size), lambda: pick(lower + upper + digit + "+/", size) + "=" * int(rng.integers(0, 3)),
+            lambda: "AKIA" + pick(upper + digit, 16), lambda: pick(lower + digit, 3) + "_" + pick(lower + upper + digit, size), lambda: pick(lower + upper, size), lambda: pick(upper + "234567", size), lambda: pick(lower, size), lambda: pick(lower + upper + digit + "-_", size),
+        ]
+        return one(kinds)()
+
+    def other() -> str:
+        kinds = [
+            lambda: pick(digit, int(rng.integers(16, 20))), lambda: plain(5, 10) + pick(digit, 2), lambda: "/".join([*(plain() for _ in range(4)), pick(digit, 2), "index"]), lambda: f"20{pick(digit, 2)}-0{pick('123456789', 1)}-{pick('12', 1)}{pick(digit, 1)}-{plain()}-report",
+            lambda: pick(upper + digit + "-=_/+", 1) * int(rng.integers(16, 50)) + one(["1", ""]), lambda: one("_-").join([*(plain() for _ in range(4)), one([pick(digit, 1), ""])]), lambda: "-".join(pick(digit, 4) for _ in range(int(rng.integers(4, 7)))),
+            lambda: plain(5, 12), lambda: plain(5, 12).capitalize(), lambda: plain(5, 10).upper(), lambda: "".join(plain(1, 3).capitalize() for _ in range(int(rng.integers(3, 7)))), lambda: "/".join(plain(1, 3) for _ in range(int(rng.integers(4, 8)))), lambda: one("_-").join(plain(1, 3) for _ in range(int(rng.integers(4, 8)))), lambda: plain(5, 12),
+        ]
+        body = one(kinds)()
+        return body if len(body) >= 16 else body + "-section-" + pick(digit, 2)
+
     out = []
     for k in range(n):
         label = k % 2
+        body = secret() if label else other()
         if label:
-            kind = rng.integers(0, 6)
-            size = int(rng.integers(20, 64))
-            body = [pick(lower + upper + digit, size), pick("0123456789abcdef", size), pick("0123456789ABCDEF", size), pick(lower + upper + digit + "+/", size) + "=" * int(rng.integers(0, 3)), "AKIA" + pick(upper + digit, 16), pick(lower + digit, 3) + "_" + pick(lower + upper + digit, size)][kind]
-            lead = names[rng.integers(0, len(names))] + ["=", ": ", ' = "', "='", " "][rng.integers(0, 5)] if rng.random() < 0.6 else ""
+            lead = one(names) + one(["=", ": ", ' = "', "='", " "]) if rng.random() < 0.6 else ""
         else:
-            kind = rng.integers(0, 7)
-            body = [pick(digit, int(rng.integers(16, 20))), "".join(word() for _ in range(6)).encode("ascii", "ignore").decode() + pick(digit, 2), "/".join([*(word() for _ in range(4)), pick(digit, 2), "index"]).encode("ascii", "ignore").decode(), "20" + pick(digit, 2) + "-0" + pick("123456789", 1) + "-" + pick("12", 1) + pick(digit, 1) + "-" + word().encode("ascii", "ignore").decode() + "-report", pick(upper + digit, 1) * int(rng.integers(16, 50)) + "1", "_".join([*(word() for _ in range(4)), pick(digit, 1)]).encode("ascii", "ignore").decode(), "-".join(pick(digit, 4) for _ in range(int(rng.integers(4, 7))))][kind]
-            body = body if len(body) >= 16 else body + "-section-" + pick(digit, 2)
-            lead = ["id=", "path: ", "see ", "no. "][rng.integers(0, 4)] if rng.random() < 0.4 else ""
+            lead = one(["id=", "path: ", "see ", "no. ", "name: ", "class "]) if rng.random() < 0.4 else ""
         before = prose() + (" " if rng.random() < 0.9 else "\n") + lead
-        after = ['" ', " ", "\n", ". ", ""][rng.integers(0, 5)] + prose()
-        out.append((before + body + after, len(before), len(before) + len(body), label))
+        out.append((before + body + one(['" ', " ", "\n", ". ", ""]) + prose(), len(before), len(before) + len(body), label))
     return out
 
 
 @functools.lru_cache(2)
-def trained(n: int = 4000, seed: int = 17) -> CharNet:
+def trained(n: int = FINDINGS, seed: int = 17) -> CharNet:
     """The network fitted on four fifths of the labelled findings and calibrated on the rest."""
     rows = labelled_findings(n, seed)
     parts = [windows(t, a, b) for t, a, b, _ in rows]
@@ -165,7 +199,7 @@ def trained(n: int = 4000, seed: int = 17) -> CharNet:
     owner = np.concatenate([np.full(len(p[0]), k) for k, p in enumerate(parts)])
     net, held = CharNet(), owner % 5 == 4
     net.fit(codes[~held], marks[~held], labels[~held])
-    net.calibrate(codes[held], marks[held], labels[held])
+    net.calibrate(codes[held], marks[held], labels[held], owner[held])
     return net
 
 
@@ -181,9 +215,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str, base: list) -> list[tuple[int, int]]:
-    """Every run with a digit and every base finding, whole."""
-    runs = [m.span() for m in RUN.finditer(text) if DIGIT.search(text, *m.span())]
-    return sorted({*runs, *((a, b) for _, a, b in base)})
+    """Every run and every base finding, whole."""
+    return sorted({*(m.span() for m in RUN.finditer(text)), *((a, b) for _, a, b in base)})
 
 
 def found_spans(texts: list[str], net: CharNet) -> list[tuple[list, list]]:
@@ -215,8 +248,7 @@ def _scan(documents: DataFrame, columns: str, shape: pa.Schema, make):
 
     def run(batches):
         for batch in batches:
-            for at in range(0, max(1, batch.num_rows), 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, 1):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 rows = [make(t, base, every) for t, (base, every) in zip(texts, found_spans(texts, net), strict=True)]
                 arrays = [part.column(0), *(pa.array([r[i] for r in rows], shape[i + 1].type) for i in range(len(shape) - 1))]
@@ -254,15 +286,16 @@ def redact(text: str, spans: list, mark: str = "[SECRET]") -> str:
 def redact_secrets(documents: DataFrame) -> DataFrame:
     """The documents' own columns with every found secret replaced in ``text`` and ``n_chars`` (where there) counted anew.
 
-    Null texts stay null. Texts are scanned where the rows are, without a shuffle.
+    Null texts stay null and empty ones empty; null ids, repeated rows and extra columns stay
+    as they are; an empty table gives no rows. Texts are scanned where the rows are, without
+    a shuffle.
     """
     names = documents.columns
     net = trained()
 
     def run(batches):
         for batch in batches:
-            for at in range(0, max(1, batch.num_rows), 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, names.index("text")):
                 texts = part.column(names.index("text")).to_pylist()
                 found = found_spans([t or "" for t in texts], net)
                 done = [t if t is None else redact(t, every) for t, (_, every) in zip(texts, found, strict=True)]
