@@ -5,9 +5,11 @@ has a window width a little above its own length (longer ones are cut into windo
 largest width at every offset). A document's windows of a width start at every fourth word,
 so a copy of a template lies whole in some window and shares at least ``n / (W - 2)`` of the
 union's shingles with it; ``HASHES`` bands of one row make a miss less likely than 3e-4 for
-the shortest template and far less for others. Windows without any template's shingle cannot
-share a minimum with one and are left out first. Retrieved templates are verified by the
-share of their shingles that the text around the window holds.
+the shortest template and far less for others. The bands are looked up from their own side:
+a window can meet a template in band ``j`` only by holding the shingle whose ``j``-th hash is
+the template's least, so signatures are taken of the windows around those keys, and of no
+others. Retrieved templates are verified by the share of their shingles that the text around
+the window holds.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ STEP = 4
 HASHES = 12
 #: Share of a template's shingles in hundredths that makes a match.
 PERCENT = 80
-#: Templates are literals in the plan and a broadcast side; more words than this are refused.
-MOST_WORDS = 20_000
+#: Band keys up to this many are literals in the plan; more are a table that is broadcast up to ``BROADCAST_KEYS`` rows and shuffled beyond.
+LITERALS, BROADCAST_KEYS = 20_000, 2_000_000
 
 #: Licence names and the notices by which texts declare them.
 TEMPLATES = (
@@ -42,6 +44,24 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MIT", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("BSD", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("BSD", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0"),
+    ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("EUPL-1.2", "Licensed under the EUPL, Version 1.2 or later"),
 )
 
 
@@ -52,10 +72,7 @@ def template_words(text: str) -> list[str]:
 def template_table(templates) -> list[tuple[int, str, list[str]]]:
     """``(number, licence, words)`` of each template of three words or more."""
     rows = [(k, name, template_words(text)) for k, (name, text) in enumerate(templates)]
-    rows = [r for r in rows if len(r[2]) >= SHINGLE]
-    if sum(len(r[2]) for r in rows) > MOST_WORDS:
-        raise ValueError(f"templates hold more than {MOST_WORDS} words")
-    return rows
+    return [r for r in rows if len(r[2]) >= SHINGLE]
 
 
 def width_of(n: int) -> int:
@@ -85,8 +102,8 @@ def _bands(frame: DataFrame, window: str) -> DataFrame:
     return frame.select("*", F.posexplode(_signature(F.col(window))).alias("band", "least"))
 
 
-def _templates(spark: SparkSession, templates) -> tuple[DataFrame, list[int]]:
-    """Each template window's bands with the template's shingles, and every template shingle."""
+def _templates(spark: SparkSession, templates) -> tuple[DataFrame, DataFrame]:
+    """Each template window's bands with the template's shingles, and the bands' keys: the shingles that have the least hashes."""
     rows, windows = template_table(templates), []
     for number, name, words in rows:
         width = width_of(len(words))
@@ -94,8 +111,21 @@ def _templates(spark: SparkSession, templates) -> tuple[DataFrame, list[int]]:
             windows.append((number, name, width, len(words), words, words[at : at + width]))
     frame = spark.createDataFrame(windows, "template int, license string, width int, n_words int, words array<string>, part array<string>")
     frame = frame.select("template", "license", "width", "n_words", F.array_distinct(_shingles(F.col("words"))).alias("wanted"), _shingles(F.col("part")).alias("part"))
-    every = [r.h for r in frame.select(F.explode("wanted").alias("h")).distinct().orderBy("h").collect()]
-    return _bands(frame, "part").drop("part").dropDuplicates(["template", "width", "band", "least"]), every
+    known = cut(_bands(frame, "part").dropDuplicates(["template", "width", "band", "least"]))
+    keys = known.select(F.explode("part").alias("h"), "band", "least").where(F.xxhash64("h", "band") == F.col("least")).select("h").distinct()
+    return known.drop("part"), cut(keys)
+
+
+def _marked(own: DataFrame, keys: DataFrame) -> DataFrame:
+    """``doc_id, hashes, hits, row`` of the texts that hold band keys; ``hits`` are the keys' places."""
+    n = keys.count()
+    if n <= LITERALS:
+        every = [r.h for r in keys.orderBy("h").collect()]
+        places = F.filter(F.transform("hashes", lambda h, i: F.struct(i.alias("i"), h.alias("h"))), lambda x: x["h"].isin(every))["i"]
+        return cut(own.select("doc_id", "hashes", places.alias("hits")).where(F.size("hits") > 0).withColumn("row", F.monotonically_increasing_id()))
+    numbered = cut(own.withColumn("row", F.monotonically_increasing_id()))
+    found = numbered.select("row", F.posexplode("hashes").alias("i", "h")).join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, "h")
+    return cut(numbered.join(found.groupBy("row").agg(F.array_sort(F.collect_list("i")).alias("hits")), "row").select("doc_id", "hashes", "hits", "row"))
 
 
 def scan_licenses(documents: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -> DataFrame:
@@ -109,10 +139,9 @@ def scan_licenses(documents: DataFrame, templates=TEMPLATES, percent: int = PERC
     spark = documents.sparkSession
     if not template_table(templates):
         return spark.createDataFrame([], "doc_id long, license string, template int, n_shingles long, n_found long")
-    known, every = _templates(spark, templates)
+    known, keys = _templates(spark, templates)
     own = documents.select(F.col("doc_id").cast("long"), _shingles(_words(F.col("text"))).alias("hashes"))
-    marked = own.select("doc_id", "hashes", F.filter(F.transform("hashes", lambda h, i: F.struct(i.alias("i"), h.alias("h"))), lambda x: x["h"].isin(every))["i"].alias("hits"))
-    holders = cut(marked.where(F.size("hits") > 0).withColumn("row", F.monotonically_increasing_id()))
+    holders = _marked(own, keys)
     longest = max(len(words) for _, _, words in template_table(templates))
     found = None
     for width in sorted({width_of(len(words)) for _, _, words in template_table(templates)}):
