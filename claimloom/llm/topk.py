@@ -123,7 +123,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, query_rows: int = QU
     blocks, query_blocks = max(1, -(-n // candidate_rows)), max(1, -(-n_queries // query_rows))
     deal = lambda count, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(count)).cast("int")
     spread = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    candidates = rows.select("vec_id", "v", deal(blocks, 1).alias("cb"), spread(query_blocks).alias("qb"))
+    candidates = rows.select(F.col("vec_id").alias("row_id"), F.col("v").alias("w"), deal(blocks, 1).alias("cb"), spread(query_blocks).alias("qb"))
     queries = rows.where(is_query).select("vec_id", "v", spread(blocks).alias("cb"), deal(query_blocks, 2).alias("qb"))
     names = ["query_id", "vec_id", "score", "entries"]
 
@@ -131,7 +131,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, query_rows: int = QU
         found = []
         if len(left) and len(right):
             ids = left["vec_id"].to_numpy()
-            for query_id, (got, scores, read) in zip(ids, nra(_matrix(left["v"], width), ids, _matrix(right["v"], width), right["vec_id"].to_numpy(), k), strict=True):
+            for query_id, (got, scores, read) in zip(ids, nra(_matrix(left["v"], width), ids, _matrix(right["w"], width), right["row_id"].to_numpy(), k), strict=True):
                 found.append(np.stack([np.full(len(got), query_id), got, scores, np.full(len(got), read)], 1))
         return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 4)), columns=names).astype("int64")
 
