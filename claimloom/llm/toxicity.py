@@ -5,25 +5,26 @@ from __future__ import annotations
 import functools
 import gc
 import pickle
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.text import mix, slices
+
 #: Labelled documents that the fit may see; the smallest hashes of their ids are taken.
 SAMPLE = 6_000
-#: Windows of each training document that one epoch looks at; scoring looks at all of them.
-TRAIN_WINDOWS = 8
 WINDOW, STRIDE = 64, 48
 HIDDEN = 8
-WORD_ROWS, GRAM_ROWS, WORD_DIM, GRAM_DIM = 1 << 15, 1 << 15, 4, 4
-INPUT = WORD_DIM + GRAM_DIM + 4
-#: Pseudo-documents behind each word's and gram's log-odds.
-PRIOR = 8.0
+WORD_ROWS, GRAM_ROWS, WORD_DIM, GRAM_DIM = 1 << 15, 1 << 16, 4, 8
+INPUT = WORD_DIM + 2 * GRAM_DIM
+#: Bytes of a character gram, and of the anchored beginnings beside them.
+GRAM, BEGINNINGS = 4, (6, 8)
 #: A fit takes ``EPOCHS`` rounds, and more on few documents until it has made ``LEAST_STEPS``.
-EPOCHS, LEAST_STEPS, BATCH, RATE = 8, 160, 64, 0.01
+EPOCHS, LEAST_STEPS, BATCH, RATE, TABLE_RATE = 5, 160, 64, 0.01, 0.02
+#: Share of words whose own row is hidden in a training step, so that characters must do.
+HIDE = 0.5
 #: Distinct words whose projections a worker remembers.
 REMEMBERED = 200_000
 EDGES = ".,;:!?\"'()[]{}|*#$%&<>"
@@ -33,19 +34,43 @@ def normal(word: str) -> str:
     return word.strip(EDGES).lower()
 
 
-def grams(word: str) -> list[int]:
-    """Rows of the word's anchored beginnings, its end and its inner runs of four characters."""
-    edge = f"^{word}$"
-    parts = {edge[: k + 1] for k in (3, 5, 7) if len(edge) > k + 1} | {edge[-4:]} | {edge[k : k + 4] for k in range(1, len(edge) - 4)}
-    return [zlib.crc32(p.encode()) % GRAM_ROWS for p in parts]
-
+def indices(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's row, all words' gram rows end to end and each word's first one.
 
-def word_row(word: str) -> int:
-    return zlib.crc32(b"w" + word.encode()) % WORD_ROWS
+    Grams are the runs of ``GRAM`` bytes of ``^word$`` and its beginnings; a shorter word is
+    one gram. All words are hashed side by side.
+    """
+    if not vocabulary:
+        return (np.zeros(0, np.int64),) * 3
+    parts = [b"^%b$" % w.encode("utf-8", "surrogatepass") for w in vocabulary]
+    sizes = np.array([len(x) for x in parts])
+    data = np.frombuffer(b"".join(parts) + bytes(max(BEGINNINGS)), np.uint8).astype(np.uint64)
+    begins = np.cumsum(sizes) - sizes
+
+    def hashed(at: np.ndarray, length: int, seed: int) -> np.ndarray:
+        value = np.full(len(at), seed, np.uint64)
+        for k in range(length):
+            value = value * np.uint64(0x100000001B3) + data[at + k]
+        return mix(value)
+
+    counts = np.maximum(sizes - GRAM + 1, 1)
+    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    short = np.repeat(sizes < GRAM, counts)
+    rows = hashed(np.repeat(begins, counts) + place, GRAM, 1)
+    if short.any():
+        rows[short] = hashed(begins[sizes < GRAM], GRAM - 1, 2)
+    owner = np.repeat(np.arange(len(parts)), counts)
+    for length in BEGINNINGS:
+        long = np.flatnonzero(sizes > length)
+        rows, owner = np.concatenate([rows, hashed(begins[long], length, length)]), np.concatenate([owner, long])
+    order = np.argsort(owner, kind="stable")
+    letters = np.arange(sizes.sum()) - np.repeat(begins, sizes)
+    whole = np.add.reduceat((data[: sizes.sum()] + np.uint64(1)) * mix(letters.astype(np.uint64) + np.uint64(77)), begins)
+    return (mix(whole) % np.uint64(WORD_ROWS)).astype(np.int64), (rows[order] % np.uint64(GRAM_ROWS)).astype(np.int64), np.searchsorted(owner[order], np.arange(len(parts)))
 
 
 class Toxicity:
-    """Tables of log-odds and embeddings, two GRUs, attention and a logistic output."""
+    """Tables of word and character-gram embeddings, two GRUs, attention and a logistic output."""
 
     def __init__(self, seed: int = 6):
         rng = np.random.default_rng(seed)
@@ -54,35 +79,18 @@ class Toxicity:
         for d in "fb":
             self.p |= {f"W{d}": f(INPUT, 3 * HIDDEN), f"U{d}": f(HIDDEN, 3 * HIDDEN), f"b{d}": np.zeros(3 * HIDDEN, np.float32)}
         self.p |= {"a": f(2 * HIDDEN), "o": f(2 * HIDDEN), "c": np.array([-2.0], np.float32)}
-        self.word_odds = np.zeros(WORD_ROWS, np.float32)
-        self.gram_odds = np.zeros(GRAM_ROWS, np.float32)
 
     # inputs -----------------------------------------------------------------
-    def count(self, documents: list[list[str]], labels: np.ndarray) -> None:
-        """Log-odds of each row by the documents that hold it."""
-        share = float(np.clip(labels.mean(), 0.01, 0.99))
-        words, gram = np.zeros((2, WORD_ROWS)), np.zeros((2, GRAM_ROWS))
-        for found, label in zip(documents, labels, strict=True):
-            distinct = set(found)
-            words[int(label), list({word_row(w) for w in distinct})] += 1
-            gram[int(label), list({g for w in distinct for g in grams(w)})] += 1
-        odds = lambda c: (np.log((c[1] + PRIOR * share) / (c[0] + PRIOR * (1 - share))) - np.log(share / (1 - share))).astype(np.float32)
-        self.word_odds, self.gram_odds = odds(words), odds(gram)
-
-    def indices(self, vocabulary: list[str]):
-        own = [grams(w) or [0] for w in vocabulary]
-        starts = np.concatenate([[0], np.cumsum([len(g) for g in own])])[:-1].astype(np.int64) if own else np.zeros(0, np.int64)
-        return np.array([word_row(w) for w in vocabulary], np.int64), np.array([g for gs in own for g in gs], np.int64), starts
-
-    def inputs(self, index) -> np.ndarray:
-        """One row of word and character inputs for each word of the vocabulary."""
+    def inputs(self, index, hidden: np.ndarray | None = None) -> np.ndarray:
+        """One row for each word: its own embedding (0 where ``hidden``), and the mean and maximum of its grams'."""
         words, flat, starts = index
         if not len(words):
             return np.zeros((0, INPUT), np.float32)
-        counts = np.diff(np.append(starts, len(flat)))[:, None]
-        odds = self.gram_odds[flat]
-        columns = [self.p["ew"][words], np.add.reduceat(self.p["eg"][flat], starts) / counts, self.word_odds[words][:, None], np.maximum.reduceat(odds, starts)[:, None], np.minimum.reduceat(odds, starts)[:, None], np.add.reduceat(odds, starts)[:, None] / counts]
-        return np.concatenate(columns, 1).astype(np.float32)
+        counts, grams = np.diff(np.append(starts, len(flat)))[:, None], self.p["eg"][flat]
+        own = self.p["ew"][words]
+        if hidden is not None:
+            own = own * ~hidden[:, None]
+        return np.concatenate([own, np.add.reduceat(grams, starts) / counts, np.maximum.reduceat(grams, starts)], 1).astype(np.float32)
 
     # recurrence -------------------------------------------------------------
     def run(self, projected: np.ndarray, mask: np.ndarray, d: str, keep: bool):
@@ -121,9 +129,9 @@ class Toxicity:
         return np.concatenate([inputs @ self.p["Wf"] + self.p["bf"], inputs @ self.p["Wb"] + self.p["bb"]], 1).astype(np.float32)
 
     # training ---------------------------------------------------------------
-    def gradients(self, index, ids, mask, owner, labels):
+    def gradients(self, index, ids, mask, owner, labels, hidden=None):
         """Of the mean loss of documents, each judged by its highest window."""
-        x = self.inputs(index)
+        x = self.inputs(index, hidden)
         states, saved = {}, {}
         for d in "fb":
             states[d], saved[d] = self.run((x @ self.p[f"W{d}"] + self.p[f"b{d}"])[ids], mask, d, True)
@@ -160,28 +168,41 @@ class Toxicity:
             np.add.at(rows, ids.ravel(), flat.reshape(-1, 3 * HIDDEN))
             g[f"W{d}"], g[f"b{d}"] = x.T @ rows, rows.sum(0)
             dx += rows @ self.p[f"W{d}"].T
-        words, flat_grams, starts = index
-        counts = np.diff(np.append(starts, len(flat_grams)))
-        tables = {"ew": (words, dx[:, :WORD_DIM]), "eg": (flat_grams, np.repeat(dx[:, WORD_DIM : WORD_DIM + GRAM_DIM] / counts[:, None], counts, 0))}
+        words, flat, starts = index
+        counts = np.diff(np.append(starts, len(flat)))
+        mean, most = dx[:, WORD_DIM : WORD_DIM + GRAM_DIM] / counts[:, None], dx[:, WORD_DIM + GRAM_DIM :]
+        highest = self.p["eg"][flat] == np.repeat(x[:, WORD_DIM + GRAM_DIM :], counts, 0)
+        own = dx[:, :WORD_DIM] if hidden is None else dx[:, :WORD_DIM] * ~hidden[:, None]
+        tables = {"ew": (words, own), "eg": (flat, np.repeat(mean, counts, 0) + highest * np.repeat(most, counts, 0))}
         return g, tables, float(-(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9)).mean())
 
-    def fit(self, documents: list[list[str]], labels: np.ndarray, seed: int = 5) -> None:
+    def fit(self, documents: list[np.ndarray], vocabulary: list[str], labels: np.ndarray, seed: int = 5) -> None:
+        """Learn from documents, given as places in the vocabulary.
+
+        A document is judged by its highest window, so a step looks at all windows of its
+        documents, whatever their number, and takes the gradient through the highest ones.
+        """
         rng, step = np.random.default_rng(seed), 0
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         batches = max(1, len(documents) // BATCH)
+        words, flat, starts = indices(vocabulary)
+        stops = np.append(starts[1:], len(flat))
+
+        def part_of(parts):
+            """The index of the parts' own words, and the parts as places in it."""
+            used, back = np.unique(np.concatenate([np.zeros(1, np.int32), *parts]), return_inverse=True)
+            counts = stops[used] - starts[used]
+            begin = np.cumsum(counts) - counts
+            index = (words[used], flat[np.repeat(starts[used] - begin, counts) + np.arange(counts.sum())], begin)
+            return index, np.split(back[1:], np.cumsum([len(x) for x in parts])[:-1])
+
         for _ in range(max(EPOCHS, -(-LEAST_STEPS // batches))):
             for rows in np.array_split(rng.permutation(len(documents)), batches):
-                parts, owner = [], []
-                for k, r in enumerate(rows):
-                    cuts = spans(len(documents[r]))
-                    if len(cuts) > TRAIN_WINDOWS:
-                        cuts = [cuts[i] for i in np.sort(rng.choice(len(cuts), TRAIN_WINDOWS, replace=False))]
-                    parts += [documents[r][a:b] for a, b in cuts]
-                    owner += [k] * len(cuts)
-                vocabulary = sorted({w for p in parts for w in p} | {""})
-                place = {w: i for i, w in enumerate(vocabulary)}
-                ids, mask = padded([[place[w] for w in p] for p in parts])
-                g, tables, _ = self.gradients(self.indices(vocabulary), ids, mask, np.array(owner), labels[rows])
+                index, own = part_of([documents[r] for r in rows])
+                parts = self.highest(self.project(self.inputs(index)), own)
+                index, own = part_of([documents[r][a:b] for r, (a, b) in zip(rows, parts, strict=True)])
+                ids, mask = padded(own)
+                g, tables, _ = self.gradients(index, ids, mask, np.arange(len(rows)), labels[rows], rng.random(len(index[0])) < HIDE)
                 step += 1
                 for k, grad in g.items():
                     first[k] += 0.1 * (grad - first[k])
@@ -192,7 +213,19 @@ class Toxicity:
                     total = np.zeros((len(touched), grad.shape[1]), np.float32)
                     np.add.at(total, back, grad)
                     second[k][touched] += total * total
-                    self.p[k][touched] -= 0.5 * RATE * total / (np.sqrt(second[k][touched]) + 1e-6)
+                    self.p[k][touched] -= TABLE_RATE * total / (np.sqrt(second[k][touched]) + 1e-6)
+
+    def highest(self, projections: np.ndarray, documents: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Begin and end of each document's window with the highest logit."""
+        jobs = [(k, a, b) for k, d in enumerate(documents) for a, b in spans(len(d))]
+        best: dict[int, tuple] = {}
+        for at in range(0, len(jobs), 1024):
+            part = jobs[at : at + 1024]
+            ids, mask = padded([documents[k][a:b] for k, a, b in part])
+            for (k, a, b), value in zip(part, self.logits(projections, ids, mask).tolist(), strict=True):
+                if k not in best or value > best[k][0]:
+                    best[k] = (value, a, b)
+        return [best[k][1:] for k in range(len(documents))]
 
 
 def spans(n: int) -> list[tuple[int, int]]:
@@ -209,18 +242,18 @@ def padded(parts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return ids, mask
 
 
-def train(texts: list[str], labels: np.ndarray) -> Toxicity:
-    """Log-odds come from three fifths of the documents, the network's weights from the others, so it learns how far to trust them."""
+def train(rows) -> Toxicity:
+    """A network that learns from all ``(text, label)`` rows; texts are kept as word numbers only."""
+    place, documents, labels = {"": 0}, [], []
+    for text, label in rows:
+        documents.append(np.array([place.setdefault(normal(w), len(place)) for w in text.split()], np.int32))
+        labels.append(label)
     net = Toxicity()
-    documents = [[normal(w) for w in t.split()] for t in texts]
-    if len(set(labels.tolist())) < 2:
+    if len(set(labels)) < 2:
         net.p["o"][:] = 0
-        net.p["c"][:] = 4.0 if len(labels) and labels[0] else -4.0
+        net.p["c"][:] = 4.0 if labels and labels[0] else -4.0
         return net
-    counted = np.arange(len(documents)) % 5 < 3
-    net.count([d for d, c in zip(documents, counted, strict=True) if c], labels[counted])
-    rest = [d for d, c in zip(documents, counted, strict=True) if not c]
-    net.fit(rest, labels[~counted].astype(np.float32))
+    net.fit(documents, list(place), np.array(labels, np.float32))
     return net
 
 
@@ -238,7 +271,7 @@ class Scorer:
             self.place, self.used = {}, 0
             fresh = list({w for t in texts for w in t})
         if fresh:
-            new = self.net.project(self.net.inputs(self.net.indices([normal(w) for w in fresh])))
+            new = self.net.project(self.net.inputs(indices([normal(w) for w in fresh])))
             if self.used + len(new) > len(self.rows):
                 grown = np.empty((max(self.used + len(new), 2 * len(self.rows), 1024), 6 * HIDDEN), np.float32)
                 grown[: self.used] = self.rows[: self.used]
@@ -272,8 +305,8 @@ def train_from_labels(documents: DataFrame, labels: DataFrame, sample: int = SAM
     known = known.where("y = _y2").select(F.col("doc_id").alias("_id"), "y")
     chosen = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id").limit(sample))
     own = documents.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id"))
-    rows = own.groupBy("_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).orderBy(F.xxhash64("_id"), "_id").toPandas()
-    return train(rows["text"].tolist(), rows["y"].to_numpy())
+    rows = own.groupBy("_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).orderBy(F.xxhash64("_id"), "_id")
+    return train((r.text, r.y) for r in rows.toLocalIterator())
 
 
 def score_toxicity(documents: DataFrame, net: Toxicity, column: str = "toxicity") -> DataFrame:
@@ -293,8 +326,7 @@ def score_toxicity(documents: DataFrame, net: Toxicity, column: str = "toxicity"
         score = scorer(shipped.value)
         try:
             for batch in batches:
-                for at in range(0, max(1, batch.num_rows), 500):
-                    part = batch.slice(at, 500)
+                for part in slices(batch, names.index("text")):
                     values = score([t or "" for t in part.column(names.index("text")).to_pylist()]) if part.num_rows else np.zeros(0)
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.round(values, 9), pa.float64())], names=[*part.schema.names, column])
         finally:  # later stages use the same worker

@@ -191,7 +191,7 @@ def labelled_texts(n, seed):
 
 def test_toxicity_learns_scores_and_stands_odd_rows(spark):
     rows = labelled_texts(400, 1)
-    net = toxicity.train([t for _, t, _ in rows[:300]], np.array([y for *_, y in rows[:300]]))
+    net = toxicity.train((t, y) for _, t, y in rows[:300])
     score = toxicity.Scorer(net)([t for _, t, _ in rows[300:]])
     assert ((score >= 0.5) == np.array([y == 1 for *_, y in rows[300:]])).mean() > 0.95
     got = toxicity.score_toxicity(frame(spark), net)
@@ -202,7 +202,7 @@ def test_toxicity_learns_scores_and_stands_odd_rows(spark):
 
 def test_toxicity_gradient():
     net = toxicity.Toxicity(2)
-    index = net.indices(["", "bad", "good", "day"])
+    index = toxicity.indices(["", "bad", "good", "day"])
     ids, mask = toxicity.padded([[1, 2], [3, 1, 2], [2]])
     owner, labels = np.array([0, 0, 1]), np.array([1.0, 0.0])
     grads, tables, _ = net.gradients(index, ids, mask, owner, labels)
