@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import duplicates, mixing, packing, secrets, toxicity
-from claimloom.plans.lineage import checkpoint_dir
+from claimloom.plans.lineage import checkpoint_dir, delete_folder, fresh_name
 
 #: Scores from here on are toxic.
 TOXIC = 0.5
@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under ``TOXIC``; the network learns from all labels of the folder's ``labels``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     original = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    name = "_toxicity" + "_" * max(map(len, docs.columns))  # no column of the documents is called so
+    name = fresh_name(docs.columns, "_toxicity")
     scored = toxicity.score_toxicity(docs, toxicity.train_from_labels(original, labels), name)
     return scored.where(F.col(name) < TOXIC).select(*docs.columns)
 
@@ -63,9 +63,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the result is the last stage's, read back."""
+    """All stages over ``documents``; the result is the last stage's, read back.
+
+    A stage's copy is deleted once the next stage's is written.
+    """
     docs, home = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{k}")
         docs = spark.read.parquet(f"{home}/{k}")
+        if k:
+            delete_folder(spark, f"{home}/{k - 1}")
     return docs
