@@ -9,51 +9,79 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from claimloom.functions import lexicons as L
 from claimloom.functions import text as T
 from claimloom.functions.vectors import dot, norm, residual, scaled_concat, unit
 from claimloom.model import oracle, table, view
+from claimloom.operators.resolution import rewritten
 from claimloom.registry import query
 
 SPAN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
-#: Marker words by type; a label holds the types of its words, or ``other``.
-LEXICONS = {
-    "person": ["king", "queen", "prince", "princess", "minister", "lord"],
-    "place": ["city", "town", "village", "river", "district", "island"],
-    "event": ["war", "battle", "campaign", "expedition", "festival", "siege"],
-    "group": ["army", "people", "soldiers", "monks", "troops", "envoys"],
-    "kinship": ["father", "mother", "son", "daughter", "brother", "sister"],
-}
-#: Opposite directions.
-AXES = [("north", "south"), ("east", "west"), ("upper", "lower"), ("left", "right"), ("inner", "outer"), ("front", "rear"), ("elder", "younger"), ("former", "latter"), ("male", "female")]
+
+
+def _some(tokens: Column, words) -> Column:
+    return F.arrays_overlap(tokens, F.array(*map(F.lit, words)))
+
+
+def _among(tokens: Column, words) -> Column:
+    """The distinct tokens that are among the words, sorted."""
+    return F.array_sort(F.array_intersect(tokens, F.array(*map(F.lit, words))))
+
+
+def _digits(tokens: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.filter(tokens, lambda x: x.rlike("^[0-9]+$"))))
 
 
 def types_of(tokens: Column) -> Column:
-    """The types of a token array by marker words; ``other`` when it has none."""
-    named = F.array_compact(F.array(*[F.when(F.arrays_overlap(tokens, F.array(*map(F.lit, words))), name) for name, words in LEXICONS.items()]))
-    return F.when(F.size(named) > 0, named).otherwise(F.array(F.lit("other")))
+    """The types of a token array by marker words and numbers; ``other`` when it has none."""
+    named = [F.when(_some(tokens, words), name) for name, words in L.TYPES.items()]
+    named.append(F.when((F.size(_digits(tokens)) > 0) | _some(tokens, L.NUMBERS), "quantity"))
+    found = F.array_compact(F.array(*named))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("other")))
 
 
 def contradiction(a: Column, b: Column) -> Column:
     """The first reason why two token arrays cannot name one thing, or null."""
-    numbers = lambda t: F.array_sort(F.filter(t, lambda x: x.rlike("^[0-9]+$")))
-    has = lambda t, w: F.array_contains(t, w)
+    personal = lambda t: F.coalesce(F.get(t, F.lit(0)).isin(L.PERSONAL), F.lit(False))
+    unlike = lambda x, y: (F.size(x) > 0) & (F.size(y) > 0) & (x != y)
     opposed = F.lit(False)
-    for x, y in AXES:
-        opposed = opposed | (has(a, x) & has(b, y) & ~has(a, y) & ~has(b, x)) | (has(a, y) & has(b, x) & ~has(a, x) & ~has(b, y))
-    marked = lambda t, kind: F.array_sort(F.array_intersect(t, F.array(*map(F.lit, LEXICONS[kind]))))
-    differ = lambda kind: (F.size(marked(a, kind)) > 0) & (F.size(marked(b, kind)) > 0) & (marked(a, kind) != marked(b, kind))
-    one_is = lambda p, q: (F.size(marked(a, p)) > 0) & (F.size(marked(b, q)) > 0) & (F.size(marked(a, q)) == 0) & (F.size(marked(b, p)) == 0)
-    return F.when((F.size(numbers(a)) > 0) & (F.size(numbers(b)) > 0) & (numbers(a) != numbers(b)), "numbers").when(opposed, "direction").when(differ("kinship"), "kinship").when(differ("group"), "group").when(differ("event"), "event").when(one_is("place", "person") | one_is("person", "place"), "place_vs_person")
-
-
-def merge_reason(a: Column, b: Column, ta: Column, tb: Column) -> Column:
-    """The first exact rule by which two labels are one, or null; ``ta`` and ``tb`` are their tokens."""
-    compact = lambda c: F.regexp_replace(c, " ", "")
-    bare = lambda t: F.array_join(F.filter(t, lambda x: ~x.isin("of", "the")), " ")
-    swap = lambda t, x, y: F.array_join(F.transform(t, lambda w: F.when(w == x, y).otherwise(w)), " ")
+    for one, other in L.AXES:
+        opposed = opposed | (_some(a, one) & _some(b, other)) | (_some(a, other) & _some(b, one))
+    only = lambda t, kind, without: _some(t, kind) & ~_some(t, without)
+    crossed = (only(a, L.PLACES, L.PERSONS) & only(b, L.PERSONS, L.PLACES)) | (only(b, L.PLACES, L.PERSONS) & only(a, L.PERSONS, L.PLACES))
     return (
-        F.when(a == b, "norm").when(compact(a) == compact(b), "compact").when(F.array_sort(ta) == F.array_sort(tb), "reorder").when(bare(ta) == bare(tb), "of_the")
-        .when(swap(ta, "city", "town") == swap(tb, "city", "town"), "city_town").when(swap(ta, "campaign", "expedition") == swap(tb, "campaign", "expedition"), "campaign_expedition")
+        F.when(personal(a) & personal(b) & (F.array_sort(a) == F.array_sort(b)) & (a != b), "personal_name_token_order_conflict")
+        .when(unlike(_digits(a), _digits(b)), "conflicting_numeric_values")
+        .when(unlike(_among(a, L.NUMBERS), _among(b, L.NUMBERS)), "conflicting_number_or_ordinal_words")
+        .when(opposed, "opposed_direction_side_or_relation")
+        .when(unlike(_among(a, L.KINSHIP), _among(b, L.KINSHIP)), "conflicting_kinship_roles")
+        .when(_some(a, L.HARD_GROUPS) != _some(b, L.HARD_GROUPS), "individual_or_entity_vs_explicit_group_or_unit")
+        .when(_some(a, L.EVENTS) != _some(b, L.EVENTS), "entity_vs_event_or_action")
+        .when(crossed, "place_vs_person_or_office")
+    )
+
+
+def merge_reason(a: Column, b: Column) -> Column:
+    """The first conservative rule by which two token arrays name one thing, or null."""
+    va, vb = (rewritten(t, L.VARIANT_PAIRS, L.VARIANTS) for t in (a, b))
+    compact = lambda t: F.array_join(t, "")
+    both = lambda words: _some(a, words) & _some(b, words)
+    personal = F.coalesce(F.get(a, F.lit(0)).isin(L.PERSONAL), F.lit(False)) | F.coalesce(F.get(b, F.lit(0)).isin(L.PERSONAL), F.lit(False))
+    typed = both(L.OBJECTS) | both(L.EVENTS) | both(L.PLACES) | both(L.INSTITUTIONS) | (both(L.GROUPS) & ~_some(a, L.PERSONS) & ~_some(b, L.PERSONS))
+    free = both(["and"]) | (typed & ~personal)  # token order may change
+    without = lambda t, words: F.array_sort(F.filter(t, lambda x: ~x.isin(words)))
+    same = lambda words: without(a, words) == without(b, words)
+    anchored = lambda words, generic: F.exists(a, lambda x: ~x.isin(sorted({*words, *generic})))
+    articles, places, events = ["of", "the"], ["city", "town"], ["campaign", "expedition"]
+    return (
+        F.when(a == b, "exact_after_case_punctuation_and_spacing_normalization")
+        .when(compact(a) == compact(b), "exact_after_word_boundary_normalization")
+        .when(compact(va) == compact(vb), "exact_after_curated_transliteration_normalization")
+        .when((F.array_sort(a) == F.array_sort(b)) & free, "same_normalized_tokens_in_different_order")
+        .when((F.array_sort(va) == F.array_sort(vb)) & free, "same_tokens_after_curated_transliteration_normalization")
+        .when((_some(a, articles) | _some(b, articles)) & same(articles) & (F.size(without(a, articles)) > 0), "same_tokens_after_removing_of_the")
+        .when(anchored(places, {*L.TITLES, *L.STOPWORDS, *L.GROUPS, *L.PERSONS, *L.PLACES}) & same(places) & both(places), "named_city_town_wording_variant")
+        .when(anchored(events, {*L.TITLES, *L.STOPWORDS, *L.EVENTS, "royal", "military"}) & same(events) & both(events), "named_campaign_expedition_wording_variant")
     )
 
 
@@ -341,19 +369,64 @@ def x40(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat(F.substring("text", 1, 10), marked, F.substring("text", 26, 10)).alias("marked"))
 
 
-@query("f09_vetoes")
+#: Words of the made labels that the rules are checked with.
+MADE = "king north city of tha horse elder campaign regiment nga the htun town first and south expedition son 12 myosa court royal maung river 7 younger myoza wife festival prince two thado cavalry thadoe bhamo".split()
+_MADE_SQL = f"""WITH l AS (SELECT p_partkey, {MADE!r} AS w FROM part),
+  x AS (SELECT p_partkey AS k, [w[1 + p_partkey % {len(MADE)}], w[1 + (p_partkey * 5 + 3) % {len(MADE)}], w[1 + (p_partkey // 3) % {len(MADE)}], 'p' || p_partkey % 2] AS x, w FROM l),
+  y AS (SELECT k, x, CASE k % 6 WHEN 0 THEN list_reverse(x) WHEN 1 THEN list_filter(x, lambda t: t NOT IN ('of', 'the')) WHEN 2 THEN list_transform(x, lambda t: CASE t WHEN 'city' THEN 'town' WHEN 'town' THEN 'city' WHEN 'campaign' THEN 'expedition' WHEN 'expedition' THEN 'campaign' ELSE t END)
+    WHEN 3 THEN list_transform(x, lambda t: CASE t WHEN 'myoza' THEN 'myosa' WHEN 'thadoe' THEN 'thado' ELSE t END) WHEN 4 THEN [w[1 + (k + 1) % {len(MADE)}], x[2], x[3], x[4]] ELSE [array_to_string(x, '')] END AS y FROM x)"""
+_V = lambda t: f"list_transform({t}, lambda t: CASE t {' '.join(f'WHEN {a!r} THEN {b!r}' for a, b in L.VARIANTS.items())} ELSE t END)"
+_HAS = lambda t, words: f"list_has_any({t}, {list(words)!r})"
+_BOTH = lambda words: f"({_HAS('x', words)} AND {_HAS('y', words)})"
+_IN = lambda t, words: f"list_sort(list_distinct(list_filter({t}, lambda t: list_contains({list(words)!r}, t))))"
+_NUM = lambda t: f"list_sort(list_distinct(list_filter({t}, lambda t: regexp_full_match(t, '[0-9]+'))))"
+_UNLIKE = lambda f: f"(len({f('x')}) > 0 AND len({f('y')}) > 0 AND {f('x')} <> {f('y')})"
+_OUT = lambda t, words: f"list_sort(list_filter({t}, lambda t: NOT list_contains({list(words)!r}, t)))"
+_ONLY = lambda t, kind, without: f"({_HAS(t, kind)} AND NOT {_HAS(t, without)})"
+_F09_SQL = f"""{_MADE_SQL} SELECT k, CASE
+  WHEN list_contains({L.PERSONAL!r}, x[1]) AND list_contains({L.PERSONAL!r}, y[1]) AND list_sort(x) = list_sort(y) AND x <> y THEN 'personal_name_token_order_conflict'
+  WHEN {_UNLIKE(_NUM)} THEN 'conflicting_numeric_values' WHEN {_UNLIKE(lambda t: _IN(t, L.NUMBERS))} THEN 'conflicting_number_or_ordinal_words'
+  WHEN {" OR ".join(f"({_HAS('x', p)} AND {_HAS('y', q)}) OR ({_HAS('x', q)} AND {_HAS('y', p)})" for p, q in L.AXES)} THEN 'opposed_direction_side_or_relation'
+  WHEN {_UNLIKE(lambda t: _IN(t, L.KINSHIP))} THEN 'conflicting_kinship_roles' WHEN {_HAS('x', L.HARD_GROUPS)} <> {_HAS('y', L.HARD_GROUPS)} THEN 'individual_or_entity_vs_explicit_group_or_unit'
+  WHEN {_HAS('x', L.EVENTS)} <> {_HAS('y', L.EVENTS)} THEN 'entity_vs_event_or_action'
+  WHEN ({_ONLY('x', L.PLACES, L.PERSONS)} AND {_ONLY('y', L.PERSONS, L.PLACES)}) OR ({_ONLY('y', L.PLACES, L.PERSONS)} AND {_ONLY('x', L.PERSONS, L.PLACES)}) THEN 'place_vs_person_or_office' END AS reason,
+  coalesce(nullif(concat_ws(',', {", ".join(f"CASE WHEN {_HAS('x', words)} THEN '{name}' END" for name, words in L.TYPES.items())}, CASE WHEN len({_NUM('x')}) > 0 OR {_HAS('x', L.NUMBERS)} THEN 'quantity' END), ''), 'other') AS types FROM y"""
+_ANCHOR = lambda words: f"len(list_filter(x, lambda t: NOT list_contains({sorted(words)!r}, t))) > 0"
+_FREE = f"({_BOTH(['and'])} OR (({_BOTH(L.OBJECTS)} OR {_BOTH(L.EVENTS)} OR {_BOTH(L.PLACES)} OR {_BOTH(L.INSTITUTIONS)} OR ({_BOTH(L.GROUPS)} AND NOT {_HAS('x', L.PERSONS)} AND NOT {_HAS('y', L.PERSONS)})) AND NOT list_contains({L.PERSONAL!r}, x[1]) AND NOT list_contains({L.PERSONAL!r}, y[1])))"
+_F10_SQL = f"""{_MADE_SQL} SELECT k, CASE WHEN x = y THEN 'exact_after_case_punctuation_and_spacing_normalization' WHEN array_to_string(x, '') = array_to_string(y, '') THEN 'exact_after_word_boundary_normalization'
+  WHEN array_to_string({_V('x')}, '') = array_to_string({_V('y')}, '') THEN 'exact_after_curated_transliteration_normalization'
+  WHEN list_sort(x) = list_sort(y) AND {_FREE} THEN 'same_normalized_tokens_in_different_order' WHEN list_sort({_V('x')}) = list_sort({_V('y')}) AND {_FREE} THEN 'same_tokens_after_curated_transliteration_normalization'
+  WHEN ({_HAS('x', ['of', 'the'])} OR {_HAS('y', ['of', 'the'])}) AND {_OUT('x', ['of', 'the'])} = {_OUT('y', ['of', 'the'])} AND len({_OUT('x', ['of', 'the'])}) > 0 THEN 'same_tokens_after_removing_of_the'
+  WHEN {_ANCHOR({*L.TITLES, *L.STOPWORDS, *L.GROUPS, *L.PERSONS, *L.PLACES})} AND {_OUT('x', ['city', 'town'])} = {_OUT('y', ['city', 'town'])} AND {_BOTH(['city', 'town'])} THEN 'named_city_town_wording_variant'
+  WHEN {_ANCHOR({*L.TITLES, *L.STOPWORDS, *L.EVENTS, 'royal', 'military'})} AND {_OUT('x', ['campaign', 'expedition'])} = {_OUT('y', ['campaign', 'expedition'])} AND {_BOTH(['campaign', 'expedition'])} THEN 'named_campaign_expedition_wording_variant' END AS reason FROM y"""
+
+
+def _made_pairs(spark, d):
+    k, n = F.col("k"), len(MADE)
+    word = lambda at: F.get(F.array(*map(F.lit, MADE)), (at % n).cast("int"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    rows = rows.withColumn("x", F.array(word(k), word(k * 5 + 3), word(F.floor(k / 3)), F.concat(F.lit("p"), (k % 2).cast("string"))))
+    swapped = lambda pairs: F.transform("x", lambda t: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for p in pairs for v in p]), t), t))
+    y = (
+        F.when(k % 6 == 0, F.reverse("x")).when(k % 6 == 1, F.filter("x", lambda t: ~t.isin("of", "the"))).when(k % 6 == 2, swapped([("city", "town"), ("town", "city"), ("campaign", "expedition"), ("expedition", "campaign")]))
+        .when(k % 6 == 3, swapped([("myoza", "myosa"), ("thadoe", "thado")])).when(k % 6 == 4, F.concat(F.array(word(k + 1)), F.slice("x", 2, 3))).otherwise(F.array(F.array_join("x", "")))
+    )
+    return rows.withColumn("y", y)
+
+
+@query("f09_vetoes", _F09_SQL)
 def f09(spark, d):
-    rows = _parts(spark, d).select("p_partkey", T.label_tokens(F.concat_ws(" ", "p_name", "p_type")).alias("t"))
-    both = rows.select(F.col("p_partkey").alias("a"), F.col("t").alias("x")).join(rows.select((F.col("p_partkey") - 1).alias("a"), F.col("t").alias("y")), "a")
-    return both.select("a", contradiction(F.col("x"), F.col("y")).alias("reason"), F.array_join(types_of(F.col("x")), ",").alias("types"))
+    return _made_pairs(spark, d).select("k", contradiction(F.col("x"), F.col("y")).alias("reason"), F.array_join(types_of(F.col("x")), ",").alias("types"))
 
 
-@query("f10_merge_reasons")
+@query("f10_merge_reasons", _F10_SQL)
 def f10(spark, d):
-    rows = _parts(spark, d).select("p_partkey", T.search_key(F.col("p_name")).alias("n")).withColumn("t", F.split("n", " "))
-    keyed = rows.withColumn("key", F.array_join(F.array_sort("t"), " "))
-    both = keyed.select(F.col("p_partkey").alias("a"), F.col("n").alias("x"), F.col("t").alias("tx"), "key").join(keyed.select(F.col("p_partkey").alias("b"), F.col("n").alias("y"), F.col("t").alias("ty"), "key"), "key").where("a < b")
-    return both.select("a", "b", merge_reason(F.col("x"), F.col("y"), F.col("tx"), F.col("ty")).alias("reason"))
+    return _made_pairs(spark, d).select("k", merge_reason(F.col("x"), F.col("y")).alias("reason"))
+
+
+@query("x20_types", f"SELECT t AS type, count(*) AS n FROM (SELECT unnest(string_split(types, ',')) AS t FROM ({_F09_SQL}) q) r GROUP BY t")
+def x20(spark, d):
+    return _made_pairs(spark, d).select(F.explode(types_of(F.col("x"))).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query("f13_band_routing", oracle("SELECT claim_id, CASE WHEN s < 94 THEN CASE WHEN rule THEN 'auto' ELSE 'reject' END WHEN veto THEN 'reject' WHEN rule THEN 'auto' WHEN p >= 0.9 THEN 'auto' WHEN p >= 0.5 THEN 'review' ELSE 'reject' END AS decision, CASE WHEN s < 94 THEN CASE WHEN rule THEN 'rule' ELSE 'score' END WHEN veto THEN 'veto' WHEN rule THEN 'rule' ELSE 'model' END AS source FROM (SELECT claim_id, 80 + claim_id % 21 AS s, claim_id % 17 = 0 AS veto, claim_id % 5 = 0 AS rule, (claim_id % 100) / 100.0 AS p FROM claims) x", "claims"))

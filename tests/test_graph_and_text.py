@@ -120,12 +120,21 @@ def test_text_functions(spark):
 def test_vetoes_types_and_reasons(spark):
     t = lambda s: F.split(F.lit(s), " ")
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
-    cases = {("year 12", "year 13"): "numbers", ("north gate", "south gate"): "direction", ("son of x", "daughter of x"): "kinship", ("battle of y", "siege of y"): "event", ("city of z", "king of z"): "place_vs_person", ("a b", "a c"): None}
+    cases = {
+        ("nga htun tha", "nga tha htun"): "personal_name_token_order_conflict", ("year 12", "year 13"): "conflicting_numeric_values", ("first army", "second army"): "conflicting_number_or_ordinal_words",
+        ("north gate", "south gate"): "opposed_direction_side_or_relation", ("northeast gate", "western gate"): "opposed_direction_side_or_relation", ("son of x", "daughter of x"): "conflicting_kinship_roles",
+        ("ava regiment", "ava"): "individual_or_entity_vs_explicit_group_or_unit", ("battle of y", "siege of y"): "entity_vs_event_or_action", ("battle of y", "death of y"): None, ("city of z", "king of z"): "place_vs_person_or_office", ("a b", "a c"): None,
+    }
     for (a, b), want in cases.items():
         assert one(labels.contradiction(t(a), t(b))) == want
-    assert one(labels.types_of(t("the king of ava"))) == ["person"] and one(labels.types_of(t("xyz"))) == ["other"]
-    for (a, b), want in {("ava town", "ava city"): "city_town", ("the ava", "ava"): "of_the", ("b a", "a b"): "reorder", ("avatown", "ava town"): "compact", ("a", "b"): None}.items():
-        assert one(labels.merge_reason(F.lit(a), F.lit(b), t(a), t(b))) == want
+    assert one(labels.types_of(t("the king of ava"))) == ["person"] and one(labels.types_of(t("xyz"))) == ["other"] and one(labels.types_of(t("two court horses"))) == ["object", "institution", "quantity"]
+    reasons = {
+        ("ava town", "ava city"): "named_city_town_wording_variant", ("royal town", "royal city"): None, ("the ava", "ava"): "same_tokens_after_removing_of_the", ("b a", "a b"): None, ("b and a", "a and b"): "same_normalized_tokens_in_different_order",
+        ("avatown", "ava town"): "exact_after_word_boundary_normalization", ("min hla myoza", "minhla myosa"): "exact_after_curated_transliteration_normalization", ("ava campaign", "ava expedition"): "named_campaign_expedition_wording_variant", ("a", "b"): None,
+        ("palace thadoe", "thado palace"): "same_tokens_after_curated_transliteration_normalization", ("nga palace x", "nga x palace"): None,
+    }
+    for (a, b), want in reasons.items():
+        assert one(labels.merge_reason(t(a), t(b))) == want
 
 
 def test_intervals(spark):
