@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import gc
+import itertools
 import pickle
 
 import numpy as np
@@ -265,12 +266,15 @@ class Scorer:
         self.rows = np.zeros((0, 6 * HIDDEN), np.float32)
         self.used = 0
 
-    def look_up(self, texts: list[list[str]]) -> list[list[int]]:
-        fresh = list({w for t in texts for w in t}.difference(self.place))
+    def look_up(self, words: list[str]) -> np.ndarray:
+        """The row of each word's projections; the words met first, the common ones, stay when there are too many."""
+        fresh = set(words).difference(self.place)
         if self.used + len(fresh) > REMEMBERED and self.used:
-            self.place, self.used = {}, 0
-            fresh = list({w for t in texts for w in t})
+            self.used = min(self.used, REMEMBERED // 2)
+            self.place = dict(itertools.islice(self.place.items(), self.used))
+            fresh = set(words).difference(self.place)
         if fresh:
+            fresh = list(fresh)
             new = self.net.project(self.net.inputs(indices([normal(w) for w in fresh])))
             if self.used + len(new) > len(self.rows):
                 grown = np.empty((max(self.used + len(new), 2 * len(self.rows), 1024), 6 * HIDDEN), np.float32)
@@ -279,18 +283,25 @@ class Scorer:
             self.rows[self.used : self.used + len(new)] = new
             self.place.update(zip(fresh, range(self.used, self.used + len(fresh)), strict=True))
             self.used += len(fresh)
-        return [list(map(self.place.__getitem__, t)) for t in texts]
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        """A score for each text: its highest window's."""
+        """A score for each text: its highest window's; ``spans`` of all texts are laid out side by side."""
         own = [t.split() for t in texts]
-        found = self.look_up([*own, [""]])[:-1]
-        out = np.full(len(texts), -np.inf)
-        jobs = sorted(((b - a, k, a) for k, ids in enumerate(found) for a, b in spans(len(ids))), reverse=True)
-        for at in range(0, len(jobs), 1024):
-            part = jobs[at : at + 1024]
-            ids, mask = padded([found[k][a : a + n] for n, k, a in part])
-            np.maximum.at(out, [k for _, k, _ in part], self.net.logits(self.rows, ids, mask))
+        sizes = np.array([len(t) for t in own], np.int64)
+        flat = self.look_up([*itertools.chain.from_iterable(own), ""])
+        counts = np.maximum(1, -(-(sizes - (WINDOW - STRIDE)) // STRIDE))
+        owner = np.repeat(np.arange(len(texts)), counts)
+        start = STRIDE * (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts))
+        length = np.minimum(WINDOW, sizes[owner] - start)
+        start += np.repeat(np.cumsum(sizes) - sizes, counts)
+        order, out = np.argsort(-length, kind="stable"), np.full(len(texts), -np.inf)
+        for at in range(0, len(order), 1024):
+            rows = order[at : at + 1024]
+            steps = np.arange(max(1, length[rows[0]]))[:, None]
+            mask = steps < length[rows]
+            ids = flat[np.where(mask, start[rows] + steps, len(flat) - 1)]
+            np.maximum.at(out, owner[rows], self.net.logits(self.rows, ids, mask.astype(np.float32)))
         return 1 / (1 + np.exp(-out))
 
 
