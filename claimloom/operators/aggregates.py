@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from claimloom.functions import text as T
 from claimloom.functions.vectors import centroids
 from claimloom.model import oracle, table, view
+from claimloom.plans.lineage import cut
 from claimloom.registry import query
 
 
 def idf_table(rows: DataFrame, item: str, tokens) -> DataFrame:
     """``token, df, idf`` with idf = ln((N + 1) / (df + 1)) + 1 over distinct tokens of each item."""
-    n = rows.select(item).distinct().agg(F.count("*").alias("total"))
-    df = rows.select(item, F.explode(F.array_distinct(tokens)).alias("token")).groupBy("token").agg(F.count_distinct(item).alias("df"))
-    return df.join(F.broadcast(n)).select("token", "df", (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    per = rows.groupBy(item).agg(F.count("*").alias("_rows"))
+    n = per.agg(F.count("*").alias("total"), F.coalesce(F.max("_rows"), F.lit(0)).alias("most")).first()
+    own = rows.select(item, F.explode(F.array_distinct(tokens)).alias("token"))
+    if n.most > 1:  # an item of several rows counts once for a token
+        own = own.distinct()
+    df = own.groupBy("token").agg(F.count("*").alias("df"))  # tokens are distinct in an item, so counts combine before the shuffle
+    return df.select("token", "df", (F.log(F.lit(n.total + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
 def weighted_token_means(rows: DataFrame, item: str, tokens, vectors: DataFrame, weights: DataFrame) -> DataFrame:
@@ -52,13 +57,18 @@ def uncovered(rows: DataFrame, keys: list[str], length: str) -> DataFrame:
 def curve(scored: DataFrame, score: str, label: str, weight: str | None = None) -> DataFrame:
     """A row for each distinct score with cumulative true and false positives at or above it.
 
-    Scores are aggregated first, so the ordered window runs over distinct scores, and its
-    running sums are the only unpartitioned step.
+    Scores are aggregated first and dealt into ranges; each range sums its own steps in order
+    and starts from the total of the ranges above it, so no task sees more than its range.
     """
     w = F.lit(1.0) if weight is None else F.col(weight)
     steps = scored.groupBy(F.col(score).alias("threshold")).agg(F.sum(w * F.col(label)).alias("p"), F.sum(w * (1 - F.col(label))).alias("n"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
+    steps = cut(steps.repartitionByRange(F.desc("threshold")).withColumn("_part", F.spark_partition_id()))
+    every = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    before = steps.groupBy("_part").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    before = before.select("_part", F.coalesce(F.sum("_p").over(every), F.lit(0.0)).alias("_p"), F.coalesce(F.sum("_n").over(every), F.lit(0.0)).alias("_n"))
+    down = Window.partitionBy("_part").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = steps.join(F.broadcast(before), "_part").withColumns({"tp": F.col("_p") + F.sum("p").over(down), "fp": F.col("_n") + F.sum("n").over(down)})
+    return placed.select("threshold", "p", "n", "tp", "fp")
 
 
 def classifier_metrics(scored: DataFrame, score: str = "score", label: str = "label", weight: str | None = None, threshold: float = 0.5) -> DataFrame:
@@ -154,9 +164,9 @@ def a14(spark, d):
     return idf_table(table(spark, d, "documents"), "doc_id", T.label_tokens(F.col("text"))).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
-@query("a15_gloss_clusters", "SELECT lower(substr(text, 1, 8)) AS gloss, count(*) AS mentions, count(DISTINCT source) AS sources, min(doc_id) AS first_doc FROM documents GROUP BY 1")
+@query("a15_gloss_clusters", "SELECT lower(trim(text)) AS gloss, count(*) AS mentions, count(DISTINCT source) AS sources, min(doc_id) AS first_doc FROM documents GROUP BY 1")
 def a15(spark, d):
-    return table(spark, d, "documents").groupBy(F.lower(F.substring("text", 1, 8)).alias("gloss")).agg(F.count("*").alias("mentions"), F.count_distinct("source").alias("sources"), F.min("doc_id").alias("first_doc"))
+    return table(spark, d, "documents").groupBy(F.lower(F.trim("text")).alias("gloss")).agg(F.count("*").alias("mentions"), F.count_distinct("source").alias("sources"), F.min("doc_id").alias("first_doc"))
 
 
 @query("a16_usage_cost", "SELECT event_type, CAST(sum(coalesce(user_id, 0)) AS BIGINT) AS tokens, round(sum(coalesce(value, 0)) * 0.000002, 6) AS cost FROM events GROUP BY event_type")
@@ -164,16 +174,16 @@ def a16(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.sum(F.coalesce("user_id", F.lit(0))).alias("tokens"), F.round(F.sum(F.coalesce("value", F.lit(0.0))) * 0.000002, 6).alias("cost"))
 
 
-_SPAN = "SELECT user_id % 80 AS page, CAST((event_id * 53) % 1000 AS INT) AS start, CAST((event_id * 53) % 1000 + 3 + event_id % 20 AS INT) AS \"end\" FROM events WHERE event_id % {0} = 0"
+_SPAN = "SELECT user_id AS page, CAST((event_id * 53) % 1000 AS INT) AS start, CAST((event_id * 53) % 1000 + 3 + event_id % 20 AS INT) AS \"end\" FROM events"
 
 
-def _spans(spark, d, m):
-    return table(spark, d, "events").where(F.col("event_id") % m == 0).selectExpr("user_id % 80 as page", "cast((event_id * 53) % 1000 as int) as start", "cast((event_id * 53) % 1000 + 3 + event_id % 20 as int) as end")
+def _spans(spark, d):
+    return table(spark, d, "events").selectExpr("user_id as page", "cast((event_id * 53) % 1000 as int) as start", "cast((event_id * 53) % 1000 + 3 + event_id % 20 as int) as end")
 
 
 @query("a17_coverage", f"WITH e AS ({_SPAN.format(9)}), r AS (SELECT DISTINCT page, 0 AS start, 1030 AS \"end\" FROM e), p AS (SELECT DISTINCT page, unnest(range(start, \"end\")) AS c FROM e) SELECT r.page, 1030 AS retained, count(p.c) AS covered FROM r JOIN p USING (page) GROUP BY r.page")
 def a17(spark, d):
-    spans = _spans(spark, d, 9)
+    spans = _spans(spark, d)
     whole = spans.select("page").distinct().selectExpr("page", "0 as start", "1030 as end")
     return coverage(whole, spans, "page")
 
@@ -290,9 +300,9 @@ def u07(spark, d):
     return reconciled(old, table(spark, d, "supplier").selectExpr("s_suppkey * 5 as k", "s_nationkey as v"), "k", "v")
 
 
-@query("u08_partition_proof", "SELECT i AS item, coalesce(n, 0) AS times FROM range(400) r(i) FULL JOIN (SELECT doc_id % 500 AS item, count(*) AS n FROM labels WHERE doc_id < 900 GROUP BY 1) x ON r.i = x.item WHERE coalesce(n, 0) <> 1 AND i IS NOT NULL UNION ALL SELECT item, n FROM (SELECT doc_id % 500 AS item, count(*) AS n FROM labels WHERE doc_id < 900 GROUP BY 1) y WHERE item >= 400 AND n <> 1")
+@query("u08_partition_proof", "SELECT i AS item, coalesce(n, 0) AS times FROM range(400) r(i) FULL JOIN (SELECT doc_id % 500 AS item, count(*) AS n FROM labels GROUP BY 1) x ON r.i = x.item WHERE coalesce(n, 0) <> 1 AND i IS NOT NULL UNION ALL SELECT item, n FROM (SELECT doc_id % 500 AS item, count(*) AS n FROM labels GROUP BY 1) y WHERE item >= 400 AND n <> 1")
 def u08(spark, d):
-    return partition_proof(table(spark, d, "labels").where("doc_id < 900").select((F.col("doc_id") % 500).alias("item")), "item", 400)
+    return partition_proof(table(spark, d, "labels").select((F.col("doc_id") % 500).alias("item")), "item", 400)
 
 
 @query("u10_missing_split", oracle("SELECT s.sid, CASE WHEN len(s.text) < 40 THEN 'short' WHEN regexp_matches(s.text, '^[0-9 .,]+$') THEN 'number' ELSE 'missing' END AS state FROM sentences s WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = s.sid)", "sentences"))
@@ -338,12 +348,12 @@ def w05(spark, d):
 
 @query("w09_islands", f"WITH e AS ({_SPAN.format(9)}), p AS (SELECT DISTINCT page, unnest(range(start, \"end\")) AS c FROM e), g AS (SELECT page, c, c - row_number() OVER (PARTITION BY page ORDER BY c) AS k FROM p) SELECT page, min(c) AS start, max(c) + 1 AS \"end\" FROM g GROUP BY page, k")
 def w09(spark, d):
-    return merged_intervals(_spans(spark, d, 9), ["page"])
+    return merged_intervals(_spans(spark, d), ["page"])
 
 
 @query("w09_uncovered", f"WITH e AS ({_SPAN.format(9)}), p AS (SELECT DISTINCT page, unnest(range(start, \"end\")) AS c FROM e), f AS (SELECT DISTINCT page, unnest(range(0, 1030)) AS c FROM e), x AS (SELECT * FROM f EXCEPT SELECT * FROM p), g AS (SELECT page, c, c - row_number() OVER (PARTITION BY page ORDER BY c) AS k FROM x) SELECT page, min(c) AS start, max(c) + 1 AS \"end\" FROM g GROUP BY page, k")
 def w09b(spark, d):
-    return uncovered(_spans(spark, d, 9).withColumn("len", F.lit(1030)), ["page"], "len")
+    return uncovered(_spans(spark, d).withColumn("len", F.lit(1030)), ["page"], "len")
 
 
 @query("w10_threshold_sweep", f"WITH s AS ({_SCORED}), t AS (SELECT score, sum(label) AS p, sum(1 - label) AS n FROM s GROUP BY score), c AS (SELECT score, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp FROM t) SELECT score AS threshold, tp::DOUBLE AS tp, fp::DOUBLE AS fp FROM c WHERE tp / (tp + fp) >= 0.9 AND tp + fp >= 20 ORDER BY tp DESC, score DESC LIMIT 1")
@@ -370,12 +380,12 @@ def w13(spark, d):
 
 @query(
     "w14_sentence_assembly",
-    r"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS piece, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE doc_id < 300),
+    r"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS piece, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
     s AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(piece, '[.!?]$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM p)
     SELECT doc_id, CAST(sentence AS BIGINT) AS sentence, string_agg(piece, ' ' ORDER BY pos) AS text FROM s GROUP BY doc_id, sentence""",
 )
 def w14(spark, d):
-    pieces = table(spark, d, "documents").where("doc_id < 300").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "piece"))
+    pieces = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "piece"))
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     named = pieces.withColumn("sentence", F.coalesce(F.sum(F.col("piece").rlike("[.!?]$").cast("int")).over(w), F.lit(0)))
     return named.groupBy("doc_id", "sentence").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), " ").alias("text"))

@@ -293,9 +293,9 @@ def t07(spark, d):
     return found.orderBy(F.desc("frequency"), "tag").limit(clamp(40, 200))
 
 
-@query("f20_nested_projection", oracle("SELECT claim_id, subject || '|' || relation || '|' || object AS triple, s_cat || '>' || r_cat || '>' || o_cat AS thematic FROM claims WHERE claim_id < 500", "claims"))
+@query("f20_nested_projection", oracle("SELECT claim_id, subject || '|' || relation || '|' || object AS triple, s_cat || '>' || r_cat || '>' || o_cat AS thematic FROM claims", "claims"))
 def f20(spark, d):
-    rows = view(spark, d, "claims").where("claim_id < 500")
+    rows = view(spark, d, "claims")
     nested = rows.select("claim_id", F.struct("subject", "relation", "object").alias("t"), F.struct("s_cat", "r_cat", "o_cat").alias("c"))
     return nested.select("claim_id", F.concat_ws("|", "t.subject", "t.relation", "t.object").alias("triple"), F.concat_ws(">", "c.s_cat", "c.r_cat", "c.o_cat").alias("thematic"))
 

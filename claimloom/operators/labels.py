@@ -230,17 +230,17 @@ def x05(spark, d):
     return _parts(spark, d).select("p_partkey", F.array_join(tokens, "|").alias("tokens"), F.when(bigrams != "", bigrams).alias("bigrams"))
 
 
-@query("x06_singular", "SELECT DISTINCT w, CASE WHEN w LIKE '%ies' THEN left(w, len(w) - 3) || 'y' WHEN regexp_matches(w, '(ss|us|is)$') THEN w WHEN regexp_matches(w, '(ch|sh|x|z)es$') THEN left(w, len(w) - 2) WHEN w LIKE '%s' THEN left(w, len(w) - 1) ELSE w END AS singular FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE doc_id < 200) x")
+@query("x06_singular", "SELECT DISTINCT w, CASE WHEN w LIKE '%ies' THEN left(w, len(w) - 3) || 'y' WHEN regexp_matches(w, '(ss|us|is)$') THEN w WHEN regexp_matches(w, '(ch|sh|x|z)es$') THEN left(w, len(w) - 2) WHEN w LIKE '%s' THEN left(w, len(w) - 1) ELSE w END AS singular FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) x")
 def x06(spark, d):
-    words = table(spark, d, "documents").where("doc_id < 200").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
     return words.select("w", T.naive_singular(F.col("w")).alias("singular"))
 
 
-@query("x09_compact_offsets", "SELECT doc_id, regexp_replace(left(text, 80), '\\s', '', 'g') AS compact, list_sum(list_filter(range(1, len(left(text, 80)) + 1), lambda i: NOT regexp_full_match(substr(text, i, 1), '\\s'))) AS offsets FROM documents")
+@query("x09_compact_offsets", "SELECT doc_id, list_aggregate(list_filter(c, lambda x: NOT regexp_full_match(x, '\\s')), 'string_agg', '') AS compact, coalesce(list_sum(list_transform(c, lambda x, i: CASE WHEN regexp_full_match(x, '\\s') THEN 0 ELSE i END)), 0) AS offsets FROM (SELECT doc_id, string_split(text, '') AS c FROM documents) z")
 def x09(spark, d):
-    head = F.left("text", F.lit(80))
-    kept = F.filter(F.sequence(F.lit(1), F.length(head)), lambda i: ~F.substr(head, i, F.lit(1)).rlike(r"\s"))
-    return table(spark, d, "documents").select("doc_id", F.regexp_replace(head, r"\s", "").alias("compact"), F.aggregate(kept, F.lit(0), lambda s, x: s + x).cast("decimal(38,0)").alias("offsets"))
+    kept = F.filter(F.transform(F.split("text", ""), lambda c, i: F.struct(c.alias("c"), (i + 1).alias("i"))), lambda x: ~x["c"].rlike(r"^\s$"))
+    rows = table(spark, d, "documents").select("doc_id", kept.alias("k"))
+    return rows.select("doc_id", F.array_join("k.c", "").alias("compact"), F.aggregate("k.i", F.lit(0).cast("long"), lambda s, x: s + x).cast("decimal(38,0)").alias("offsets"))
 
 
 @query("x10_utf16", "SELECT doc_id, len(text) AS points, len(text) AS units FROM documents")
@@ -303,11 +303,11 @@ def x29(spark, d):
     return _parts(spark, d).select(T.content_key(F.col("p_name")).alias("key")).distinct()
 
 
-@query("x30_view_templates", oracle("SELECT claim_id, v.view, CASE v.view WHEN 'triple' THEN subject || ' ' || relation || ' ' || object WHEN 'subject' THEN subject WHEN 'object' THEN object ELSE relation || ' of ' || object END AS text FROM claims, (VALUES ('triple'), ('subject'), ('object'), ('context')) v(view) WHERE claim_id < 2000", "claims"))
+@query("x30_view_templates", oracle("SELECT claim_id, v.view, CASE v.view WHEN 'triple' THEN subject || ' ' || relation || ' ' || object WHEN 'subject' THEN subject WHEN 'object' THEN object ELSE relation || ' of ' || object END AS text FROM claims, (VALUES ('triple'), ('subject'), ('object'), ('context')) v(view)", "claims"))
 def x30(spark, d):
     views = {"triple": F.concat_ws(" ", "subject", "relation", "object"), "subject": F.col("subject"), "object": F.col("object"), "context": F.concat("relation", F.lit(" of "), "object")}
     exploded = F.explode(F.array(*[F.struct(F.lit(n).alias("view"), c.alias("text")) for n, c in views.items()]))
-    return view(spark, d, "claims").where("claim_id < 2000").select("claim_id", exploded.alias("v")).select("claim_id", "v.*")
+    return view(spark, d, "claims").select("claim_id", exploded.alias("v")).select("claim_id", "v.*")
 
 
 _PAIRS = "embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
@@ -362,11 +362,11 @@ def x39(spark, d):
     return table(spark, d, "documents").select("doc_id", F.when(F.size(parts) > 2, F.length(parts[0]) + F.length(parts[1]) + 3).cast("long").alias("at"))
 
 
-@query("x40_marked_text", "SELECT doc_id, substr(text, 1, 10) || '[[' || substr(text, 11, 15) || ']]' || substr(text, 26, 10) AS marked FROM documents")
+@query("x40_marked_text", "SELECT doc_id, substr(text, 1, 10) || '[[' || substr(text, 11, 15) || ']]' || substr(text, 26) AS marked FROM documents")
 def x40(spark, d):
     spans = F.array(F.struct(F.lit(10).alias("a"), F.lit(25).alias("b")))
     marked = F.array_join(F.transform(spans, lambda s: F.concat(F.lit("[["), F.substr(F.col("text"), s["a"] + 1, s["b"] - s["a"]), F.lit("]]"))), "")
-    return table(spark, d, "documents").select("doc_id", F.concat(F.substring("text", 1, 10), marked, F.substring("text", 26, 10)).alias("marked"))
+    return table(spark, d, "documents").select("doc_id", F.concat(F.substring("text", 1, 10), marked, F.substring("text", 26, 1 << 30)).alias("marked"))
 
 
 #: Words of the made labels that the rules are checked with.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.model import oracle, table, view
+from claimloom.operators.joins import cosine_neighbours
 from claimloom.registry import query
 from claimloom.sources.files import quads, split_marked_volume
 
@@ -75,12 +76,18 @@ def f14(spark, d):
     return classified_lines(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "line", "reason")
 
 
-@query("f15_page_classes")
+_LINES = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, len(string_split(text, chr(10))) AS n FROM documents),
+  m AS (SELECT *, max(CASE WHEN line >= n - 14 AND regexp_matches(value, '^\s*(\[[0-9]+\]|\*|[0-9]+[.)])\s') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS notes FROM l),
+  c AS (SELECT doc_id, line, value, CASE WHEN trim(value) = '' THEN 'blank' WHEN regexp_matches(trim(value), '^[0-9\s.-]+$') THEN 'page_number' WHEN line < 3 AND len(trim(value)) < 60 AND NOT regexp_matches(trim(value), '[.!?]$') THEN 'header' WHEN notes = 1 THEN 'footnote' WHEN NOT regexp_matches(trim(value), '\p{L}') THEN 'no_letters' END AS reason FROM m),
+  r AS (SELECT * FROM (SELECT doc_id, coalesce(sum(len(value) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, len(value) AS size, reason FROM c) x WHERE reason IS NOT NULL AND reason <> 'blank')"""
+
+
+@query("f15_page_classes", _LINES + r" SELECT doc_id, CASE WHEN 2 * count(*) FILTER (regexp_matches(value, '\.{4,}\s*[0-9]+\s*$')) > count(*) THEN 'contents' WHEN coalesce(sum(len(value)) FILTER (reason IS NULL), 0) < 40 THEN 'too_little_prose' WHEN count(*) FILTER (reason IS NULL) = 0 THEN 'captions' ELSE 'prose' END AS kind, count(*) FILTER (reason IS NULL) AS prose_lines, CAST(coalesce(sum(len(value)) FILTER (reason IS NULL), 0) AS BIGINT) AS prose_chars FROM c GROUP BY doc_id")
 def f15(spark, d):
     return page_class(classified_lines(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
 
 
-@query("f16_debris_ranges")
+@query("f16_debris_ranges", _LINES + " SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(start + size AS BIGINT) AS \"end\", reason FROM r")
 def f16(spark, d):
     return debris_ranges(classified_lines(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
 
@@ -91,22 +98,34 @@ def f17(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("chars"), flag.alias("suspicious"))
 
 
-@query("q06_removal_audit")
+@query("q06_removal_audit", _LINES + """, t AS (SELECT * FROM r UNION ALL SELECT doc_id, start + 1, size, 'shifted' FROM r WHERE doc_id % 10 = 0 AND reason = 'footnote' UNION ALL SELECT doc_id, len(text) - 1, 5, 'beyond' FROM documents WHERE doc_id % 10 = 1),
+  a AS (SELECT t.*, start + size AS stop, lag(start + size) OVER (PARTITION BY t.doc_id ORDER BY start, start + size) AS before, len(d.text) AS n FROM t JOIN documents d ON d.doc_id = t.doc_id)
+  SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end", reason FROM a WHERE start < 0 OR stop > n OR start >= stop OR before > start""")
 def q06(spark, d):
     docs = table(spark, d, "documents")
-    return removal_audit(docs, "doc_id", "text", debris_ranges(classified_lines(docs, "doc_id", "text"), "doc_id"))
+    ranges = debris_ranges(classified_lines(docs, "doc_id", "text"), "doc_id")
+    shifted = ranges.where("doc_id % 10 = 0 and reason = 'footnote'").select("doc_id", F.col("start") + 1, F.col("end") + 1, F.lit("shifted"))
+    beyond = docs.where("doc_id % 10 = 1").select("doc_id", (F.length("text") - 1).alias("start"), (F.length("text") + 4).alias("end"), F.lit("beyond"))
+    return removal_audit(docs, "doc_id", "text", ranges.union(shifted).union(beyond))
+
+
+_PAGES = "SELECT volume || '.' || CAST(sid AS BIGINT) // 100 AS book, sid AS page, CASE WHEN sid % 50 = 40 THEN 'Index ' || text ELSE text END AS body FROM sentences"
 
 
-@query("s08_marked_volume", oracle("SELECT volume AS book, page, sid, max(CASE WHEN starts_with(lower(left(text, 6)), 'the') THEN 1 ELSE 0 END) OVER (PARTITION BY volume) >= 0 AS ok FROM (SELECT volume, sid AS page, sid, text FROM sentences WHERE sid < 60) x", "sentences"))
+@query("s08_marked_volume", oracle(f"SELECT book, page, len(regexp_replace(body, '^\\s+|\\s+$', '', 'g')) AS size, max(CASE WHEN regexp_matches(body, '(?i)^\\s*index\\b') THEN 1 ELSE 0 END) OVER (PARTITION BY book ORDER BY page) = 1 AS back FROM ({_PAGES}) x", "sentences"))
 def s08(spark, d):
-    marked = F.concat(F.lit("[[BOOK="), "volume", F.lit(" PAGE="), F.lpad(F.col("sid").cast("string"), 4, "0"), F.lit("]]"), F.lit("\n"), F.left("text", F.lit(40)))
-    rows = view(spark, d, "sentences").where("sid < 60").groupBy("volume").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sid", marked.alias("t")))), lambda x: x["t"]), "\n").alias("value"))
-    return split_marked_volume(rows).select("book", F.col("page").cast("long").alias("page"), F.col("page").cast("long").alias("sid"), F.col("back_matter").isNotNull().alias("ok"))
+    sid = F.col("sid")
+    body = F.when(sid % 50 == 40, F.concat(F.lit("Index "), "text")).otherwise(F.col("text"))
+    book = F.concat("volume", F.lit("."), F.floor(sid / 100).cast("string"))
+    marked = F.concat(F.lit("[[BOOK="), book, F.lit(" PAGE="), F.lpad(sid.cast("string"), 4, "0"), F.lit("]]\n"), body)
+    rows = view(spark, d, "sentences").groupBy(book.alias("b")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sid", marked.alias("t")))), lambda x: x["t"]), "\n").alias("value"))
+    pages = split_marked_volume(rows)
+    return pages.select("book", F.col("page").cast("long").alias("page"), F.length(F.regexp_replace("body", r"^\s+|\s+$", "")).cast("long").alias("size"), F.col("back_matter").alias("back"))
 
 
-@query("k03_quads", oracle("SELECT '<urn:claim:' || claim_id || '> <urn:claim:' || p || '> \"' || o || '\" <urn:claim:source> .' AS value FROM (SELECT claim_id, unnest(['subject', 'object']) AS p, unnest([subject, object]) AS o FROM claims WHERE claim_id < 3000) x", "claims"))
+@query("k03_quads", oracle("SELECT '<urn:claim:' || claim_id || '> <urn:claim:' || p || '> \"' || o || '\" <urn:claim:source> .' AS value FROM (SELECT claim_id, unnest(['subject', 'object']) AS p, unnest([subject, object]) AS o FROM claims) x", "claims"))
 def k03(spark, d):
-    return quads(view(spark, d, "claims").where("claim_id < 3000"), "source", "claim_id", {"subject": "subject", "object": "object"})
+    return quads(view(spark, d, "claims"), "source", "claim_id", {"subject": "subject", "object": "object"})
 
 
 @query("q01_reconstruction", "SELECT doc_id, sha256(text) AS digest FROM documents")
@@ -140,19 +159,30 @@ def q07(spark, d):
     return gone.select("doc_id", F.col("line").cast("long").alias("line"), F.lit("deleted").alias("state"))
 
 
-@query("q08_merge_conformance", oracle(", x AS (SELECT claim_id, tag, parent, row_number() OVER (PARTITION BY parent, tag ORDER BY claim_id) AS k, EXISTS (SELECT 1 FROM tags t WHERE t.tag = y.tag) AS known FROM (SELECT claim_id, object AS tag, subject AS parent FROM claims WHERE claim_id < 4000) y) SELECT claim_id, CASE WHEN tag = parent THEN 'parent' WHEN NOT known THEN 'unknown' WHEN k > 1 THEN 'duplicate' END AS reason FROM x", "claims", "tags"))
+@query("q08_merge_conformance", oracle(", x AS (SELECT claim_id, tag, parent, row_number() OVER (PARTITION BY parent, tag ORDER BY claim_id) AS k, EXISTS (SELECT 1 FROM tags t WHERE t.tag = y.tag) AS known FROM (SELECT claim_id, object AS tag, subject AS parent FROM claims) y) SELECT claim_id, CASE WHEN tag = parent THEN 'parent' WHEN NOT known THEN 'unknown' WHEN k > 1 THEN 'duplicate' END AS reason FROM x", "claims", "tags"))
 def q08(spark, d):
-    rows = view(spark, d, "claims").where("claim_id < 4000").select("claim_id", F.col("object").alias("tag"), F.col("subject").alias("parent"))
+    rows = view(spark, d, "claims").select("claim_id", F.col("object").alias("tag"), F.col("subject").alias("parent"))
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("parent", "tag").orderBy("claim_id")))
     rows = rows.join(view(spark, d, "tags"), "tag", "left")
     reason = F.when(F.col("tag") == F.col("parent"), "parent").when(F.col("frequency").isNull(), "unknown").when(F.col("k") > 1, "duplicate")
     return rows.select("claim_id", reason.alias("reason"))
 
 
-@query("q09_retrieval_recall", oracle("SELECT count(*) AS eligible, count(*) FILTER (tag IN (SELECT tag FROM tags)) AS found FROM vectors", "vectors", "tags"))
+def retrieval_recall(known: DataFrame, retrieved: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: how many known positives are eligible, how many of them were retrieved, and the share."""
+    eligible = known.select(*keys).distinct()
+    found = eligible.join(retrieved.select(*keys).distinct().withColumn("_hit", F.lit(1)), keys, "left")
+    return found.agg(F.count("*").alias("eligible"), F.count("_hit").alias("found"), (F.count("_hit") / F.count("*")).alias("recall"))
+
+
+_RECALL = "SELECT x.vec_id AS a, y.vec_id AS b, x.label = y.label AS same, row_number() OVER (PARTITION BY x.vec_id ORDER BY list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) DESC, y.vec_id) AS k FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id"
+
+
+@query("q09_retrieval_recall", f"SELECT count(*) AS eligible, count(*) FILTER (k <= 10) AS found, round(count(*) FILTER (k <= 10)::DOUBLE / count(*), 6) AS recall FROM ({_RECALL}) x WHERE same AND a % 10 = 0")
 def q09(spark, d):
-    v = view(spark, d, "vectors").select("tag").join(view(spark, d, "tags"), "tag", "left")
-    return v.agg(F.count("*").alias("eligible"), F.count("frequency").alias("found"))
+    e = table(spark, d, "embeddings")
+    known = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("a"), "label").join(e.select(F.col("vec_id").alias("b"), "label"), "label").where("a <> b")
+    return retrieval_recall(known, cosine_neighbours(e, "vec_id", 10), ["a", "b"]).withColumn("recall", F.round("recall", 6))
 
 
 @query("q11_evidence_exactness", "SELECT doc_id, contains(regexp_replace(text, '\\s', '', 'g'), regexp_replace(substr(text, 20, 30), '\\s', '', 'g')) AS exact FROM documents")
