@@ -162,15 +162,20 @@ def rewritten(tokens, bigrams: dict[str, str], unigrams: dict[str, str]) -> F.Co
 
 
 def joint_choice(candidates: DataFrame, key: str) -> DataFrame:
-    """One span of each role so that their envelope, then gaps, are least; ties stay unresolved.
+    """One span of each role so that their envelope, then gaps, then spread of centres are least; ties stay unresolved.
 
-    ``candidates(key, s, p, o)`` hold arrays of ``(start, end)``; combinations are made within a
-    row only and are at most 4096, else the row is unresolved.
+    ``candidates(key, s, p, o)`` hold arrays of ``(start, end)``. Gaps and the distances of
+    centres are summed over all pairs. Combinations are made within a row only; a row with
+    more than 4096 of them is unresolved, which is the rule itself.
     """
     few = candidates.where(F.size("s") * F.size("p") * F.size("o") <= 4096)
     rows = few.select(key, F.explode("s").alias("a"), "p", "o").select(key, "a", F.explode("p").alias("b"), "o").select(key, "a", "b", F.explode("o").alias("c"))
     low, high = F.least("a.start", "b.start", "c.start"), F.greatest("a.end", "b.end", "c.end")
-    cost = F.struct((high - low).alias("envelope"), (high - low - (F.col("a.end") - F.col("a.start")) - (F.col("b.end") - F.col("b.start")) - (F.col("c.end") - F.col("c.start"))).alias("gaps"))
+    pairs = [("a", "b"), ("a", "c"), ("b", "c")]
+    gap = lambda x, y: F.greatest(F.lit(0), F.col(f"{y}.start") - F.col(f"{x}.end"), F.col(f"{x}.start") - F.col(f"{y}.end"))
+    apart = lambda x, y: F.abs(F.col(f"{x}.start") + F.col(f"{x}.end") - F.col(f"{y}.start") - F.col(f"{y}.end"))
+    total = lambda f: f(*pairs[0]) + f(*pairs[1]) + f(*pairs[2])
+    cost = F.struct((high - low).alias("envelope"), total(gap).alias("gaps"), total(apart).alias("spread"))
     best = rows.withColumn("cost", cost).withColumn("k", F.rank().over(Window.partitionBy(key).orderBy("cost"))).where("k = 1")
     chosen = best.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("a", "b", "c")).alias("x")).where("n = 1").select(key, F.col("x.a.start").alias("s"), F.col("x.b.start").alias("p"), F.col("x.c.start").alias("o"))
     return candidates.select(key).join(chosen, key, "left").withColumn("resolved", F.col("s").isNotNull())
@@ -312,7 +317,13 @@ def x08(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(rewritten(t, {"blue steel": "bluesteel"}, {"red": "crimson"}), " ").alias("name"))
 
 
-@query("x15_joint_choice")
+_X15 = """WITH c AS (SELECT o_orderkey AS k, unnest([0, 1, 2]) AS i FROM orders), s AS (SELECT k, (k * 3 + i * 37) % 300 AS a FROM c), p AS (SELECT k, (k * 7 + i * 37) % 300 AS b FROM c), o AS (SELECT k, (k * 11 + i * 37) % 300 AS c FROM c),
+  x AS (SELECT s.k, a, b, c, greatest(a, b, c) - least(a, b, c) AS e, greatest(0, abs(a - b) - 5) + greatest(0, abs(a - c) - 5) + greatest(0, abs(b - c) - 5) AS g, abs(a - b) + abs(a - c) + abs(b - c) AS d FROM s JOIN p ON p.k = s.k JOIN o ON o.k = s.k),
+  r AS (SELECT *, rank() OVER (PARTITION BY k ORDER BY e, g, d) AS n FROM x), u AS (SELECT k, min(a) AS s, min(b) AS p, min(c) AS o FROM r WHERE n = 1 GROUP BY k HAVING count(*) = 1)
+  SELECT q.o_orderkey AS claim_id, u.s, u.p, u.o, u.s IS NOT NULL AS resolved FROM orders q LEFT JOIN u ON u.k = q.o_orderkey"""
+
+
+@query("x15_joint_choice", _X15)
 def x15(spark, d):
     span = lambda k: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(((F.col("claim_id") * k + i * 37) % 300).alias("start"), ((F.col("claim_id") * k + i * 37) % 300 + 5).alias("end")))
     return joint_choice(view(spark, d, "claims").select("claim_id", span(3).alias("s"), span(7).alias("p"), span(11).alias("o")), "claim_id")
