@@ -116,6 +116,27 @@ def repaired_mojibake(values: pd.Series) -> pd.Series:
     return values.map(fix)
 
 
+#: Letters with marks up to U+024F and what they are without them, and letters that become several.
+_MARKED = {c: unicodedata.normalize("NFKD", c)[0] for c in map(chr, range(0xC0, 0x250)) if unicodedata.normalize("NFKD", c)[0] != c and ord(unicodedata.normalize("NFKD", c)[0]) < 128}
+_SEVERAL = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "ı": "i", "’": "'", "‘": "'"}
+
+
+def transliterated(c: Column) -> Column:
+    """Camel case split, Latin letters without marks, possessives and digit commas gone, ``&`` as ``and``, other marks as blanks, lower case."""
+    out = F.regexp_replace(c, r"(?<=[a-z0-9])(?=[A-Z])", " ")
+    for letter, plain in _SEVERAL.items():
+        out = F.replace(out, F.lit(letter), F.lit(plain))
+    out = F.translate(out, "".join(_MARKED), "".join(_MARKED.values()))
+    out = F.regexp_replace(out, r"\b([A-Za-z]+)'s\b", "$1")
+    out = F.regexp_replace(F.replace(out, F.lit("&"), F.lit(" and ")), r"(?<=[0-9]),(?=[0-9])", "")
+    return F.trim(F.regexp_replace(F.lower(out), "[^a-z0-9]+", " "))
+
+
+def compatible_tokens(c: Column) -> Column:
+    """Tokens of letters and digits after NFKC and case folding."""
+    return F.array_remove(F.split(F.trim(F.regexp_replace(F.lower(nfkc(c)), r"[^\p{L}\p{N}]+", " ")), " "), "")
+
+
 def _common_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, one bit a position."""
     at: dict[str, int] = {}

@@ -139,16 +139,16 @@ def cosine_neighbours(vectors: DataFrame, item: str, k: int, block: int = 4096)
     spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     unit_rows = vectors.select(F.col(item).alias("i"), unit(F.col("embedding")).alias("v"), deal.alias("own"))
     left = unit_rows.select("i", "v", F.col("own").alias("l"), spread.alias("r"))
-    right = unit_rows.select("i", "v", spread.alias("l"), F.col("own").alias("r"))
+    right = unit_rows.select(F.col("i").alias("j"), F.col("v").alias("w"), spread.alias("l"), F.col("own").alias("r"))
     kind = vectors.schema[item].dataType.simpleString()
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"a": a["i"][:0], "b": b["i"][:0], "sim": np.zeros(0)})
+        empty = pd.DataFrame({"a": a["i"][:0], "b": b["j"][:0], "sim": np.zeros(0)})
         if not len(a) or not len(b):
             return empty
-        b = b.sort_values("i")
-        ids, others = a["i"].to_numpy(), b["i"].to_numpy()
-        m, out = np.stack(b["v"]), []
+        b = b.sort_values("j")
+        ids, others = a["i"].to_numpy(), b["j"].to_numpy()
+        m, out = np.stack(b["w"]), []
         for at in range(0, len(a), 512):
             sim = np.stack(a["v"][at : at + 512]) @ m.T
             sim[ids[at : at + 512, None] == others[None]] = -np.inf

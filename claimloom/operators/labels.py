@@ -230,6 +230,24 @@ def x05(spark, d):
     return _parts(spark, d).select("p_partkey", F.array_join(tokens, "|").alias("tokens"), F.when(bigrams != "", bigrams).alias("bigrams"))
 
 
+@query("x03_compatible_tokens", f"SELECT p_partkey, array_to_string({WORDS}, '|') AS tokens FROM part")
+def x03(spark, d):
+    wide = F.translate("p_name", "abcde", "ａｂｃｄｅ")  # full-width letters, which NFKC folds
+    return _parts(spark, d).select("p_partkey", F.array_join(T.compatible_tokens(wide), "|").alias("tokens"))
+
+
+@query("x04_transliterated", "SELECT p_partkey, 'the ' || p_name || ' and 12345 cafestrasse king x' || p_partkey AS plain FROM part")
+def x04(spark, d):
+    written = F.concat(F.lit("The"), F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")), F.lit("&12,345—CaféStraße's (King's) x"), F.col("p_partkey").cast("string"))
+    return _parts(spark, d).select("p_partkey", T.transliterated(written).alias("plain"))
+
+
+@query("x26_mojibake", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'é' ELSE 'က' END || p_name AS text FROM part")
+def x26(spark, d):
+    broken = F.concat(F.when(F.col("p_partkey") % 2 == 0, "Ã©").otherwise("က"), "p_name")
+    return _parts(spark, d).select("p_partkey", T.repaired_mojibake(broken).alias("text"))
+
+
 @query("x06_singular", "SELECT DISTINCT w, CASE WHEN w LIKE '%ies' THEN left(w, len(w) - 3) || 'y' WHEN regexp_matches(w, '(ss|us|is)$') THEN w WHEN regexp_matches(w, '(ch|sh|x|z)es$') THEN left(w, len(w) - 2) WHEN w LIKE '%s' THEN left(w, len(w) - 1) ELSE w END AS singular FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) x")
 def x06(spark, d):
     words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()

@@ -10,6 +10,7 @@ from claimloom.functions.vectors import dot, unit
 from claimloom.model import oracle, table, view
 from claimloom.operators.aggregates import differences, reconciled
 from claimloom.operators.facets import FilterSpec, filtered_tags
+from claimloom.operators.joins import overlapping
 from claimloom.operators.labels import best_span, match_ladder
 from claimloom.registry import query
 
@@ -55,7 +56,7 @@ def cached_glosses(cache: DataFrame, page: DataFrame) -> DataFrame:
     placed = lambda f: f.withColumn("end", F.sum("size").over(w)).withColumn("start", F.col("end") - F.col("size"))
     old, new = placed(cache).select("page", F.col("start").alias("_s"), F.col("end").alias("_e"), "gloss"), placed(page)
     shared = F.least("end", "_e") - F.greatest("start", "_s")
-    met = new.join(old, "page").withColumn("shared", shared).where("shared > 0")
+    met = overlapping(new, old, ["page"], 64).withColumn("shared", shared)
     best = met.groupBy("page", "tok").agg(F.max_by("gloss", F.struct("shared", -F.col("_s"))).alias("gloss"))
     return page.select("page", "tok").join(best, ["page", "tok"], "left")
 
@@ -80,7 +81,7 @@ def g13(spark, d):
     return facet_counts(view(spark, d, "claims"), FilterSpec(s_cat=("E1", "E2"), r_cat=("R1",)))
 
 
-@query("f21_line_kinds")
+@query("f21_line_kinds", rf"SELECT doc_id, CAST(line AS INT) AS line, CASE WHEN regexp_matches(value, '(?i)\b[0-9]{{1,2}}\s+({MONTHS})\s+[0-9]{{4}}\b|\b({MONTHS})\s+[0-9]{{1,2}},?\s+[0-9]{{4}}\b') THEN 'date' WHEN regexp_matches(value, '^\s*(\[[0-9]+\]|[0-9]+[.)])\s') THEN 'footnote' WHEN regexp_matches(value, '(?i)\b(press|publisher|published by|printed at)\b') THEN 'publisher' END AS kind FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents) x")
 def f21(spark, d):
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "value"))
     return lines.select("doc_id", "line", line_kinds(F.col("value")).alias("kind"))
@@ -131,11 +132,17 @@ def u09(spark, d):
     return reconciled(old, new, "k", "v")
 
 
-@query("v10_cached_glosses")
+_V10 = """WITH o AS (SELECT user_id AS page, event_id AS tok, event_type AS gloss, sum(1 + event_id % 4) OVER w AS e, sum(1 + event_id % 4) OVER w - (1 + event_id % 4) AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+  n AS (SELECT user_id AS page, event_id AS tok, sum(2 + event_id % 3) OVER w AS e, sum(2 + event_id % 3) OVER w - (2 + event_id % 3) AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+  m AS (SELECT n.page, n.tok, o.gloss, row_number() OVER (PARTITION BY n.page, n.tok ORDER BY least(n.e, o.e) - greatest(n.s, o.s) DESC, o.s) AS k FROM n JOIN o ON o.page = n.page AND o.s < n.e AND n.s < o.e)
+  SELECT n.page, n.tok, m.gloss FROM n LEFT JOIN m ON m.page = n.page AND m.tok = n.tok AND m.k = 1"""
+
+
+@query("v10_cached_glosses", _V10)
 def v10(spark, d):
-    e = table(spark, d, "events").where("event_id % 10 < 6")
+    e = table(spark, d, "events")
     cache = e.selectExpr("user_id as page", "event_id as tok", "1 + event_id % 4 as size", "event_type as gloss")
-    return cached_glosses(cache, e.where("event_id % 10 < 4").selectExpr("user_id as page", "event_id as tok", "2 + event_id % 3 as size"))
+    return cached_glosses(cache, e.selectExpr("user_id as page", "event_id as tok", "2 + event_id % 3 as size"))
 
 
 @query("s11_evidence_rows", oracle("SELECT c.claim_id, c.subject, a.frequency, s.lang FROM claims c JOIN tags a ON a.tag = c.subject JOIN sentences s ON s.sid = c.sid WHERE c.volume = 'vol1'", "claims", "tags", "sentences"))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from claimloom.functions import text as T
+from claimloom.functions.vectors import centroids
 from claimloom.model import oracle, table, view
-from claimloom.operators.graph import disjoint_wave
+from claimloom.operators.graph import disjoint_wave, greedy_disjoint
+from claimloom.operators.joins import cosine_neighbours
 from claimloom.plans.lineage import cut
 from claimloom.registry import query
 
@@ -187,6 +189,27 @@ def window_register(mentions: DataFrame, decisions: DataFrame) -> tuple[DataFram
     return register, judged.where("problem is not null").select("window", "tag", "problem")
 
 
+def refine_by_centroids(vectors: DataFrame, decide, most: int = 100, near: int = 15) -> DataFrame:
+    """``item, cluster``: rank disjoint cluster pairs by centroid cosine, decide, merge or bar, recompute, until a pass accepts nothing.
+
+    ``vectors(item, embedding)``; ``decide(frame)`` adds ``accept`` to ``a, b, score``. A rejected
+    pair is barred for good, for whatever its sides are merged into too.
+    """
+    members, barred = cut(vectors.select("item", F.col("item").alias("cluster"))), None
+    while True:
+        centres = centroids(members.join(vectors, "item"), ["cluster"]).select("cluster", F.col("mean").alias("embedding"))
+        pairs = cosine_neighbours(centres, "cluster", near).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sim").alias("score"))
+        judged = cut(decide(greedy_disjoint(pairs if barred is None else pairs.join(barred, ["a", "b"], "left_anti"), most)))
+        merged = judged.where("accept").select(F.col("b").alias("from"), F.col("a").alias("to"))
+        if merged.isEmpty():
+            return members
+        refused = judged.where("not accept").select("a", "b")
+        refused = refused if barred is None else refused.union(barred)
+        moved = lambda frame, c: frame.join(merged.withColumnRenamed("from", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: B023, E731
+        members = cut(moved(members, "cluster").select("item", "cluster"))
+        barred = cut(moved(moved(refused, "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 @query("j01_labelled", oracle("SELECT c.claim_id, s.id AS subject_id, o.id AS object_id FROM claims c JOIN (SELECT tag, CAST(substr(tag, 2) AS BIGINT) AS id FROM tags) s ON s.tag = c.subject JOIN (SELECT tag, CAST(substr(tag, 2) AS BIGINT) AS id FROM tags) o ON o.tag = c.object", "claims", "tags"))
 def j01(spark, d):
     labels = view(spark, d, "tags").select("tag", F.expr("cast(substr(tag, 2) as bigint)").alias("id"))

@@ -68,6 +68,24 @@ def read_zip_members(spark: SparkSession, path: str, suffix: str = ".jsonl") ->
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, member string, line string")
 
 
+def read_zip_matrix(spark: SparkSession, path: str, suffix: str = ".npy") -> DataFrame:
+    """``archive, member, index, embedding`` of the matrix members of ZIP files, read in the tasks."""
+    import numpy as np
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for member in sorted(n for n in archive.namelist() if n.endswith(suffix)):
+                        with archive.open(member) as stream:
+                            matrix = np.load(io.BytesIO(stream.read()), allow_pickle=False).astype(np.float32)
+                        for at in range(0, len(matrix), 4096):
+                            part = matrix[at : at + 4096]
+                            yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array([member] * len(part)), pa.array(np.arange(at, at + len(part)), pa.int64()), pa.array(list(part), pa.list_(pa.float32()))], names=["archive", "member", "index", "embedding"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, member string, index long, embedding array<float>")
+
+
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """``index, embedding`` of ``.npy`` float matrices; row numbers follow the files' own order."""
     import numpy as np
@@ -132,42 +150,72 @@ def visual_lines(symbols: DataFrame) -> DataFrame:
     return rows.groupBy("page", "line").agg(F.array_join(F.transform(listed, lambda x: x["t"]), "").alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
+def read_sheet(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """A sheet of XLSX files by name (else the first): the first row names the columns, cells are strings.
+
+    Files come through Spark's file systems and are opened in the tasks; only the header row
+    reaches the driver.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                rows = sheet_rows(io.BytesIO(content), sheet)
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.string()))], names=["row", "cells"])
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "row long, cells array<string>")
+    names = rows.where("row = 0").select("cells").first()[0]
+    return rows.where("row > 0").select(*(F.get("cells", F.lit(k)).alias(n) for k, n in enumerate(names)))
+
+
 class SheetSource(DataSource):
-    """``spark.read.format("sheet")``: the first sheet of an XLSX file; its first row names the columns, cells are strings."""
+    """``spark.read.format("sheet")``: a local XLSX file's sheet by option ``sheet``, else the first; see ``read_sheet`` for shared ones."""
 
     @classmethod
     def name(cls):
         return "sheet"
 
     def schema(self):
-        return StructType([StructField(n, StringType()) for n in sheet_rows(self.options["path"])[0]])
+        return StructType([StructField(n, StringType()) for n in sheet_rows(self.options["path"], self.options.get("sheet"))[0]])
 
     def reader(self, schema):
-        return SheetReader(self.options["path"], len(schema))
+        return SheetReader(self.options["path"], len(schema), self.options.get("sheet"))
 
 
 class SheetReader(DataSourceReader):
-    def __init__(self, path: str, width: int):
-        self.path, self.width = path, width
+    def __init__(self, path: str, width: int, sheet: str | None):
+        self.path, self.width, self.sheet = path, width, sheet
 
     def partitions(self):
         return [InputPartition(self.path)]
 
     def read(self, partition):
-        for row in sheet_rows(partition.value)[1:]:
+        for row in sheet_rows(partition.value, self.sheet)[1:]:
             yield tuple([*row, *[None] * self.width][: self.width])
 
 
-def sheet_rows(path: str) -> list[list]:
-    """Cells of the first sheet: shared and inline strings, booleans, numbers as written; gaps are None."""
+def _sheet_member(book: zipfile.ZipFile, sheet: str | None) -> str:
+    """The archive member of a sheet by its name, by way of the workbook's relations; the first sheet without one."""
+    if sheet is None:
+        return min(n for n in book.namelist() if n.startswith("xl/worksheets/") and n.endswith(".xml"))
+    targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    for entry in ElementTree.fromstring(book.read("xl/workbook.xml")).iter():
+        if entry.tag.endswith("}sheet") and entry.get("name") == sheet:
+            relation = next(v for k, v in entry.attrib.items() if k.endswith("}id"))
+            return "xl/" + targets[relation].removeprefix("/xl/")
+    raise KeyError(f"no sheet {sheet!r}")
+
+
+def sheet_rows(path, sheet: str | None = None) -> list[list]:
+    """Cells of a sheet: shared and inline strings, booleans, numbers as written; gaps are None."""
     ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
     with zipfile.ZipFile(path) as book:
         shared = []
         if "xl/sharedStrings.xml" in book.namelist():
             shared = ["".join(t.text or "" for t in s.iter(f"{ns}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{ns}si")]
-        sheet = ElementTree.fromstring(book.read(min(n for n in book.namelist() if n.startswith("xl/worksheets/") and n.endswith(".xml"))))
+        cells_of = ElementTree.fromstring(book.read(_sheet_member(book, sheet)))
     out = []
-    for row in sheet.iter(f"{ns}row"):
+    for row in cells_of.iter(f"{ns}row"):
         cells: list = []
         for cell in row.iter(f"{ns}c"):
             letters = [c for c in cell.get("r", "") if c.isalpha()]
@@ -211,8 +259,12 @@ def write_staged(frame: DataFrame, path: str, check=None, form: str = "parquet")
         raise OSError(f"cannot rename to {path}")
 
 
-def write_csv(frame: DataFrame, path: str, columns: list[str], gzipped: bool = False) -> None:
-    frame.select(*columns).write.option("header", True).option("compression", "gzip" if gzipped else "none").csv(path)
+def write_csv(frame: DataFrame, path: str, columns: list[str], gzipped: bool = False, mark: bool = False) -> None:
+    """CSV with a header and the columns in this order; ``mark`` begins each file with a byte order mark."""
+    rows = frame.select(*columns)
+    if mark:
+        rows = rows.withColumnRenamed(columns[0], "\ufeff" + columns[0])
+    rows.write.option("header", True).option("compression", "gzip" if gzipped else "none").csv(path)
 
 
 def write_jsonl(frame: DataFrame, path: str) -> None:
@@ -228,23 +280,32 @@ def quads(frame: DataFrame, graph: str, subject: str, columns: dict[str, str], b
     return rows.select(F.format_string(f'<{base}%s> <{base}%s> "%s" <{base}{graph}> .', "s", "x.p", "x.o").alias("value"))
 
 
-def artifact(frame: DataFrame) -> dict:
-    """A small frame as compact JSON lines, their deterministic gzip and both hashes; for payloads that fit a driver."""
-    plain = "\n".join(frame.toJSON().collect()).encode()
+#: Bytes of JSON that an artifact may have.
+ARTIFACT_BYTES = 64 << 20
+
+
+def artifact(frame: DataFrame, most: int = ARTIFACT_BYTES) -> dict:
+    """A small frame as compact JSON lines, their deterministic gzip and both hashes; one of over ``most`` bytes is refused before it is collected."""
+    lines = frame.select(F.to_json(F.struct(*frame.columns)).alias("value"))
+    size = lines.agg(F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0))).first()[0]
+    if size > most:
+        raise ValueError(f"{size} bytes do not fit an artifact of {most}")
+    plain = "\n".join(r.value for r in lines.collect()).encode()
     packed = gzip.compress(plain, 9, mtime=0)
     return {"plain": plain, "gzip": packed, "sha256": hashlib.sha256(plain).hexdigest(), "gzip_sha256": hashlib.sha256(packed).hexdigest()}
 
 
-def manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``path, bytes, sha256`` of each input file."""
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def manifest(spark: SparkSession, paths: list[str], root: str = "") -> DataFrame:
+    """``path, bytes, sha256`` of each input file; paths are those below ``root``, so that a moved folder compares equal."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    end = F.locate(root, F.col("path")) + len(root) if root else F.lit(1)
+    below = F.regexp_replace(F.substr(F.col("path"), end, F.length("path")), "^/+", "") if root else F.col("path")
+    return files.select(below.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def check_manifest(expected: DataFrame, found: DataFrame) -> None:
-    """Raise when a hash or size differs, or a file is missing or new."""
-    key = F.regexp_extract("path", "[^/]+$", 0)
-    both = expected.select(key.alias("f"), F.col("sha256").alias("a")).join(found.select(key.alias("f"), F.col("sha256").alias("b")), "f", "full")
+    """Raise when a hash differs, or a file is missing or new; files are told apart by their whole paths."""
+    both = expected.select(F.col("path").alias("f"), F.col("sha256").alias("a")).join(found.select(F.col("path").alias("f"), F.col("sha256").alias("b")), "f", "full")
     bad = both.where(~F.col("a").eqNullSafe(F.col("b"))).orderBy("f").limit(5).collect()
     if bad:
         raise ValueError(f"inputs changed: {[r.f for r in bad]}")

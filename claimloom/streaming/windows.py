@@ -86,6 +86,50 @@ def idempotent_sink(path: str):
     return write
 
 
+class PendingCommit:
+    """Batches that are written whole or not at all, in a folder on any shared store.
+
+    ``commit`` notes the batch as pending, replaces its folder and clears the note. A note
+    that is still there tells of a commit that broke off: ``recover`` removes that batch, so
+    that its replay begins anew; committed batches stay as they are.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _place(self, name: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+
+    def recover(self) -> int | None:
+        """The batch whose commit broke off, whose rows are gone now; None after a clean end."""
+        fs, home = self._place("")
+        if not fs.exists(home):
+            return None
+        for status in fs.listStatus(home):
+            name = status.getPath().getName()
+            if name.startswith("_pending-"):
+                batch = int(name.removeprefix("_pending-"))
+                fs.delete(self._place(f"batch={batch}")[1], True)
+                fs.delete(status.getPath(), False)
+                return batch
+        return None
+
+    def begin(self, batch_id: int) -> None:
+        fs, note = self._place(f"_pending-{batch_id}")
+        fs.create(note, True).close()
+
+    def commit(self, frame: DataFrame, batch_id: int) -> None:
+        self.recover()
+        self.begin(batch_id)
+        frame.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        fs, note = self._place(f"_pending-{batch_id}")
+        fs.delete(note, False)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """A folder of event files as a stream with the batch table's columns; zoneless times are read as UTC-session times, which watermarks need."""
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
@@ -134,10 +178,13 @@ def limiter(spark, d):
     return limiter_view(table(spark, d, "events"), 3, 36000)
 
 
-@query("v01_job_states", "SELECT user_id, event_type AS state, events FROM (SELECT user_id, event_type, count(*) OVER (PARTITION BY user_id) AS events, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) x WHERE k = 1")
+_STATES = "CASE event_id % 11 WHEN 0 THEN 'SUCCEEDED' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'CANCELLED' WHEN 3 THEN 'EXPIRED' ELSE 'RUNNING' END"
+
+
+@query("v01_job_states", f"SELECT job, state, events FROM (SELECT job, state, count(*) OVER (PARTITION BY job) AS events, row_number() OVER (PARTITION BY job ORDER BY state = 'RUNNING', CASE WHEN state = 'RUNNING' THEN -epoch_us(ts) ELSE epoch_us(ts) END) AS k FROM (SELECT user_id * 100 + event_id % 7 AS job, {_STATES} AS state, ts + to_microseconds(event_id) AS ts FROM events) y) x WHERE k = 1")
 def states(spark, d):
-    rows = table(spark, d, "events").withColumn("at", F.col("ts"))
-    return rows.groupBy("user_id").agg(F.max_by("event_type", F.struct("at", "event_id")).alias("state"), F.count("*").alias("events"))
+    rows = table(spark, d, "events").selectExpr("user_id * 100 + event_id % 7 as job", f"{_STATES} as state", "timestamp_micros(unix_micros(cast(ts as timestamp)) + event_id) as at")
+    return job_states(rows, "job", "state", "at")
 
 
 @query("v02_response_classes", "SELECT CASE WHEN event_id % 10 = 0 THEN 'transport_error' WHEN event_id % 9 = 0 THEN 'truncated' WHEN event_id % 8 = 0 THEN 'schema_invalid' WHEN event_id % 7 = 0 THEN 'validation_invalid' ELSE 'accepted' END AS kind, count(*) AS n, count(*) FILTER (event_id % 100 >= 36) AS near FROM events GROUP BY 1")
