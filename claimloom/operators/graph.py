@@ -39,8 +39,8 @@ def degrees(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     return both.where("node <> other").groupBy("node").agg(F.count_distinct("other").alias("degree"))
 
 
-#: Modularity that a round of moves must gain to be worth another.
-LEAST_GAIN = 1e-3
+#: Modularity that a round of moves must gain to count, and rounds in a row without it that end the moves.
+LEAST_GAIN, PATIENCE = 1e-3, 3
 #: Edges up to this many are moved over in one task; the rounds are the same either way.
 ONE_TASK = 500_000
 
@@ -50,7 +50,7 @@ def _moved(both: DataFrame, resolution: float) -> DataFrame:
 
     In each round a hashed half of the nodes goes, all at once, to the neighbouring community
     with the largest gain; a round counts only if it raises the modularity by ``LEAST_GAIN``,
-    and two in a row that do not end the moves.
+    and ``PATIENCE`` in a row that do not end the moves.
     """
     if both.count() <= ONE_TASK:
         kind = both.schema["a"].dataType.simpleString()
@@ -79,10 +79,8 @@ def _moved(both: DataFrame, resolution: float) -> DataFrame:
         reached = quality(fresh)
         if reached > best + LEAST_GAIN:
             labels, best, failed = fresh, reached, 0
-        elif failed:
+        elif (failed := failed + 1) == PATIENCE:
             return labels
-        else:
-            failed = 1
 
 
 def _moved_here(rows: pd.DataFrame, resolution: float) -> pd.DataFrame:
@@ -92,7 +90,7 @@ def _moved_here(rows: pd.DataFrame, resolution: float) -> pd.DataFrame:
     hashes = np.zeros(n, np.int64)
     hashes[a] = rows["h"].to_numpy()
     degree = np.bincount(a, w, n)
-    whole, labels, apart, failed = degree.sum() or 1.0, np.arange(n), a != b, False
+    whole, labels, apart, failed = degree.sum() or 1.0, np.arange(n), a != b, 0
     quality = lambda c: (w[c[a] == c[b]].sum() / whole) - resolution * ((np.bincount(c, degree, n) / whole) ** 2).sum()
     best = quality(labels)
     for turn in count():
@@ -108,11 +106,9 @@ def _moved_here(rows: pd.DataFrame, resolution: float) -> pd.DataFrame:
         fresh = np.where((hashes >> (turn % 60)) & 1 == 1, label[first], labels)
         reached = quality(fresh)
         if reached > best + LEAST_GAIN:
-            labels, best, failed = fresh, reached, False
-        elif failed:
+            labels, best, failed = fresh, reached, 0
+        elif (failed := failed + 1) == PATIENCE:
             return pd.DataFrame({"node": names, "label": names[labels]})
-        else:
-            failed = True
 
 
 def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:

@@ -85,7 +85,7 @@ def test_communities_in_one_task_and_in_tables(spark, monkeypatch):
     found = {r.node: r.label for r in graph.communities(edges).collect()}
     assert {n: f"n{n[1]}0" for n in found} == found and len(found) == 21
     monkeypatch.setattr(graph, "ONE_TASK", 0)
-    assert {r.node: r.label for r in graph.communities(edges.where("a < 'n2'")).collect()} == {n: x for n, x in found.items() if n < "n2"}
+    assert {r.node: r.label for r in graph.communities(edges.where("a < 'n2' and b < 'n2'")).collect()} == {n: x for n, x in found.items() if n < "n2"}
 
 
 def test_refinement_merges_bars_and_recomputes(spark):
