@@ -250,11 +250,18 @@ def j11(spark, d):
     return nearest_assignment(lines, e.where("event_id % 2 <> 0").selectExpr("user_id % 30 as page", "event_id as entry", "(event_id * 53) % 900 as y"), "page")
 
 
-@query("j13_best_title")
+_J13 = r""", l AS (SELECT sid, page, lower(string_split(text, chr(10))[1]) AS t FROM sentences),
+  g AS (SELECT sid, page, CASE WHEN len(t) >= 3 THEN list_distinct(list_transform(range(1, len(t) - 1), lambda i: array_slice(c, i, i + 2)::VARCHAR)) WHEN len(t) > 0 THEN [c::VARCHAR] ELSE []::VARCHAR[] END AS g FROM (SELECT *, string_split(t, '') AS c FROM l) z),
+  p AS (SELECT a.sid AS title_id, b.sid AS heading_id, CASE WHEN len(a.g) + len(b.g) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) END AS sim FROM g a JOIN g b ON a.sid % 3 = 0 AND b.sid % 3 = 1 AND abs(a.page - b.page) <= 1)
+  SELECT title_id, heading_id, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY title_id ORDER BY sim DESC, heading_id) AS k FROM p) x WHERE k = 1"""
+
+
+@query("j13_best_title", oracle(_J13, "sentences"))
 def j13(spark, d):
-    s = view(spark, d, "sentences")
-    titles = s.where("sid % 3 = 0").selectExpr("sid as title_id", "page", "left(text, 20) as title")
-    return best_title(titles, s.where("sid % 3 = 1").selectExpr("sid as heading_id", "page", "left(text, 20) as heading"))
+    """A text's first line is its title or heading: every third text is a title, every third a heading."""
+    s = view(spark, d, "sentences").select("sid", "page", F.split("text", "\n")[0].alias("line"))
+    titles = s.where("sid % 3 = 0").selectExpr("sid as title_id", "page", "line as title")
+    return best_title(titles, s.where("sid % 3 = 1").selectExpr("sid as heading_id", "page", "line as heading")).withColumn("sim", F.round("sim", 6))
 
 
 @query("j19_theta_top", oracle(", p AS (SELECT claim_id AS a, sid AS b, (claim_id % 71) / 71.0 AS tok, (claim_id % 53) / 53.0 AS tri, (claim_id % 97) / 97.0 AS cos, (claim_id % 31) / 31.0 AS char FROM claims) SELECT a, b, round(0.5 * (0.45 * char + 0.4 * tok + 0.15 * tri) + 0.5 * cos, 6) AS score FROM p ORDER BY 0.5 * (0.45 * char + 0.4 * tok + 0.15 * tri) + 0.5 * cos DESC, a, b LIMIT 50", "claims"))
@@ -311,7 +318,7 @@ def x07(spark, d):
     return keys.where(F.col("key").startswith("sorted:")).distinct()
 
 
-@query("x08_variant_rewrite")
+@query("x08_variant_rewrite", r"SELECT p_partkey, array_to_string(list_transform(string_split(trim(regexp_replace(' ' || array_to_string(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^\p{L}\p{N}\p{M}]+', ' ', 'g')), ' '), lambda x: x <> ''), ' ') || ' ', ' blue steel ', ' bluesteel ')), ' '), lambda t: CASE t WHEN 'red' THEN 'crimson' ELSE t END), ' ') AS name FROM part")
 def x08(spark, d):
     t = T.label_tokens(F.col("p_name"))
     return table(spark, d, "part").select("p_partkey", F.array_join(rewritten(t, {"blue steel": "bluesteel"}, {"red": "crimson"}), " ").alias("name"))
