@@ -9,6 +9,7 @@ from claimloom.functions import text as T
 from claimloom.functions.vectors import dot, unit
 from claimloom.model import oracle, table, view
 from claimloom.operators.aggregates import differences, reconciled
+from claimloom.operators.components import connected_components
 from claimloom.operators.facets import FilterSpec, filtered_tags
 from claimloom.operators.joins import overlapping
 from claimloom.operators.labels import best_span, match_ladder
@@ -35,6 +36,46 @@ def facet_counts(claims: DataFrame, spec: FilterSpec, roles=("s_cat", "r_cat", "
     return out
 
 
+def _scoped(claims: DataFrame) -> DataFrame:
+    """Each claim under ``corpus`` and under its volume."""
+    return claims.withColumn("scope", F.explode(F.array(F.lit("corpus"), F.col("volume"))))
+
+
+def catalog(claims: DataFrame) -> DataFrame:
+    """``scope, claims, entities, relations, sentences, pages`` of the corpus and of each volume."""
+    rows = _scoped(claims)
+    plain = rows.groupBy("scope").agg(F.count("*").alias("claims"), F.count_distinct("relation").alias("relations"), F.count_distinct("sid").alias("sentences"), F.count_distinct("volume", "page").alias("pages"))
+    ends = rows.select("scope", F.explode(F.array("subject", "object")).alias("tag")).groupBy("scope").agg(F.count_distinct("tag").alias("entities"))
+    return plain.join(ends, "scope").select("scope", "claims", "entities", "relations", "sentences", "pages")
+
+
+def claim_record(claims: DataFrame, sentences: DataFrame, claim_id: int) -> DataFrame:
+    """One claim with the text of its sentence; no row for an unknown id."""
+    one = claims.where(F.col("claim_id") == claim_id).select("claim_id", "sid", "volume", "page", "subject", "relation", "object")
+    return one.join(sentences.select("sid", "lang", "text"), "sid", "left")
+
+
+def atlas(claims: DataFrame) -> DataFrame:
+    """``scope, nodes, edges, claims, components`` of the corpus graph and of each volume's, all at once."""
+    rows = _scoped(claims)
+    named = lambda c: F.concat("scope", F.lit(":"), c)
+    edges = rows.select("scope", F.least("subject", "object").alias("a"), F.greatest("subject", "object").alias("b")).distinct()
+    components = connected_components(edges.select(named("a").alias("a"), named("b").alias("b")), "a", "b")
+    nodes = components.groupBy(F.split("node", ":")[0].alias("scope")).agg(F.count("*").alias("nodes"), F.count_distinct("component").alias("components"))
+    return rows.groupBy("scope").agg(F.count("*").alias("claims")).join(edges.where("a <> b").groupBy("scope").agg(F.count("*").alias("edges")), "scope").join(nodes, "scope").select("scope", "nodes", "edges", "claims", "components")
+
+
+def page_view(claims: DataFrame, sentences: DataFrame, volume: str, page: int, variant: str = "claims") -> DataFrame:
+    """A page's claims in order, or (``text``) its sentences with the number of their claims."""
+    here = lambda f: f.where((F.col("volume") == volume) & (F.col("page") == page))
+    if variant == "claims":
+        return here(claims).select("sid", "ordinal", "claim_id", "subject", "relation", "object").orderBy("sid", "ordinal", "claim_id")
+    if variant != "text":
+        raise ValueError("variant must be claims or text")
+    counts = claims.groupBy("sid").agg(F.count("*").alias("claims"))
+    return here(sentences).select("sid", "text").join(counts, "sid", "left").select("sid", "text", F.coalesce("claims", F.lit(0)).alias("claims")).orderBy("sid")
+
+
 def line_kinds(c) -> F.Column:
     """date, footnote, publisher or null for a line."""
     return F.when(c.rlike(rf"(?i)\b[0-9]{{1,2}}\s+({MONTHS})\s+[0-9]{{4}}\b|\b({MONTHS})\s+[0-9]{{1,2}},?\s+[0-9]{{4}}\b"), "date").when(c.rlike(r"^\s*(\[[0-9]+\]|[0-9]+[.)])\s"), "footnote").when(c.rlike(r"(?i)\b(press|publisher|published by|printed at)\b"), "publisher")
@@ -81,6 +122,29 @@ def g13(spark, d):
     return facet_counts(view(spark, d, "claims"), FilterSpec(s_cat=("E1", "E2"), r_cat=("R1",)))
 
 
+_SCOPED = ", x AS (SELECT *, unnest(['corpus', volume]) AS scope FROM claims)"
+
+
+@query("e_catalog", oracle(_SCOPED + " SELECT c.*, e.entities FROM (SELECT scope, count(*) AS claims, count(DISTINCT relation) AS relations, count(DISTINCT sid) AS sentences, count(DISTINCT volume || page) AS pages FROM x GROUP BY scope) c JOIN (SELECT scope, count(DISTINCT tag) AS entities FROM (SELECT scope, unnest([subject, object]) AS tag FROM x) y GROUP BY scope) e ON e.scope = c.scope", "claims").replace("c.*", "c.scope, c.claims, c.relations, c.sentences, c.pages"))
+def e_catalog(spark, d):
+    return catalog(view(spark, d, "claims"))
+
+
+@query("e_claim", oracle("SELECT c.claim_id, c.sid, c.volume, c.page, c.subject, c.relation, c.object, s.lang, s.text FROM claims c LEFT JOIN sentences s ON s.sid = c.sid WHERE c.claim_id = 7", "claims", "sentences"))
+def e_claim(spark, d):
+    return claim_record(view(spark, d, "claims"), view(spark, d, "sentences"), 7)
+
+
+@query("e_atlas", oracle(_SCOPED + ", e AS (SELECT DISTINCT scope, least(subject, object) AS a, greatest(subject, object) AS b FROM x), k AS (SELECT scope, a AS x, b AS y FROM e UNION SELECT scope, b, a FROM e), r AS (WITH RECURSIVE w(scope, x, y) AS (SELECT scope, x, x FROM k UNION SELECT w.scope, w.x, k.y FROM w JOIN k ON k.scope = w.scope AND k.x = w.y) SELECT * FROM w), n AS (SELECT scope, x, min(y) AS c FROM r GROUP BY scope, x) SELECT q.scope, q.nodes, q.components, (SELECT count(*) FROM e WHERE e.scope = q.scope AND a <> b) AS edges, (SELECT count(*) FROM x WHERE x.scope = q.scope) AS claims FROM (SELECT scope, count(*) AS nodes, count(DISTINCT c) AS components FROM n GROUP BY scope) q", "claims"))
+def e_atlas(spark, d):
+    return atlas(view(spark, d, "claims"))
+
+
+@query("e_page", oracle("SELECT s.sid, s.text, count(c.claim_id) AS claims FROM sentences s LEFT JOIN claims c ON c.sid = s.sid WHERE s.volume = 'vol2' AND s.page = 11 GROUP BY s.sid, s.text", "claims", "sentences"))
+def e_page(spark, d):
+    return page_view(view(spark, d, "claims"), view(spark, d, "sentences"), "vol2", 11, "text")
+
+
 @query("f21_line_kinds", rf"SELECT doc_id, CAST(line AS INT) AS line, CASE WHEN regexp_matches(value, '(?i)\b[0-9]{{1,2}}\s+({MONTHS})\s+[0-9]{{4}}\b|\b({MONTHS})\s+[0-9]{{1,2}},?\s+[0-9]{{4}}\b') THEN 'date' WHEN regexp_matches(value, '^\s*(\[[0-9]+\]|[0-9]+[.)])\s') THEN 'footnote' WHEN regexp_matches(value, '(?i)\b(press|publisher|published by|printed at)\b') THEN 'publisher' END AS kind FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents) x")
 def f21(spark, d):
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "value"))
