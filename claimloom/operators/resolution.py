@@ -355,7 +355,16 @@ def x17(spark, d):
     return _label_pairs(spark, d).select("a", "b", F.round(lexical_score("x", "y"), 6).alias("score"))
 
 
-@query("x21_pair_features")
+_X21 = r"""WITH n AS (SELECT p_partkey AS k, p_name AS name, list_filter(string_split(trim(regexp_replace(lower(p_name), '[^\p{L}\p{N}\p{M}]+', ' ', 'g')), ' '), lambda x: x <> '') AS t,
+    CASE WHEN len(p_name) >= 3 THEN list_distinct(list_transform(range(1, len(p_name) - 1), lambda i: substr(lower(p_name), i, 3))) ELSE [lower(p_name)] END AS g FROM part),
+  p AS (SELECT x.k AS a, y.k AS b, (x.k * y.k % 101) / 101::DOUBLE AS score, x.t AS tx, y.t AS ty, x.g AS gx, y.g AS gy, len(x.name) AS lx, len(y.name) AS ly FROM n x JOIN n y ON y.k BETWEEN x.k + 1 AND x.k + 3),
+  f AS (SELECT a, b, score, len(list_intersect(tx, ty))::DOUBLE / len(list_distinct(list_concat(tx, ty))) AS jaccard, len(list_intersect(tx, ty))::DOUBLE / least(len(list_distinct(tx)), len(list_distinct(ty))) AS overlap_min, len(list_intersect(tx, ty))::DOUBLE / greatest(len(list_distinct(tx)), len(list_distinct(ty))) AS overlap_max,
+    len(list_intersect(gx, gy))::DOUBLE / len(list_distinct(list_concat(gx, gy))) AS trigram, CAST(tx[1] = ty[1] AS INT) AS same_first, CAST(tx[-1] = ty[-1] AS INT) AS same_last, least(lx, ly)::DOUBLE / greatest(lx, ly) AS length_ratio,
+    count(*) OVER (PARTITION BY a) AS degree_a, count(*) OVER (PARTITION BY b) AS degree_b, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank_a, row_number() OVER (PARTITION BY b ORDER BY score DESC, a) AS rank_b, max(score) OVER (PARTITION BY a) - score AS gap_a FROM p)
+  SELECT *, CAST(rank_a = 1 AND rank_b = 1 AS INT) AS mutual_best FROM f"""
+
+
+@query("x21_pair_features", _X21)
 def x21(spark, d):
     return pair_features(_label_pairs(spark, d)).drop("x", "y")
 
