@@ -97,7 +97,7 @@ def test_bins_against_plain_best_fit(spark):
                 plain += 1
                 room.append(2048 - size)
         assert sorted(r.uid for r in placed) == list(range(len(sizes))) and max(load.values()) <= 2048
-        assert len(load) <= 1.02 * plain + 2
+        assert len(load) <= 1.04 * plain + 2  # leaves of 150 pieces, where queries take 20,000
 
 
 # op5 ----------------------------------------------------------------------------
