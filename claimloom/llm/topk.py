@@ -1,12 +1,15 @@
 """Operator 10: exact top-k inner products by no-random-access aggregation.
 
 Each dimension is a list of the rows sorted by their value, which a query reads from the top
-where its own component is positive and from the bottom where it is negative. Lists are read
-in blocks, the one that leaves most of the score open first. What a query has read of a row
-adds up; what it has not read lies between the list's frontier and its far end, so every row
-has an upper and a lower bound. Rows whose upper bound is under the k-th best lower bound
-cannot qualify. Reading stops when no more than ``POOL * k`` rows are left, and only their
-scores are resolved.
+where its own component is positive and from the bottom where it is negative. All lists are
+read in blocks to one depth. What a query has read of a row adds up; what it has not read
+lies between the list's frontier and its far end, so every row has an upper and a lower
+bound. Rows whose upper bound is under the k-th best lower bound, or under the k-th best
+score of rows read before, cannot qualify. Reading stops when no more than ``POOL * k`` rows
+are left, and only their scores are resolved.
+
+Both bounds are sums over the two ends of the lists, with unread values held at the frontier
+or the far end, so the bounds of many queries at one depth are one matrix product.
 """
 
 from __future__ import annotations
@@ -17,14 +20,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 64
-#: Blocks that each list is read in.
-READS = 16
+#: Parts of each list, and after how many of them the bounds are taken.
+READS = 64
+LEVELS = (1, 2, 4, 8, 16, 32, 40, 48, 56, 64)
 #: Rows for each wanted one that may be left when reading stops.
 POOL = 2
 #: Rows of a query block and of a candidate block; a task holds one of each.
-QUERY_ROWS, CANDIDATE_ROWS = 2048, 8192
-#: Components of a candidate block at most, so that wide vectors make shorter blocks.
+QUERY_ROWS, CANDIDATE_ROWS = 32768, 32768
+#: Components of a block at most, so that wide vectors make shorter blocks.
 CELLS = 1 << 22
+#: Candidate blocks that rows enough for it are dealt into at least, and the least rows of such a block.
+SPREAD, LEAST_ROWS = 12, 1024
+#: Rows of the first lists of a block, which have no scores to go by, and of the others.
+FIRST_LISTS, LISTS = 1024, 4096
+#: Queries that take their bounds together, and those that go first to tell the others how deep to start.
+BATCH, PILOT = 512, 16
 
 
 def whole_numbers(vectors: DataFrame) -> DataFrame:
@@ -42,65 +52,118 @@ def _matrix(column, width: int) -> np.ndarray:
 
 
 class Lists:
-    """The rows of a candidate block as one sorted list for each dimension."""
-
-    def __init__(self, rows: np.ndarray, row_ids: np.ndarray):
-        by_id = np.argsort(row_ids, kind="stable")
-        self.rows, self.ids = rows[by_id], row_ids[by_id]
-        self.n, self.width = rows.shape
-        order = np.argsort(self.rows, 0, kind="stable")
-        self.order, self.values = np.ascontiguousarray(order.T), np.ascontiguousarray(np.take_along_axis(self.rows, order, 0).T)
-
-    def read(self, i: int, from_top: bool, at: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and values of the places ``at`` to ``stop`` of list ``i``."""
-        if from_top:
-            at, stop = self.n - stop, self.n - at
-        return self.order[i, at:stop], self.values[i, at:stop]
-
-    def top(self, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Ids and scores of the ``k`` best rows but the query's own, and how many entries were read."""
-        own = int(np.searchsorted(self.ids, query_id))
-        alive = np.ones(self.n, bool)
-        if own < self.n and self.ids[own] == query_id:
-            alive[own] = False
-        step = max(1, -(-self.n // READS))
-        down = query > 0
-        best, worst = np.where(down, self.values[:, -1], self.values[:, 0]) * query, np.where(down, self.values[:, 0], self.values[:, -1]) * query
-        depth, front = np.zeros(self.width, np.int64), best.copy()
-        depth[best == worst], front[best == worst] = self.n, 0  # such a list says nothing: all its entries are alike
-        known = np.full(self.n, best[best == worst].sum(), query.dtype)
-        seen = np.zeros((self.width, self.n), query.dtype)
-        seen[best == worst] = 1
-        worst = np.where(best == worst, 0, worst)
-        read = 0
-        while alive.sum() > POOL * k:
-            open_ = np.where(depth < self.n, front - worst, -1)
-            if open_.max() < 0:
+    """Rows as one sorted list for each dimension, read from both ends."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows, self.n = rows, len(rows)
+        self.values = np.sort(rows, 0)
+        self.alike = self.values[0] == self.values[-1]  # such a list says nothing, and is not read
+        self.known: dict = {}
+
+    def read(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The most and the least that each row may have in each list, from the top and from the bottom, and the entries read; equal entries are read together."""
+        if level not in self.known:
+            depth = -(-self.n * level // READS)
+            top, bottom = self.values[self.n - depth], self.values[depth - 1]
+            above, below = self.rows >= top, self.rows <= bottom
+            most = np.hstack([np.maximum(self.rows, top), np.minimum(self.rows, bottom)])
+            least = np.hstack([np.where(above, self.rows, self.values[0]), np.where(below, self.rows, self.values[-1])])
+            entries = np.where(np.tile(self.alike, 2), 0, np.concatenate([above.sum(0), below.sum(0)]))
+            self.known[level] = most, least, entries
+        return self.known[level]
+
+
+class Best:
+    """The ``k`` best rows of each query so far, by score and then id; places not yet taken score ``LOWEST``."""
+
+    def __init__(self, n: int, k: int, kind):
+        self.lowest = -np.inf if np.issubdtype(kind, np.floating) else np.iinfo(kind).min + 1
+        self.scores, self.ids = np.full((n, k), self.lowest, kind), np.full((n, k), np.iinfo(np.int64).max)
+        self.k = k
+
+    def add(self, at: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        better = scores > self.scores[at, -1]  # ids come in rising order, so an equal score comes too late
+        if not better.any():
+            return
+        touched, at = np.unique(at[better], return_inverse=True)
+        owner = np.concatenate([np.repeat(np.arange(len(touched)), self.k), at])
+        scores, ids = np.concatenate([self.scores[touched].ravel(), scores[better]]), np.concatenate([self.ids[touched].ravel(), ids[better]])
+        order = np.lexsort((ids, -scores, owner))
+        take = order[np.searchsorted(owner[order], np.arange(len(touched)))[:, None] + np.arange(self.k)]
+        self.scores[touched], self.ids[touched] = scores[take], ids[take]
+
+
+def _bounded(lists: Lists, queries: np.ndarray, ends: np.ndarray, own: np.ndarray, level: int, best: Best, at: np.ndarray):
+    """Of queries ``at``: places and rows that may still qualify at this depth, and their scores where all is read."""
+    if level == READS:
+        upper = lower = queries[at] @ lists.rows.T
+    else:
+        most, least, _ = lists.read(level)
+        upper = lower = ends[at] @ most.T
+    mine = np.flatnonzero((own[at] >= 0) & (own[at] < lists.n))
+    upper[mine, own[at][mine]] = best.lowest
+    floor = best.scores[at, -1]
+    alive = upper > floor[:, None]
+    if (floor == best.lowest).any() and lists.n > best.k:
+        if level < READS:
+            lower = ends[at] @ least.T
+            lower[mine, own[at][mine]] = best.lowest
+        alive &= upper >= np.partition(lower, lists.n - best.k, 1)[:, [lists.n - best.k]]
+    place, row = np.divmod(np.flatnonzero(alive), lists.n)
+    return place, row, upper[place, row] if level == READS else None
+
+
+def _read_lists(lists: Lists, ids: np.ndarray, queries: np.ndarray, ends: np.ndarray, own: np.ndarray, best: Best, read: np.ndarray) -> None:
+    """All queries against one set of lists, each as deep as it must; ``best`` and ``read`` are brought up to date."""
+    start, stopped = 0, []
+    for first in [0, *range(PILOT, len(queries), BATCH)]:
+        at = np.arange(first, min(len(queries), first + BATCH if first else PILOT))
+        for step in range(start, len(LEVELS)):
+            level = LEVELS[step]
+            place, row, scores = _bounded(lists, queries, ends, own, level, best, at)
+            left = np.bincount(place, minlength=len(at))
+            done = (left <= POOL * best.k) | (level == READS)
+            keep = done[place]
+            place, row = at[place[keep]], row[keep]
+            scores = np.einsum("ij,ij->i", queries[place], lists.rows[row]) if scores is None else scores[keep]
+            best.add(place, scores, ids[row])
+            read[at[done]] += (ends[at[done]] != 0) @ (np.where(np.tile(lists.alike, 2), 0, lists.n) if level == READS else lists.read(level)[2])
+            if not first:
+                stopped += [step] * int(done.sum())
+            at = at[~done]
+            if not len(at):
                 break
-            for i in np.flatnonzero(open_ * 2 >= open_.max()).tolist():
-                stop = min(self.n, depth[i] + step)
-                at, values = self.read(i, bool(down[i]), depth[i], stop)
-                known[at] += values * query[i]
-                seen[i, at] = 1
-                read += stop - depth[i]
-                # the last entry of the block is the frontier: nothing unread contributes more
-                depth[i], front[i] = stop, values[0 if down[i] else -1] * query[i] if stop < self.n else worst[i]
-            lower = known + worst.sum() - worst @ seen
-            upper = known + front.sum() - front @ seen
-            floor = np.partition(lower[alive], alive.sum() - k)[alive.sum() - k]
-            alive &= upper >= floor
-        left = np.flatnonzero(alive)
-        scores = self.rows[left] @ query
-        first = np.argsort(-scores, kind="stable")[:k]
-        return self.ids[left[first]], scores[first].astype(np.int64), int(read)
+        if not first:
+            start = sorted(stopped)[len(stopped) * 9 // 10]
+
+
+def best_rows(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[Best, np.ndarray]:
+    """Each query's ``k`` best rows but its own, and how many list entries it read.
+
+    Rows are taken in lists of bounded length in the order of their ids: the scores found in
+    one are what rows of the next have to exceed. Sums stay exact: 32-bit floats hold them
+    under 2^24, 64-bit ones under 2^51, whole numbers beyond.
+    """
+    top = int(np.abs(queries).max(initial=0)) * int(np.abs(rows).max(initial=0)) * max(1, queries.shape[1])
+    kind = np.float32 if top < 1 << 24 else np.float64 if top < 1 << 51 else np.int64
+    by_id = np.argsort(row_ids, kind="stable")
+    rows, row_ids, queries = rows[by_id].astype(kind), row_ids[by_id], queries.astype(kind)
+    ends = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)])
+    own = np.searchsorted(row_ids, query_ids)
+    own[(own == len(row_ids)) | (row_ids[np.minimum(own, len(row_ids) - 1)] != query_ids)] = -1 - len(row_ids)
+    best, read = Best(len(queries), k, kind), np.zeros(len(queries), np.int64)
+    first = max(FIRST_LISTS, 2 * k)
+    edges = [0, *range(first, len(rows), LISTS), len(rows)] if len(rows) > max(first, LISTS) else [0, len(rows)]
+    for at, stop in zip(edges, edges[1:], strict=False):
+        _read_lists(Lists(rows[at:stop]), row_ids[at:stop], queries, ends, own - at, best, read)
+    return best, read
 
 
 def nra(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int):
     """For each query the ids and scores of its ``k`` best rows, ties to the smaller id, and the list entries read."""
-    top = int(np.abs(queries).max(initial=0)) * int(np.abs(rows).max(initial=0)) * max(1, queries.shape[1])
-    kind = np.float64 if top < 1 << 51 else np.int64
-    lists = Lists(rows.astype(kind), row_ids)
-    return [lists.top(q, int(i), k) for q, i in zip(queries.astype(kind), query_ids, strict=True)]
+    best, read = best_rows(queries, query_ids, rows, row_ids, k)
+    taken = best.scores > best.lowest
+    return [(ids[t], scores[t].astype(np.int64), int(r)) for ids, scores, t, r in zip(best.ids, best.scores, taken, read, strict=True)]
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, query_rows: int = QUERY_ROWS, candidate_rows: int = CANDIDATE_ROWS, report: bool = False) -> DataFrame:
@@ -119,23 +182,26 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, query_rows: int = QU
     is_query = F.col("vec_id") % every == 0
     n, n_queries, width = rows.agg(F.count("*"), F.count_if(is_query), F.max(F.size("v"))).first()
     width = max(1, width or 1)
-    candidate_rows = max(1, min(candidate_rows, CELLS // width))
-    blocks, query_blocks = max(1, -(-n // candidate_rows)), max(1, -(-n_queries // query_rows))
+    candidate_rows, query_rows = (max(1, min(most, CELLS // width)) for most in (candidate_rows, query_rows))
+    blocks, query_blocks = max(1, -(-n // candidate_rows), min(SPREAD, n // LEAST_ROWS)), max(1, -(-n_queries // query_rows))
+    parts = min(4 * blocks * query_blocks, 1024)  # given, since a small block is much work
     deal = lambda count, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(count)).cast("int")
     spread = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    candidates = rows.select(F.col("vec_id").alias("row_id"), F.col("v").alias("w"), deal(blocks, 1).alias("cb"), spread(query_blocks).alias("qb"))
-    queries = rows.where(is_query).select("vec_id", "v", spread(blocks).alias("cb"), deal(query_blocks, 2).alias("qb"))
-    names = ["query_id", "vec_id", "score", "entries"]
+    candidates = rows.select(F.col("vec_id").alias("row_id"), F.col("v").alias("w"), deal(blocks, 1).alias("cb"), spread(query_blocks).alias("qb")).repartition(parts, "qb", "cb")
+    queries = rows.where(is_query).select("vec_id", "v", spread(blocks).alias("cb"), deal(query_blocks, 2).alias("qb")).repartition(parts, "qb", "cb")
+    names = ["query_id", "vec_id", "score", *(["entries"] if report else [])]
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(left) and len(right):
-            ids = left["vec_id"].to_numpy()
-            for query_id, (got, scores, read) in zip(ids, nra(_matrix(left["v"], width), ids, _matrix(right["w"], width), right["row_id"].to_numpy(), k), strict=True):
-                found.append(np.stack([np.full(len(got), query_id), got, scores, np.full(len(got), read)], 1))
-        return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 4)), columns=names).astype("int64")
-
-    met = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInPandas(meet, "query_id long, vec_id long, score long, entries long")
+        if not len(left) or not len(right):
+            return pd.DataFrame(np.zeros((0, len(names)), np.int64), columns=names)
+        ids = left["vec_id"].to_numpy()
+        best, read = best_rows(_matrix(left["v"], width), ids, _matrix(right["w"], width), right["row_id"].to_numpy(), k)
+        taken = best.scores > best.lowest
+        query = np.nonzero(taken)[0]
+        found = [ids[query], best.ids[taken], best.scores[taken].astype(np.int64), read[query]]
+        return pd.DataFrame(dict(zip(names, found, strict=False)))
+
+    met = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInPandas(meet, ", ".join(f"{name} long" for name in names))
     if report:
         by_block = cut(met.withColumn("cb", deal(blocks, 1)))
         reads = by_block.groupBy("query_id", "cb").agg(F.max("entries").alias("e")).groupBy("query_id").agg((F.sum("e") / F.lit(float(n * width))).alias("read"))
