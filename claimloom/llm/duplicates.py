@@ -31,8 +31,10 @@ BROADCAST_IDS = 1_000_000
 #: Members that meet one copy of a hub, and members in a block of the closing comparison.
 HUB_ROWS = 256
 BLOCK = 1024
-#: Members of unlike labels with which a band is cut finer by a second band.
+#: Members of unlike labels from which a band's members are dealt by their rarest shingles instead.
 COMMON = 16 * BLOCK
+#: Shingles whose counts are known where rare ones are chosen; the choice loses nothing whatever they are.
+ORDERED = 200_000
 #: Rows of one key from which its part of a join is broadcast.
 MANY = 1000
 #: Registers that the closing comparison looks at first.
@@ -371,22 +373,58 @@ def _of_several(members: DataFrame, least: int) -> DataFrame:
     return members.join(mixed.select("band"), "band", "left_semi").select("band", "doc_id", "label")
 
 
-def _finer(members: DataFrame, bands: DataFrame) -> DataFrame:
-    """``members`` with bands of over ``COMMON`` unlike members cut by every second band that their members share.
+def _token_counts(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The ``ORDERED`` commonest shingles of ``sets``, sorted, and in how many of them each is.
 
-    A pair of similarity 0.8 that shares a band shares no other with chance 4e-6, about what
-    the bands themselves miss, so cutting loses as little. What is still common is cut once
-    more; blocks take whatever is left.
+    They only order a text's shingles: a shingle that is not among them counts as rare.
     """
-    for _ in range(2):
-        common = cut(_unlike(members).where(F.col("n_rest") > COMMON).select("band"))
-        if common.isEmpty():
-            break
-        many = F.broadcast(common) if common.count() <= BROADCAST_IDS else common
-        again = members.join(many, "band", "left_semi").join(bands.select("doc_id", F.col("band").alias("other")), "doc_id").where("band <> other")
-        again = again.select(F.xxhash64("band", "other").alias("band"), "doc_id", "label").distinct()
-        members = cut(members.join(many, "band", "left_anti").union(_of_several(again, 2)))
-    return members
+
+    def run(batches):
+        for batch in batches:
+            tokens = [np.frombuffer(h, np.int64) for h in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens) if tokens else [], pa.int64())], names=["token"])
+
+    counts = sets.select("hashes").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    rows = counts.orderBy(F.desc("n"), "token").limit(ORDERED).collect()
+    tokens, n = np.array([r.token for r in rows], np.int64).view(U64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
+
+
+def _prefix(full: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest shingles of a set, of which two sets that reach the threshold share one.
+
+    If ``s`` is the first shingle that two linked sets share, in one order of all shingles,
+    at least ``percent`` of each set's shingles come no earlier, so ``s`` is among each set's
+    first ``n - ceil(n * percent / 100) + 1``.
+    """
+    at = np.minimum(np.searchsorted(tokens, full), max(0, len(tokens) - 1))
+    weight = np.where(tokens[at] == full, counts[at], 0) if len(tokens) else np.zeros(len(full), np.int64)
+    return full[np.lexsort((full, weight))[: len(full) + 1 - -(-len(full) * percent // 100)]]
+
+
+def _finer(members: DataFrame, documents: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``members`` with bands of over ``COMMON`` unlike members cut by rare shingles, which loses no link.
+
+    All members of such bands are dealt anew by the rarest shingles of their full sets, see
+    ``_prefix``; blocks take what is still common then, whatever its size.
+    """
+    common = cut(_unlike(members).where(F.col("n_rest") > COMMON).select("band"))
+    if common.isEmpty():
+        return members
+    many = F.broadcast(common) if common.count() <= BROADCAST_IDS else common
+    labels = cut(members.join(many, "band", "left_semi").select("doc_id", "label").distinct())
+    sets = full_sets(texts_of(documents, labels), shingle)
+    tokens, counts = _token_counts(sets)
+
+    def run(batches):
+        for batch in batches:
+            found = [_prefix(np.frombuffer(h, U64), tokens, counts, percent).view(np.int64) if h else np.zeros(0, np.int64) for h in batch.column(1).to_pylist()]
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in found]) if found else []
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64()), pa.array(ids, pa.int64())], names=["band", "doc_id"])
+
+    again = sets.mapInArrow(run, "band long, doc_id long").distinct().join(labels, "doc_id").select("band", "doc_id", "label")
+    return cut(members.join(many, "band", "left_anti").union(_of_several(again, 2)))
 
 
 def closing_links(bands: DataFrame, labels: DataFrame, sketches: DataFrame, documents: DataFrame, shingle: int, percent: int) -> DataFrame | None:
@@ -396,11 +434,12 @@ def closing_links(bands: DataFrame, labels: DataFrame, sketches: DataFrame, docu
     pair was the star. In the others the commonest
     label's members need no comparison among themselves; the rest meet everyone in blocks of
     ``BLOCK``, first by registers, then those that may link by their full sets. Very common
-    bands are cut finer first. Nothing is dropped and no task gets an unbounded group.
+    bands are dealt finer first, by shingles of which linked texts must share one. Nothing is
+    dropped and no task gets an unbounded group.
     """
     labelled = bands.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     members = cut(_of_several(labelled, 3))
-    members = _finer(members, bands)
+    members = _finer(members, documents, shingle, percent)
     rows = _join_keys(members, _unlike(members).withColumn("n", F.col("n_main") + F.col("n_rest")), "band")
     rows = rows.withColumns({"is_main": F.col("label") == F.col("main"), "k_main": F.ceil(F.col("n_main") / BLOCK), "k_rest": F.ceil(F.col("n_rest") / BLOCK)})
     rows = rows.withColumn("block", F.when(F.col("is_main"), F.pmod(F.xxhash64("doc_id"), "k_main")).otherwise(F.col("k_main") + F.pmod(F.xxhash64("doc_id"), F.col("k_rest"))))
