@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.text import LOWER, U64, column_bytes, mix, shingle_set, slices, word_hashes
+from claimloom.llm.text import LOWER, U64, column_bytes, let_go, mix, shingle_set, slices, word_hashes
 from claimloom.operators.components import connected_components
 from claimloom.plans.lineage import cut, fresh_name
 
@@ -104,6 +104,7 @@ def sketch(documents: DataFrame, shingle: int) -> DataFrame:
     shape = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("print", pa.binary()), ("register", pa.binary())])
 
     def run(batches):
+        let_go()
         for batch in (part for whole in batches for part in slices(whole, 1)):
             sizes, prints, kept = [], [], []
             for full in _sets(batch.column(1), shingle):
@@ -135,6 +136,7 @@ def full_sets(documents: DataFrame, shingle: int) -> DataFrame:
     shape = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())])
 
     def run(batches):
+        let_go()
         for batch in (part for whole in batches for part in slices(whole, 1)):
             sets = [s.tobytes() for s in _sets(batch.column(1), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], schema=shape)

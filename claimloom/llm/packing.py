@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import itertools
 import os
 import re
@@ -14,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.text import slices
+from claimloom.llm.text import slices, warm
 from claimloom.plans.lineage import cut
 
 CAPACITY = 2048
@@ -83,10 +82,9 @@ class WordEncoder:
         return b"".join(map(self.known.__getitem__, found))
 
 
-@functools.lru_cache(1)
 def encoder(path: str) -> WordEncoder:
-    """The worker's encoder, which later tasks of the same worker find warm."""
-    return WordEncoder(path)
+    """The worker's encoder, which later tasks of the same worker find warm until another operator lets it go."""
+    return warm(("encoder", path), lambda: WordEncoder(path))
 
 
 def token_pieces(documents: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = 0) -> DataFrame:

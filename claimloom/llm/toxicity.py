@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import gc
 import itertools
 import pickle
 
@@ -12,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.text import mix, slices
+from claimloom.llm.text import let_go, mix, slices, warm
 
 #: Labelled documents that the fit may see; the smallest hashes of their ids are taken.
 SAMPLE = 6_000
@@ -305,9 +303,8 @@ class Scorer:
         return 1 / (1 + np.exp(-out))
 
 
-@functools.lru_cache(1)
 def scorer(blob: bytes) -> Scorer:
-    return Scorer(pickle.loads(blob))
+    return warm(("scorer", blob), lambda: Scorer(pickle.loads(blob)))
 
 
 def train_from_labels(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxicity:
@@ -341,9 +338,7 @@ def score_toxicity(documents: DataFrame, net: Toxicity, column: str = "toxicity"
                     values = score([t or "" for t in part.column(names.index("text")).to_pylist()]) if part.num_rows else np.zeros(0)
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.round(values, 9), pa.float64())], names=[*part.schema.names, column])
         finally:  # later stages use the same worker
-            scorer.cache_clear()
             del score
-            gc.collect()
-            pa.default_memory_pool().release_unused()
+            let_go()
 
     return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField(column, DoubleType())]))
