@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from claimloom.llm.text import LOWER, U64, column_bytes, let_go, mix, shingle_set, slices, word_hashes
 from claimloom.operators.components import connected_components
-from claimloom.plans.lineage import cut, fresh_name
+from claimloom.plans.lineage import cut, fresh_name, sweep
 
 BUCKET_BITS = 8
 MANTISSA = 10
@@ -494,6 +494,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     sets = cut(sets.dropDuplicates(["doc_id", "hashes"]) if repeated else sets)
     links = verify(likely, sets, percent)
     links = cut(links.union(_of_one_id(rows, twice, nodes)) if repeated else links)
+    del shared, stars, likely, ids, sets  # their copies go with them
+    sweep(documents.sparkSession)
     labels = cut(connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("label")))
     more = closing_links(bands.select("band", "doc_id"), labels, sketches, documents, shingle, percent)
     joined = labels.select(F.col("doc_id").alias("node"), F.col("label").alias("component"))

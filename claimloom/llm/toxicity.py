@@ -338,7 +338,7 @@ def score_toxicity(documents: DataFrame, net: Toxicity, column: str = "toxicity"
                     values = score([t or "" for t in part.column(names.index("text")).to_pylist()]) if part.num_rows else np.zeros(0)
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.round(values, 9), pa.float64())], names=[*part.schema.names, column])
         finally:  # later stages use the same worker
-            del score
+            score = batch = part = values = None  # noqa: F841
             let_go()
 
     return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField(column, DoubleType())]))

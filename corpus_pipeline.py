@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import duplicates, mixing, packing, secrets, toxicity
+from claimloom.llm.text import small_batches
 from claimloom.plans.lineage import checkpoint_dir, delete_folder, fresh_name
 
 #: Scores from here on are toxic.
@@ -23,6 +24,7 @@ TOXIC = 0.5
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under ``TOXIC``; the network learns from all labels of the folder's ``labels``."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     original = spark.read.parquet(f"{sf_dir}/documents.parquet")
     name = fresh_name(docs.columns, "_toxicity")
@@ -32,11 +34,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id; a repeated id keeps one row."""
+    small_batches(spark)
     return duplicates.keep_one(docs, shingle=5, percent=80)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts replaced."""
+    small_batches(spark)
     return secrets.redact_secrets(docs)
 
 
@@ -47,6 +51,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all documents' pieces in training sequences."""
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 
