@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from claimloom.llm import duplicates, licenses, mixing, packing, privacy, quality_rules, rules, secrets, topk, toxicity
+from claimloom.llm import bpe, duplicates, licenses, mixing, packing, privacy, quality_rules, rules, secrets, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,13 @@ def op10_exact_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op12_bpe_round_trip(spark, sf_dir):
+    coded = bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents")))
+    told = F.array_join(F.col("ids").cast("array<string>"), ",")
+    digest = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(told).alias("ids_sha256"), digest("decoded").alias("decoded_sha256"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
