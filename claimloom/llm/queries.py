@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe, duplicates, licenses, mixing, packing, privacy, quality_rules, rules, secrets, topk, toxicity
+from claimloom.llm import bpe, duplicates, licenses, mixing, packing, privacy, quality_rules, rules, secrets, topk, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_exact_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_bpe_round_trip(spark, sf_dir):
     coded = bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents")))
     told = F.array_join(F.col("ids").cast("array<string>"), ",")
