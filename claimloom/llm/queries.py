@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe, duplicates, licenses, mixing, packing, privacy, quality_rules, rules, secrets, topk, toxicity, whitening
+from claimloom.llm import alignment, bpe, duplicates, licenses, mixing, packing, privacy, quality_rules, rules, secrets, topk, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op12_bpe_round_trip(spark, sf_dir):
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(told).alias("ids_sha256"), digest("decoded").alias("decoded_sha256"))
 
 
+def op13_tokenizer_alignment(spark, sf_dir):
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
