@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
-from claimloom.functions.vectors import dot, unit
+from claimloom.functions.vectors import unit
 from claimloom.model import oracle, table, view
 from claimloom.registry import query
 
@@ -124,59 +124,46 @@ def rare_gram_pairs(rows: DataFrame, item: str, text: str, least: int = 2, most:
     return best.where(F.col("rank") <= keep).select("a", "b", "shared", "score", "rank")
 
 
-def cosine_neighbours(vectors: DataFrame, item: str, k: int, block: int = 4096) -> DataFrame:
-    """Exact ``k`` nearest other items by cosine.
+def nearest_in_block(a, b, k: int):
+    """``a, b, sim``: the ``k`` rows of ``b(j, w)`` nearest to each row of ``a(i, v)`` but itself, by unit vectors; ties to the smaller id."""
+    import numpy as np
+    import pandas as pd
+
+    if not len(a) or not len(b):
+        return pd.DataFrame({"a": a["i"][:0], "b": b["j"][:0], "sim": np.zeros(0)})
+    b = b.sort_values("j")
+    ids, others = a["i"].to_numpy(), b["j"].to_numpy()
+    m, out = np.stack(b["w"]), []
+    for at in range(0, len(a), 512):
+        sim = np.stack(a["v"][at : at + 512]) @ m.T
+        sim[ids[at : at + 512, None] == others[None]] = -np.inf
+        best = np.argsort(-sim, 1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(sim)), best.shape[1])
+        ok = np.isfinite(sim[rows, best.ravel()])
+        out.append(pd.DataFrame({"a": ids[at + rows][ok], "b": others[best.ravel()][ok], "sim": sim[rows, best.ravel()][ok]}))
+    return pd.concat(out)
+
+
+def cosine_neighbours(vectors: DataFrame, item: str, k: int, block: int = 4096, every: int = 1) -> DataFrame:
+    """Exact ``k`` nearest other items by cosine of each item whose id is divisible by ``every``.
 
     Items are dealt into blocks; each pair of blocks is one task with one matrix product and
     hands on ``k`` rows an item, so memory is two blocks and the shuffle carries candidates only.
     """
-    import numpy as np
-    import pandas as pd
-
     n = vectors.count()
     blocks = max(1, -(-n // block))
     deal = F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int")
     spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     unit_rows = vectors.select(F.col(item).alias("i"), unit(F.col("embedding")).alias("v"), deal.alias("own"))
-    left = unit_rows.select("i", "v", F.col("own").alias("l"), spread.alias("r"))
+    asked = unit_rows.where(F.col("i") % every == 0) if every > 1 else unit_rows
+    left = asked.select("i", "v", F.col("own").alias("l"), spread.alias("r"))
     right = unit_rows.select(F.col("i").alias("j"), F.col("v").alias("w"), spread.alias("l"), F.col("own").alias("r"))
     kind = vectors.schema[item].dataType.simpleString()
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"a": a["i"][:0], "b": b["j"][:0], "sim": np.zeros(0)})
-        if not len(a) or not len(b):
-            return empty
-        b = b.sort_values("j")
-        ids, others = a["i"].to_numpy(), b["j"].to_numpy()
-        m, out = np.stack(b["w"]), []
-        for at in range(0, len(a), 512):
-            sim = np.stack(a["v"][at : at + 512]) @ m.T
-            sim[ids[at : at + 512, None] == others[None]] = -np.inf
-            best = np.argsort(-sim, 1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(sim)), best.shape[1])
-            ok = np.isfinite(sim[rows, best.ravel()])
-            out.append(pd.DataFrame({"a": ids[at + rows][ok], "b": others[best.ravel()][ok], "sim": sim[rows, best.ravel()][ok]}))
-        return pd.concat(out)
-
-    met = left.groupBy("l", "r").cogroup(right.groupBy("l", "r")).applyInPandas(meet, f"a {kind}, b {kind}, sim double")
+    met = left.groupBy("l", "r").cogroup(right.groupBy("l", "r")).applyInPandas(lambda a, b: nearest_in_block(a, b, k), f"a {kind}, b {kind}, sim double")
     ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b")))
     return ranked.where(F.col("rank") <= k)
 
 
-def approximate_neighbours(vectors: DataFrame, item: str, k: int = 30, candidates: int = 60, dims: int = 32, seed: int = 20260724) -> DataFrame:
-    """``k`` neighbours re-ranked exactly among ``candidates`` found after a sparse random projection."""
-    import numpy as np
-
-    width = len(vectors.select("embedding").first()[0])
-    rng = np.random.default_rng(seed)
-    matrix = rng.choice([-1.0, 0.0, 1.0], (dims, width), p=[1 / 6, 2 / 3, 1 / 6]) * np.sqrt(3 / dims)
-    projected = F.array(*[dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in row])) for row in matrix])
-    near = cosine_neighbours(vectors.select(item, projected.alias("embedding")), item, candidates).select("a", "b")
-    own = vectors.select(F.col(item), unit(F.col("embedding")).alias("v"))
-    exact = near.join(own.toDF("a", "va"), "a").join(own.toDF("b", "vb"), "b").select("a", "b", dot(F.col("va"), F.col("vb")).alias("sim"))
-    return exact.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("rank") <= k)
-
-
 def fused_candidates(one: DataFrame, two: DataFrame, keep: int = 20) -> DataFrame:
     """Union of two pools of ``(a, b, emb, char)`` scores ranked by their mean; ties by char, emb, then id."""
     pool = one.unionByName(two).groupBy("a", "b").agg(F.max("emb").alias("emb"), F.max("char").alias("char"))
@@ -293,14 +280,9 @@ def j16(spark, d):
 _NEAR = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
 
 
-@query("j17_cosine_neighbours", f"SELECT a, b, sim FROM (SELECT a.vec_id AS a, b.vec_id AS b, {_NEAR} AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS k FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) x WHERE k <= 15")
+@query("j17_cosine_neighbours", f"SELECT a, b, sim FROM (SELECT a.vec_id AS a, b.vec_id AS b, {_NEAR} AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS k FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) x WHERE k <= 15")
 def j17(spark, d):
-    return cosine_neighbours(table(spark, d, "embeddings"), "vec_id", 15).select("a", "b", F.round("sim", 6).alias("sim"))
-
-
-@query("j18_projected_neighbours")
-def j18(spark, d):
-    return approximate_neighbours(table(spark, d, "embeddings"), "vec_id").select("a", "b", F.round("sim", 6).alias("sim"), "rank")
+    return cosine_neighbours(table(spark, d, "embeddings"), "vec_id", 15, every=50).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query(
