@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import uuid
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,7 +29,7 @@ BYTE_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text whose events make one row.
 SPAN = 1 << 16
 #: Bytes of text that are encoded together, and bytes of runs that the machine reads together.
-SLICE, STEP = 2 << 20, 1 << 21
+SLICE, STEP = 2 << 20, 1 << 20
 #: Linked id pairs up to which their counts are broadcast. One token's bytes end the other's, so the
 #: vocabularies bound them: some 800,000 for 50,000 and 32,000 ids, however long the table is.
 BROADCAST_PAIRS = 4_000_000
@@ -58,75 +59,78 @@ def _kind(size: int) -> str:
 
 
 class Pair:
-    """Both sides' ids of texts, remembering chunks up to a fixed number."""
+    """Both sides' ids of texts, remembering chunks up to a fixed number.
+
+    The byte-level side's tokens always join to the text's bytes: its vocabulary is checked
+    when it is read. The other side's are compared chunk by chunk.
+    """
 
     def __init__(self, byte_path: str, piece_path: str):
-        self.a, self.b = bpe.Encoder(byte_path, special=False), PieceEncoder(piece_path)
-        self.lengths = self.a.vocabulary.lengths, self.b.lengths
+        self.b = PieceEncoder(piece_path)
+        vocabulary = bpe.Vocabulary(byte_path)
+        self.lengths = vocabulary.lengths, self.b.lengths
         self.kinds = tuple(_kind(len(x)) for x in self.lengths)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.a = bpe.Encoder(byte_path, special=False, kind=self.kinds[0], vocabulary=vocabulary)
+        self.known_a: dict[str, bytes] = {}
+        self.known_b: dict[str, bytes] = {}
         self.uneven: set[str] = set()
 
     def learn(self, wanted: set[str]) -> None:
-        fresh = wanted.difference(self.known)
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = dict(itertools.islice(self.known.items(), REMEMBERED // 2))
-            fresh = wanted.difference(self.known)
+        fresh = wanted.difference(self.known_a)
+        if len(self.known_a) + len(fresh) > REMEMBERED:
+            self.known_a, self.known_b = (dict(itertools.islice(known.items(), REMEMBERED // 2)) for known in (self.known_a, self.known_b))
+            self.uneven &= self.known_a.keys()
+            fresh = wanted.difference(self.known_a)
         fresh = list(fresh)
-        a, b = self.a([c for c in fresh]), self.b(fresh)
-        of_a, of_b = self.a.vocabulary.bytes, self.b.bytes
-        for chunk, x, y in zip(fresh, a, b, strict=True):
-            x = np.frombuffer(x, "<u4")
-            text = chunk.encode()
-            if b"".join([of_a[k] for k in x.tolist()]) != text or b"".join([of_b[k] for k in y]) != text:
-                self.uneven.add(chunk)
-            self.known[chunk] = x.astype(self.kinds[0]).tobytes(), np.array(y, self.kinds[1]).tobytes()
-        if len(self.uneven) > REMEMBERED:
-            self.uneven &= self.known.keys()
+        self.known_a.update(zip(fresh, self.a.ids_of(fresh), strict=True))
+        letters, of_b, pieces = self.kinds[1][1:].replace("u2", "H").replace("u4", "I"), self.b.bytes.__getitem__, self.b(fresh)
+        self.known_b.update((c, array(letters, p).tobytes()) for c, p in zip(fresh, pieces, strict=True))
+        self.uneven.update(c for c, p in zip(fresh, pieces, strict=True) if b"".join(map(of_b, p)) != c.encode())
 
     def __call__(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         """For each text the ids of both sides over space and text; None where the text is empty or their bytes are not that."""
         found = [bpe.chunks(" " + t) if t else [] for t in texts]
+        found = [chunks if not chunks or chunks[0] else chunks[1:] for chunks in found]
         self.learn(set().union(*found))
-        out = []
-        for text, chunks in zip(texts, found, strict=True):
-            if not text or (self.uneven and not self.uneven.isdisjoint(chunks)):
-                out.append(None)
-                continue
-            pairs = [self.known[c] for c in chunks]
-            out.append((b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])))
-        return out
+        of_a, of_b, uneven = self.known_a.__getitem__, self.known_b.__getitem__, self.uneven
+        bad = [not t or (uneven and not uneven.isdisjoint(chunks)) for t, chunks in zip(texts, found, strict=True)]
+        return [None if b else (b"".join(map(of_a, chunks)), b"".join(map(of_b, chunks))) for b, chunks in zip(bad, found, strict=True)]
 
 
-_RUNS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("span", pa.int64()), ("side", pa.int32()), ("lengths", pa.binary()), ("ids", pa.binary())])
+_RUNS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("span", pa.int64()), ("side", pa.int32()), ("ids", pa.binary())])
+
+
+def spans(data: bytes, kind: str, lengths: np.ndarray) -> list[tuple[int, bytes]]:
+    """A text's ids in runs, with the number of the span that each run's tokens end in."""
+    ids = np.frombuffer(data, kind)
+    span = (np.cumsum(lengths[ids]) - 1) // SPAN
+    edges = [0, *(np.flatnonzero(np.diff(span)) + 1).tolist(), len(ids)]
+    return [(int(span[a]), ids[a:b].tobytes()) for a, b in itertools.pairwise(edges)]
 
 
 def end_events(documents: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
-    """``uid, doc_id, span, side, lengths, ids``: the end events of both sides (0 is A, 1 is B) in runs.
+    """``uid, doc_id, span, side, ids``: the end events of both sides (0 is A, 1 is B) in runs.
 
-    A run holds the tokens of one side that end within one span of ``SPAN`` bytes, by their
-    byte lengths and ids. A text without tokens is one run without events.
+    A run holds the tokens of one side that end within one span of ``SPAN`` bytes, in order;
+    each ends as many bytes behind the one before as its id has. A text without tokens is one
+    run without events.
     """
 
     def encode(batches):
         pair = warm(("alignment", byte_path, piece_path), lambda: Pair(byte_path, piece_path))
         for batch in (part for whole in batches for part in slices(whole, 2, SLICE)):
-            rows = []
-            uids, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for uid, doc_id, both in zip(uids, ids, pair([t or "" for t in batch.column(2).to_pylist()]), strict=True):
+            rows, texts = [], [t or "" for t in batch.column(2).to_pylist()]
+            for uid, doc_id, text, both in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, pair(texts), strict=True):
                 if both is None:
-                    rows.append((uid, doc_id, -1, 0, b"", b""))
-                    continue
-                for side, (data, kind, sizes) in enumerate(zip(both, pair.kinds, pair.lengths, strict=True)):
-                    tokens = np.frombuffer(data, kind)
-                    lengths = sizes[tokens]
-                    span = (np.cumsum(lengths) - 1) // SPAN
-                    edges = [0, *(np.flatnonzero(np.diff(span)) + 1).tolist(), len(tokens)] if span[-1] else [0, len(tokens)]
-                    rows += [(uid, doc_id, int(span[a]), side, lengths[a:b].astype("<u2").tobytes(), tokens[a:b].tobytes()) for a, b in itertools.pairwise(edges)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, _RUNS, strict=True)], schema=_RUNS)
+                    rows.append((uid, doc_id, -1, 0, b""))
+                elif 4 * len(text) < SPAN:
+                    rows += [(uid, doc_id, 0, 0, both[0]), (uid, doc_id, 0, 1, both[1])]
+                else:
+                    rows += [(uid, doc_id, span, side, part) for side in (0, 1) for span, part in spans(both[side], pair.kinds[side], pair.lengths[side])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _RUNS, strict=True)], schema=_RUNS)
 
     named = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return named.mapInArrow(encode, "uid long, doc_id long, span long, side int, lengths binary, ids binary")
+    return named.mapInArrow(encode, "uid long, doc_id long, span long, side int, ids binary")
 
 
 class Digits:
@@ -136,13 +140,13 @@ class Digits:
 
     def __init__(self, n: int):
         words = [str(k).encode() for k in range(n)]
-        self.table = np.stack([np.array([m + w for w in words], f"S{2 + len(str(n))}").view(np.uint8).reshape(n, -1) for m in self.MARKS])
+        self.table = np.stack([np.array([m + w for w in words], f"S{1 + len(str(n))}").view(np.uint8).reshape(n, -1) for m in self.MARKS])
+        self.sizes = np.array(list(map(len, words)), np.int64)
 
     def __call__(self, marks: np.ndarray, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The text, and where each id's part of it ends."""
         chars = self.table[marks, ids]
-        filled = chars != 0
-        return chars[filled].tobytes(), np.cumsum(filled.sum(1))
+        return chars[chars != 0].tobytes(), np.cumsum(self.sizes[ids] + (marks > 0))
 
 
 @dataclass
@@ -153,7 +157,7 @@ class State:
     doc_id: int | None
     digest: object = field(default_factory=hashlib.sha256)
     begun: bool = False
-    open: tuple = (np.zeros((2, 0), np.int64), np.zeros((2, 0), np.int64))  # lengths and ids of A, of B
+    open: tuple = (np.zeros(0, np.int64), np.zeros(0, np.int64))  # ids of A, of B
 
     def told(self) -> str:
         return self.digest.hexdigest() if self.begun else ""
@@ -166,8 +170,9 @@ _SWEPT_DDL = "uid long, doc_id long, n_a long, n_b long, n_groups long, n_links
 class Machine:
     """Reads runs in the order of uid, span and side; emits rows that add up to each document's counts, links and groups."""
 
-    def __init__(self, kinds: tuple[str, str], digits: Digits, with_groups: bool):
-        self.kinds, self.digits, self.with_groups = kinds, digits, with_groups
+    def __init__(self, lengths: tuple[np.ndarray, np.ndarray], digits: Digits, with_groups: bool):
+        self.lengths, self.digits, self.with_groups = lengths, digits, with_groups
+        self.kinds = tuple(_kind(len(x)) for x in lengths)
         self.state: State | None = None
         self.held: list[tuple] = []
 
@@ -182,21 +187,22 @@ class Machine:
         first = np.flatnonzero(np.diff(uids, prepend=uids[0] - 1))
         doc_of_row = np.cumsum(np.diff(uids, prepend=uids[0]) != 0)
         n_docs, side_of = len(first), np.array([r[3] for r in rows])
-        lengths, ids, docs, counts = [], [], [], []
+        ids, docs, counts, ends = [], [], [], []
         for side in (0, 1):
             at = np.flatnonzero(side_of == side).tolist()
-            new = np.frombuffer(b"".join([rows[k][4] for k in at]), "<u2"), np.frombuffer(b"".join([rows[k][5] for k in at]), self.kinds[side])
-            sizes = np.array([len(rows[k][4]) // 2 for k in at], np.int64)
+            new = np.frombuffer(b"".join([rows[k][4] for k in at]), self.kinds[side])
+            sizes = np.array([len(rows[k][4]) for k in at], np.int64) // np.dtype(self.kinds[side]).itemsize
+            doc = np.repeat(doc_of_row[at], sizes)
             kept = state.open[side]
-            lengths.append(np.concatenate([kept[0], new[0]]))
-            ids.append(np.concatenate([kept[1], new[1]]))
-            docs.append(np.concatenate([np.zeros(kept.shape[1], np.int64), np.repeat(doc_of_row[at], sizes)]))
-            counts.append(np.bincount(np.repeat(doc_of_row[at], sizes), minlength=n_docs))
+            ids.append(np.concatenate([kept, new.astype(np.int64)]))
+            docs.append(np.concatenate([np.zeros(len(kept), np.int64), doc]))
+            counts.append(np.bincount(doc, minlength=n_docs))
+            ends.append(np.cumsum(self.lengths[side][ids[side]]))
         # both sides of a whole document have as many bytes, so ends can be counted on over all documents of the step
-        ends = [np.cumsum(x) for x in lengths]
-        at = np.searchsorted(ends[1], ends[0])
-        cut_a = np.flatnonzero((at < len(ends[1])) & (ends[1][np.minimum(at, len(ends[1]) - 1)] == ends[0])) if len(ends[1]) else np.zeros(0, np.int64)
-        cut_b = at[cut_a]
+        here = np.zeros((2, 1 + max(int(e[-1]) if len(e) else 0 for e in ends)), bool)
+        for side in (0, 1):
+            here[side, ends[side]] = True
+        cut_a, cut_b = np.flatnonzero(here[1, ends[0]]), np.flatnonzero(here[0, ends[1]])
         links = ids[0][cut_a] << 32 | ids[1][cut_b]
         link_doc = docs[0][cut_a]
         text, text_at = self._text(ids, docs, cut_a, cut_b, state.begun)
@@ -212,10 +218,7 @@ class Machine:
             state.begun |= bool(b > a)
             groups = part.decode() if self.with_groups else None
             out.append((row[0], row[1], int(counts[0][d]), int(counts[1][d]), int(b - a), int(b - a), links[a:b], state.told() if d < n_docs - 1 else None, groups))
-        if len(cut_a):
-            state.open = tuple(np.stack([x[c[-1] + 1 :].astype(np.int64) for x in (lengths[s], ids[s])]) for s, c in enumerate((cut_a, cut_b)))
-        else:
-            state.open = tuple(np.stack([x.astype(np.int64) for x in (lengths[s], ids[s])]) for s in (0, 1))
+        state.open = tuple(x[c[-1] + 1 :] if len(c) else x for x, c in zip(ids, (cut_a, cut_b), strict=True))
         self.state = state
         return out
 
@@ -225,7 +228,9 @@ class Machine:
             return b"", np.zeros(1, np.int64)
         n_a, n_b = cut_a[-1] + 1, cut_b[-1] + 1
         before_a, before_b = np.concatenate([[0], cut_a + 1]), np.concatenate([[0], cut_b + 1])
-        group_a, group_b = np.searchsorted(cut_a, np.arange(n_a)), np.searchsorted(cut_b, np.arange(n_b))
+        first_a, first_b = np.zeros(n_a + 1, np.int64), np.zeros(n_b + 1, np.int64)
+        first_a[before_a], first_b[before_b] = 1, 1
+        group_a, group_b = np.cumsum(first_a[:-1]) - 1, np.cumsum(first_b[:-1]) - 1
         merged, marks = np.empty(n_a + n_b, np.int64), np.full(n_a + n_b, 2, np.int64)
         merged[np.arange(n_a) + before_b[group_a]] = ids[0][:n_a]
         merged[np.arange(n_b) + before_a[group_b + 1]] = ids[1][:n_b]
@@ -238,7 +243,7 @@ class Machine:
 
     def read(self, batches):
         for batch in batches:
-            sizes = np.cumsum([0 if x is None else len(x) for x in batch.column(5).to_pylist()])
+            sizes = np.cumsum([0 if x is None else len(x) for x in batch.column(4).to_pylist()])
             at = 0
             while at < batch.num_rows:
                 stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + STEP, side="right")))
@@ -255,16 +260,22 @@ class Machine:
             yield [(self.state.uid, self.state.doc_id, 0, 0, 0, 0, [], self.state.told(), None)]
 
 
-def sweep(events: DataFrame, sizes: tuple[int, int], with_groups: bool = False) -> DataFrame:
+def token_lengths(byte_path: str, piece_path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The number of bytes of each token of both sides."""
+    return bpe.Vocabulary(byte_path).lengths, PieceEncoder(piece_path).lengths
+
+
+def sweep(events: DataFrame, lengths: tuple[np.ndarray, np.ndarray], with_groups: bool = False) -> DataFrame:
     """Rows that add up to each document (``uid``): counts, ``links`` (A id times 2^32 plus B id), and on one row its ``groups_sha256``.
 
     ``with_groups`` gives the groups' own text, too, in the order of the rows.
     """
-    kinds = tuple(map(_kind, sizes))
+    held = events.sparkSession.sparkContext.broadcast(lengths)  # a number a token
 
     def read(batches):
-        digits = warm(("digits", max(sizes)), lambda: Digits(max(sizes)))
-        for rows in Machine(kinds, digits, with_groups).read(batches):
+        most = max(map(len, held.value))
+        digits = warm(("digits", most), lambda: Digits(most))
+        for rows in Machine(held.value, digits, with_groups).read(batches):
             columns = list(zip(*rows, strict=True))
             offsets = np.concatenate([[0], np.cumsum(list(map(len, columns[6])))]).astype(np.int32)
             links = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.asarray(x, np.int64) for x in columns[6]])))
@@ -273,12 +284,6 @@ def sweep(events: DataFrame, sizes: tuple[int, int], with_groups: bool = False)
     return events.repartition("uid").sortWithinPartitions("uid", "span", "side").mapInArrow(read, _SWEPT_DDL)
 
 
-def vocabulary_sizes(byte_path: str, piece_path: str) -> tuple[int, int]:
-    from sentencepiece import SentencePieceProcessor
-
-    return len(bpe.Vocabulary(byte_path).bytes), SentencePieceProcessor(model_file=piece_path).get_piece_size()
-
-
 def link_counts(swept: DataFrame) -> DataFrame:
     """``link, times, best``: how many links hold each id pair, and whether no other pair of its B id has more."""
     counts = swept.select(F.explode("links").alias("link")).groupBy("link").agg(F.count("*").alias("times"))
@@ -301,7 +306,7 @@ def align_tokenizers(documents: DataFrame, byte_path: str | None = None, piece_p
     spark = documents.sparkSession
     byte_path, piece_path = byte_path or vocabulary_path(BYTE_VOCABULARY), piece_path or vocabulary_path(PIECE_VOCABULARY)
     home = f"{checkpoint_dir(spark)}/alignment-{uuid.uuid4().hex}"
-    sweep(end_events(documents, byte_path, piece_path), vocabulary_sizes(byte_path, piece_path)).drop("groups").write.option("compression", "zstd").parquet(home)
+    sweep(end_events(documents, byte_path, piece_path), token_lengths(byte_path, piece_path)).drop("groups").write.option("compression", "zstd").parquet(home)
     swept = spark.read.parquet(home)
     counts = cut(link_counts(swept))
     known = F.broadcast(counts) if counts.count() <= BROADCAST_PAIRS else counts

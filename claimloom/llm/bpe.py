@@ -86,6 +86,8 @@ class Vocabulary:
             ids = model["vocab"][left], model["vocab"][right], model["vocab"][left + right]
             if max(made.get(ids[0], rank), made.get(ids[1], rank)) >= rank or ids[2] in made:
                 raise ValueError(f"{path}: merge {rank} does not follow from earlier ones")
+            if self.bytes[ids[2]] != self.bytes[ids[0]] + self.bytes[ids[1]]:
+                raise ValueError(f"{path}: merge {rank} changes bytes")
             made[ids[2]] = rank
             self.merges.append(ids)
             self.rank[ids[0] << 32 | ids[1]] = rank
@@ -115,8 +117,8 @@ class Vocabulary:
         return list(itertools.chain.from_iterable(cut)), list(map(len, cut))
 
 
-def merge_words(words: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
-    """Each word's ids as little-endian unsigned 32-bit numbers, by one pair index over all of them.
+def merge_words(words: list[bytes], vocabulary: Vocabulary, kind: str = "<u4") -> list[bytes]:
+    """Each word's ids as numbers of ``kind``, by one pair index over all of them.
 
     Long lists of positions are worked off as arrays, short ones one by one; both see the same memory.
     """
@@ -194,8 +196,8 @@ def merge_words(words: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
                         heapq.heappush(active, r)
                     index[r].append(lead)
     kept = symbols_ >= 0
-    ids = symbols_[kept].astype("<u4").tobytes()
-    edges = [0, *(4 * np.cumsum(kept)[stops - 1]).tolist()] if n else [0]
+    ids = symbols_[kept].astype(kind).tobytes()
+    edges = [0, *(np.dtype(kind).itemsize * np.cumsum(kept)[stops - 1]).tolist()] if n else [0]
     return [ids[a:b] for a, b in itertools.pairwise(edges)]
 
 
@@ -208,21 +210,19 @@ def trimmed(known: dict, fresh: set, wanted: set) -> tuple[dict, set]:
 
 
 class Encoder:
-    """Ids of texts as bytes of little-endian unsigned 32-bit numbers, remembering chunks and words up to a fixed number."""
+    """Ids of texts as bytes of numbers of ``kind``, remembering chunks and words up to a fixed number."""
 
-    def __init__(self, path: str, special: bool = True):
-        self.vocabulary = Vocabulary(path)
-        self.special = {t: np.uint32(k).tobytes() for t, k in self.vocabulary.special.items()} if special else {}
+    def __init__(self, path: str, special: bool = True, kind: str = "<u4", vocabulary: Vocabulary | None = None):
+        self.vocabulary, self.kind = vocabulary or Vocabulary(path), kind
+        self.special = {t: np.array([k], kind).tobytes() for t, k in self.vocabulary.special.items()} if special else {}
         names = sorted(self.special, key=len, reverse=True)
         self.split_special = re.compile("(" + "|".join(map(re.escape, names)) + ")").split
         self.chunks: dict[str, bytes] = {}
         self.words: dict[bytes, bytes] = {}
 
-    def learn(self, wanted: set[str]) -> None:
-        """Have the ids of all these chunks at hand."""
-        self.chunks, fresh = trimmed(self.chunks, wanted.difference(self.chunks), wanted)
-        fresh = [c for c in fresh if c]
-        words, counts = self.vocabulary.words(fresh)
+    def ids_of(self, found: list[str]) -> list[bytes]:
+        """The ids of each of these chunks, none of them empty."""
+        words, counts = self.vocabulary.words(found)
         distinct = set(words)
         self.words, new = trimmed(self.words, distinct.difference(self.words), distinct)
         new, at = list(new), 0
@@ -231,11 +231,17 @@ class Encoder:
             while stop < len(new) and size + len(new[stop]) <= INDEX_BYTES:
                 size += len(new[stop])
                 stop += 1
-            self.words.update(zip(new[at:stop], merge_words(new[at:stop], self.vocabulary), strict=True))
+            self.words.update(zip(new[at:stop], merge_words(new[at:stop], self.vocabulary, self.kind), strict=True))
             at = stop
         ids = list(map(self.words.__getitem__, words))
         stops = [0, *np.cumsum(counts).tolist()]
-        self.chunks.update((c, ids[a] if b - a == 1 else b"".join(ids[a:b])) for c, a, b in zip(fresh, stops, stops[1:], strict=False))
+        return [ids[a] if b - a == 1 else b"".join(ids[a:b]) for a, b in itertools.pairwise(stops)]
+
+    def learn(self, wanted: set[str]) -> None:
+        """Have the ids of all these chunks at hand."""
+        self.chunks, fresh = trimmed(self.chunks, wanted.difference(self.chunks), wanted)
+        fresh = [c for c in fresh if c]
+        self.chunks.update(zip(fresh, self.ids_of(fresh), strict=True))
         self.chunks[""] = b""
 
     def __call__(self, texts: list[str]) -> list[bytes]:

@@ -1,8 +1,10 @@
 """Operator 13 against both libraries and a plain sweep."""
 
+import functools
 import hashlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -21,10 +23,15 @@ def libraries():
     return a, SentencePieceProcessor(model_file=B_PATH)
 
 
+@functools.cache
+def byte_tokens():
+    return bpe.Vocabulary(A_PATH).bytes
+
+
 def plain(libraries, rows):
     """Each row's result, by whole texts and dictionaries of ends."""
     a, b = libraries
-    of_a = bpe.Vocabulary(A_PATH).bytes
+    of_a = byte_tokens()
     docs, count = [], Counter()
     for doc_id, text in rows:
         groups, links = [], []
@@ -77,31 +84,23 @@ def test_spans_steps_and_forgetting_change_nothing(spark, libraries, monkeypatch
     monkeypatch.setattr(alignment, "REMEMBERED", remembered)
     rows = [r for r in ROWS if r[1] is None or len(r[1]) < 5000][::2] + [(9000, LONG[:3000])]
     pair, machine = alignment.Pair(A_PATH, B_PATH), None
-    sizes = alignment.vocabulary_sizes(A_PATH, B_PATH)
-    assert sizes == tuple(map(len, pair.lengths))
+    lengths = alignment.token_lengths(A_PATH, B_PATH)
+    assert [x.tolist() for x in lengths] == [x.tolist() for x in pair.lengths]
     monkeypatch.setattr(alignment, "SPAN", span)
     monkeypatch.setattr(alignment, "STEP", step)
-    digits = alignment.Digits(max(sizes))
+    digits = alignment.Digits(max(map(len, lengths)))
     # the encoder and the machine run in this process, so that the small settings hold
-    import pyarrow as pa
-
     runs, found = [], {}
     for uid, (doc_id, text) in enumerate(rows):
         both = pair([text or ""])[0]
         if both is None:
-            runs.append((uid, doc_id, -1, 0, b"", b""))
+            runs.append((uid, doc_id, -1, 0, b""))
             continue
         for side in (0, 1):
-            import numpy as np
-
-            tokens = np.frombuffer(both[side], pair.kinds[side])
-            lengths = pair.lengths[side][tokens]
-            spans = (np.cumsum(lengths) - 1) // span
-            for s in np.unique(spans):
-                runs.append((uid, doc_id, int(s), side, lengths[spans == s].astype("<u2").tobytes(), tokens[spans == s].tobytes()))
+            runs += [(uid, doc_id, s, side, part) for s, part in alignment.spans(both[side], pair.kinds[side], pair.lengths[side])]
     runs.sort(key=lambda r: (r[0], r[2], r[3]))
     batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*runs[k : k + 13]), alignment._RUNS, strict=True)], schema=alignment._RUNS) for k in range(0, len(runs), 13)]
-    machine = alignment.Machine(pair.kinds, digits, True)
+    machine = alignment.Machine(lengths, digits, True)
     for out in machine.read(batches):
         for uid, _, n_a, n_b, n_groups, n_links, links, sha, groups in out:
             d = found.setdefault(uid, [0, 0, 0, 0, 0, "", ""])
