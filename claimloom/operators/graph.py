@@ -39,6 +39,20 @@ def degrees(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     return both.where("node <> other").groupBy("node").agg(F.count_distinct("other").alias("degree"))
 
 
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """``rows`` with their places from 1 in a total ``order``, by a range sort: no task holds more than its range."""
+    ordered = cut(rows.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
+    counts = ordered.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_low")).collect()  # a row a partition
+    before, offsets = 0, []
+    for r in sorted(counts, key=lambda r: r._p):
+        offsets.append((r._p, before - r._low))
+        before += r._n
+    if not offsets:
+        return rows.withColumn(name, F.lit(0).cast("long"))
+    shift = rows.sparkSession.createDataFrame(offsets, "_p int, _s long")
+    return ordered.join(F.broadcast(shift), "_p").withColumn(name, F.col("_m") + F.col("_s") + 1).drop("_p", "_m", "_s")
+
+
 #: Modularity that a round of moves must gain to count, and rounds in a row without it that end the moves.
 LEAST_GAIN, PATIENCE = 1e-3, 3
 #: Edges up to this many are moved over in one task; the rounds are the same either way.
@@ -151,25 +165,30 @@ def adjusted_rand(one: DataFrame, two: DataFrame) -> DataFrame:
     return both.join(rows).join(columns).select(((F.col("both") - chance) / ((F.col("rows") + F.col("columns")) / 2 - chance)).alias("adjusted_rand"))
 
 
-def spanning_forest(edges: DataFrame) -> DataFrame:
-    """Maximum spanning forest by Borůvka rounds; ties by the smaller ends, so the forest is unique.
+def forest_keys(edges: DataFrame) -> DataFrame:
+    """The ``key`` of each edge of the forest that a walk over ``edges(a, b, key)`` in the order of their unique keys grows, by Borůvka rounds.
 
     Each round at least halves the trees that have an edge between them, until none has.
     """
-    edges = cut(edges.select("a", "b", "weight").where("a <> b"))
+    edges = cut(edges.select("a", "b", "key").where("a <> b"))
     labels = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node")))
     forest = None
     while True:
         open_ = edges.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").where("la <> lb")
-        ends = open_.select(F.col("la").alias("label"), "a", "b", "weight").union(open_.select("lb", "a", "b", "weight"))
-        best = ends.groupBy("label").agg(F.min_by(F.struct("a", "b", "weight"), F.struct(-F.col("weight"), "a", "b")).alias("e")).select("e.*").distinct()
-        best = cut(best)
+        ends = open_.select(F.col("la").alias("label"), "a", "b", "key").union(open_.select("lb", "a", "b", "key"))
+        best = cut(ends.groupBy("label").agg(F.min(F.struct("key", "a", "b")).alias("e")).select("e.*").distinct())
         if best.isEmpty():
             break
-        forest = best if forest is None else cut(forest.union(best).distinct())
+        forest = best if forest is None else cut(forest.union(best))
         joined = connected_components(forest, "a", "b").toDF("node", "component")
         labels = cut(labels.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("label")))
-    return forest if forest is not None else edges.limit(0)
+    return forest.select("key") if forest is not None else edges.select("key")
+
+
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """Maximum spanning forest of ``edges(a, b, weight)``; ties by the smaller ends, so the forest is unique."""
+    key = F.struct((-F.col("weight")).alias("w"), F.col("a").alias("a"), F.col("b").alias("b"))
+    return forest_keys(edges.select("a", "b", key.alias("key")).distinct()).select("key.a", "key.b", (-F.col("key.w")).alias("weight"))
 
 
 def bfs_depths(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
@@ -191,6 +210,64 @@ def bfs_depths(edges: DataFrame, roots: DataFrame, most: int | None = None) -> D
     return seen
 
 
+#: What a forest shows at once: so many of the best nodes, then these shares of all (fixed values).
+DISCLOSED, SHARES = 20, (0.01, 0.1)
+
+
+def ranked_forest(edges: DataFrame, frequency: DataFrame) -> DataFrame:
+    """``node, component, root, parent, depth, subtree, rank, level`` for each node of ``edges(a, b)`` and ``frequency(node, frequency)``.
+
+    Nodes rank by degree, frequency (0 where none is known) and id. A component's root is its
+    best node. The forest is breadth first, neighbours in the order of their rank: a node's
+    parent is the one visited first. ``subtree`` counts a node and all below it. ``level``
+    says when it is shown: 0 for the ``DISCLOSED`` best nodes and their ancestors, then 1 and 2
+    for those of ``SHARES`` of all nodes, 3 for the rest.
+
+    Levels are joins of the frontier, all components side by side; the order of visits is a
+    sorted numbering, not a window over a component. Sizes add up from the deepest level.
+    """
+    plain = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = cut(plain.select(F.col("a").alias("x"), F.col("b").alias("y")).union(plain.select("b", "a")))
+    degree = both.groupBy(F.col("x").alias("node")).agg(F.count("*").alias("degree"))
+    single = edges.select(F.col("a").alias("node")).union(edges.select("b")).where("node is not null").union(frequency.select("node")).distinct()
+    rows = single.join(degree, "node", "left").join(frequency.groupBy("node").agg(F.max("frequency").alias("frequency")), "node", "left").na.fill(0, ["degree", "frequency"])
+    ranked = cut(numbered(rows, [F.desc("degree"), F.desc("frequency"), F.col("node")], "rank").select("node", "rank"))
+    component = connected_components(plain, "a", "b")
+    at_home = cut(ranked.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    roots = at_home.groupBy("component").agg(F.min_by("node", "rank").alias("root"))
+    known = cut(at_home.join(roots, "component"))
+    level = cut(numbered(known.where("node = root").select("node", F.lit(None).cast(known.schema["node"].dataType).alias("parent"), "rank"), [F.col("rank")], "place"))
+    levels = [level.select("node", "parent", F.lit(0).alias("depth"))]
+    seen = level.select("node")
+    for depth in count(1):
+        met = both.join(level.select(F.col("node").alias("x"), "place"), "x").groupBy(F.col("y").alias("node")).agg(F.min(F.struct("place", "x")).alias("first"))
+        fresh = met.join(seen, "node", "left_anti").join(ranked, "node").select("node", F.col("first.x").alias("parent"), F.col("first.place").alias("above"), "rank")
+        level = cut(numbered(fresh, [F.col("above"), F.col("rank")], "place").select("node", "parent", "place"))
+        if level.isEmpty():
+            break
+        levels.append(level.select("node", "parent", F.lit(depth).alias("depth")))
+        seen = cut(seen.union(level.select("node")))
+    below, sizes = None, None
+    for frame in reversed(levels):
+        own = frame if below is None else frame.join(below, "node", "left")
+        size = cut(own.select("node", "parent", "depth", (F.lit(1).cast("long") if below is None else F.coalesce("below", F.lit(0)) + 1).alias("subtree")))
+        sizes = size if sizes is None else sizes.union(size)
+        below = size.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.sum("subtree").alias("below"))
+    forest = cut(sizes.join(known, "node"))
+    n = forest.count()
+    bounds = [min(DISCLOSED, n), *(-int(-n * share // 1) for share in SHARES)]
+    shown = forest.select("node", "parent", F.coalesce(*(F.when(F.col("rank") <= most, k) for k, most in enumerate(bounds)), F.lit(len(bounds))).alias("level"))
+    # a node is shown no later than any node below it: the deepest level first
+    up, told = None, None
+    for depth in range(len(levels) - 1, -1, -1):
+        here = shown.join(forest.where(F.col("depth") == depth).select("node"), "node", "left_semi")
+        here = here if up is None else here.join(up, "node", "left").withColumn("level", F.least("level", "soonest")).drop("soonest")
+        here = cut(here.select("node", "parent", "level"))
+        told = here if told is None else told.union(here)
+        up = here.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.min("level").alias("soonest"))
+    return forest.join(told.select("node", "level"), "node").select("node", "component", "root", "parent", "depth", "subtree", "rank", "level")
+
+
 def greedy_disjoint(pairs: DataFrame, most: int | None = None, rounds: int | None = None) -> DataFrame:
     """Pairs ``(a, b, score)`` as a walk in score order takes them, skipping any that touches a taken item.
 
@@ -239,70 +316,81 @@ def disjoint_wave(footprints: DataFrame, rounds: int | None = None) -> DataFrame
     return admitted if admitted is not None else left
 
 
-def seeded_union(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Components in which two different seeds never meet.
+#: Two seeds nearer to a node than this in confidence leave it undecided (fixed value).
+UNDECIDED = 0.05
+
+
+def undecided(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Unseeded nodes whose best two seeds, by their edges to seeded nodes, are less than ``UNDECIDED`` apart."""
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("s"), "confidence").union(edges.select("b", "a", "confidence"))
+    options = both.join(seeds.toDF("s", "seed"), "s").join(seeds.select("node"), "node", "left_anti").groupBy("node", "seed").agg(F.max("confidence").alias("c"))
+    # a node's own seeds are as many as it has edges to seeded nodes: the two best by two combining aggregates
+    best = options.groupBy("node").agg(F.max(F.struct("c", "seed")).alias("one"))
+    second = options.join(best, "node").where(F.col("seed") != F.col("one.seed")).groupBy("node").agg((F.max("one.c") - F.max("c")).alias("lead"))
+    return second.where(F.col("lead") < UNDECIDED).select("node")
+
 
-    ``edges(a, b, exact, confidence)`` are taken in order (exact first, then confidence, then
-    ends); one that would join two seeds is refused. The walk depends on its order, so each
-    component that holds several seeds is walked in one task; all others are plain components.
+def seeded_union(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``node, cluster``: components in which two different seeds never meet, named by their smallest node.
+
+    ``edges(a, b, exact, confidence)`` count in order (exact first, then confidence, then
+    ends) and nodes of one seed belong together from the start; an edge that would join two
+    seeds is refused, and so is an edge of an ``undecided`` node to a seeded one. That walk
+    is a spanning forest: were all seeds one node, an edge between two trees that hold a seed
+    would close a circle. So the seeds are taken as one node, the forest grows in rounds
+    (``forest_keys``), and its edges with their own ends give the clusters. No component is
+    walked in one task. Nodes are those of edges and seeds; a node has one seed.
     """
-    whole = cut(connected_components(edges, "a", "b").toDF("node", "component"))
-    marked = whole.join(seeds.toDF("node", "seed"), "node", "left")
-    split = marked.groupBy("component").agg(F.count_distinct("seed").alias("n")).where("n > 1").select("component")
-    plain = whole.join(split, "component", "left_anti").select("node", F.col("component").alias("cluster"))
-    inner = edges.join(whole.toDF("a", "component"), "a").join(split, "component", "left_semi")
-    inner = inner.join(seeds.toDF("a", "sa"), "a", "left").join(seeds.toDF("b", "sb"), "b", "left")
-    kind = edges.schema["a"].dataType.simpleString()
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        root, seed = {}, {}
-        for x, s in [*zip(rows["a"], rows["sa"], strict=True), *zip(rows["b"], rows["sb"], strict=True)]:
-            root[x] = x
-            if not pd.isna(s):
-                seed[x] = s
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for x, y in rows.sort_values(["exact", "confidence", "a", "b"], ascending=[False, False, True, True])[["a", "b"]].itertuples(index=False):
-            p, q = sorted((find(x), find(y)))
-            if p != q and not (p in seed and q in seed and seed[p] != seed[q]):
-                root[q] = p
-                if q in seed:
-                    seed[p] = seed[q]
-        return pd.DataFrame({"node": list(root), "cluster": [find(x) for x in root]})
-
-    walked = inner.select("component", "a", "b", "exact", "confidence", "sa", "sb").groupBy("component").applyInPandas(walk, f"node {kind}, cluster {kind}")
-    return plain.unionByName(walked)
+    # a left join each: hot nodes are the skew join's business
+    marked = edges.where("a is not null and b is not null").join(seeds.toDF("a", "sa"), "a", "left").join(seeds.toDF("b", "sb"), "b", "left")
+    no = undecided(edges, seeds)
+    marked = marked.join(no.select(F.col("node").alias("a"), F.lit(True).alias("ua")), "a", "left").join(no.select(F.col("node").alias("b"), F.lit(True).alias("ub")), "b", "left")
+    kept = marked.where("not (ua is not null and sb is not null) and not (ub is not null and sa is not null)")
+    one = seeds.agg(F.min("node")).first()[0]
+    key = F.struct((~F.col("exact")).alias("late"), (-F.col("confidence")).alias("c"), F.col("a").alias("a"), F.col("b").alias("b"))
+    merged = lambda name, seed: F.when(F.col(seed).isNotNull(), F.lit(one)).otherwise(F.col(name)).alias(name) if one is not None else F.col(name)
+    grown = forest_keys(kept.select(merged("a", "sa"), merged("b", "sb"), key.alias("key"))).select("key.a", "key.b")
+    anchors = seeds.groupBy("seed").agg(F.min("node").alias("anchor"))
+    alike = seeds.join(anchors, "seed").select("anchor", "node")
+    loops = edges.select("a", "a").union(edges.select("b", "b"))
+    return connected_components(grown.union(alike).union(loops), "a", "b").toDF("node", "cluster")
+
+
+def refused_edges(edges: DataFrame, seeds: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``a, b, reason`` for each edge that ``seeded_union`` refused: ``ambiguous_manual_seed`` or ``different_manual_seeds``."""
+    no = undecided(edges, seeds).withColumn("u", F.lit(True))
+    met = edges.join(clusters.toDF("a", "ca"), "a").join(clusters.toDF("b", "cb"), "b").join(seeds.toDF("a", "sa"), "a", "left").join(seeds.toDF("b", "sb"), "b", "left")
+    met = met.join(no.toDF("a", "ua"), "a", "left").join(no.toDF("b", "ub"), "b", "left")
+    unclear = (F.col("ua").isNotNull() & F.col("sb").isNotNull()) | (F.col("ub").isNotNull() & F.col("sa").isNotNull())
+    return met.where(unclear | (F.col("ca") != F.col("cb"))).select("a", "b", F.when(unclear, "ambiguous_manual_seed").otherwise("different_manual_seeds").alias("reason"))
 
 
 def complete_linkage(edges: DataFrame, floor: float) -> DataFrame:
-    """Split components of ``edges(a, b, sim)`` until every pair in a cluster reaches ``floor``; missing pairs count 0."""
-    whole = connected_components(edges, "a", "b").toDF("a", "component")
-    kind = edges.schema["a"].dataType.simpleString()
-
-    def split(rows: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted({*rows["a"], *rows["b"]})
-        place = {n: k for k, n in enumerate(nodes)}
-        least = np.zeros((len(nodes), len(nodes)))
-        for a, b, sim in rows[["a", "b", "sim"]].itertuples(index=False):
-            least[place[a], place[b]] = least[place[b], place[a]] = sim
-        least[np.tril_indices(len(nodes))] = -np.inf  # one triangle, so the first maximum has the smallest numbers
-        members = {k: [n] for k, n in enumerate(nodes)}
-        while len(members) > 1:
-            i, j = divmod(int(least.argmax()), len(nodes))
-            if not least[i, j] >= floor:
-                break
-            members[i] += members.pop(j)
-            row = np.minimum(np.maximum(least[i], least[:, i]), np.maximum(least[j], least[:, j]))
-            least[i, i + 1 :], least[:i, i] = row[i + 1 :], row[:i]
-            least[j], least[:, j] = -np.inf, -np.inf
-        return pd.DataFrame([(n, min(c)) for c in members.values() for n in c], columns=["node", "cluster"])
-
-    return edges.join(whole, "a").groupBy("component").applyInPandas(split, f"node {kind}, cluster {kind}")
+    """``node, cluster``: components of ``edges(a, b, sim)`` split so that every pair in a cluster reaches ``floor``; missing pairs count 0.
+
+    The walk that always joins the two clusters whose farthest pair is nearest (ties to the
+    smallest members) equals joining, round after round, all clusters that are each other's
+    best: what joins elsewhere never brings a cluster nearer. State is a sparse table of
+    cluster pairs all of whose pairs reach ``floor``; a joined cluster keeps a neighbour only
+    if all its parts had it. No component is held in one task.
+    """
+    if floor <= 0:
+        raise ValueError("floor must be above 0: missing pairs count 0")
+    plain = edges.where("a <> b").groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.max("sim").alias("sim"))
+    pairs = cut(plain.where(F.col("sim") >= floor))
+    found = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).where("node is not null").distinct().withColumn("cluster", F.col("node")))
+    key = F.struct((-F.col("sim")).alias("s"), F.col("x").alias("x"), F.col("y").alias("y"))
+    while not pairs.isEmpty():
+        best = pairs.select(F.col("x").alias("c"), key.alias("k")).union(pairs.select("y", key)).groupBy("c").agg(F.min("k").alias("k"))
+        mutual = best.groupBy("k").agg(F.count("*").alias("n")).where("n = 2")
+        moved = cut(mutual.select(F.col("k.y").alias("c"), F.col("k.x").alias("into")))
+        parts = moved.select(F.col("into").alias("c"), F.lit(2).alias("parts"))
+        found = cut(found.join(moved.toDF("cluster", "into"), "cluster", "left").select("node", F.coalesce("into", "cluster").alias("cluster")))
+        named = pairs.join(moved.toDF("x", "nx"), "x", "left").join(moved.toDF("y", "ny"), "y", "left").select(F.coalesce("nx", "x").alias("p"), F.coalesce("ny", "y").alias("q"), "sim").where("p <> q")
+        met = named.groupBy(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).agg(F.min("sim").alias("sim"), F.count("*").alias("n"))
+        whole = met.join(parts.toDF("x", "px"), "x", "left").join(parts.toDF("y", "py"), "y", "left").where(F.col("n") == F.coalesce("px", F.lit(1)) * F.coalesce("py", F.lit(1)))
+        pairs = cut(whole.select("x", "y", "sim"))
+    return found
 
 
 def balanced_chunks(edges: DataFrame, size: int = 180) -> DataFrame:
@@ -370,10 +458,23 @@ def g07(spark, d):
     return complete_linkage(_edges(spark, d).withColumn("sim", F.pmod(F.crc32(F.concat("a", "b")), F.lit(100)) / 100), 0.5)
 
 
-@query("g08_spanning_forest", oracle(_CLOSURE + " SELECT count(*) - count(DISTINCT component) AS edges FROM comp", "claims"))
+_WEIGHED = ", e AS (SELECT a, b, CAST((length(a) * 31 + ascii(substr(a, -1, 1)) * 17 + ascii(substr(b, -1, 1)) * 7 + length(b)) % 100 AS DOUBLE) AS weight FROM (" + EDGES + ") x)"
+
+
+def _weighed(spark, d):
+    last = lambda c: F.ascii(F.substring(c, -1, 1))
+    return _edges(spark, d).withColumn("weight", ((F.length("a") * 31 + last("a") * 17 + last("b") * 7 + F.length("b")) % 100).cast("double"))
+
+
+# an edge is in the maximum forest unless its ends are joined by edges that come before it: at the weight of each edge, walks over earlier ones
+_FOREST = _WEIGHED + """, k AS (SELECT a, b, weight, row_number() OVER (ORDER BY weight DESC, a, b) AS place FROM e), both_ AS (SELECT a AS x, b AS y, place FROM k UNION ALL SELECT b, a, place FROM k),
+  w AS (WITH RECURSIVE r(place, target, node) AS (SELECT place, b, a FROM k UNION SELECT r.place, r.target, t.y FROM r JOIN both_ t ON r.node = t.x AND t.place < r.place WHERE r.node <> r.target) SELECT * FROM r)
+  SELECT a, b, weight FROM k WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.place = k.place AND w.node = k.b)"""
+
+
+@query("g08_spanning_forest", oracle(_FOREST, "claims"))
 def g08(spark, d):
-    edges = _edges(spark, d).withColumn("weight", F.pmod(F.crc32(F.concat("a", "b")), F.lit(100)).cast("double"))
-    return spanning_forest(edges).agg(F.count("*").alias("edges"))
+    return spanning_forest(_weighed(spark, d))
 
 
 @query("g09_chunks")
@@ -381,9 +482,14 @@ def g09(spark, d):
     return balanced_chunks(_edges(spark, d), 20)
 
 
-@query("g10_bfs_depths", oracle(", e AS (" + EDGES + "), k AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (WITH RECURSIVE w(node, depth) AS (SELECT 'n0', 0 UNION SELECT k.y, w.depth + 1 FROM w JOIN k ON w.node = k.x WHERE w.depth < 12) SELECT * FROM w) SELECT node, min(depth) AS depth FROM r GROUP BY node", "claims"))
+@query("g10_bfs_depths", oracle(", e AS (" + EDGES + "), k AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (WITH RECURSIVE w(node, depth) USING KEY (node) AS (SELECT 'n0', 0 UNION SELECT y, depth FROM (SELECT k.y, min(w.depth + 1) AS depth FROM w JOIN k ON w.node = k.x GROUP BY k.y) s WHERE NOT EXISTS (SELECT 1 FROM recurring.w o WHERE o.node = s.y AND o.depth <= s.depth)) SELECT * FROM w) SELECT node, depth FROM r", "claims"))
 def g10(spark, d):
-    return bfs_depths(_edges(spark, d), spark.createDataFrame([("n0",)], "node string"), 12).select("node", "depth")
+    return bfs_depths(_edges(spark, d), spark.createDataFrame([("n0",)], "node string")).select("node", "depth")
+
+
+@query("g10_ranked_forest")
+def g10b(spark, d):
+    return ranked_forest(_edges(spark, d), view(spark, d, "tags").select(F.col("tag").alias("node"), "frequency"))
 
 
 @query("g11_degrees", oracle(", e AS (" + EDGES + ") SELECT node, count(DISTINCT other) AS degree FROM (SELECT a AS node, b AS other FROM e UNION ALL SELECT b, a FROM e) x GROUP BY node", "claims"))
