@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A quarter of the claims lies among some 220 names at every size, one component; all others
+#: lie among 16 names for each 64 orders, components that grow in number, some of them joined.
 CLAIMS = """
 SELECT o_orderkey AS claim_id, CAST(floor(o_orderkey / 4) AS BIGINT) AS sid, CAST(o_orderkey % 4 AS INT) AS ordinal,
   concat('vol', CAST(o_orderkey % 3 + 1 AS STRING)) AS volume, CAST(o_custkey % 97 + 1 AS INT) AS page,
-  concat('n', CAST(o_custkey % 211 AS STRING)) AS subject, o_orderpriority AS relation,
-  concat('n', CAST((o_orderkey * 7) % 223 AS STRING)) AS object,
-  concat('E', CAST(o_custkey % 211 % 9 AS STRING)) AS s_cat, concat('R', substring(o_orderpriority, 1, 1)) AS r_cat,
-  concat('E', CAST((o_orderkey * 7) % 223 % 9 AS STRING)) AS o_cat, o_orderstatus AS decision, o_totalprice AS score
-FROM orders
+  concat('n', CAST(sn AS STRING)) AS subject, o_orderpriority AS relation, concat('n', CAST(ob AS STRING)) AS object,
+  concat('E', CAST(sn % 9 AS STRING)) AS s_cat, concat('R', substring(o_orderpriority, 1, 1)) AS r_cat,
+  concat('E', CAST(ob % 9 AS STRING)) AS o_cat, o_orderstatus AS decision, o_totalprice AS score
+FROM (SELECT *, CASE WHEN o_custkey % 4 = 0 THEN o_custkey % 211 ELSE 1000 + 16 * CAST(floor(o_orderkey / 64) AS BIGINT) + o_custkey % 16 END AS sn,
+  CASE WHEN o_custkey % 4 = 0 THEN (o_orderkey * 7) % 223 ELSE 1000 + 16 * greatest(0, CAST(floor(o_orderkey / 64) AS BIGINT) - CASE WHEN o_orderkey % 181 = 0 THEN 1 ELSE 0 END) + (o_orderkey * 7) % 16 END AS ob FROM orders) o
 """
 ENDS = f"""
 SELECT claim_id, volume, page, 'subject' AS role, subject AS tag, object AS other, relation, score FROM ({CLAIMS}) c1

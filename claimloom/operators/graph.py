@@ -188,7 +188,7 @@ def forest_keys(edges: DataFrame) -> DataFrame:
 def spanning_forest(edges: DataFrame) -> DataFrame:
     """Maximum spanning forest of ``edges(a, b, weight)``; ties by the smaller ends, so the forest is unique."""
     key = F.struct((-F.col("weight")).alias("w"), F.col("a").alias("a"), F.col("b").alias("b"))
-    return forest_keys(edges.select("a", "b", key.alias("key")).distinct()).select("key.a", "key.b", (-F.col("key.w")).alias("weight"))
+    return forest_keys(edges.select("a", "b", key.alias("key")).distinct()).select("key.a", "key.b", (F.lit(0) - F.col("key.w")).alias("weight"))
 
 
 def bfs_depths(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:

@@ -15,11 +15,12 @@ LEVELS = ("1-URGENT", "2-HIGH", "3-MEDIUM")
 def orders(spark, tmp_path_factory):
     """48 orders, few of them in any of the residues that the queries once read, and a vector for each name."""
     folder, day = str(tmp_path_factory.mktemp("whole")), datetime.datetime(2024, 1, 1)
-    rows = [(k, k * 5 % 83 + 1, "FOP"[k % 3], 1e5 + k * 37 % 53 * 1e4, day, LEVELS[k % 3]) for k in range(1, 48)] + [(54, 1, "F", 2e5, day, "1-URGENT")]
+    rows = [(k, k * 5 % 83 + 1, "FOP"[k % 3], 1e5 + k * 37 % 53 * 1e4, day, LEVELS[k % 3]) for k in range(1, 48)] + [(54, 28, "F", 2e5, day, "1-URGENT")]
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{folder}/orders.parquet")
-    vectors = [(k, [float((k * 7 + j * j) % 11 - 5) for j in range(8)], k % 10) for k in range(223)]
+    vectors = [(k, [float((k * 7 + j * j) % 11 - 5) for j in range(8)], k % 10) for k in [*range(223), *range(1000, 1016)]]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
-    return folder, [(k, f"n{c % 211}", f"n{k * 7 % 223}", p, price) for k, c, _, price, _, p in rows]
+    names = lambda k, c: (c % 211, k * 7 % 223) if c % 4 == 0 else (1000 + k // 64 * 16 + c % 16, 1000 + k // 64 * 16 + k * 7 % 16)
+    return folder, [(k, *(f"n{x}" for x in names(k, c)), p, price) for k, c, _, price, _, p in rows]
 
 
 def edges_of(claims):
