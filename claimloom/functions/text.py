@@ -35,7 +35,11 @@ def token_ngrams(tokens: Column, size: int) -> Column:
 
 def char_grams(c: Column, size: int = 3) -> Column:
     """Distinct character runs of ``size``; shorter texts are one gram of their own."""
-    many = F.transform(F.sequence(F.lit(1), F.length(c) - (size - 1)), lambda i: F.substr(c, i, F.lit(size)))
+    chars = F.split(c, "")
+    runs = chars
+    for k in range(1, size):  # side by side, so a long text is passed over once a place and not once a gram
+        runs = F.zip_with(runs, F.slice(chars, k + 1, 1 << 30), lambda x, y: F.concat(x, y))
+    many = F.slice(runs, 1, F.greatest(F.length(c) - (size - 1), F.lit(0)))
     return F.when(F.length(c) >= size, F.array_distinct(many)).when(F.length(c) > 0, F.array(c)).otherwise(F.array().cast("array<string>"))
 
 

@@ -287,7 +287,11 @@ def greedy_disjoint(pairs: DataFrame, most: int | None = None, rounds: int | Non
         now = cut(left.withColumn("k", key).join(best.toDF("a", "ka"), "a").join(best.toDF("b", "kb"), "b").where("k = ka and k = kb").select("a", "b", "score"))
         taken = now if taken is None else cut(taken.union(now))
         used = now.select(F.col("a").alias("x")).union(now.select("b"))
-        left = cut(left.join(used.toDF("a"), "a", "left_anti").join(used.toDF("b"), "b", "left_anti").select("a", "b", "score"))
+        left = left.join(used.toDF("a"), "a", "left_anti").join(used.toDF("b"), "b", "left_anti").select("a", "b", "score")
+        if most:  # pairs under the last wanted one so far cannot be among the wanted
+            best = taken.orderBy(F.desc("score"), "a", "b").limit(most).agg(F.count("*"), F.min("score")).first()
+            left = left.where(F.col("score") >= best[1]) if best[0] == most else left
+        left = cut(left)
     taken = left if taken is None else taken
     return taken.orderBy(F.desc("score"), "a", "b").limit(most) if most else taken
 

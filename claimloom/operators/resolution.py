@@ -36,11 +36,15 @@ def nearest_assignment(lines: DataFrame, entries: DataFrame, page: str, reach: i
 
 
 def best_title(titles: DataFrame, headings: DataFrame) -> DataFrame:
-    """For each ``(title_id, page, title)`` the heading within a page with the most similar 3-grams."""
-    near = titles.withColumn("at", F.explode(F.array(*[F.col("page") + k for k in (-1, 0, 1)])))
-    met = near.join(headings.select(F.col("page").alias("at"), "heading_id", "heading"), "at")
-    sim = T.jaccard(T.char_grams(F.lower("title")), T.char_grams(F.lower("heading")))
-    return met.withColumn("sim", sim).groupBy("title_id").agg(F.max_by(F.struct("heading_id", "sim"), F.struct("sim", -F.col("heading_id"))).alias("b")).select("title_id", "b.*")
+    """For each ``(title_id, page, title)`` the heading within a page with the most similar 3-grams; a row's grams are made once."""
+    grams = lambda c: T.char_grams(F.lower(c))
+    own = cut(titles.select("title_id", "page", grams("title").alias("g")))
+    other = cut(headings.select(F.col("page").alias("at"), "heading_id", grams("heading").alias("h")))
+    near = own.withColumn("at", F.explode(F.array(*[F.col("page") + k for k in (-1, 0, 1)])))
+    met = near.join(other, "at").withColumn("shared", F.size(F.array_intersect("g", "h")))
+    union = F.size("g") + F.size("h") - F.col("shared")
+    sim = F.when(union > 0, F.col("shared") / union).otherwise(F.lit(0.0))
+    return met.select("title_id", "heading_id", sim.alias("sim")).groupBy("title_id").agg(F.max_by(F.struct("heading_id", "sim"), F.struct("sim", -F.col("heading_id"))).alias("b")).select("title_id", "b.*")
 
 
 def subsequence_merge(canonical: DataFrame, older: DataFrame, key: str) -> DataFrame:
@@ -170,15 +174,16 @@ def similar_patterns(claims: DataFrame, vectors: DataFrame, anchor: list, floor:
     return scored.where(F.col("score") >= floor).orderBy(F.desc("score"), *key).limit(most)
 
 
-def refine_until_empty(pairs: DataFrame, decide) -> DataFrame:
+def refine_until_empty(pairs: DataFrame, decide, most: int | None = None) -> DataFrame:
     """Rank disjoint pairs, decide, merge or forbid, repeat until a round accepts nothing; ``(item, cluster)``.
 
     ``decide(frame)`` adds ``accept``; scores of merged clusters are the best of their members'.
+    A round takes the best ``most`` disjoint pairs, or all of them.
     """
     items = pairs.select(F.col("a").alias("item")).union(pairs.select("b")).distinct()
     clusters, open_ = cut(items.withColumn("cluster", F.col("item"))), cut(pairs.select("a", "b", "score"))
     while True:
-        judged = cut(decide(greedy_disjoint(open_, 100)))
+        judged = cut(decide(greedy_disjoint(open_, most)))
         merged = judged.where("accept").select(F.greatest("a", "b").alias("from"), F.least("a", "b").alias("to"))
         if merged.isEmpty():
             break
@@ -331,7 +336,7 @@ def x21(spark, d):
 @query("v06_refinement")
 def v06(spark, d):
     pairs = view(spark, d, "claims").where("subject <> object").groupBy(F.least("subject", "object").alias("a"), F.greatest("subject", "object").alias("b")).agg(F.max("score").alias("score"))
-    return refine_until_empty(pairs, lambda f: f.withColumn("accept", F.col("score") > 300000))
+    return refine_until_empty(pairs, lambda f: f.withColumn("accept", F.col("score") > 300000), 1000)
 
 
 @query("v12_token_alignment")

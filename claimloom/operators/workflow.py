@@ -189,10 +189,10 @@ def window_register(mentions: DataFrame, decisions: DataFrame) -> tuple[DataFram
     return register, judged.where("problem is not null").select("window", "tag", "problem")
 
 
-def refine_by_centroids(vectors: DataFrame, decide, most: int = 100, near: int = 15) -> DataFrame:
+def refine_by_centroids(vectors: DataFrame, decide, most: int | None = None, near: int = 15) -> DataFrame:
     """``item, cluster``: rank disjoint cluster pairs by centroid cosine, decide, merge or bar, recompute, until a pass accepts nothing.
 
-    ``vectors(item, embedding)``; ``decide(frame)`` adds ``accept`` to ``a, b, score``. A rejected
+    A pass takes the best ``most`` disjoint pairs, or all. ``vectors(item, embedding)``; ``decide(frame)`` adds ``accept`` to ``a, b, score``. A rejected
     pair is barred for good, for whatever its sides are merged into too.
     """
     members, barred = cut(vectors.select("item", F.col("item").alias("cluster"))), None
@@ -210,6 +210,13 @@ def refine_by_centroids(vectors: DataFrame, decide, most: int = 100, near: int =
         barred = cut(moved(moved(refused, "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
+@query("v06_centroid_refinement")
+def v06(spark, d):
+    """Vectors merge where their centroids are near and their numbers do not add up to a multiple of seven; the latter pairs are barred."""
+    accept = (F.col("score") >= 0.45) & ((F.col("a") + F.col("b")) % 7 != 0)
+    return refine_by_centroids(table(spark, d, "embeddings").select(F.col("vec_id").alias("item"), "embedding"), lambda f: f.withColumn("accept", accept))
+
+
 @query("j01_labelled", oracle("SELECT c.claim_id, s.id AS subject_id, o.id AS object_id FROM claims c JOIN (SELECT tag, CAST(substr(tag, 2) AS BIGINT) AS id FROM tags) s ON s.tag = c.subject JOIN (SELECT tag, CAST(substr(tag, 2) AS BIGINT) AS id FROM tags) o ON o.tag = c.object", "claims", "tags"))
 def j01(spark, d):
     labels = view(spark, d, "tags").select("tag", F.expr("cast(substr(tag, 2) as bigint)").alias("id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.model import table
+from claimloom.plans.lineage import checkpoint_dir, cut, delete_folder
 from claimloom.registry import query
 from claimloom.sources.files import latest_attempts
 
@@ -131,8 +133,11 @@ class PendingCommit:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of event files as a stream with the batch table's columns; zoneless times are read as UTC-session times, which watermarks need."""
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """A folder of event files, or one file, as a stream with the batch table's columns; zoneless times are read as UTC-session times, which watermarks need."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    single = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    stream = reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString()) if single else reader.parquet(path)
     return stream.select(*[F.col(n).cast("timestamp").alias(n) if t == "timestamp_ntz" else F.col(n) for n, t in stream.dtypes])
 
 
@@ -178,6 +183,24 @@ def limiter(spark, d):
     return limiter_view(table(spark, d, "events"), 3, 36000)
 
 
+_ACCEPTED = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+  r(user_id, event_id, k, allowed, taken) AS (SELECT user_id, event_id, k, true, [t] FROM e WHERE k = 1 UNION ALL
+    SELECT e.user_id, e.event_id, e.k, len(kept) < 3, CASE WHEN len(kept) < 3 THEN list_append(kept, e.t) ELSE kept END
+    FROM (SELECT r.user_id, r.k, e.t AS now, list_filter(r.taken, lambda x: x > e.t - 36000000000) AS kept FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) p JOIN e ON e.user_id = p.user_id AND e.k = p.k + 1)
+  SELECT user_id, event_id, allowed, CAST(3 - len(taken) AS INT) AS remaining FROM r"""
+
+
+@query("v05_accepted", _ACCEPTED)
+def accepted(spark, d):
+    """The events, read as a stream, through the limiter that counts accepted requests alone: 3 a user in 10 hours."""
+    home = f"{checkpoint_dir(spark)}/limiter-{uuid.uuid4().hex}"
+    limited = limit_requests(read_events(spark, f"{d}/events.parquet"), 3, 36000)
+    limited.writeStream.foreachBatch(idempotent_sink(f"{home}/out")).option("checkpointLocation", f"{home}/log").trigger(availableNow=True).start().awaitTermination()
+    out = cut(spark.read.parquet(f"{home}/out").select("user_id", "event_id", "allowed", "remaining"))
+    delete_folder(spark, home)
+    return out
+
+
 _STATES = "CASE event_id % 11 WHEN 0 THEN 'SUCCEEDED' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'CANCELLED' WHEN 3 THEN 'EXPIRED' ELSE 'RUNNING' END"
 
 
@@ -209,6 +232,67 @@ def codes(spark, d):
     return tags.withColumn("code", F.dense_rank().over(Window.orderBy("first_seen")))  # one row a tag
 
 
+#: Provisional ids that one page may need (fixed value).
+MOST_PROVISIONAL = 99
+
+
+def reassembled(proposals: DataFrame, annotations: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A page's chunks put together: its categories, its annotations with their new ids, and its errors.
+
+    ``chunks(page, chunk, kind)`` says how each chunk was answered; ``proposals(page, chunk,
+    prefix, place, id, label)`` holds what it proposed under ids of its own and
+    ``annotations(page, chunk, place, s, r, o)`` what it says with them. Labels that agree but
+    for case and blanks are one category of the page; ids are the prefix and a number in the
+    order of first mention. Ids without a proposal stay as they are (they are known codes)
+    unless they begin with a prefix. A page with a chunk that was not accepted, with over
+    ``MOST_PROVISIONAL`` categories of a prefix or with an id that its chunk did not propose
+    has errors, and nothing else. All is grouping by page and joins on (page, chunk, id).
+    """
+    key = F.trim(F.regexp_replace(F.lower("label"), r"\s+", " "))
+    named = proposals.withColumn("label_key", key)
+    order = F.struct("chunk", "place")
+    first = named.groupBy("page", "prefix", "label_key").agg(F.min(order).alias("at"), F.min_by("label", order).alias("label"))
+    ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("page", "prefix").orderBy("at")))
+    codes = cut(ranked.select("page", "prefix", "label_key", "label", "n", F.concat("prefix", F.lpad(F.col("n").cast("string"), 2, "0")).alias("final")))
+    many = codes.groupBy("page", "prefix").agg(F.max("n").alias("n")).where(F.col("n") > MOST_PROVISIONAL).select("page", F.lit("too many provisional categories").alias("error"))
+    refused = chunks.where("kind <> 'accepted'").select("page", F.concat_ws(" ", F.lit("chunk"), F.col("chunk").cast("string"), F.col("kind")).alias("error"))
+    known = named.groupBy("page", "chunk", "id", "prefix").agg(F.max_by("label_key", "place").alias("label_key")).join(codes.select("page", "prefix", "label_key", "final"), ["page", "prefix", "label_key"]).select("page", "chunk", "id", "final")
+    prefixes = [r.prefix for r in proposals.select("prefix").distinct().collect()]  # two: entities and relations
+    parts = annotations
+    for end in ("s", "r", "o"):
+        parts = parts.join(known.withColumnRenamed("id", end), ["page", "chunk", end], "left")
+        given = F.lit(False)
+        for prefix in prefixes:
+            given = given | F.col(end).rlike(f"^{prefix}[0-9]")
+        parts = parts.withColumn(f"_{end}", F.coalesce("final", F.when(~given, F.col(end)))).drop("final")
+    parts = cut(parts)
+    loose = parts.where("_s is null or _r is null or _o is null").select("page", F.lit("an id that was not proposed").alias("error"))
+    errors = cut(refused.union(many).union(loose).distinct())
+    bad = errors.select("page").distinct()
+    categories = codes.join(bad, "page", "left_anti").select("page", F.col("final").alias("id"), "label")
+    return categories, parts.join(bad, "page", "left_anti").select("page", "chunk", "place", F.col("_s").alias("s"), F.col("_r").alias("r"), F.col("_o").alias("o")), errors
+
+
+_CHUNKED = "SELECT user_id AS page, event_id // 200 AS chunk, event_id % 200 AS place, event_type, event_id FROM events"
+
+
+@query(
+    "v11_reassembled",
+    f"""WITH c AS ({_CHUNKED}), f AS (SELECT page, event_type AS k, min(chunk * 1000 + place) AS first_at FROM c GROUP BY ALL),
+    n AS (SELECT page, k, row_number() OVER (PARTITION BY page ORDER BY first_at) AS n FROM f), bad AS (SELECT DISTINCT page FROM c WHERE event_id % 197 = 0)
+    SELECT c.page, c.chunk, c.place, 'NE' || lpad(CAST(n.n AS VARCHAR), 2, '0') AS s, 'R1' AS r, 'E7' AS o FROM c JOIN n ON n.page = c.page AND n.k = c.event_type WHERE c.page NOT IN (SELECT page FROM bad)""",
+)
+def reassembly(spark, d):
+    """Each user's events as a page in chunks of 200 numbers: a chunk proposes its event types anew, in one case or the other."""
+    rows = table(spark, d, "events").selectExpr("user_id as page", "event_id div 200 as chunk", "event_id % 200 as place", "event_type", "event_id")
+    label = F.when(F.col("chunk") % 2 == 0, F.concat(F.lit(" "), F.upper("event_type"))).otherwise(F.col("event_type"))
+    own = rows.groupBy("page", "chunk", "event_type").agg(F.min("place").alias("place")).withColumn("id", F.concat(F.lit("NE"), F.crc32("event_type").cast("string")))
+    proposals = own.select("page", "chunk", F.lit("NE").alias("prefix"), "place", "id", label.alias("label"))
+    notes = rows.select("page", "chunk", "place", F.concat(F.lit("NE"), F.crc32("event_type").cast("string")).alias("s"), F.lit("R1").alias("r"), F.lit("E7").alias("o"))
+    answers = rows.groupBy("page", "chunk").agg(F.when(F.min(F.col("event_id") % 197) == 0, "truncated").otherwise("accepted").alias("kind"))
+    return reassembled(proposals, notes, answers)[1]
+
+
 @query("v11_chunks", "SELECT (event_id - (SELECT min(event_id) FROM events)) // 100 AS chunk, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1")
 def chunks(spark, d):
     e = table(spark, d, "events")

@@ -40,7 +40,7 @@ def test_graph_queries_read_every_claim(spark, orders):
     assert {r.node for r in run(spark, "g05_communities", folder)} == nodes == {r.node for r in run(spark, "g07_complete_linkage", folder)}
     chunks = run(spark, "g09_chunks", folder)
     assert {r.node: r.component for r in chunks} == roots and len(chunks) == len(nodes)
-    folds = run(spark, "l05_disjoint_folds", folder)
+    folds = [r for r in run(spark, "l05_disjoint_folds", folder) if r.repeat == 1]
     whole = find_roots([(s, o) for _, s, o, _, _ in claims])
     assert sorted((r.a, r.b) for r in folds) == sorted((s, o) for _, s, o, _, _ in claims) and all(r.family == whole[r.a] for r in folds)
 
