@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ("operators.facets", "operators.joins", "operators.aggregates", "operators.graph", "operators.labels", "operators.pages", "operators.learning", "operators.resolution", "operators.search", "operators.locate", "operators.surface", "operators.workflow", "operators.roundtrips", "streaming.windows")
+MODULES = ("operators.facets", "operators.joins", "operators.aggregates", "operators.graph", "operators.labels", "operators.pages", "operators.learning", "operators.resolution", "operators.search", "operators.locate", "operators.topology", "operators.surface", "operators.workflow", "operators.roundtrips", "streaming.windows")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
