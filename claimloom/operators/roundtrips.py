@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from claimloom.model import oracle, table, view
 from claimloom.operators.facets import FilterSpec, decode_cursor, encode_cursor
+from claimloom.operators.graph import numbered
 from claimloom.operators.pages import applied_patches
-from claimloom.plans.lineage import checkpoint_dir
+from claimloom.plans.lineage import checkpoint_dir, cut, delete_folder
 from claimloom.registry import query
-from claimloom.sources import files
+from claimloom.sources import files, matrices
 from claimloom.streaming.windows import PendingCommit
 
 
@@ -120,11 +121,16 @@ def s07(spark, d):
     return files.scan_markdown(lines).select("kind", F.array_join("fields", "|").alias("fields"))
 
 
-@query("s09_matrix", "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS \"index\", CAST(n_nationkey AS DOUBLE) AS first FROM nation")
+@query("s09_matrix", 'SELECT row_number() OVER (ORDER BY vec_id) - 1 AS "index", vec_id, len(embedding) AS width, round(embedding[1]::DOUBLE, 5) AS first FROM embeddings')
 def s09(spark, d):
-    packed = io.BytesIO()
-    np.save(packed, np.array([[r.n_nationkey, 0.5] for r in _nations(spark, d)], np.float32))
-    return files.read_matrix(spark, _put(spark, f"{_folder(spark)}/m.npy", packed.getvalue())).select("index", F.col("embedding")[0].cast("double").alias("first"))
+    """All vectors as a matrix in parts that tasks write, scanned by byte ranges of 100 rows and aligned with their records."""
+    home = _folder(spark)
+    records = numbered(table(spark, d, "embeddings").select("vec_id", "embedding"), [F.col("vec_id")], "index").withColumn("index", F.col("index") - 1)
+    matrices.write_matrix(records, home, 4)
+    found = matrices.aligned(matrices.scan_matrix(spark, home, 100), records.select("index", "vec_id"))
+    out = cut(found.select("index", "vec_id", F.size("embedding").cast("long").alias("width"), F.round(F.col("embedding")[0].cast("double"), 5).alias("first")))
+    delete_folder(spark, home)
+    return out
 
 
 @query("s10_word_vectors", "SELECT 'v' || vec_id AS token, len(embedding) AS width, round(embedding[1]::DOUBLE, 5) AS first FROM embeddings WHERE vec_id % 3 = 0")
