@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.text import slices
+from claimloom.llm.text import Taken, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: What stands before and after the @ of an e-mail; runs are taken whole, so long ones are read once.
@@ -441,13 +441,13 @@ def model_spans(text: str, tags: np.ndarray, base: list) -> list[tuple[str, int,
     if not tags.any():
         return []
     cuts = np.flatnonzero(np.diff(tags, prepend=0, append=0))
-    out = []
+    out, taken = [], Taken(base)
     for a, b in zip(cuts, cuts[1:], strict=False):
         if not tags[a]:
             continue
         run = text[a:b]
         a, b = int(a) + len(run) - len(run.lstrip(EDGE.replace("(", ""))), int(b) - len(run) + len(run.rstrip(EDGE))
-        if b - a >= 7 and (any(c.isdigit() or c == "@" for c in text[a:b]) or AT.search(text, a, b)) and not any(a < e and s < b for _, s, e in base):
+        if b - a >= 7 and (any(c.isdigit() or c == "@" for c in text[a:b]) or AT.search(text, a, b)) and not taken(a, b):
             out.append((KINDS[int(tags[a]) - 1], a, b))
     return out
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.text import slices
+from claimloom.llm.text import Taken, slices
 
 KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -230,11 +230,9 @@ def found_spans(texts: list[str], net: CharNet) -> list[tuple[list, list]]:
         score = net.score(np.concatenate([v[0] for v in views]), np.concatenate([v[1] for v in views]))
         ends = np.cumsum([len(v[0]) for v in views])
         scores |= {job: float(score[e - len(v[0]) : e].max()) for job, v, e in zip(part, views, ends, strict=True)}
-    out = []
-    for k, base in enumerate(bases):
-        out.append((base, list(base)))
+    out, taken = [(base, list(base)) for base in bases], list(map(Taken, bases))
     for (k, a, b), score in scores.items():
-        if score >= net.threshold and not any(a < e and s < b for _, s, e in out[k][0]):
+        if score >= net.threshold and not taken[k](a, b):
             out[k][1].append(("model", a, b))
     return [(base, sorted(every, key=lambda s: (s[1], KINDS.index(s[0])))) for base, every in out]
 

@@ -6,8 +6,10 @@ Words are maximal runs of bytes outside ``\\x20`` and ``\\x09-\\x0D``. All hashe
 
 from __future__ import annotations
 
+import bisect
 import ctypes
 import gc
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -110,6 +112,19 @@ def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
     return np.unique(grams(hashes, min(size, len(hashes))))
 
 
+class Taken:
+    """Whether a stretch meets any of the given ``(kind, start, end)`` spans, by one bisection: among those that begin before its end, does the farthest end lie behind its start?"""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        ordered = sorted((a, b) for _, a, b in spans)
+        self.starts = [a for a, _ in ordered]
+        self.ends = list(itertools.accumulate((b for _, b in ordered), max))
+
+    def __call__(self, a: int, b: int) -> bool:
+        before = bisect.bisect_left(self.starts, b)
+        return before > 0 and self.ends[before - 1] > a
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int = 2 * PIECE):
     """The batch in runs of rows whose texts have at most ``limit`` bytes together, or of one row."""
     texts = batch.column(column)
