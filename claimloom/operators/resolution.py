@@ -47,6 +47,15 @@ def best_title(titles: DataFrame, headings: DataFrame) -> DataFrame:
     return met.select("title_id", "heading_id", sim.alias("sim")).groupBy("title_id").agg(F.max_by(F.struct("heading_id", "sim"), F.struct("sim", -F.col("heading_id"))).alias("b")).select("title_id", "b.*")
 
 
+def theta_top(pairs: DataFrame, keep: int) -> DataFrame:
+    """Of pairs whose parts are known (``search.best_pairs`` finds pairs): the best ``keep`` of ``(a, b, tok, tri, cos, char)`` by .5 lexical + .5 cosine; rows whose bound cannot reach the k-th are left out first."""
+    lexical = 0.45 * F.col("char") + 0.30 * F.col("tok") + 0.15 * F.col("tri") + 0.10 * F.col("tok")
+    bound = 0.5 * (0.55 + 0.30 * F.col("tok") + 0.15 * F.col("tri")) + 0.5 * F.col("cos")
+    scored = pairs.withColumns({"score": 0.5 * lexical + 0.5 * F.col("cos"), "bound": bound})
+    floor = scored.orderBy(F.desc("score"), "a", "b").limit(keep).agg(F.min("score").alias("floor"))
+    return scored.join(F.broadcast(floor)).where("bound >= floor").orderBy(F.desc("score"), "a", "b").limit(keep).select("a", "b", "score")
+
+
 def subsequence_merge(canonical: DataFrame, older: DataFrame, key: str) -> DataFrame:
     """``ordinal, old_ordinal``: each canonical text's place in the key's older list, matched forward; absent ones are null."""
     pool = older.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("pool"))
@@ -239,6 +248,12 @@ def j13(spark, d):
     return best_title(titles, s.where("sid % 3 = 1").selectExpr("sid as heading_id", "page", "line as heading")).withColumn("sim", F.round("sim", 6))
 
 
+@query("j19_theta_top", oracle(", p AS (SELECT claim_id AS a, sid AS b, (claim_id % 71) / 71.0 AS tok, (claim_id % 53) / 53.0 AS tri, (claim_id % 97) / 97.0 AS cos, (claim_id % 31) / 31.0 AS char FROM claims) SELECT a, b, round(0.5 * (0.45 * char + 0.4 * tok + 0.15 * tri) + 0.5 * cos, 6) AS score FROM p ORDER BY 0.5 * (0.45 * char + 0.4 * tok + 0.15 * tri) + 0.5 * cos DESC, a, b LIMIT 50", "claims"))
+def j19(spark, d):
+    pairs = view(spark, d, "claims").selectExpr("claim_id as a", "sid as b", "claim_id % 71 / 71 as tok", "claim_id % 53 / 53 as tri", "claim_id % 97 / 97 as cos", "claim_id % 31 / 31 as char")
+    return theta_top(pairs, 50).withColumn("score", F.round("score", 6))
+
+
 @query("j25_subsequence_merge")
 def j25(spark, d):
     c = view(spark, d, "claims").select("sid", "ordinal", F.col("relation").alias("text"))

@@ -10,7 +10,7 @@ from pyspark.sql.types import BooleanType
 from claimloom.functions import text as T
 from claimloom.functions.vectors import centroids
 from claimloom.model import oracle, table, view
-from claimloom.operators.graph import disjoint_wave, greedy_disjoint
+from claimloom.operators.graph import disjoint_wave, greedy_disjoint, numbered
 from claimloom.operators.joins import cosine_neighbours
 from claimloom.plans.lineage import cut
 from claimloom.registry import query
@@ -210,6 +210,45 @@ def refine_by_centroids(vectors: DataFrame, decide, most: int | None = None, nea
         barred = cut(moved(moved(refused, "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
+def assign_codes(register: DataFrame, batch: DataFrame) -> DataFrame:
+    """``tag, code, pages`` after a batch of ``(tag, place, page, wanted)`` has come to a register of ``(tag, code, pages)``.
+
+    Known tags keep their code. A new tag gets the code that it wants, else the largest code
+    so far plus its rank among such tags by first ``place``. Pages of the batch add to those
+    of the register. A tag that wants two codes or another than its own, and a code that two
+    tags would have, raise before anything is assigned: the batch counts whole or not at all.
+    """
+    seen = batch.groupBy("tag").agg(F.min("place").alias("place"), F.count_distinct("page").alias("more"), F.min("wanted").alias("low"), F.max("wanted").alias("high"))
+    met = cut(seen.join(register.withColumnRenamed("pages", "had"), "tag", "full"))
+    clash = met.where((F.col("low") != F.col("high")) | (F.col("low") != F.col("code")))
+    given = met.select("tag", F.coalesce("code", "low").alias("code"), "place", "more", "had")
+    twice = given.where("code is not null").groupBy("code").agg(F.count("*").alias("n")).where("n > 1")
+    if not clash.isEmpty() or not twice.isEmpty():
+        raise ValueError(f"{clash.count()} tags want another code, {twice.count()} codes are wanted twice")
+    last = given.agg(F.coalesce(F.max("code"), F.lit(0)).alias("last"))
+    fresh = numbered(given.where("code is null").drop("code"), [F.col("place"), F.col("tag")], "n").join(F.broadcast(last)).withColumn("code", F.col("last") + F.col("n"))
+    every = given.where("code is not null").select("tag", "code", "more", "had").union(fresh.select("tag", "code", "more", "had"))
+    return every.select("tag", F.col("code").cast("long").alias("code"), (F.coalesce("had", F.lit(0)) + F.coalesce("more", F.lit(0))).cast("long").alias("pages"))
+
+
+_CODED = "SELECT concat(event_type, '-', CAST(user_id AS STRING)) AS tag, event_id AS place, event_id % 97 AS page, event_id < 3 * (SELECT count(*) FROM events) // 4 AS early FROM events"
+
+
+@query(
+    "v09_second_batch",
+    f"""WITH e AS ({_CODED}), a AS (SELECT tag, row_number() OVER (ORDER BY min(place), tag) AS code, count(DISTINCT page) AS pages FROM e WHERE early GROUP BY tag),
+    b AS (SELECT tag, min(place) AS place, count(DISTINCT page) AS pages FROM e WHERE NOT early GROUP BY tag),
+    n AS (SELECT tag, (SELECT count(*) FROM a) + row_number() OVER (ORDER BY place, tag) AS code FROM b WHERE tag NOT IN (SELECT tag FROM a))
+    SELECT coalesce(a.tag, b.tag) AS tag, coalesce(a.code, n.code) AS code, CAST(coalesce(a.pages, 0) + coalesce(b.pages, 0) AS BIGINT) AS pages FROM a FULL JOIN b ON a.tag = b.tag LEFT JOIN n ON n.tag = b.tag""",
+)
+def v09(spark, d):
+    """Three quarters of the events make the register, the others come as a second batch."""
+    events = table(spark, d, "events")
+    rows = events.join(F.broadcast(events.agg(F.count("*").alias("n")))).select(F.concat("event_type", F.lit("-"), F.col("user_id").cast("string")).alias("tag"), F.col("event_id").alias("place"), (F.col("event_id") % 97).alias("page"), F.lit(None).cast("long").alias("wanted"), (F.col("event_id") < F.expr("3 * n div 4")).alias("early"))
+    none = spark.createDataFrame([], "tag string, code long, pages long")
+    return assign_codes(assign_codes(none, rows.where("early").drop("early")), rows.where("not early").drop("early"))
+
+
 @query("v06_centroid_refinement")
 def v06(spark, d):
     """Vectors merge where their centroids are near and their numbers do not add up to a multiple of seven; the latter pairs are barred."""

@@ -186,3 +186,20 @@ def test_centroid_refinement_is_the_plain_loop(spark, folder):
     want = plain_refinement(rows)
     assert len(set(want.values())) < len(want)
     assert {r.item: r.cluster for r in registry.QUERIES["v06_centroid_refinement"](spark, folder).collect()} == want
+
+
+# codes ------------------------------------------------------------------------------
+
+
+def test_codes_are_kept_and_conflicts_refuse_the_batch(spark):
+    from claimloom.operators.workflow import assign_codes
+
+    shape = "tag string, place long, page long, wanted long"
+    register = spark.createDataFrame([("a", 4, 2), ("b", 9, 1)], "tag string, code long, pages long")
+    batch = [("c", 5, 1, None), ("a", 1, 7, None), ("a", 2, 7, 4), ("d", 3, 1, None), ("e", 9, 1, 20), ("c", 6, 2, None)]
+    got = assign_codes(register, spark.createDataFrame(batch, shape)).collect()
+    assert {r.tag: (r.code, r.pages) for r in got} == {"a": (4, 3), "b": (9, 1), "d": (21, 1), "c": (22, 2), "e": (20, 1)}
+    for bad in ([("a", 1, 1, 5)], [("f", 1, 1, 30), ("f", 2, 1, 31)], [("f", 1, 1, 9)], [("f", 1, 1, 30), ("g", 1, 1, 30)]):
+        with pytest.raises(ValueError):
+            assign_codes(register, spark.createDataFrame(bad, shape))
+    assert {(r.tag, r.code) for r in assign_codes(register, spark.createDataFrame([], shape)).collect()} == {("a", 4), ("b", 9)}
