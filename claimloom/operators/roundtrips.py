@@ -11,11 +11,11 @@ import uuid
 import zipfile
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimloom.model import oracle, table, view
-from claimloom.operators.facets import FilterSpec, decode_cursor, encode_cursor
+from claimloom.operators.facets import MOST_CHARS, MOST_VALUES, FilterSpec, fingerprint
 from claimloom.operators.graph import numbered
 from claimloom.operators.pages import applied_patches
 from claimloom.plans.lineage import checkpoint_dir, cut, delete_folder
@@ -227,17 +227,62 @@ def f07(spark, d):
     return spark.createDataFrame([(name, _refused(request)) for name, request in cases.items()], "request string, outcome string")
 
 
+def request_pages(claims: DataFrame, spec: FilterSpec, size: int = 100) -> DataFrame:
+    """``claim_id, fetch, cursor``: every page of a request in one pass, with the cursor that leads to it (none leads to the first).
+
+    Places come from a range sort, so no page is sorted or skipped to anew.
+    """
+    ranked = numbered(claims.where(spec.columns()), [F.col(c) for c in ("volume", "page", "sid", "ordinal", "claim_id")], "n")
+    fetch = F.floor((F.col("n") - 1) / size).cast("long")
+    told = F.concat(F.lit('{"v":1,"o":'), (fetch * size).cast("string"), F.lit(f',"q":"{fingerprint(spec)}"}}'))
+    cursor = F.rtrim(F.translate(F.base64(told), "+/", "-_"), F.lit("="))
+    return ranked.select("claim_id", fetch.alias("fetch"), F.when(fetch > 0, cursor).alias("cursor"))
+
+
 @query("t04_cursor_pages", oracle("SELECT claim_id, (row_number() OVER (ORDER BY volume, page, sid, ordinal, claim_id) - 1) // 100 AS fetch FROM claims WHERE volume = 'vol1' AND subject IN ('n7', 'n8')", "claims"))
 def t04(spark, d):
-    """All pages of a request, each found by the cursor of the one before."""
-    spec, claims, out, cursor, fetch = FilterSpec(volume=("vol1",), subject=("n7", "n8")), view(spark, d, "claims"), None, None, 0
-    total = claims.where(spec.columns()).count()
-    while fetch == 0 or cursor:
-        at = decode_cursor(spec, cursor) if cursor else 0
-        rows = claims.where(spec.columns()).orderBy("volume", "page", "sid", "ordinal", "claim_id").offset(at).limit(100).select("claim_id", F.lit(fetch).cast("long").alias("fetch"))
-        out, fetch = rows if out is None else out.union(rows), fetch + 1
-        cursor = encode_cursor(spec, at + 100) if at + 100 < total else None
-    return out
+    return request_pages(view(spark, d, "claims"), FilterSpec(volume=("vol1",), subject=("n7", "n8"))).drop("cursor")
+
+
+@query("t04_all_pages", oracle("SELECT claim_id, (row_number() OVER (ORDER BY volume, page, sid, ordinal, claim_id) - 1) // 100 AS fetch FROM claims WHERE relation = '1-URGENT'", "claims"))
+def t04b(spark, d):
+    return request_pages(view(spark, d, "claims"), FilterSpec(relation=("1-URGENT",))).drop("cursor")
+
+
+def distinct_in_order(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """``key, place, value``: each key's values once, in the order of their first mention; only distinct values are numbered."""
+    first = rows.groupBy(key, value).agg(F.min(order).alias("first"))
+    return first.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("first", value)) - 1).cast("long").alias("place"), value)
+
+
+@query("t06_distinct_in_order", "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY first, event_type) - 1 AS place, event_type FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY ALL) x")
+def t06b(spark, d):
+    return distinct_in_order(table(spark, d, "events"), "user_id", "event_type", "event_id")
+
+
+def request_problem(volume, start, end, values):
+    """What ``FilterSpec.parse`` would refuse in a row of requests, the first problem in its order; null for a good one."""
+    unknown = F.exists(volume, lambda v: ~v.isin("vol1", "vol2", "vol3"))
+    return (
+        F.when((F.size(values) > MOST_VALUES) | F.exists(values, lambda v: F.length(v) > MOST_CHARS), "too many or too long values")
+        .when(unknown, "volume must be vol1, vol2 or vol3")
+        .when((start.isNotNull() | end.isNotNull()) & (F.size(volume) != 1), "pages need one volume")
+        .when(start > end, "page_start is after page_end")
+    )
+
+
+@query(
+    "f07_request_table",
+    """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'too many or too long values' WHEN event_id % 7 = 0 THEN 'volume must be vol1, vol2 or vol3' WHEN user_id % 3 = 0 AND event_id % 5 <> 0 THEN 'pages need one volume'
+    WHEN event_id % 5 <> 0 AND event_id % 90 > user_id % 90 THEN 'page_start is after page_end' END AS problem FROM events""",
+)
+def f07b(spark, d):
+    """The events as requests: some with 101 tags, an unknown volume, pages of two volumes or from the wrong end."""
+    i, u = F.col("event_id"), F.col("user_id")
+    volume = F.when(i % 7 == 0, F.array(F.lit("vol9"))).when(u % 3 == 0, F.array(F.lit("vol1"), F.lit("vol2"))).otherwise(F.array(F.concat(F.lit("vol"), (i % 3 + 1).cast("string"))))
+    values = F.when(i % 22 == 0, F.array_repeat(F.lit("n1"), 101)).when(i % 11 == 0, F.array(F.repeat(F.lit("x"), F.lit(301)))).otherwise(F.array(F.lit("n1")))
+    paged = i % 5 != 0
+    return table(spark, d, "events").select("event_id", request_problem(volume, F.when(paged, i % 90), F.when(paged, u % 90), values).alias("problem"))
 
 
 @query("t06_values_in_order", "SELECT * FROM (VALUES (0, 'n9'), (1, 'n2'), (2, 'n5')) v(place, value)")
