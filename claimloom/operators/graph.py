@@ -22,9 +22,17 @@ def weighted_graph(edges: DataFrame, src: str = "subject", dst: str = "object")
     return each.groupBy(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).agg(F.sum(1 + F.log2(F.col("n") + 1)).alias("weight"))
 
 
-def similarity_graph(neighbours: DataFrame, floor: float) -> DataFrame:
-    """Undirected edges of ``neighbours(a, b, sim)`` at or over ``floor``, weighing (sim - floor) / (1 - floor), 1e-6 at least, the larger direction."""
-    kept = neighbours.where(F.col("sim") >= floor).withColumn("w", F.greatest(F.lit(1e-6), (F.col("sim") - floor) / (1 - floor)))
+def similarity_graph(neighbours: DataFrame, floor: float, exact: DataFrame | None = None) -> DataFrame:
+    """Undirected edges of ``neighbours(a, b, sim)`` at or over ``floor``, weighing (sim - floor) / (1 - floor), 1e-6 at least, the larger direction.
+
+    Items of ``exact(item, key)`` with one key are tied to the smallest of them by edges of
+    weight 1: a star, so a key of many items makes no more edges than items.
+    """
+    kept = neighbours.where(F.col("sim") >= floor).select("a", "b", F.greatest(F.lit(1e-6), (F.col("sim") - floor) / (1 - floor)).alias("w"))
+    if exact is not None:
+        known = exact.where("key is not null and item is not null")
+        stars = known.join(known.groupBy("key").agg(F.min("item").alias("a")), "key").where("a <> item")
+        kept = kept.union(stars.select("a", "item", F.lit(1.0)))
     return kept.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("w").alias("weight"))
 
 
@@ -428,6 +436,21 @@ def g02(spark, d):
     return similarity_graph(cosine_neighbours(table(spark, d, "embeddings"), "vec_id", 15).select("a", "b", "sim"), 0.3).select("a", "b", F.round("weight", 5).alias("weight"))
 
 
+_ALIKE = """WITH n AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS sim,
+      row_number() OVER (PARTITION BY x.vec_id ORDER BY list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) DESC, y.vec_id) AS k FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id AND x.vec_id % 50 = 0),
+    p AS (SELECT p_partkey AS item, substr(p_name, 1, 12) AS key FROM part), m AS (SELECT key, min(item) AS least_item FROM p GROUP BY key),
+    e AS (SELECT a, b, greatest(1e-6, (sim - 0.3) / 0.7) AS w FROM n WHERE k <= 15 AND sim >= 0.3 UNION ALL SELECT least_item, item, 1.0 FROM p JOIN m USING (key) WHERE item <> least_item)
+    SELECT least(a, b) AS a, greatest(a, b) AS b, round(max(w), 5) AS weight FROM e GROUP BY 1, 2"""
+
+
+@query("g02_exact_and_similar", _ALIKE)
+def g02b(spark, d):
+    """Vectors whose id is divisible by 50 ask; parts of those numbers whose names begin alike are tied, too."""
+    near = cosine_neighbours(table(spark, d, "embeddings"), "vec_id", 15, every=50).select("a", "b", "sim")
+    names = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("item"), F.substring("p_name", 1, 12).alias("key"))
+    return similarity_graph(near, 0.3, names).select("a", "b", F.round("weight", 5).alias("weight"))
+
+
 @query("g03_components", oracle(_CLOSURE + " SELECT component, count(*) AS size FROM comp GROUP BY component", "claims"))
 def g03(spark, d):
     return component_sizes(_edges(spark, d))
@@ -510,5 +533,4 @@ def w07(spark, d):
 @query("w08_disjoint_wave")
 def w08(spark, d):
     c = view(spark, d, "claims").groupBy(F.col("subject").alias("parent")).agg(F.count("*").alias("n"), F.collect_set("object").alias("members"))
-    order = Window.orderBy(F.desc("n"), "parent")  # one row a parent, never the claims
-    return disjoint_wave(c.select("parent", F.row_number().over(order).alias("place"), "members"))
+    return disjoint_wave(numbered(c, [F.desc("n"), F.col("parent")], "place").select("parent", "place", "members"))

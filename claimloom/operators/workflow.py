@@ -302,9 +302,8 @@ def x19b(spark, d):
 @query("v07_waves")
 def v07(spark, d):
     c = view(spark, d, "claims").groupBy(F.col("subject").alias("parent")).agg(F.count("*").alias("n"), F.collect_set("object").alias("members"))
-    order = Window.orderBy(F.desc("n"), "parent")  # one row a parent, never the claims
     accept = F.pmod(F.crc32(F.concat("parent", "member")), F.lit(3)) > 0
-    return continued_waves(c.select("parent", F.row_number().over(order).alias("place"), "members"), lambda f: f.where(accept))
+    return continued_waves(numbered(c, [F.desc("n"), F.col("parent")], "place").select("parent", "place", "members"), lambda f: f.where(accept))
 
 
 _V08 = ", m AS (SELECT DISTINCT page // 10 AS win, subject AS tag FROM claims), d AS (SELECT win, tag, 'g' || CAST(substr(tag, 2) AS INT) % 7 || '.' || win AS name FROM m WHERE CAST(substr(tag, 2) AS INT) % 5 <> win % 5)"
