@@ -117,7 +117,7 @@ def s08(spark, d):
     sid = F.col("sid")
     body = F.when(sid % 50 == 40, F.concat(F.lit("Index "), "text")).otherwise(F.col("text"))
     book = F.concat("volume", F.lit("."), F.floor(sid / 100).cast("string"))
-    marked = F.concat(F.lit("[[BOOK="), book, F.lit(" PAGE="), F.lpad(sid.cast("string"), 4, "0"), F.lit("]]\n"), body)
+    marked = F.concat(F.lit("[[BOOK="), book, F.lit(" PAGE="), F.lpad(sid.cast("string"), F.greatest(F.lit(4), F.length(sid.cast("string"))), F.lit("0")), F.lit("]]\n"), body)
     rows = view(spark, d, "sentences").groupBy(book.alias("b")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sid", marked.alias("t")))), lambda x: x["t"]), "\n").alias("value"))
     pages = split_marked_volume(rows)
     return pages.select("book", F.col("page").cast("long").alias("page"), F.length(F.regexp_replace("body", r"^\s+|\s+$", "")).cast("long").alias("size"), F.col("back_matter").alias("back"))
