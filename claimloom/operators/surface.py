@@ -19,12 +19,13 @@ from claimloom.registry import query
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 
 
-def similar_tags(tags: DataFrame, vectors: DataFrame, anchor: str, floor: float = 0.9, most: int = 100) -> DataFrame:
-    """Tags at or over ``floor`` by cosine to the anchor, which stays visible and first whatever its score."""
+def similar_tags(tags: DataFrame, vectors: DataFrame, anchor: str, floor: float = 0.9, most: int | None = 100) -> DataFrame:
+    """Tags at or over ``floor`` by cosine to the anchor, which stays visible and first whatever its score; the best ``most``, or all."""
     own = vectors.join(tags, "tag").select("tag", "frequency", unit(F.col("embedding")).alias("v"))
     mine = own.where(F.col("tag") == anchor).select(F.col("v").alias("a"))
     scored = own.join(F.broadcast(mine)).select("tag", "frequency", dot(F.col("v"), F.col("a")).alias("similarity"))
-    return scored.where((F.col("similarity") >= floor) | (F.col("tag") == anchor)).orderBy(F.col("tag") != anchor, F.desc("similarity"), "tag").limit(most)
+    shown = scored.where((F.col("similarity") >= floor) | (F.col("tag") == anchor)).orderBy(F.col("tag") != anchor, F.desc("similarity"), "tag")
+    return shown if most is None else shown.limit(most)
 
 
 def facet_counts(claims: DataFrame, spec: FilterSpec, roles=("s_cat", "r_cat", "o_cat")) -> DataFrame:
@@ -114,7 +115,7 @@ def t08(spark, d):
 
 @query("t08_similar_tags", oracle("SELECT v.tag, t.frequency, round(list_cosine_similarity(v.embedding::DOUBLE[], a.embedding::DOUBLE[]), 5) AS similarity FROM vectors v JOIN tags t ON t.tag = v.tag, (SELECT embedding FROM vectors WHERE tag = 'n7') a WHERE v.tag = 'n7' OR list_cosine_similarity(v.embedding::DOUBLE[], a.embedding::DOUBLE[]) >= 0.2", "vectors", "tags"))
 def t08b(spark, d):
-    return similar_tags(view(spark, d, "tags"), view(spark, d, "vectors"), "n7", 0.2).withColumn("similarity", F.round("similarity", 5))
+    return similar_tags(view(spark, d, "tags"), view(spark, d, "vectors"), "n7", 0.2, None).withColumn("similarity", F.round("similarity", 5))
 
 
 @query("g13_facet_counts", oracle("SELECT 's_cat' AS role, s_cat AS value, count(*) AS n FROM claims WHERE r_cat = 'R1' GROUP BY s_cat UNION ALL SELECT 'r_cat', r_cat, count(*) FROM claims WHERE s_cat IN ('E1', 'E2') GROUP BY r_cat UNION ALL SELECT 'o_cat', o_cat, count(*) FROM claims WHERE r_cat = 'R1' AND s_cat IN ('E1', 'E2') GROUP BY o_cat", "claims"))

@@ -29,3 +29,10 @@ def equals_sql(spark, folder, name, **tables):
 def test_page_marks_of_five_digits(spark, tmp_path):
     ids = [9998, 9999, 10000, 10001, 123456]
     equals_sql(spark, tmp_path, "s08_marked_volume", documents=pd.DataFrame({"doc_id": ids, "text": [f" page {i}\n" for i in ids], "lang": "en", "source": "a"}))
+
+
+def test_similar_tags_beyond_a_hundred(spark, tmp_path):
+    n = 1200
+    orders = pd.DataFrame({"o_orderkey": range(n), "o_custkey": [7 * k % 397 for k in range(n)], "o_orderpriority": "5-LOW", "o_orderstatus": "O", "o_totalprice": 1.0})
+    vectors = pd.DataFrame({"vec_id": range(250), "embedding": [[1.0, k / 1000] for k in range(250)], "label": 0})
+    assert len(equals_sql(spark, tmp_path, "t08_similar_tags", orders=orders, embeddings=vectors)) > 100
