@@ -131,27 +131,39 @@ def nearest_in_block(a, b, k: int):
 
     if not len(a) or not len(b):
         return pd.DataFrame({"a": a["i"][:0], "b": b["j"][:0], "sim": np.zeros(0)})
-    b = b.sort_values("j")
+    b = b.sort_values("j", kind="stable")
     ids, others = a["i"].to_numpy(), b["j"].to_numpy()
     m, out = np.stack(b["w"]), []
-    for at in range(0, len(a), 512):
-        sim = np.stack(a["v"][at : at + 512]) @ m.T
-        sim[ids[at : at + 512, None] == others[None]] = -np.inf
-        best = np.argsort(-sim, 1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(sim)), best.shape[1])
-        ok = np.isfinite(sim[rows, best.ravel()])
-        out.append(pd.DataFrame({"a": ids[at + rows][ok], "b": others[best.ravel()][ok], "sim": sim[rows, best.ravel()][ok]}))
+    groups = len(others) // 32
+    for at in range(0, len(a), 256):
+        sim = np.stack(a["v"][at : at + 256]) @ m.T
+        sim[(ids[at : at + 256, None] == others[None])] = -np.inf
+        sim[np.isnan(sim)] = -np.inf
+        if groups > k:  # the k-th best of the groups' maxima is no more than the k-th best of all
+            most = sim[:, : groups * 32].reshape(len(sim), groups, 32).max(2)
+            floor = np.partition(most, groups - k, 1)[:, groups - k, None]
+            row, place = np.nonzero(sim >= floor)
+        else:
+            row, place = np.nonzero(np.isfinite(sim))
+        found = sim[row, place]
+        order = np.lexsort((place, -found, row))
+        row, place, found = row[order], place[order], found[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        ok = (rank < k) & np.isfinite(found)
+        out.append(pd.DataFrame({"a": ids[at + row[ok]], "b": others[place[ok]], "sim": found[ok]}))
     return pd.concat(out)
 
 
-def cosine_neighbours(vectors: DataFrame, item: str, k: int, block: int = 4096, every: int = 1) -> DataFrame:
+def cosine_neighbours(vectors: DataFrame, item: str, k: int, block: int | None = None, every: int = 1) -> DataFrame:
     """Exact ``k`` nearest other items by cosine of each item whose id is divisible by ``every``.
 
     Items are dealt into blocks; each pair of blocks is one task with one matrix product and
     hands on ``k`` rows an item, so memory is two blocks and the shuffle carries candidates only.
+    A block holds about a million components, 1,024 to 16,384 items: each item is sent to as
+    many tasks as there are blocks, so fewer blocks send less.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
+    n, width = vectors.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    blocks = max(1, -(-n // (block or min(16_384, max(1024, (1 << 20) // max(1, width or 1))))))
     deal = F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int")
     spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     unit_rows = vectors.select(F.col(item).alias("i"), unit(F.col("embedding")).alias("v"), deal.alias("own"))
@@ -280,9 +292,9 @@ def j16(spark, d):
 _NEAR = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
 
 
-@query("j17_cosine_neighbours", f"SELECT a, b, sim FROM (SELECT a.vec_id AS a, b.vec_id AS b, {_NEAR} AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS k FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) x WHERE k <= 15")
+@query("j17_cosine_neighbours", f"SELECT a, b, sim FROM (SELECT a.vec_id AS a, b.vec_id AS b, {_NEAR} AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS k FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) x WHERE k <= 15")
 def j17(spark, d):
-    return cosine_neighbours(table(spark, d, "embeddings"), "vec_id", 15, every=50).select("a", "b", F.round("sim", 6).alias("sim"))
+    return cosine_neighbours(table(spark, d, "embeddings"), "vec_id", 15).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query(

@@ -36,3 +36,28 @@ def test_similar_tags_beyond_a_hundred(spark, tmp_path):
     orders = pd.DataFrame({"o_orderkey": range(n), "o_custkey": [7 * k % 397 for k in range(n)], "o_orderpriority": "5-LOW", "o_orderstatus": "O", "o_totalprice": 1.0})
     vectors = pd.DataFrame({"vec_id": range(250), "embedding": [[1.0, k / 1000] for k in range(250)], "label": 0})
     assert len(equals_sql(spark, tmp_path, "t08_similar_tags", orders=orders, embeddings=vectors)) > 100
+
+
+def test_every_vector_asks(spark, tmp_path):
+    """Many equal scores among 700 rows: ties go to the smaller id, and all rows ask."""
+    turn = [[float(k % 11), float(k % 7) - 3, 1.0 + k % 3] for k in range(700)]
+    found = registry.QUERIES["j17_cosine_neighbours"]
+    pd.DataFrame({"vec_id": range(3, 703), "embedding": turn, "label": 0}).to_parquet(f"{tmp_path}/embeddings.parquet")
+    assert found(spark, str(tmp_path)).select("a").distinct().count() == 700
+
+
+def test_nearest_rows_with_ties():
+    import numpy as np
+
+    from claimloom.operators.joins import nearest_in_block
+
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-2, 3, (900, 3)).astype(float)  # products are exact, many are equal
+    vectors[5] = np.nan
+    a, b = pd.DataFrame({"i": range(900), "v": list(vectors)}), pd.DataFrame({"j": range(899, -1, -1), "w": list(vectors[::-1])})
+    mine = nearest_in_block(a, b, 15)
+    for i in (0, 17, 512, 899):
+        score = vectors @ vectors[i]
+        wanted = sorted((j for j in range(900) if j != i and score[j] == score[j]), key=lambda j: (-score[j], j))[:15]
+        assert mine[mine["a"] == i]["b"].tolist() == wanted
+    assert 5 not in set(mine["b"]) and 5 not in set(mine["a"])
