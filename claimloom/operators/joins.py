@@ -82,10 +82,11 @@ def band_join(left: DataFrame, right: DataFrame, key: str, at: str, reach: int)
 def fill_gaps(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Missing values from the previous known one plus the steps since, else the next less the steps to it."""
     w = Window.partitionBy(key).orderBy(order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # a frame up to the end of a key is read anew for each row: the way back is a running frame in the other order
+    back, ahead = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (w, Window.partitionBy(key).orderBy(F.desc("_n"))))
     rows = rows.withColumn("_n", F.row_number().over(w))
     known = F.when(F.col(value).isNotNull(), F.col(value) - F.col("_n"))
-    filled = F.coalesce(F.col(value), F.last(known, True).over(back) + F.col("_n"), F.first(known, True).over(ahead) + F.col("_n"))
+    filled = F.coalesce(F.col(value), F.last(known, True).over(back) + F.col("_n"), F.last(known, True).over(ahead) + F.col("_n"))
     return rows.withColumn("filled", filled).drop("_n")
 
 
