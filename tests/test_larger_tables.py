@@ -61,3 +61,54 @@ def test_nearest_rows_with_ties():
         wanted = sorted((j for j in range(900) if j != i and score[j] == score[j]), key=lambda j: (-score[j], j))[:15]
         assert mine[mine["a"] == i]["b"].tolist() == wanted
     assert 5 not in set(mine["b"]) and 5 not in set(mine["a"])
+
+
+def _fast(spark, frame, seconds):
+    """The rows of ``frame``, which must come within ``seconds``."""
+    import time
+
+    began = time.monotonic()
+    found = frame.toPandas()
+    assert time.monotonic() - began < seconds
+    return found
+
+
+def test_gaps_of_a_long_key(spark):
+    """One key of 300,000 rows, the last of them known: each row looks forward to it."""
+    from claimloom.operators.joins import fill_gaps
+
+    n = 300_000
+    one = spark.range(n).select(F.lit(0).alias("grp"), "id", F.when(F.col("id") == n - 1, 7 * n).alias("printed"))
+    assert _fast(spark, fill_gaps(one, "grp", "id", "printed").where(f"filled <> {6 * n} + id + 1").select("id"), 60).empty
+
+
+def test_assignment_equals_the_walk(spark):
+    from claimloom.operators.resolution import nearest_assignment
+
+    lines = pd.DataFrame([(p, k, (k * 37 + p) % 90) for p in range(3) for k in range(160)], columns=["page", "line", "y"])
+    entries = pd.DataFrame([(p, k, (k * 53) % 70 * (1 + p)) for p in range(3) for k in range(120)], columns=["page", "entry", "y"])
+    wanted = []
+    for p in range(3):
+        free = dict(entries[entries["page"] == p][["entry", "y"]].itertuples(index=False))
+        for line, y in lines[lines["page"] == p].sort_values(["y", "line"])[["line", "y"]].itertuples(index=False):
+            best = min(((abs(free[e] - y), e) for e in free if abs(free[e] - y) <= 9), default=None)
+            if best:
+                del free[best[1]]
+                wanted.append((p, line, best[1], best[0]))
+    mine = nearest_assignment(spark.createDataFrame(lines), spark.createDataFrame(entries), "page", 9).toPandas()
+    assert sorted(mine.itertuples(index=False, name=None)) == sorted(wanted)
+
+
+def test_assignment_of_a_large_page(spark):
+    from claimloom.operators.resolution import nearest_assignment
+
+    rows = spark.range(60_000).selectExpr("0L as page", "id", "id * 37 % 900 as y")
+    assert len(_fast(spark, nearest_assignment(rows.toDF("page", "line", "y"), rows.toDF("page", "entry", "y"), "page"), 60)) == 60_000
+
+
+@pytest.mark.parametrize("name", ["x17_lexical_score", "x21_pair_features"])
+def test_label_pairs_meet_by_equality(spark, tmp_path, name):
+    pd.DataFrame({"p_partkey": [1, 2, 3, 5, 9], "p_name": ["red steel", "blue steel", "red", "x", "y"]}).to_parquet(f"{tmp_path}/part.parquet")
+    frame = registry.QUERIES[name](spark, str(tmp_path))
+    assert "NestedLoop" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, frame.select("a", "b").collect())) == [(1, 2), (1, 3), (2, 3), (2, 5), (3, 5)]
