@@ -62,16 +62,51 @@ def nearest_assignment(lines: DataFrame, entries: DataFrame, page: str, reach: i
     return lines.groupBy(page).cogroup(entries.groupBy(page)).applyInPandas(assign, f"{page} long, line long, entry long, dy long")
 
 
-def best_title(titles: DataFrame, headings: DataFrame) -> DataFrame:
-    """For each ``(title_id, page, title)`` the heading within a page with the most similar 3-grams; a row's grams are made once."""
+def best_gram_match(titles: pd.DataFrame, headings: pd.DataFrame) -> pd.DataFrame:
+    """``title_id, heading_id, sim``: each title's best ``(heading_id, h)`` by Jaccard of gram sets ``g`` and ``h``, ties to the smaller id.
+
+    A gram lists the headings that hold it, so a title counts shared grams from its own lists alone.
+    """
+    found = titles[["title_id"]].assign(heading_id=headings["heading_id"].iloc[0] if len(headings) else 0, sim=0.0)
+    if not len(titles) or not len(headings):
+        return found[:0]
+    headings = headings.sort_values("heading_id", kind="stable")
+    ids, listed = headings["heading_id"].to_numpy(), {}
+    sizes = np.array([0 if h is None else len(h) for h in headings["h"]])
+    for place, held in enumerate(headings["h"]):
+        for gram in () if held is None else held:
+            listed.setdefault(gram, []).append(place)
+    listed = {gram: np.array(places) for gram, places in listed.items()}
+    best, sims = [], []
+    for own in titles["g"]:
+        own = () if own is None else own
+        lists = [listed[gram] for gram in own if gram in listed]
+        shared = np.bincount(np.concatenate(lists), minlength=len(ids)) if lists else np.zeros(len(ids), np.int64)
+        sim = shared / np.maximum(1, len(own) + sizes - shared)
+        best.append(int(sim.argmax()))
+        sims.append(float(sim[best[-1]]))
+    return found.assign(heading_id=ids[best], sim=sims)
+
+
+def best_title(titles: DataFrame, headings: DataFrame, block: int = 4096) -> DataFrame:
+    """For each ``(title_id, page, title)`` the heading within a page with the most similar 3-grams; a row's grams are made once.
+
+    A page's titles and its headings are dealt into blocks of about ``block``, and a task holds one of each.
+    """
     grams = lambda c: T.char_grams(F.lower(c))
-    own = cut(titles.select("title_id", "page", grams("title").alias("g")))
-    other = cut(headings.select(F.col("page").alias("at"), "heading_id", grams("heading").alias("h")))
-    near = own.withColumn("at", F.explode(F.array(*[F.col("page") + k for k in (-1, 0, 1)])))
-    met = near.join(other, "at").withColumn("shared", F.size(F.array_intersect("g", "h")))
-    union = F.size("g") + F.size("h") - F.col("shared")
-    sim = F.when(union > 0, F.col("shared") / union).otherwise(F.lit(0.0))
-    return met.select("title_id", "heading_id", sim.alias("sim")).groupBy("title_id").agg(F.max_by(F.struct("heading_id", "sim"), F.struct("sim", -F.col("heading_id"))).alias("b")).select("title_id", "b.*")
+    own = cut(titles.where("page is not null").select("title_id", F.col("page").alias("at"), grams("title").alias("g")))
+    other = headings.select("heading_id", grams("heading").alias("h"), F.explode(F.array(*[F.col("page") + k for k in (-1, 0, 1)])).alias("at"))
+    other = cut(other.where("at is not null"))
+    blocks = lambda frame, name: frame.groupBy("at").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = cut(blocks(own, "tb").join(blocks(other, "hb"), "at"))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = own.join(sizes, "at").select("at", "title_id", "g", deal("title_id", "tb").alias("t"), spread("hb").alias("k"))
+    right = other.join(sizes, "at").select("at", "heading_id", "h", spread("tb").alias("t"), deal("heading_id", "hb").alias("k"))
+    kind = lambda frame, c: frame.schema[c].dataType.simpleString()
+    shape = f"title_id {kind(own, 'title_id')}, heading_id {kind(other, 'heading_id')}, sim double"
+    met = left.groupBy("at", "t", "k").cogroup(right.groupBy("at", "t", "k")).applyInPandas(best_gram_match, shape)
+    return met.groupBy("title_id").agg(F.max_by(F.struct("heading_id", "sim"), F.struct("sim", -F.col("heading_id"))).alias("b")).select("title_id", "b.*")
 
 
 def theta_top(pairs: DataFrame, keep: int) -> DataFrame:
@@ -136,14 +171,15 @@ def lexical_score(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def pair_features(pairs: DataFrame) -> DataFrame:
-    """Set, order, length, rank and mutual-best features of ``(a, b, x, y, score)`` label pairs."""
-    tx, ty = T.label_tokens(F.col("x")), T.label_tokens(F.col("y"))
+    """Set, order, length, rank and mutual-best features of ``(a, b, x, y, score)`` label pairs; a pair's tokens and 3-grams are made once."""
+    pairs = pairs.withColumns({"_tx": T.label_tokens(F.col("x")), "_ty": T.label_tokens(F.col("y")), "_gx": T.char_grams(F.lower("x")), "_gy": T.char_grams(F.lower("y"))})
+    tx, ty = F.col("_tx"), F.col("_ty")
     by_a, by_b = Window.partitionBy("a"), Window.partitionBy("b")
     rows = pairs.withColumns({
-        "jaccard": T.jaccard(tx, ty), "overlap_min": T.overlap(tx, ty), "overlap_max": T.overlap(tx, ty, F.greatest), "trigram": T.jaccard(T.char_grams(F.lower("x")), T.char_grams(F.lower("y"))),
+        "jaccard": T.jaccard(tx, ty), "overlap_min": T.overlap(tx, ty), "overlap_max": T.overlap(tx, ty, F.greatest), "trigram": T.jaccard(F.col("_gx"), F.col("_gy")),
         "same_first": (F.get(tx, F.lit(0)) == F.get(ty, F.lit(0))).cast("int"), "same_last": (F.try_element_at(tx, F.lit(-1)) == F.try_element_at(ty, F.lit(-1))).cast("int"), "length_ratio": F.least(F.length("x"), F.length("y")) / F.greatest(F.length("x"), F.length("y")),
         "degree_a": F.count("*").over(by_a), "degree_b": F.count("*").over(by_b), "rank_a": F.row_number().over(by_a.orderBy(F.desc("score"), "b")), "rank_b": F.row_number().over(by_b.orderBy(F.desc("score"), "a")), "gap_a": F.max("score").over(by_a) - F.col("score"),
-    })
+    }).drop("_tx", "_ty", "_gx", "_gy")
     return rows.withColumn("mutual_best", ((F.col("rank_a") == 1) & (F.col("rank_b") == 1)).cast("int"))
 
 

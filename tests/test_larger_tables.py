@@ -112,3 +112,21 @@ def test_label_pairs_meet_by_equality(spark, tmp_path, name):
     frame = registry.QUERIES[name](spark, str(tmp_path))
     assert "NestedLoop" not in frame._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, frame.select("a", "b").collect())) == [(1, 2), (1, 3), (2, 3), (2, 5), (3, 5)]
+
+
+def test_best_titles_of_one_page(spark):
+    """6,000 titles and as many headings on one page, against plain sets for some of them."""
+    from claimloom.operators.resolution import best_title
+
+    text = lambda i: f"title {i * 7919 % 6007} of {i % 13}" if i % 500 else None
+    titles = spark.createDataFrame([(i, 1, text(i)) for i in range(6000)], "title_id long, page int, title string")
+    headings = spark.createDataFrame([(i, 2, text(3 * i)) for i in range(6000)], "heading_id long, page int, heading string")
+    found = _fast(spark, best_title(titles, headings, 2500), 60).set_index("title_id")
+    grams = lambda t: {t[k : k + 3] for k in range(len(t) - 2)} if t else set()
+    other = [grams(text(3 * i)) for i in range(6000)]
+    assert len(found) == 6000
+    for i in range(0, 6000, 250):
+        g = grams(text(i))
+        sim = [len(g & h) / len(g | h) if g | h else 0.0 for h in other]
+        best = max(sim)
+        assert (found.at[i, "heading_id"], found.at[i, "sim"]) == (sim.index(best), best)
