@@ -181,21 +181,28 @@ def split_near_middle(texts: pd.Series) -> pd.Series:
 def word_budget(rows: DataFrame, key: str, order: str, words: str, budget: int) -> DataFrame:
     """``block`` numbers of ordered segments packed until the budget is reached, per key.
 
-    The running total resets at each block, which no plain window can do; a fold over each
-    key's ordered word counts does.
+    The running total resets at each block, which no plain window can do; a pass over each
+    key's rows in order does, a batch at a time. A segment without a count has no words.
     """
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, words))).alias("s"))
-    start = F.struct(F.lit(0).alias("block"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc, x):
-        over = (acc["sum"] > 0) & (acc["sum"] + x[words] > budget)
-        block = (acc["block"] + over.cast("int")).alias("block")
-        total = F.when(over, x[words].cast("long")).otherwise(acc["sum"] + x[words]).alias("sum")
-        return F.struct(block, total, F.concat(acc["out"], F.array(acc["block"] + over.cast("int"))).alias("out"))
-
-    blocks = F.aggregate("s", start, step)["out"]
-    zipped = listed.select(key, F.explode(F.arrays_zip(F.col(f"s.{order}").alias(order), blocks.alias("block"))).alias("z"))
-    return zipped.select(key, f"z.{order}", "z.block")
+    ordered = rows.select(key, order, F.coalesce(F.col(words), F.lit(0)).cast("long").alias("_w")).repartition(key).sortWithinPartitions(key, order, "_w")
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in (key, order)]
+
+    def run(batches):
+        import pyarrow as pa
+
+        own, block, total = object(), 0, 0
+        for batch in batches:
+            blocks = []
+            for at, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if at != own:
+                    own, block, total = at, 0, 0
+                if total > 0 and total + n > budget:
+                    block, total = block + 1, 0
+                total += n
+                blocks.append(block)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blocks, pa.int32())], names=[key, order, "block"])
+
+    return ordered.mapInArrow(run, ", ".join([*kinds, "block int"]))
 
 
 def json_repaired(c: Column) -> Column:
