@@ -130,3 +130,56 @@ def test_best_titles_of_one_page(spark):
         sim = [len(g & h) / len(g | h) if g | h else 0.0 for h in other]
         best = max(sim)
         assert (found.at[i, "heading_id"], found.at[i, "sim"]) == (sim.index(best), best)
+
+
+def test_word_budget_of_a_long_key(spark):
+    """60,000 segments of one key, against a walk; a fold that copies its list at each step takes minutes."""
+    from claimloom.operators.labels import word_budget
+
+    n, budget = 60_000, 100
+    rows_ = spark.range(n).selectExpr("id % 2 as volume", "id as sid", "cast(id * 37 % 61 as int) as words")
+    found = {(r.volume, r.sid): r.block for r in _fast(spark, word_budget(rows_, "volume", "sid", "words", budget), 40).itertuples()}
+    for volume in (0, 1):
+        block = total = 0
+        for sid in range(volume, n, 2):
+            words = sid * 37 % 61
+            if total > 0 and total + words > budget:
+                block, total = block + 1, 0
+            total += words
+            assert found[volume, sid] == block
+    assert len(found) == n
+
+
+def test_recall_makes_no_pairs_of_a_label(spark, tmp_path):
+    """30,000 vectors of one label have 90 million eligible pairs."""
+    from claimloom.operators.pages import label_recall
+
+    e = spark.range(30_000).selectExpr("id as vec_id", "0 as label")
+    got = label_recall(e, spark.range(100).selectExpr("id as a", "id + 1 as b"), "vec_id", "label", 10).first()
+    assert (got.eligible, got.found) == (3000 * 29_999, 10)
+
+
+def test_density_groups_equal_the_walk(spark):
+    """Groups of 200 rows, against a plain walk over all distances."""
+    import numpy as np
+
+    from claimloom.operators.learning import dense_groups
+
+    turn = np.random.default_rng(5).uniform(0, 6.28, 400)
+    vectors = np.stack([np.cos(turn), np.sin(turn), np.where(np.arange(400) % 3, 0.0, 0.4)], 1)
+    rows_ = spark.createDataFrame([(k % 2, k, vectors[k].tolist()) for k in range(400)], "g int, i long, embedding array<double>")
+    mine = dict(dense_groups(rows_, "g", "i", 3, 0.0005).select("i", "cluster").toPandas().itertuples(index=False))
+    for g in (0, 1):
+        ids = list(range(g, 400, 2))
+        v = vectors[ids] / np.linalg.norm(vectors[ids], axis=1, keepdims=True)
+        near = 1 - v @ v.T <= 0.0005
+        core, label = near.sum(1) >= 3, np.full(len(v), -1)
+        for k in np.flatnonzero(core):
+            if label[k] < 0:
+                todo, label[k] = [k], k
+                while todo:
+                    x = todo.pop()
+                    for y in np.flatnonzero(near[x] & (label < 0)):
+                        label[y] = k
+                        todo += [y] if core[y] else []
+        assert [mine[i] for i in ids] == label.tolist()
