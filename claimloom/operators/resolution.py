@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -273,21 +274,108 @@ def reprojected(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return both.select(key, state.alias("state"))
 
 
+#: Pairs of equal tokens that are looked at in one step.
+PAIRS = 1 << 20
+
+
+def _equal_runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``i, j, n`` of every longest run ``a[i:i + n] == b[j:j + n]``; pairs of equal tokens pass by in steps, only runs are kept."""
+    order = np.argsort(b, kind="stable")
+    held = b[order]
+    first = np.searchsorted(held, a, "left")
+    counts = np.searchsorted(held, a, "right") - first
+    total, ends, at = np.cumsum(counts), ([], []), 0
+    while at < len(a):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
+        n = counts[at:stop]
+        i = np.repeat(np.arange(at, stop), n)
+        j = order[np.arange(n.sum()) + np.repeat(first[at:stop] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)]
+        begins = (i == 0) | (j == 0) | (a[i - 1] != b[j - 1])
+        closes = (i == len(a) - 1) | (j == len(b) - 1) | (a[np.minimum(i + 1, len(a) - 1)] != b[np.minimum(j + 1, len(b) - 1)])
+        for kept, mask in zip(ends, (begins, closes), strict=True):
+            kept.append((i[mask], j[mask]))
+        at = stop
+    (i, j), (p, q) = (tuple(np.concatenate(c) for c in zip(*kept, strict=True)) for kept in ends)
+    here, there = np.lexsort((i, j - i)), np.lexsort((p, q - p))  # a diagonal's runs begin and close in turn
+    return i[here], j[here], p[there] - i[here] + 1
+
+
+def matching_blocks(a: list, b: list) -> list[tuple[int, int, int]]:
+    """``(i, j, n)``: the blocks of ``difflib``'s ``get_matching_blocks`` without junk, in order; adjacent ones stay apart.
+
+    There each stretch is searched anew for its longest block, and what lies before and behind
+    it again. Here all runs are found once and taken from the longest down (ties by ``i``, then
+    ``j``): one that lies within a stretch still open is its longest block, one that sticks out
+    goes on with the parts that lie within open stretches.
+    """
+    code: dict = {}
+    y = np.array([code.setdefault(t, len(code)) for t in b], np.int64)
+    x = np.array([code.get(t, -1) for t in a], np.int64)
+    if not len(x) or not len(y):
+        return []
+    i, j, n = _equal_runs(x, y)
+    if not len(n):
+        return []
+    order = np.argsort(n, kind="stable")
+    lengths, first = np.unique(n[order], return_index=True)
+    waiting = {int(size): [np.stack([i[part], j[part]], 1)] for size, part in zip(lengths, np.split(order, first[1:]), strict=True)}
+    alo, ahi, blo, bhi = [0], [len(x)], [0], [len(y)]  # open stretches, in order on both sides
+    out = []
+
+    def within(i: int, j: int, size: int) -> int:
+        k = bisect.bisect_right(alo, i) - 1
+        return k if k >= 0 and i + size <= ahi[k] and blo[k] <= j and j + size <= bhi[k] else -1
+
+    for size in range(int(lengths[-1]), 0, -1):
+        runs = np.concatenate(waiting.pop(size, [np.zeros((0, 2), np.int64)]))
+        if not len(runs) or not alo:
+            continue
+        if size == 1:  # most are outside by now
+            low, high, left, right = (np.array(c) for c in (alo, ahi, blo, bhi))
+            k = np.searchsorted(low, runs[:, 0], "right") - 1
+            runs = runs[(k >= 0) & (runs[:, 0] < high[k]) & (left[k] <= runs[:, 1]) & (runs[:, 1] < right[k])]
+        shorter: dict = {}
+        for i, j in runs[np.lexsort((runs[:, 1], runs[:, 0]))].tolist():
+            k = within(i, j, size)
+            if k < 0:
+                k = max(0, bisect.bisect_right(alo, i) - 1)
+                while k < len(alo) and alo[k] < i + size:
+                    skip = max(0, alo[k] - i, blo[k] - j)
+                    rest = min(size, ahi[k] - i, bhi[k] - j) - skip
+                    if rest > 0:
+                        shorter.setdefault(rest, []).append((i + skip, j + skip))
+                    k += 1
+                continue
+            out.append((i, j, size))
+            parts = [(alo[k], i, blo[k], j), (i + size, ahi[k], j + size, bhi[k])]
+            parts = [p for p in parts if p[0] < p[1] and p[2] < p[3]]
+            for at, bounds in enumerate((alo, ahi, blo, bhi)):
+                bounds[k : k + 1] = [p[at] for p in parts]
+        for rest, found in shorter.items():
+            waiting.setdefault(rest, []).append(np.array(found, np.int64))
+    return sorted(out)
+
+
 def aligned_tokens(rows: DataFrame, key: str) -> DataFrame:
-    """``key, pos, gloss`` for each token of ``tokens`` from the ``glosses(my, en)`` by matching blocks; extras go, gaps are null."""
-    from difflib import SequenceMatcher
+    """``key, pos, gloss`` for each token of ``tokens`` from the ``glosses(my, en)`` by matching blocks; extras go, gaps are null.
+
+    Rows are dealt by hash over a set number of partitions: texts are few and small beside the
+    work on them, so the files they come from would leave most cores idle.
+    """
 
-    @F.pandas_udf(ArrayType(StructType([StructField("pos", IntegerType()), StructField("gloss", StringType())])))
-    def align(tokens: pd.Series, glosses: pd.Series) -> pd.Series:
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def align(tokens: pd.Series, given: pd.Series) -> pd.Series:
         out = []
-        for own, found in zip(tokens, glosses, strict=True):
-            given, hit = [g["my"] for g in found], {}
-            for block in SequenceMatcher(None, list(own), given, autojunk=False).get_matching_blocks():
-                hit.update({block.a + k: found[block.b + k]["en"] for k in range(block.size)})
-            out.append([{"pos": k, "gloss": hit.get(k)} for k in range(len(own))])
+        for own, found in zip(tokens, given, strict=True):
+            hit = np.full(len(own), -1, np.int32)
+            for i, j, n in matching_blocks(list(own), list(found)):
+                hit[i : i + n] = np.arange(j, j + n)
+            out.append(hit)
         return pd.Series(out)
 
-    return rows.select(key, F.inline(align("tokens", "glosses")))
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    met = dealt.select(key, "glosses", align("tokens", F.col("glosses.my")).alias("hit"))
+    return met.select(key, F.inline(F.transform("hit", lambda k, pos: F.struct(pos.alias("pos"), F.when(k >= 0, F.get("glosses.en", k)).alias("gloss")))))
 
 
 @query("j11_nearest_assignment")
