@@ -178,8 +178,12 @@ def cosine_neighbours(vectors: DataFrame, item: str, k: int, block: int | None =
 
 
 def fused_candidates(one: DataFrame, two: DataFrame, keep: int = 20) -> DataFrame:
-    """Union of two pools of ``(a, b, emb, char)`` scores ranked by their mean; ties by char, emb, then id."""
-    pool = one.unionByName(two).groupBy("a", "b").agg(F.max("emb").alias("emb"), F.max("char").alias("char"))
+    """Union of two pools of ``(a, b, emb, char)`` scores ranked by their mean; ties by char, emb, then id.
+
+    Rows are dealt by ``a`` before they are merged: pairs seldom repeat, and merging them where
+    they are read would hold all the pairs of a file in one task.
+    """
+    pool = one.unionByName(two).repartition("a").groupBy("a", "b").agg(F.max("emb").alias("emb"), F.max("char").alias("char"))
     order = Window.partitionBy("a").orderBy(F.desc(0.5 * F.col("emb") + 0.5 * F.col("char")), F.desc("char"), F.desc("emb"), "b")
     return pool.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
 
