@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.plans.lineage import cut
+from claimloom.plans.lineage import settled
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     ends = edges.select(F.col(src).alias("s"), F.col(dst).alias("d"))
     nodes = ends.select(F.col("s").alias("node")).union(ends.select("d")).where("node is not null").distinct()
-    pairs = cut(ends.where("s <> d").select(F.greatest("s", "d").alias("u"), F.least("s", "d").alias("v")).distinct())
+    pairs = settled(ends.where("s <> d").select(F.greatest("s", "d").alias("u"), F.least("s", "d").alias("v")).distinct())
     seen = None
     for _ in range(max_rounds):
         mark = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         ).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low.select(F.col("u").alias("k"), "m"), F.col("u") == F.col("k")).where("v <> m")
-        pairs = cut(hung.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct())
+        pairs = settled(hung.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct(), pairs)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = pairs.select(F.col("u").alias("child"), F.col("v").alias("root"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from claimloom.model import oracle, table, view
 from claimloom.operators.components import connected_components
 from claimloom.operators.joins import cosine_neighbours
-from claimloom.plans.lineage import cut
+from claimloom.plans.lineage import cut, forget, settled
 from claimloom.registry import query
 
 
@@ -49,7 +50,7 @@ def degrees(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
 
 def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
     """``rows`` with their places from 1 in a total ``order``, by a range sort: no task holds more than its range."""
-    ordered = cut(rows.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
+    ordered = settled(rows.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
     counts = ordered.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_low")).collect()  # a row a partition
     before, offsets = 0, []
     for r in sorted(counts, key=lambda r: r._p):
@@ -77,10 +78,10 @@ def _moved(both: DataFrame, resolution: float) -> DataFrame:
     if both.count() <= ONE_TASK:
         kind = both.schema["a"].dataType.simpleString()
         rows = both.select("a", "b", "w", F.xxhash64("a").alias("h"))
-        return cut(rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda f: _moved_here(f, resolution), f"node {kind}, label {kind}"))
-    degree = cut(both.groupBy("a").agg(F.sum("w").alias("k")))
+        return settled(rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda f: _moved_here(f, resolution), f"node {kind}, label {kind}"))
+    degree = settled(both.groupBy("a").agg(F.sum("w").alias("k")))
     whole = degree.agg(F.sum("k")).first()[0] or 1.0
-    labels = cut(degree.select(F.col("a").alias("node"), F.col("a").alias("label")))
+    labels = settled(degree.select(F.col("a").alias("node"), F.col("a").alias("label")))
 
     def quality(found: DataFrame) -> float:
         met = both.join(found.toDF("a", "la"), "a").join(found.toDF("b", "lb"), "b")
@@ -97,11 +98,15 @@ def _moved(both: DataFrame, resolution: float) -> DataFrame:
         gain = F.round(F.col("w") - resolution * F.col("k") * (F.col("size") - F.when(at_home, F.col("k")).otherwise(0.0)) / whole, 6)
         goal = seen.groupBy("node", "own").agg(F.min_by("label", F.struct(-gain, ~at_home, F.col("label"))).alias("goal"))
         turns = F.shiftright(F.xxhash64("node"), turn % 60).bitwiseAND(1) == 1
-        fresh = cut(goal.select("node", F.when(turns, F.col("goal")).otherwise(F.col("own")).alias("label")))
+        fresh = settled(goal.select("node", F.when(turns, F.col("goal")).otherwise(F.col("own")).alias("label")))
         reached = quality(fresh)
         if reached > best + LEAST_GAIN:
+            forget(labels)
             labels, best, failed = fresh, reached, 0
-        elif (failed := failed + 1) == PATIENCE:
+            continue
+        forget(fresh)
+        if (failed := failed + 1) == PATIENCE:
+            forget(degree)
             return labels
 
 
@@ -139,14 +144,14 @@ def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     Local moves, then communities become nodes, level after level until nothing joins. State
     is tables throughout; hashes take the place of a random order, so reruns agree.
     """
-    both = cut(edges.select("a", "b", F.col("weight").cast("double").alias("w")).union(edges.select("b", "a", F.col("weight").cast("double"))).groupBy("a", "b").agg(F.sum("w").alias("w")))
-    found = cut(both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+    both = settled(edges.select("a", "b", F.col("weight").cast("double").alias("w")).union(edges.select("b", "a", F.col("weight").cast("double"))).groupBy("a", "b").agg(F.sum("w").alias("w")))
+    found = settled(both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
     while True:
         labels = _moved(both, resolution)
         if labels.where("node <> label").isEmpty():
             break
-        found = cut(found.join(labels.toDF("label", "next"), "label").select("node", F.col("next").alias("label")))
-        both = cut(both.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").groupBy("la", "lb").agg(F.sum("w").alias("w")).toDF("a", "b", "w"))
+        found = settled(found.join(labels.toDF("label", "next"), "label").select("node", F.col("next").alias("label")), found)
+        both = settled(both.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").groupBy("la", "lb").agg(F.sum("w").alias("w")).toDF("a", "b", "w"), both, labels)
     least = found.groupBy("label").agg(F.min("node").alias("least"))
     return found.join(least, "label").select("node", F.col("least").alias("label"))
 
@@ -176,21 +181,20 @@ def adjusted_rand(one: DataFrame, two: DataFrame) -> DataFrame:
 def forest_keys(edges: DataFrame) -> DataFrame:
     """The ``key`` of each edge of the forest that a walk over ``edges(a, b, key)`` in the order of their unique keys grows, by Borůvka rounds.
 
-    Each round at least halves the trees that have an edge between them, until none has.
+    Each round at least halves the trees that have an edge between them, until none has; trees
+    become nodes, and edges within one go.
     """
-    edges = cut(edges.select("a", "b", "key").where("a <> b"))
-    labels = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node")))
-    forest = None
+    open_, forest = settled(edges.select("a", "b", "key").where("a <> b")), None
     while True:
-        open_ = edges.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").where("la <> lb")
-        ends = open_.select(F.col("la").alias("label"), "a", "b", "key").union(open_.select("lb", "a", "b", "key"))
-        best = cut(ends.groupBy("label").agg(F.min(F.struct("key", "a", "b")).alias("e")).select("e.*").distinct())
+        ends = open_.select(F.col("a").alias("tree"), "a", "b", "key").union(open_.select("b", "a", "b", "key"))
+        best = settled(ends.groupBy("tree").agg(F.min(F.struct("key", "a", "b")).alias("e")).select("e.*").distinct())
         if best.isEmpty():
             break
-        forest = best if forest is None else cut(forest.union(best))
-        joined = connected_components(forest, "a", "b").toDF("node", "component")
-        labels = cut(labels.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("label")))
-    return forest.select("key") if forest is not None else edges.select("key")
+        forest = best.select("key") if forest is None else forest.union(best.select("key"))
+        trees = connected_components(best, "a", "b")
+        met = open_.join(trees.toDF("a", "ta"), "a").join(trees.toDF("b", "tb"), "b").where("ta <> tb")
+        open_ = settled(met.select(F.col("ta").alias("a"), F.col("tb").alias("b"), "key"), open_)
+    return forest if forest is not None else edges.select("key").limit(0)
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
@@ -204,18 +208,20 @@ def bfs_depths(edges: DataFrame, roots: DataFrame, most: int | None = None) -> D
 
     Goes on until no node is reached any more, or to depth ``most`` where one is asked for.
     """
-    both = cut(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct())
-    seen = cut(roots.select("node", F.lit(0).alias("depth"), F.lit(None).cast(roots.schema["node"].dataType).alias("parent")))
-    frontier = seen
+    both = settled(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct())
+    level = settled(roots.select("node", F.lit(0).alias("depth"), F.lit(None).cast(roots.schema["node"].dataType).alias("parent")))
+    levels, last = [level], level.select("node")
     for depth in count(1):
         if most is not None and depth > most:
             break
-        reached = both.join(frontier.select(F.col("node").alias("x")), "x").groupBy(F.col("y").alias("node")).agg(F.min("x").alias("parent"))
-        frontier = cut(reached.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "parent"))
-        if frontier.isEmpty():
+        # neighbours of a level lie in it or beside it
+        reached = both.join(level.select(F.col("node").alias("x")), "x").groupBy(F.col("y").alias("node")).agg(F.min("x").alias("parent"))
+        fresh = settled(reached.join(last, "node", "left_anti").select("node", F.lit(depth).alias("depth"), "parent"))
+        if fresh.isEmpty():
             break
-        seen = cut(seen.union(frontier))
-    return seen
+        levels.append(fresh)
+        level, last = fresh, level.select("node").union(fresh.select("node"))
+    return reduce(DataFrame.union, levels)
 
 
 #: What a forest shows at once: so many of the best nodes, then these shares of all (fixed values).
@@ -232,48 +238,42 @@ def ranked_forest(edges: DataFrame, frequency: DataFrame) -> DataFrame:
     for those of ``SHARES`` of all nodes, 3 for the rest.
 
     Levels are joins of the frontier, all components side by side; the order of visits is a
-    sorted numbering, not a window over a component. Sizes add up from the deepest level.
+    sorted numbering, not a window over a component. Sizes add up from the deepest level, and
+    a node is shown no later than any node below it.
     """
     plain = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = cut(plain.select(F.col("a").alias("x"), F.col("b").alias("y")).union(plain.select("b", "a")))
+    both = settled(plain.select(F.col("a").alias("x"), F.col("b").alias("y")).union(plain.select("b", "a")))
+    plain = both.where("x < y").toDF("a", "b")
     degree = both.groupBy(F.col("x").alias("node")).agg(F.count("*").alias("degree"))
     single = edges.select(F.col("a").alias("node")).union(edges.select("b")).where("node is not null").union(frequency.select("node")).distinct()
     rows = single.join(degree, "node", "left").join(frequency.groupBy("node").agg(F.max("frequency").alias("frequency")), "node", "left").na.fill(0, ["degree", "frequency"])
-    ranked = cut(numbered(rows, [F.desc("degree"), F.desc("frequency"), F.col("node")], "rank").select("node", "rank"))
+    ranked = numbered(rows, [F.desc("degree"), F.desc("frequency"), F.col("node")], "rank").select("node", "rank")
     component = connected_components(plain, "a", "b")
-    at_home = cut(ranked.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    at_home = settled(ranked.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")))
     roots = at_home.groupBy("component").agg(F.min_by("node", "rank").alias("root"))
-    known = cut(at_home.join(roots, "component"))
-    level = cut(numbered(known.where("node = root").select("node", F.lit(None).cast(known.schema["node"].dataType).alias("parent"), "rank"), [F.col("rank")], "place"))
-    levels = [level.select("node", "parent", F.lit(0).alias("depth"))]
-    seen = level.select("node")
-    for depth in count(1):
+    known = settled(at_home.join(roots, "component"), at_home)
+    n = known.count()
+    bounds = [min(DISCLOSED, n), *(-int(-n * share // 1) for share in SHARES)]
+    own = F.coalesce(*(F.when(F.col("rank") <= most, k) for k, most in enumerate(bounds)), F.lit(len(bounds)))
+    ordered = lambda frame, *order: settled(frame.orderBy(*order).withColumn("place", F.monotonically_increasing_id()).select("node", "parent", "place", "rank"))
+    level = ordered(known.where("node = root").select("node", F.lit(None).cast(known.schema["node"].dataType).alias("parent"), "rank"), "rank")
+    levels, last = [level], level.select("node")
+    while True:
         met = both.join(level.select(F.col("node").alias("x"), "place"), "x").groupBy(F.col("y").alias("node")).agg(F.min(F.struct("place", "x")).alias("first"))
-        fresh = met.join(seen, "node", "left_anti").join(ranked, "node").select("node", F.col("first.x").alias("parent"), F.col("first.place").alias("above"), "rank")
-        level = cut(numbered(fresh, [F.col("above"), F.col("rank")], "place").select("node", "parent", "place"))
-        if level.isEmpty():
+        fresh = met.join(last, "node", "left_anti").join(known.select("node", "rank"), "node").select("node", F.col("first.x").alias("parent"), F.col("first.place").alias("above"), "rank")
+        fresh = ordered(fresh, "above", "rank")
+        if fresh.isEmpty():
             break
-        levels.append(level.select("node", "parent", F.lit(depth).alias("depth")))
-        seen = cut(seen.union(level.select("node")))
-    below, sizes = None, None
-    for frame in reversed(levels):
-        own = frame if below is None else frame.join(below, "node", "left")
-        size = cut(own.select("node", "parent", "depth", (F.lit(1).cast("long") if below is None else F.coalesce("below", F.lit(0)) + 1).alias("subtree")))
-        sizes = size if sizes is None else sizes.union(size)
-        below = size.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.sum("subtree").alias("below"))
-    forest = cut(sizes.join(known, "node"))
-    n = forest.count()
-    bounds = [min(DISCLOSED, n), *(-int(-n * share // 1) for share in SHARES)]
-    shown = forest.select("node", "parent", F.coalesce(*(F.when(F.col("rank") <= most, k) for k, most in enumerate(bounds)), F.lit(len(bounds))).alias("level"))
-    # a node is shown no later than any node below it: the deepest level first
-    up, told = None, None
+        levels.append(fresh)
+        level, last = fresh, level.select("node").union(fresh.select("node"))
+    done, below = [], None
     for depth in range(len(levels) - 1, -1, -1):
-        here = shown.join(forest.where(F.col("depth") == depth).select("node"), "node", "left_semi")
-        here = here if up is None else here.join(up, "node", "left").withColumn("level", F.least("level", "soonest")).drop("soonest")
-        here = cut(here.select("node", "parent", "level"))
-        told = here if told is None else told.union(here)
-        up = here.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.min("level").alias("soonest"))
-    return forest.join(told.select("node", "level"), "node").select("node", "component", "root", "parent", "depth", "subtree", "rank", "level")
+        here = levels[depth].select("node", "parent", F.lit(depth).alias("depth"), own.alias("level"))
+        here = here.withColumns({"below": F.lit(0).cast("long"), "soonest": F.lit(len(bounds))}) if below is None else here.join(below, "node", "left")
+        here = settled(here.select("node", "parent", "depth", (F.coalesce("below", F.lit(0)) + 1).alias("subtree"), F.least("level", "soonest").alias("level")), levels[depth])
+        below = here.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.sum("subtree").alias("below"), F.min("level").alias("soonest"))
+        done.append(here)
+    return reduce(DataFrame.union, done).join(known, "node").select("node", "component", "root", "parent", "depth", "subtree", "rank", "level")
 
 
 def greedy_disjoint(pairs: DataFrame, most: int | None = None, rounds: int | None = None) -> DataFrame:
@@ -284,7 +284,7 @@ def greedy_disjoint(pairs: DataFrame, most: int | None = None, rounds: int | Non
     on until no pair is left and raises when ``rounds``, if given, run out before.
     """
     key = F.struct(-F.col("score"), F.col("a"), F.col("b"))
-    left, taken = cut(pairs.select("a", "b", "score").where("a <> b")), None
+    left, taken = settled(pairs.select("a", "b", "score").where("a <> b")), None
     for done in count():
         if left.isEmpty():
             break
@@ -292,14 +292,14 @@ def greedy_disjoint(pairs: DataFrame, most: int | None = None, rounds: int | Non
             raise RuntimeError(f"pairs are left after {rounds} rounds")
         ends = left.select(F.col("a").alias("x"), key.alias("k")).union(left.select("b", key))
         best = ends.groupBy("x").agg(F.min("k").alias("k"))
-        now = cut(left.withColumn("k", key).join(best.toDF("a", "ka"), "a").join(best.toDF("b", "kb"), "b").where("k = ka and k = kb").select("a", "b", "score"))
-        taken = now if taken is None else cut(taken.union(now))
+        now = settled(left.withColumn("k", key).join(best.toDF("a", "ka"), "a").join(best.toDF("b", "kb"), "b").where("k = ka and k = kb").select("a", "b", "score"))
+        taken = now if taken is None else settled(taken.union(now), taken) if most else taken.union(now)
         used = now.select(F.col("a").alias("x")).union(now.select("b"))
-        left = left.join(used.toDF("a"), "a", "left_anti").join(used.toDF("b"), "b", "left_anti").select("a", "b", "score")
+        was, left = left, left.join(used.toDF("a"), "a", "left_anti").join(used.toDF("b"), "b", "left_anti").select("a", "b", "score")
         if most:  # pairs under the last wanted one so far cannot be among the wanted
             best = taken.orderBy(F.desc("score"), "a", "b").limit(most).agg(F.count("*"), F.min("score")).first()
             left = left.where(F.col("score") >= best[1]) if best[0] == most else left
-        left = cut(left)
+        left = settled(left, was)
     taken = left if taken is None else taken
     return taken.orderBy(F.desc("score"), "a", "b").limit(most) if most else taken
 
@@ -311,21 +311,20 @@ def disjoint_wave(footprints: DataFrame, rounds: int | None = None) -> DataFrame
     admitted if no admitted one does. Each round decides all such parents at once, until none
     is left; raises when ``rounds``, if given, run out before.
     """
-    incidence = cut(footprints.select("parent", "place", F.explode(F.array_distinct(F.array_append("members", F.col("parent")))).alias("m")))
-    left, admitted = cut(footprints.select("parent", "place")), None
+    incidence = settled(footprints.select("parent", "place", F.explode(F.array_distinct(F.array_append("members", F.col("parent")))).alias("m")))
+    admitted = None
     for done in count():
-        if left.isEmpty():
+        if incidence.isEmpty():
             break
         if done == rounds:
             raise RuntimeError(f"parents are left after {rounds} rounds")
-        open_ = incidence.join(left.select("parent"), "parent", "left_semi")
-        first = open_.groupBy("m").agg(F.min("place").alias("least"))
-        ready = cut(open_.join(first, "m").groupBy("parent", "place").agg(F.max(F.col("place") > F.col("least")).alias("waits")).where("not waits").select("parent", "place"))
-        admitted = ready if admitted is None else cut(admitted.union(ready))
+        first = incidence.groupBy("m").agg(F.min("place").alias("least"))
+        ready = settled(incidence.join(first, "m").groupBy("parent", "place").agg(F.max(F.col("place") > F.col("least")).alias("waits")).where("not waits").select("parent", "place"))
+        admitted = ready if admitted is None else admitted.union(ready)
         taken = incidence.join(ready.select("parent"), "parent", "left_semi").select("m").distinct()
-        gone = open_.join(taken, "m", "left_semi").select("parent").distinct()
-        left = cut(left.join(gone, "parent", "left_anti"))
-    return admitted if admitted is not None else left
+        gone = incidence.join(taken, "m", "left_semi").select("parent").distinct()
+        incidence = settled(incidence.join(gone, "parent", "left_anti"), incidence)
+    return admitted if admitted is not None else footprints.select("parent", "place")
 
 
 #: Two seeds nearer to a node than this in confidence leave it undecided (fixed value).
@@ -389,26 +388,26 @@ def complete_linkage(edges: DataFrame, floor: float) -> DataFrame:
     if floor <= 0:
         raise ValueError("floor must be above 0: missing pairs count 0")
     plain = edges.where("a <> b").groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.max("sim").alias("sim"))
-    pairs = cut(plain.where(F.col("sim") >= floor))
-    found = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).where("node is not null").distinct().withColumn("cluster", F.col("node")))
+    pairs = settled(plain.where(F.col("sim") >= floor))
+    found = settled(edges.select(F.col("a").alias("node")).union(edges.select("b")).where("node is not null").distinct().withColumn("cluster", F.col("node")))
     key = F.struct((-F.col("sim")).alias("s"), F.col("x").alias("x"), F.col("y").alias("y"))
     while not pairs.isEmpty():
         best = pairs.select(F.col("x").alias("c"), key.alias("k")).union(pairs.select("y", key)).groupBy("c").agg(F.min("k").alias("k"))
         mutual = best.groupBy("k").agg(F.count("*").alias("n")).where("n = 2")
-        moved = cut(mutual.select(F.col("k.y").alias("c"), F.col("k.x").alias("into")))
+        moved = settled(mutual.select(F.col("k.y").alias("c"), F.col("k.x").alias("into")))
         parts = moved.select(F.col("into").alias("c"), F.lit(2).alias("parts"))
-        found = cut(found.join(moved.toDF("cluster", "into"), "cluster", "left").select("node", F.coalesce("into", "cluster").alias("cluster")))
+        found = settled(found.join(moved.toDF("cluster", "into"), "cluster", "left").select("node", F.coalesce("into", "cluster").alias("cluster")), found)
         named = pairs.join(moved.toDF("x", "nx"), "x", "left").join(moved.toDF("y", "ny"), "y", "left").select(F.coalesce("nx", "x").alias("p"), F.coalesce("ny", "y").alias("q"), "sim").where("p <> q")
         met = named.groupBy(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).agg(F.min("sim").alias("sim"), F.count("*").alias("n"))
         whole = met.join(parts.toDF("x", "px"), "x", "left").join(parts.toDF("y", "py"), "y", "left").where(F.col("n") == F.coalesce("px", F.lit(1)) * F.coalesce("py", F.lit(1)))
-        pairs = cut(whole.select("x", "y", "sim"))
+        pairs = settled(whole.select("x", "y", "sim"), pairs, moved)
     return found
 
 
 def balanced_chunks(edges: DataFrame, size: int = 180) -> DataFrame:
     """``node, chunk``: nodes by (depth from their component's hub, degree, id) in runs of ``size`` within a component."""
     comp, degree = connected_components(edges, "a", "b"), degrees(edges)
-    rows = cut(comp.join(degree, "node", "left").select("node", "component", F.coalesce("degree", F.lit(0)).alias("degree")))
+    rows = settled(comp.join(degree, "node", "left").select("node", "component", F.coalesce("degree", F.lit(0)).alias("degree")))
     hubs = rows.groupBy("component").agg(F.min_by("node", F.struct(-F.col("degree"), "node")).alias("node")).select("node")
     ranked = rows.join(bfs_depths(edges, hubs).select("node", "depth"), "node")
     place = F.row_number().over(Window.partitionBy("component").orderBy("depth", F.desc("degree"), "node")) - 1
