@@ -276,13 +276,45 @@ def ranked_forest(edges: DataFrame, frequency: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, done).join(known, "node").select("node", "component", "root", "parent", "depth", "subtree", "rank", "level")
 
 
+#: Best pairs for each wanted one that are walked at first, and the most that one task walks.
+AHEAD, WALKED = 8, 1 << 18
+
+
+def _first_disjoint(pairs: DataFrame, most: int) -> DataFrame | None:
+    """The first ``most`` pairs that the walk takes, from a prefix of its order that one task holds; None if that is too short."""
+    rows, size = pairs.select("a", "b", "score").where("a <> b"), AHEAD * most
+
+    def walk(frames):
+        used = set()
+        for f in frames:
+            kept = []
+            for a, b in zip(f["a"], f["b"], strict=True):
+                free = len(used) < 2 * most and a not in used and b not in used
+                used |= {a, b} if free else set()
+                kept.append(free)
+            yield f[kept]
+
+    kind = rows.schema.simpleString()[len("struct<") : -1].replace(":", " ")
+    while size <= WALKED:
+        first = rows.orderBy(F.desc("score"), "a", "b").limit(size)
+        taken = settled(first.mapInPandas(walk, kind))
+        if taken.count() == most or first.count() < size:
+            return taken
+        forget(taken)
+        size *= 8
+    return None
+
+
 def greedy_disjoint(pairs: DataFrame, most: int | None = None, rounds: int | None = None) -> DataFrame:
     """Pairs ``(a, b, score)`` as a walk in score order takes them, skipping any that touches a taken item.
 
     Under a total order that walk equals taking, round after round, every pair that is best
     at both its ends; each round is two combining aggregates and no driver-side walk. It goes
-    on until no pair is left and raises when ``rounds``, if given, run out before.
+    on until no pair is left and raises when ``rounds``, if given, run out before. Where only
+    the first ``most`` are wanted, a short prefix of the order is walked instead.
     """
+    if most and rounds is None and (first := _first_disjoint(pairs, most)) is not None:
+        return first
     key = F.struct(-F.col("score"), F.col("a"), F.col("b"))
     left, taken = settled(pairs.select("a", "b", "score").where("a <> b")), None
     for done in count():

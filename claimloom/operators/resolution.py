@@ -14,8 +14,9 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 from claimloom.functions import text as T
 from claimloom.functions.vectors import centroids, dot, norm, unit
 from claimloom.model import oracle, table, view
+from claimloom.operators.components import connected_components
 from claimloom.operators.graph import greedy_disjoint
-from claimloom.plans.lineage import cut
+from claimloom.plans.lineage import cut, settled
 from claimloom.registry import query
 
 
@@ -253,18 +254,26 @@ def refine_until_empty(pairs: DataFrame, decide, most: int | None = None) -> Dat
     ``decide(frame)`` adds ``accept``; scores of merged clusters are the best of their members'.
     A round takes the best ``most`` disjoint pairs, or all of them.
     """
-    items = pairs.select(F.col("a").alias("item")).union(pairs.select("b")).distinct()
-    clusters, open_ = cut(items.withColumn("cluster", F.col("item"))), cut(pairs.select("a", "b", "score"))
+    open_, joined = settled(pairs.select("a", "b", "score")), None
+    items = open_.select(F.col("a").alias("item")).union(open_.select("b")).distinct()
+    first, passes = open_, 0
     while True:
-        judged = cut(decide(greedy_disjoint(open_, most)))
+        judged = settled(decide(greedy_disjoint(open_, most)))
         merged = judged.where("accept").select(F.greatest("a", "b").alias("from"), F.least("a", "b").alias("to"))
         if merged.isEmpty():
             break
+        joined = merged if joined is None else joined.union(merged)
         moved = lambda frame, c: frame.join(merged.withColumnRenamed("from", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: B023, E731
-        clusters = cut(moved(clusters, "cluster").select("item", "cluster"))
         left = moved(moved(open_.join(judged.select("a", "b"), ["a", "b"], "left_anti"), "a"), "b").where("a <> b")
-        open_ = cut(left.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score")))
-    return clusters
+        open_ = settled(left.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score")), *([open_] if open_ is not first else []))
+        passes += 1
+        if passes % 32 == 0:
+            joined = settled(joined)  # one list of files in place of many
+    if joined is None:
+        return items.withColumn("cluster", F.col("item"))
+    # a cluster has the name of its smallest member
+    named = connected_components(joined, "from", "to").toDF("item", "cluster")
+    return items.join(named, "item", "left").select("item", F.coalesce("cluster", "item").alias("cluster"))
 
 
 def reprojected(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

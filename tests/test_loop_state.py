@@ -38,3 +38,31 @@ def test_spent_copies_are_deleted(spark):
     there = set(os.listdir(home))
     second = settled(first.where("id > 2"), first)
     assert {r.id for r in second.collect()} == {3, 4} and len(there - set(os.listdir(home))) == 1
+
+
+@pytest.mark.parametrize("most", [1, 3, 200])
+def test_first_disjoint_pairs_are_those_of_the_walk(spark, most):
+    """With one hub in nearly all of the best pairs, a short prefix does not hold enough of them."""
+    rows = [(0, k, 1000.0 - k) for k in range(1, 80)] + [(100 + k, 200 + k % 7, float(k % 5)) for k in range(40)]
+    used, want = set(), []
+    for a, b, s in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if len(want) < most and not {a, b} & used:
+            used |= {a, b}
+            want.append((a, b, s))
+    got = graph.greedy_disjoint(spark.createDataFrame(rows, "a long, b long, score double"), most)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_refinement_in_small_passes_and_its_expected_size(spark):
+    from claimloom.operators.resolution import refine_until_empty
+
+    rows = edges(spark, 30).limit(40).withColumnRenamed("sim", "score")
+    found = refine_until_empty(rows, lambda f: f.withColumn("accept", f.score > 0.5), 5)
+    assert expected_bytes(found) < 1e12
+    plain = rows.collect()
+    home = {x: x for r in plain for x in (r.a, r.b)}
+    for r in plain:
+        if r.score > 0.5:
+            low, high = sorted((home[r.a], home[r.b]))
+            home = {x: low if h == high else h for x, h in home.items()}
+    assert {r["item"]: r.cluster for r in found.collect()} == home
