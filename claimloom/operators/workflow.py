@@ -12,7 +12,7 @@ from claimloom.functions.vectors import centroids
 from claimloom.model import oracle, table, view
 from claimloom.operators.graph import disjoint_wave, greedy_disjoint, numbered
 from claimloom.operators.joins import cosine_neighbours
-from claimloom.plans.lineage import cut
+from claimloom.plans.lineage import cut, settled
 from claimloom.registry import query
 
 # joins that must find every key -------------------------------------------------
@@ -155,20 +155,20 @@ def continued_waves(footprints: DataFrame, decide, most: int | None = None) -> D
     assigns, parents included, is purged from every list; admitted parents leave the roster.
     ``most`` waves, if given, raise when the roster is not empty by then.
     """
-    roster = cut(footprints.select("parent", "place", F.array_except("members", F.array("parent")).alias("members")))
+    roster = settled(footprints.select("parent", "place", F.array_except("members", F.array("parent")).alias("members")))
     out, wave = None, 0
     while not roster.isEmpty():
         if wave == most:
             raise RuntimeError(f"the roster is not empty after {most} waves")
         wave += 1
-        admitted = cut(disjoint_wave(roster).select("parent"))
+        admitted = settled(disjoint_wave(roster).select("parent"))
         pairs = roster.join(admitted, "parent", "left_semi").select("parent", F.explode("members").alias("member"))
-        accepted = cut(decide(pairs).select(F.lit(wave).alias("wave"), "parent", "member"))
-        out = accepted if out is None else cut(out.union(accepted))
-        used = cut(accepted.select(F.col("member").alias("x")).union(admitted.select("parent")).distinct())
+        accepted = settled(decide(pairs).select(F.lit(wave).alias("wave"), "parent", "member"))
+        out = accepted if out is None else out.union(accepted)
+        used = settled(accepted.select(F.col("member").alias("x")).union(admitted.select("parent")).distinct(), admitted)
         left = roster.join(used.toDF("parent"), "parent", "left_anti")
         items = left.select("parent", "place", F.explode_outer("members").alias("x")).join(used.withColumn("gone", F.lit(True)), "x", "left")
-        roster = cut(items.groupBy("parent", "place").agg(F.collect_list(F.when(F.col("gone").isNull(), F.col("x"))).alias("members")))
+        roster = settled(items.groupBy("parent", "place").agg(F.collect_list(F.when(F.col("gone").isNull(), F.col("x"))).alias("members")), roster, used)
     return out if out is not None else footprints.select(F.lit(0).alias("wave"), "parent", F.col("parent").alias("member")).limit(0)
 
 
@@ -195,19 +195,19 @@ def refine_by_centroids(vectors: DataFrame, decide, most: int | None = None, nea
     A pass takes the best ``most`` disjoint pairs, or all. ``vectors(item, embedding)``; ``decide(frame)`` adds ``accept`` to ``a, b, score``. A rejected
     pair is barred for good, for whatever its sides are merged into too.
     """
-    members, barred = cut(vectors.select("item", F.col("item").alias("cluster"))), None
+    members, barred = settled(vectors.select("item", F.col("item").alias("cluster"))), None
     while True:
         centres = centroids(members.join(vectors, "item"), ["cluster"]).select("cluster", F.col("mean").alias("embedding"))
         pairs = cosine_neighbours(centres, "cluster", near).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sim").alias("score"))
-        judged = cut(decide(greedy_disjoint(pairs if barred is None else pairs.join(barred, ["a", "b"], "left_anti"), most)))
+        judged = settled(decide(greedy_disjoint(pairs if barred is None else pairs.join(barred, ["a", "b"], "left_anti"), most)))
         merged = judged.where("accept").select(F.col("b").alias("from"), F.col("a").alias("to"))
         if merged.isEmpty():
             return members
         refused = judged.where("not accept").select("a", "b")
         refused = refused if barred is None else refused.union(barred)
         moved = lambda frame, c: frame.join(merged.withColumnRenamed("from", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: B023, E731
-        members = cut(moved(members, "cluster").select("item", "cluster"))
-        barred = cut(moved(moved(refused, "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        members = settled(moved(members, "cluster").select("item", "cluster"), members)
+        barred = settled(moved(moved(refused, "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def assign_codes(register: DataFrame, batch: DataFrame) -> DataFrame:
