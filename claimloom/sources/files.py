@@ -137,17 +137,39 @@ def split_marked_volume(texts: DataFrame, text: str = "value") -> DataFrame:
     return rows.withColumn("back_matter", F.max(index).over(w) == 1)
 
 
+#: What a symbol of a word holds.
+SYMBOL = ("text", "brk", "x0", "y0", "x1", "y1")
+
+
 def visual_lines(symbols: DataFrame) -> DataFrame:
     """OCR lines from ``page, block, paragraph, word, position, text, brk, x0, y0, x1, y1`` symbols.
 
     LINE_BREAK and EOL_SURE_SPACE end a line; SPACE and SURE_SPACE are blanks.
     """
-    w = Window.partitionBy("page").orderBy("block", "paragraph", "word", "position")
-    ends = F.col("brk").isin("LINE_BREAK", "EOL_SURE_SPACE").cast("int")
-    rows = symbols.withColumn("line", F.coalesce(F.sum(ends).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    shown = F.concat("text", F.when(F.col("brk").isin("SPACE", "SURE_SPACE"), F.lit(" ")).otherwise(F.lit("")))
-    listed = F.array_sort(F.collect_list(F.struct("block", "paragraph", "word", "position", shown.alias("t"))))
-    return rows.groupBy("page", "line").agg(F.array_join(F.transform(listed, lambda x: x["t"]), "").alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    listed = F.array_sort(F.collect_list(F.struct("position", *SYMBOL)))
+    words = symbols.groupBy("page", "block", "paragraph", "word").agg(listed.alias("_s"))
+    return word_lines(words.select("page", "block", "paragraph", "word", *(F.col("_s")[c].alias(c) for c in SYMBOL)))
+
+
+def word_lines(words: DataFrame) -> DataFrame:
+    """``visual_lines`` of words as OCR gives them: ``page, block, paragraph, word`` and arrays ``text, brk, x0, y0, x1, y1``, an entry a symbol.
+
+    A word is cut behind its line ends into pieces (most are one), and only pieces are sorted,
+    numbered and joined: symbols stay in the row of their word.
+    """
+    ending = lambda b: F.coalesce(b.isin("LINE_BREAK", "EOL_SURE_SPACE"), F.lit(False))
+    # by position in one pass: a lookup by number within a lambda may make the array anew each time
+    ends = F.array_compact(F.transform("brk", lambda b, k: F.when(ending(b), k + 1)))
+    cut_at = words.where(F.size("text") > 0).withColumn("_cuts", F.array_union(ends, F.array(F.size("text"))))
+    pieces = cut_at.select("*", F.posexplode("_cuts").alias("_piece", "_upto")).withColumn("_from", F.coalesce(F.get("_cuts", F.col("_piece") - 1), F.lit(0)))
+    part = lambda c: F.slice(c, F.col("_from") + 1, F.col("_upto") - F.col("_from"))
+    shown = F.zip_with(part("text"), part("brk"), lambda t, b: F.when(b.isin("SPACE", "SURE_SPACE"), F.concat(t, F.lit(" "))).otherwise(t))
+    boxes = [F.array_min(part(c)).alias(c) for c in ("x0", "y0")] + [F.array_max(part(c)).alias(c) for c in ("x1", "y1")]
+    pieces = pieces.select("page", "block", "paragraph", "word", "_piece", F.array_join(shown, "").alias("text"), *boxes, ending(F.get("brk", F.col("_upto") - 1)).cast("int").alias("_ends"))
+    w = Window.partitionBy("page").orderBy("block", "paragraph", "word", "_piece")
+    rows = pieces.withColumn("line", F.coalesce(F.sum("_ends").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    listed = F.array_sort(F.collect_list(F.struct("block", "paragraph", "word", "_piece", "text")))
+    return rows.groupBy("page", "line").agg(F.array_join(listed["text"], "").alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
