@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from claimloom import registry
+from claimloom.operators import search
 from claimloom.sources import files
 
 FLAT = "page int, block int, paragraph int, word int, position int, text string, brk string, x0 int, y0 int, x1 int, y1 int"
@@ -34,3 +37,17 @@ def test_lines_of_words_with_breaks_inside(spark):
 def test_symbols_of_a_text_are_no_rows(spark):
     plan = registry.QUERIES["s12_visual_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate") == 2 and "explode(split(value" not in plan
+
+
+def test_kinds_of_forms_are_scored_once(monkeypatch):
+    """Many items with few names and equal vectors: ties go to the smaller ids, a lexical score is taken once for two names."""
+    calls = []
+    plain = search.lexical
+    monkeypatch.setattr(search, "lexical", lambda one, i, two, j, least=-1.0: calls.append((i, j)) or plain(one, i, two, j, least))
+    monkeypatch.setattr(search, "TILE", 64)
+    monkeypatch.setattr(search, "TURN", 1000)
+    vectors = [np.eye(4)[k % 4] for k in range(300)]
+    rows = search.Forms(pd.DataFrame({"i": range(300), "form": [("red bolt", "blue bolt", "ring")[k % 3] for k in range(300)], "v": vectors, "denied": [None] * 300}))
+    found, _ = search.best_pairs_of(rows, rows, 40, -2.0, True)
+    want = sorted((a, b) for a in range(300) for b in range(a + 1, 300) if a % 12 == b % 12)[:40]
+    assert found == [(1.0, a, b) for a, b in want] and len(calls) == len(set(calls)) <= 9
