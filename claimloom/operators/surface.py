@@ -13,6 +13,7 @@ from claimloom.operators.components import connected_components
 from claimloom.operators.facets import FilterSpec, filtered_tags
 from claimloom.operators.joins import overlapping
 from claimloom.operators.labels import best_span, match_ladder
+from claimloom.plans.lineage import settled
 from claimloom.registry import query
 
 #: Month names as dates spell them.
@@ -60,9 +61,9 @@ def atlas(claims: DataFrame) -> DataFrame:
     """``scope, nodes, edges, claims, components`` of the corpus graph and of each volume's, all at once."""
     rows = _scoped(claims)
     named = lambda c: F.concat("scope", F.lit(":"), c)
-    edges = rows.select("scope", F.least("subject", "object").alias("a"), F.greatest("subject", "object").alias("b")).distinct()
+    edges = settled(rows.select("scope", F.least("subject", "object").alias("a"), F.greatest("subject", "object").alias("b")).distinct())
     components = connected_components(edges.select(named("a").alias("a"), named("b").alias("b")), "a", "b")
-    nodes = components.groupBy(F.split("node", ":")[0].alias("scope")).agg(F.count("*").alias("nodes"), F.count_distinct("component").alias("components"))
+    nodes = components.groupBy(F.split("node", ":")[0].alias("scope")).agg(F.count("*").alias("nodes"), F.count_if(F.col("node") == F.col("component")).alias("components"))
     return rows.groupBy("scope").agg(F.count("*").alias("claims")).join(edges.where("a <> b").groupBy("scope").agg(F.count("*").alias("edges")), "scope").join(nodes, "scope").select("scope", "nodes", "edges", "claims", "components")
 
 

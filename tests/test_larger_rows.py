@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from claimloom import registry
-from claimloom.operators import search
+from claimloom.operators import components, search
 from claimloom.sources import files
 
 FLAT = "page int, block int, paragraph int, word int, position int, text string, brk string, x0 int, y0 int, x1 int, y1 int"
@@ -51,3 +51,20 @@ def test_kinds_of_forms_are_scored_once(monkeypatch):
     found, _ = search.best_pairs_of(rows, rows, 40, -2.0, True)
     want = sorted((a, b) for a in range(300) for b in range(a + 1, 300) if a % 12 == b % 12)[:40]
     assert found == [(1.0, a, b) for a, b in want] and len(calls) == len(set(calls)) <= 9
+
+
+def test_tasks_join_up_edges_and_components_take_few_rounds(spark, monkeypatch):
+    """A path of 400 nodes, cycles and a hub, in small pieces: the same components, and a whole path in one task is a star at once."""
+    rows = [(f"p{k:03}", f"p{k + 1:03}") for k in range(400)] + [(f"c{k}", f"c{k // 8 * 8 + (k + 1) % 8}") for k in range(64)] + [("hub", f"h{k}") for k in range(90)] + [("one", "one"), (None, "two")]
+    random.Random(1).shuffle(rows)
+    frame = spark.createDataFrame(rows, "src string, dst string")
+    want = {n: "p000" for r in rows for n in r if n and n[0] == "p"} | {f"c{k}": min(f"c{x}" for x in range(k // 8 * 8, k // 8 * 8 + 8)) for k in range(64)}
+    want |= {f"h{k}": "h0" for k in range(90)} | {"hub": "h0", "one": "one", "two": "two"}
+    for most in (7, 1 << 19):
+        monkeypatch.setattr(components, "AT_ONCE", most)
+        assert {r.node: r.component for r in components.connected_components(frame).collect()} == want
+    written = []
+    plain = components.settled
+    monkeypatch.setattr(components, "settled", lambda *a: written.append(1) or plain(*a))
+    components.connected_components(frame.where("src like 'p%'").repartition(1)).count()
+    assert len(written) <= 4
