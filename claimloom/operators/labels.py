@@ -139,28 +139,26 @@ def match_ladder(texts: pd.Series, needles: pd.Series) -> pd.Series:
     return pd.DataFrame([place(t, n) or {"start": None, "end": None, "mode": None} for t, n in zip(texts, needles, strict=True)]).astype({"start": "Int32", "end": "Int32"})
 
 
-@F.pandas_udf(StructType([*SPAN.fields, StructField("ratio", DoubleType())]))
-def best_span(texts: pd.Series, needles: pd.Series) -> pd.Series:
+# pickled in runs of 100 rows: an Arrow batch would hold 10,000 whole texts of any length in a worker
+@F.udf(StructType([*SPAN.fields, StructField("ratio", DoubleType())]), useArrow=False)
+def best_span(text, needle):
     """The stretch most like the needle: starts voted by shared 5-grams, the best by matching blocks."""
     from difflib import SequenceMatcher
 
-    def find(text, needle):
-        text, needle = text or "", needle or ""
-        votes: dict[int, int] = {}
-        for k in range(len(needle) - 4):
-            at = text.find(needle[k : k + 5])
-            while at >= 0:
-                votes[max(0, at - k)] = votes.get(max(0, at - k), 0) + 1
-                at = text.find(needle[k : k + 5], at + 1)
-        best = (0.0, None, None)
-        for start in sorted(votes, key=lambda s: (-votes[s], s))[:8]:
-            part = text[start : start + len(needle)]
-            ratio = SequenceMatcher(None, part, needle, autojunk=False).ratio()
-            if ratio > best[0]:
-                best = (ratio, start, start + len(part))
-        return best[1], best[2], round(best[0], 6)
-
-    return pd.DataFrame([find(t, n) for t, n in zip(texts, needles, strict=True)], columns=["start", "end", "ratio"]).astype({"start": "Int32", "end": "Int32"})
+    text, needle = text or "", needle or ""
+    votes: dict[int, int] = {}
+    for k in range(len(needle) - 4):
+        at = text.find(needle[k : k + 5])
+        while at >= 0:
+            votes[max(0, at - k)] = votes.get(max(0, at - k), 0) + 1
+            at = text.find(needle[k : k + 5], at + 1)
+    best = (0.0, None, None)
+    for start in sorted(votes, key=lambda s: (-votes[s], s))[:8]:
+        part = text[start : start + len(needle)]
+        ratio = SequenceMatcher(None, part, needle, autojunk=False).ratio()
+        if ratio > best[0]:
+            best = (ratio, start, start + len(part))
+    return best[1], best[2], round(best[0], 6)
 
 
 @F.pandas_udf(ArrayType(StringType()))
