@@ -5,7 +5,6 @@ from __future__ import annotations
 import bisect
 import re
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -79,14 +78,12 @@ def place(text: str, needle: str, hint: int | None, occurrence: int, after: int
     return None
 
 
-@F.pandas_udf(StructType([StructField("spans", SPANS), StructField("mode", StringType())]))
-def located(texts: pd.Series, needles: pd.Series, hints: pd.Series, occurrences: pd.Series) -> pd.DataFrame:
+# pickled in runs of 100 rows: an Arrow batch would hold 10,000 whole texts of any length in a worker
+@F.udf(StructType([StructField("spans", SPANS), StructField("mode", StringType())]), useArrow=False)
+def located(text, needle, hint, occurrence):
     """``place`` for each row; spans end exclusively, in characters. Nothing found, null or blank: nulls."""
-    rows = []
-    for text, needle, hint, nth in zip(texts, needles, hints, occurrences, strict=True):
-        found = place(text, needle, None if pd.isna(hint) else int(hint), 1 if pd.isna(nth) else int(nth))
-        rows.append((None, None) if found is None else ([{"start": a, "end": b} for a, b in found[0]], found[1]))
-    return pd.DataFrame(rows, columns=["spans", "mode"])
+    found = place(text, needle, hint, 1 if occurrence is None else occurrence)
+    return (None, None) if found is None else found
 
 
 @query("x13_located")

@@ -68,3 +68,9 @@ def test_tasks_join_up_edges_and_components_take_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(components, "settled", lambda *a: written.append(1) or plain(*a))
     components.connected_components(frame.where("src like 'p%'").repartition(1)).count()
     assert len(written) <= 4
+
+
+def test_whole_texts_reach_python_in_short_runs(spark):
+    for name in ("x13_located", "x14_best_span"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
