@@ -125,8 +125,11 @@ def rare_gram_pairs(rows: DataFrame, item: str, text: str, least: int = 2, most:
     return best.where(F.col("rank") <= keep).select("a", "b", "shared", "score", "rank")
 
 
-def nearest_in_block(a, b, k: int):
-    """``a, b, sim``: the ``k`` rows of ``b(j, w)`` nearest to each row of ``a(i, v)`` but itself, by unit vectors; ties to the smaller id."""
+def nearest_in_block(a, b, k: int, places: int | None = None):
+    """``a, b, sim``: the ``k`` rows of ``b(j, w)`` nearest to each row of ``a(i, v)`` but itself, by unit vectors; ties to the smaller id.
+
+    ``a`` may have a column ``no`` with the ids that are no partners of a row. Cosines are rounded to ``places``, if given.
+    """
     import numpy as np
     import pandas as pd
 
@@ -140,13 +143,18 @@ def nearest_in_block(a, b, k: int):
         sim = np.stack(a["v"][at : at + 256]) @ m.T
         sim[(ids[at : at + 256, None] == others[None])] = -np.inf
         sim[np.isnan(sim)] = -np.inf
+        if "no" in a and (held := [(row, no) for row, no in enumerate(a["no"][at : at + 256]) if no is not None and len(no)]):
+            row, no = np.repeat([r for r, _ in held], [len(x) for _, x in held]), np.concatenate([x for _, x in held])
+            place = np.minimum(np.searchsorted(others, no), len(others) - 1)
+            there = others[place] == no
+            sim[row[there], place[there]] = -np.inf
         if groups > k:  # the k-th best of the groups' maxima is no more than the k-th best of all
             most = sim[:, : groups * 32].reshape(len(sim), groups, 32).max(2)
-            floor = np.partition(most, groups - k, 1)[:, groups - k, None]
+            floor = np.partition(most, groups - k, 1)[:, groups - k, None] - (0 if places is None else 10.0**-places)
             row, place = np.nonzero(sim >= floor)
         else:
             row, place = np.nonzero(np.isfinite(sim))
-        found = sim[row, place]
+        found = sim[row, place] if places is None else np.round(sim[row, place], places)
         order = np.lexsort((place, -found, row))
         row, place, found = row[order], place[order], found[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row)

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from claimloom.functions import text as T
-from claimloom.functions.vectors import centroids
+from claimloom.functions.vectors import centroids, unit
 from claimloom.model import oracle, table, view
-from claimloom.operators.graph import disjoint_wave, greedy_disjoint, numbered
-from claimloom.operators.joins import cosine_neighbours
+from claimloom.operators.graph import WALKED, disjoint_wave, numbered
+from claimloom.operators.joins import nearest_in_block
 from claimloom.plans.lineage import cut, settled
 from claimloom.registry import query
 
@@ -189,17 +189,104 @@ def window_register(mentions: DataFrame, decisions: DataFrame) -> tuple[DataFram
     return register, judged.where("problem is not null").select("window", "tag", "problem")
 
 
-def refine_by_centroids(vectors: DataFrame, decide, most: int | None = None, near: int = 15) -> DataFrame:
+#: Partners in a cluster's list, decimals of their cosines (equal ones are ties, whichever side asks), and clusters whose lists may hold all others.
+LISTED, DECIMALS, FEW = 15, 12, 512
+
+
+def _listed(asked: DataFrame, others: DataFrame, barred: DataFrame | None, k: int) -> DataFrame:
+    """``a, b, sim``: the ``k`` nearest of ``others(cluster, v)`` to each of ``asked(cluster, v)``, none barred; blocks meet as in ``cosine_neighbours``."""
+    n, width = others.agg(F.count("*"), F.max(F.size("v"))).first()
+    size = min(16_384, max(1024, (1 << 20) // max(1, width or 1)))
+    rows, columns = (max(1, -(-m // size)) for m in (asked.count(), n))
+    own = lambda blocks: F.pmod(F.xxhash64("cluster"), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    if barred is not None:
+        no = barred.select("a", "b").union(barred.select("b", "a")).groupBy(F.col("a").alias("cluster")).agg(F.collect_list("b").alias("no"))
+        asked = asked.join(no, "cluster", "left")
+    left = asked.select(F.col("cluster").alias("i"), "v", own(rows).alias("l"), every(columns).alias("r"), *(["no"] if barred is not None else []))
+    right = others.select(F.col("cluster").alias("j"), F.col("v").alias("w"), every(rows).alias("l"), own(columns).alias("r"))
+    kind = others.schema["cluster"].dataType.simpleString()
+    met = left.groupBy("l", "r").cogroup(right.groupBy("l", "r")).applyInPandas(lambda a, b: nearest_in_block(a, b, k, DECIMALS), f"a {kind}, b {kind}, sim double")
+    return met if columns == 1 else _shortest(met, k)
+
+
+def _shortest(lists: DataFrame, k: int) -> DataFrame:
+    return lists.withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("_n") <= k).select("a", "b", "sim")
+
+
+def _walk(frame: pd.DataFrame) -> pd.DataFrame:
+    """The pairs that a walk in order takes for certain: a pair that stands in one list alone makes both its ends wait, and so does one with an end that waits."""
+    frame = frame.sort_values(["score", "a", "b"], ascending=[False, True, True])
+    used, waits, kept = set(), set(), []
+    for a, b, both in zip(frame["a"], frame["b"], frame["both"], strict=True):
+        free = a not in used and b not in used
+        sure = free and both and a not in waits and b not in waits
+        (used if sure else waits if free else set()).update((a, b))
+        kept.append(sure)
+    return frame.loc[kept, ["a", "b", "score"]]
+
+
+def _certain(lists: DataFrame, whole: bool) -> DataFrame:
+    """``a, b, score``: pairs of ``lists(a, b, sim)`` that are sure to be in the walk over all pairs, whatever the lists leave out.
+
+    A list leaves out only partners behind its own: pairs that come first in the lists of both
+    their ends are taken, round after round, until one task can walk those left. Whole lists
+    give one pair at least: the best, should sides differ in the last decimal of a tie.
+    """
+    ends = lists.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
+    left, taken = settled(ends.groupBy("a", "b").agg(F.max("sim").alias("score"), (F.count("*") > 1).alias("both"))), None
+    kind = left.select("a", "b", "score").schema.simpleString()[len("struct<") : -1].replace(":", " ")
+    key = F.struct(-F.col("score"), F.col("a"), F.col("b"))
+    while left.count() > WALKED:
+        first = left.select(F.col("a").alias("x"), key.alias("k")).union(left.select("b", key)).groupBy("x").agg(F.min("k").alias("k"))
+        now = settled(left.where("both").withColumn("k", key).join(first.toDF("a", "ka"), "a").join(first.toDF("b", "kb"), "b").where("k = ka and k = kb").select("a", "b", "score"))
+        if now.isEmpty():
+            break
+        taken = now if taken is None else taken.union(now)
+        used = now.select(F.col("a").alias("x")).union(now.select("b"))
+        left = settled(left.join(used.toDF("a"), "a", "left_anti").join(used.toDF("b"), "b", "left_anti"), left)
+    else:
+        now = settled(left.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(_walk, kind))
+        taken = now if taken is None else taken.union(now)
+    if whole and (taken is None or taken.isEmpty()):
+        return settled(left.orderBy(F.desc("score"), "a", "b").limit(1).select("a", "b", "score"), left)
+    return taken if taken is not None else now
+
+
+def disjoint_by_cosine(centres: DataFrame, lists: DataFrame, barred: DataFrame | None, near: int) -> DataFrame:
+    """``a, b, score`` as a walk over all pairs of ``centres(cluster, v)`` that are not barred takes them, best cosine first.
+
+    ``lists(a, b, sim)`` hold each cluster's best partners; those that they leave unpaired list
+    each other anew, until no pair is left. Each turn pairs the best of all, and most of the rest.
+    """
+    taken, rest, whole = None, centres, False
+    while True:
+        now = _certain(lists, whole)
+        if whole and now.isEmpty():
+            return taken
+        taken = now if taken is None else taken.union(now)
+        rest = settled(rest.join(now.select(F.col("a").alias("cluster")).union(now.select("b")), "cluster", "left_anti"), *([rest] if rest is not centres else []))
+        n = rest.count()
+        if n < 2:
+            return taken
+        lists, whole = _listed(rest, rest, barred, n if n <= FEW else near), True
+
+
+def refine_by_centroids(vectors: DataFrame, decide, most: int | None = None, near: int = LISTED) -> DataFrame:
     """``item, cluster``: rank disjoint cluster pairs by centroid cosine, decide, merge or bar, recompute, until a pass accepts nothing.
 
-    A pass takes the best ``most`` disjoint pairs, or all. ``vectors(item, embedding)``; ``decide(frame)`` adds ``accept`` to ``a, b, score``. A rejected
-    pair is barred for good, for whatever its sides are merged into too.
+    A pass walks all pairs that are not barred and takes the best ``most`` disjoint ones, or all.
+    ``vectors(item, embedding)``; ``decide(frame)`` adds ``accept`` to ``a, b, score``. A rejected
+    pair is barred for good, for whatever its sides are merged into too. Lists of ``near``
+    partners go from pass to pass; only merged clusters meet all others again.
     """
     members, barred = settled(vectors.select("item", F.col("item").alias("cluster"))), None
+    centred = lambda rows: settled(centroids(rows.join(vectors, "item"), ["cluster"]).select("cluster", unit(F.col("mean")).alias("v")))
+    centres = centred(members)
+    lists = settled(_listed(centres, centres, None, near))
     while True:
-        centres = centroids(members.join(vectors, "item"), ["cluster"]).select("cluster", F.col("mean").alias("embedding"))
-        pairs = cosine_neighbours(centres, "cluster", near).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sim").alias("score"))
-        judged = settled(decide(greedy_disjoint(pairs if barred is None else pairs.join(barred, ["a", "b"], "left_anti"), most)))
+        pairs = disjoint_by_cosine(centres, lists, barred, near)
+        judged = settled(decide(pairs.orderBy(F.desc("score"), "a", "b").limit(most) if most else pairs))
         merged = judged.where("accept").select(F.col("b").alias("from"), F.col("a").alias("to"))
         if merged.isEmpty():
             return members
@@ -207,7 +294,16 @@ def refine_by_centroids(vectors: DataFrame, decide, most: int | None = None, nea
         refused = refused if barred is None else refused.union(barred)
         moved = lambda frame, c: frame.join(merged.withColumnRenamed("from", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: B023, E731
         members = settled(moved(members, "cluster").select("item", "cluster"), members)
-        barred = settled(moved(moved(refused, "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        barred = settled(moved(moved(refused, "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), *([barred] if barred is not None else []))
+        fresh = centred(members.join(merged.select(F.col("to").alias("cluster")), "cluster", "left_semi"))
+        touched = merged.select(F.col("from").alias("a")).union(merged.select("to"))
+        same = centres.join(touched.toDF("cluster"), "cluster", "left_anti")
+        old = lists.join(touched, "a", "left_anti").join(touched.toDF("b"), "b", "left_anti").join(barred.union(barred.select("b", "a")), ["a", "b"], "left_anti").select("a", "b", "sim")
+        # a list knows nothing behind its last partner, so merged clusters enter no further down
+        ends = old.groupBy("a").agg(F.max(F.struct(-F.col("sim"), F.col("b"))).alias("last"))
+        entering = _listed(same, fresh, barred, near).join(ends, "a").where(F.struct(-F.col("sim"), F.col("b")) <= F.col("last")).select("a", "b", "sim")
+        lists = settled(_shortest(old.union(entering), near).union(_listed(fresh, same.union(fresh), barred, near)), lists)
+        centres = settled(same.union(fresh), centres, fresh)
 
 
 def assign_codes(register: DataFrame, batch: DataFrame) -> DataFrame:

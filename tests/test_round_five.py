@@ -1,8 +1,13 @@
 """Queries that left out rows or candidates, and steps whose passes or copies grew with the table."""
 
 import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from claimloom import registry
+from claimloom.operators import workflow
+from tests.test_locate_folds_chunks import plain_refinement
 
 registry.load()
 
@@ -18,3 +23,22 @@ def test_visual_lines_of_whole_texts(spark, tmp_path):
     want = sorted(duck.execute(registry.ORACLES["s12_visual_lines"]).fetchall(), key=key)
     got = sorted((tuple(r) for r in registry.QUERIES["s12_visual_lines"](spark, str(tmp_path)).collect()), key=key)
     assert len(want) == sum(t.count("\n") + 1 for _, t in rows if t is not None) and got == want
+
+
+@pytest.mark.parametrize("walked", [1 << 18, 30])
+def test_centroid_refinement_walks_all_pairs(spark, monkeypatch, walked):
+    """Lists of three partners, many copies among the vectors: the pairs of the walk over all of them, and every cluster but one is in a pair."""
+    monkeypatch.setattr(workflow, "WALKED", walked)
+    monkeypatch.setattr(workflow, "FEW", 8)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(24, 6))
+    rows = [(k, base[k if k < 24 else k % 9].tolist()) for k in range(41)]
+    asked = []
+
+    def decide(pairs):
+        asked.append(pairs.collect())
+        return pairs.withColumn("accept", (F.col("score") >= 0.45) & ((F.col("a") + F.col("b")) % 7 != 0))
+
+    got = workflow.refine_by_centroids(spark.createDataFrame(rows, "item long, embedding array<double>"), decide, near=3)
+    assert {r.item: r.cluster for r in got.collect()} == plain_refinement(rows, len(rows))
+    assert len(asked) > 2 and len(asked[0]) == 20 and len({x for r in asked[0] for x in (r.a, r.b)}) == 40
