@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimloom import registry
-from claimloom.operators import workflow
+from claimloom.operators import resolution, workflow
 from tests.test_locate_folds_chunks import plain_refinement
 
 registry.load()
@@ -42,3 +42,17 @@ def test_centroid_refinement_walks_all_pairs(spark, monkeypatch, walked):
     got = workflow.refine_by_centroids(spark.createDataFrame(rows, "item long, embedding array<double>"), decide, near=3)
     assert {r.item: r.cluster for r in got.collect()} == plain_refinement(rows, len(rows))
     assert len(asked) > 2 and len(asked[0]) == 20 and len({x for r in asked[0] for x in (r.a, r.b)}) == 40
+
+
+@pytest.mark.parametrize("most", [2, None])
+def test_refinement_by_a_score_equals_its_rounds(spark, most):
+    """Decisions by the score alone need no rounds: the clusters are those of the loop, and the table is written once, not once a round."""
+    rng = np.random.default_rng(6)
+    rows = sorted({(int(min(p)), int(max(p))): float(rng.integers(0, 9)) for p in rng.integers(0, 24, (30, 2))}.items())
+    pairs = spark.createDataFrame([(a, b, s) for (a, b), s in rows], "a long, b long, score double")
+    asked = []
+    decide = lambda f: asked.append(1) or f.withColumn("accept", F.col("score") > 4)
+    want = {r.item: r.cluster for r in resolution.refine_until_empty(pairs, decide, most).collect()}
+    rounds = len(asked)
+    assert {r.item: r.cluster for r in resolution.refine_until_empty(pairs, decide, most, above=4).collect()} == want
+    assert 1 < len(set(want.values())) < len(want) and rounds > 1 and len(asked) == rounds
