@@ -56,3 +56,14 @@ def test_refinement_by_a_score_equals_its_rounds(spark, most):
     rounds = len(asked)
     assert {r.item: r.cluster for r in resolution.refine_until_empty(pairs, decide, most, above=4).collect()} == want
     assert 1 < len(set(want.values())) < len(want) and rounds > 1 and len(asked) == rounds
+
+
+def test_members_of_large_clusters_are_sent_to_few_tasks(spark):
+    """A cluster of 3,000 in blocks of 50: nine copies of a member at most, and all its pairs."""
+    from claimloom.operators.learning import deal_blocks, training_pairs
+
+    members = spark.range(3000).selectExpr("id as item", "0 as cluster")
+    pairs = training_pairs(members, "cluster", "item", 5, 50).where("label = 1")
+    assert pairs.agg(F.count_distinct("a", "b"), F.count("*")).first()[:] == (3000 * 2999 // 2, 3000 * 2999 // 2)
+    copies = deal_blocks(members, "cluster", "item", 50)
+    assert all(side.count() <= 9 * 3000 for side in copies) and copies[0].groupBy("_l", "_r").count().count() == 36
