@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from functools import reduce
 from itertools import count
 
@@ -112,39 +113,148 @@ def _moved(both: DataFrame, resolution: float) -> DataFrame:
 
 def _moved_here(rows: pd.DataFrame, resolution: float) -> pd.DataFrame:
     """The rounds of ``_moved`` over ``a, b, w`` and the hash ``h`` of ``a``, in arrays; nodes are numbered in order."""
-    names, a = np.unique(rows["a"].to_numpy(), return_inverse=True)
-    n, b, w = len(names), np.searchsorted(names, rows["b"].to_numpy()), rows["w"].to_numpy()
-    hashes = np.zeros(n, np.int64)
-    hashes[a] = rows["h"].to_numpy()
+    names, a, b, w, hashes = _coded(rows)
+    n, labels, failed = len(names), np.arange(len(names)), 0
     degree = np.bincount(a, w, n)
-    whole, labels, apart, failed = degree.sum() or 1.0, np.arange(n), a != b, 0
-    quality = lambda c: (w[c[a] == c[b]].sum() / whole) - resolution * ((np.bincount(c, degree, n) / whole) ** 2).sum()
-    best = quality(labels)
+    whole = degree.sum() or 1.0
+    best = _quality(a, b, w, labels, whole, resolution)
     for turn in count():
-        size = np.bincount(labels, degree, n)
-        node, label = np.concatenate([a[apart], np.arange(n)]), np.concatenate([labels[b[apart]], labels])
-        key, back = np.unique(node * n + label, return_inverse=True)
-        weight = np.bincount(back, np.concatenate([w[apart], np.zeros(n)]))
-        node, label = key // n, key % n
-        home = label == labels[node]
-        gain = np.round(weight - resolution * degree[node] * (size[label] - np.where(home, degree[node], 0.0)) / whole, 6)
-        order = np.lexsort((label, ~home, -gain, node))
-        first = order[np.concatenate([[True], node[order][1:] != node[order][:-1]])]
-        fresh = np.where((hashes >> (turn % 60)) & 1 == 1, label[first], labels)
-        reached = quality(fresh)
+        fresh = _turned(a, b, w, hashes, labels, whole, resolution, turn)
+        reached = _quality(a, b, w, fresh, whole, resolution)
         if reached > best + LEAST_GAIN:
             labels, best, failed = fresh, reached, 0
         elif (failed := failed + 1) == PATIENCE:
             return pd.DataFrame({"node": names, "label": names[labels]})
 
 
+def _coded(rows: pd.DataFrame) -> tuple:
+    """Node names in order, the ends ``a`` and ``b`` as places among them, ``w`` and each node's hash."""
+    names, a = np.unique(rows["a"].to_numpy(), return_inverse=True)
+    hashes = np.zeros(len(names), np.int64)
+    hashes[a] = rows["h"].to_numpy()
+    return names, a, np.searchsorted(names, rows["b"].to_numpy()), rows["w"].to_numpy(), hashes
+
+
+def _quality(a, b, w, labels, whole: float, resolution: float) -> float:
+    degree = np.bincount(a, w, len(labels))
+    return float((w[labels[a] == labels[b]].sum() / whole) - resolution * ((np.bincount(labels, degree, len(labels)) / whole) ** 2).sum())
+
+
+def _turned(a, b, w, hashes, labels, whole: float, resolution: float, turn: int) -> np.ndarray:
+    """Labels after one round of moves."""
+    n, apart = len(labels), a != b
+    degree = np.bincount(a, w, n)
+    size = np.bincount(labels, degree, n)
+    node, label = np.concatenate([a[apart], np.arange(n)]), np.concatenate([labels[b[apart]], labels])
+    key, back = np.unique(node * n + label, return_inverse=True)
+    weight = np.bincount(back, np.concatenate([w[apart], np.zeros(n)]))
+    node, label = key // n, key % n
+    home = label == labels[node]
+    gain = np.round(weight - resolution * degree[node] * (size[label] - np.where(home, degree[node], 0.0)) / whole, 6)
+    order = np.lexsort((label, ~home, -gain, node))
+    first = order[np.concatenate([[True], node[order][1:] != node[order][:-1]])]
+    return np.where((hashes >> (turn % 60)) & 1 == 1, label[first], labels)
+
+
+#: Edges that a group of whole components holds, about, and rounds that groups go ahead before their sum is looked at.
+PACKED, AHEAD_OF_SUM = 100_000, 4
+
+
+def _packed(both: DataFrame) -> DataFrame | None:
+    """``g, state``: ``both(a, b, w)`` in groups of whole components, as arrays; None if one component has over ``ONE_TASK`` edges."""
+    component = settled(connected_components(both, "a", "b"))
+    of = both.join(component.toDF("a", "component"), "a")
+    sizes = of.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    if sizes[0] > ONE_TASK:
+        forget(component)
+        return None
+    groups = -(-sizes[1] // PACKED)
+
+    def pack(key, rows):
+        names, a, b, w, hashes = _coded(rows)
+        return pd.DataFrame({"g": [key[0]], "state": [pickle.dumps((names, np.arange(len(names)), a, b, w, hashes, np.arange(len(names)), []))]})
+
+    rows = of.select("a", "b", "w", F.xxhash64("a").alias("h"), F.pmod(F.xxhash64("component"), F.lit(groups)).cast("int").alias("g"))
+    return settled(rows.groupBy("g").applyInPandas(pack, "g int, state binary"), component)
+
+
+def _went(state: bytes, taken: int, closes: bool, turns: list[int], whole: float, resolution: float) -> tuple[list[float], bool, bytes]:
+    """A group's modularity before and after each of ``turns``, whether its last level joined any nodes, and its state.
+
+    ``taken`` says how many of the tries that the state holds count; if the level ``closes``, communities become nodes first.
+    """
+    names, place, a, b, w, hashes, labels, tries = pickle.loads(state)
+    labels, moved = tries[taken - 1] if taken else labels, False
+    if closes:
+        moved = bool((labels != np.arange(len(labels))).any())
+        left, fresh = np.unique(labels, return_inverse=True)
+        key, back = np.unique(fresh[a] * len(left) + fresh[b], return_inverse=True)
+        place, hashes, w = fresh[place], hashes[left], np.bincount(back, w)
+        a, b, labels = key // len(left), key % len(left), np.arange(len(left))
+    tries, reached = [], [_quality(a, b, w, labels, whole, resolution)]
+    for turn in turns:
+        tries.append(_turned(a, b, w, hashes, tries[-1] if tries else labels, whole, resolution, turn))
+        reached.append(_quality(a, b, w, tries[-1], whole, resolution))
+    return reached, moved, pickle.dumps((names, place, a, b, w, hashes, labels, tries))
+
+
+def _communities_of_groups(groups: DataFrame, kind: str, whole: float, resolution: float) -> DataFrame:
+    """``communities`` over ``groups(g, state)``: tasks move and join nodes within their groups, the sum over all groups says which rounds count."""
+
+    def job(taken: int, closes: bool, turns: list[int]) -> DataFrame:
+        def run(frames):
+            for f in frames:
+                for g, state in zip(f["g"], f["state"], strict=True):
+                    reached, moved, after = _went(state, taken, closes, turns, whole, resolution)
+                    yield pd.DataFrame({"g": [g], "reached": [reached], "moved": [moved], "state": [after]})
+
+        return settled(groups.select("g", "state").mapInPandas(run, "g int, reached array<double>, moved boolean, state binary"), groups)
+
+    closes, taken = False, 0
+    while True:
+        best, failed, turn = None, 0, 0
+        while failed < PATIENCE:
+            turns = list(range(turn, turn + (1 if failed else AHEAD_OF_SUM)))
+            groups, opens = job(taken, closes, turns), closes
+            sums = groups.agg(F.max("moved"), *(F.sum(F.col("reached")[k]) for k in range(len(turns) + 1))).first()
+            if opens and not sums[0]:
+                break
+            best, closes, taken = sums[1] if best is None else best, False, 0
+            for k, reached in enumerate(sums[2:], 1):
+                turn += 1
+                if reached > best + LEAST_GAIN:
+                    best, failed, taken = reached, 0, k
+                else:
+                    failed += 1
+                    break
+        else:
+            closes = True
+            continue
+        break
+
+    def named(frames):
+        for f in frames:
+            for state in f["state"]:
+                names, place = pickle.loads(state)[:2]
+                _, first, back = np.unique(place, return_index=True, return_inverse=True)
+                yield pd.DataFrame({"node": names, "label": names[first[back]]})
+
+    return groups.mapInPandas(named, f"node {kind}, label {kind}")
+
+
 def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """Louvain communities of ``edges(a, b, weight)`` as ``node, label``, the label being the smallest member.
 
-    Local moves, then communities become nodes, level after level until nothing joins. State
-    is tables throughout; hashes take the place of a random order, so reruns agree.
+    Local moves, then communities become nodes, level after level until nothing joins; hashes
+    take the place of a random order, so reruns agree. Moves stay within a component: where
+    none has over ``ONE_TASK`` edges, tasks keep whole components as arrays and only sums meet.
+    Otherwise state is tables throughout.
     """
     both = settled(edges.select("a", "b", F.col("weight").cast("double").alias("w")).union(edges.select("b", "a", F.col("weight").cast("double"))).groupBy("a", "b").agg(F.sum("w").alias("w")))
+    if both.count() > ONE_TASK and (groups := _packed(both)) is not None:
+        whole = both.agg(F.sum("w")).first()[0] or 1.0
+        forget(both)
+        return _communities_of_groups(groups, both.schema["a"].dataType.simpleString(), whole, resolution)
     found = settled(both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
     while True:
         labels = _moved(both, resolution)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimloom import registry
-from claimloom.operators import resolution, workflow
+from claimloom.operators import graph, resolution, workflow
 from tests.test_locate_folds_chunks import plain_refinement
 
 registry.load()
@@ -67,3 +67,18 @@ def test_members_of_large_clusters_are_sent_to_few_tasks(spark):
     assert pairs.agg(F.count_distinct("a", "b"), F.count("*")).first()[:] == (3000 * 2999 // 2, 3000 * 2999 // 2)
     copies = deal_blocks(members, "cluster", "item", 50)
     assert all(side.count() <= 9 * 3000 for side in copies) and copies[0].groupBy("_l", "_r").count().count() == 36
+
+
+def test_communities_in_groups_of_components(spark, monkeypatch):
+    """Components in groups, with tables refused: the labels of one task."""
+    rng, rows = np.random.default_rng(8), []
+    for c in range(9):
+        n = 4 + c
+        rows += [(f"c{c}n{i}", f"c{c}n{j}", float(rng.integers(1, 4))) for i in range(n) for j in range(i) if rng.random() < 0.45 or i == j + 1]
+    edges = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in rows], "a string, b string, weight double")
+    want = {r.node: r.label for r in graph.communities(edges, 3.0).collect()}
+    monkeypatch.setattr(graph, "ONE_TASK", 150)
+    monkeypatch.setattr(graph, "PACKED", 40)
+    monkeypatch.setattr(graph, "_moved", None)
+    assert len(rows) * 2 > 150 and {r.node: r.label for r in graph.communities(edges, 3.0).collect()} == want
+    assert 9 < len(set(want.values())) < len(want)
